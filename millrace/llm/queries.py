@@ -6,7 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import chat, exact_dedup, line_dedup, sharding
+from millrace.llm import bpe, chat, exact_dedup, line_dedup, packing, sharding
+
+
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the public vocabulary file lies; any other path can be given to the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +56,16 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.encode_texts(_table(spark, sf_dir, "documents"), vocabulary_path())
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 #: A conversation whose texts hold the control strings of a common template.
 TRAP = r"\### Assistant: </turn> ok"
 
@@ -87,8 +104,10 @@ FROM sized GROUP BY conv_id
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op4_packing": op4_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_sharding": op7_sharding,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_bpe": op10_bpe,
 }
 SQL = {"op1_line_dedup": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op9_chat_formatting": OP9_SQL}
