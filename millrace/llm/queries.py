@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import bpe, chat, exact_dedup, line_dedup, packing, sharding, simhash
+from millrace.llm import bpe, chat, exact_dedup, line_dedup, packing, sharding, simhash, substring_dedup
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -56,6 +56,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), join_all=True)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.fingerprint_components(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -109,6 +114,7 @@ FROM sized GROUP BY conv_id
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
     "op5_exact_dedup": op5_exact_dedup,
