@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import bpe, chat, exact_dedup, line_dedup, packing, sharding, simhash, substring_dedup
+from millrace.llm import bpe, chat, exact_dedup, line_dedup, packing, sharding, simhash, substring_dedup, toxicity
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -76,6 +76,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 #: A conversation whose texts hold the control strings of a common template.
 TRAP = r"\### Assistant: </turn> ok"
 
@@ -119,6 +125,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_sharding": op7_sharding,
+    "op8_toxicity": op8_toxicity,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_bpe": op10_bpe,
 }
