@@ -6,14 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import bpe, chat, exact_dedup, line_dedup, packing, sharding, simhash, substring_dedup, toxicity
-
-
-def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
-    """Where the public vocabulary file lies; any other path can be given to the operators."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+from millrace.llm import ann, bpe, chat, exact_dedup, line_dedup, packing, sharding, simhash, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +44,10 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_rows(_table(spark, sf_dir, "documents"), shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -67,11 +64,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary_path())
+    return packing.pack(_table(spark, sf_dir, "documents"), bpe.vocabulary_path())
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bpe.encode_texts(_table(spark, sf_dir, "documents"), vocabulary_path())
+    out = bpe.encode_texts(_table(spark, sf_dir, "documents"), bpe.vocabulary_path())
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -124,9 +121,11 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_ann": op6_ann,
     "op7_sharding": op7_sharding,
     "op8_toxicity": op8_toxicity,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_bpe": op10_bpe,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {"op1_line_dedup": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op9_chat_formatting": OP9_SQL}
