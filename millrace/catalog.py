@@ -1,6 +1,520 @@
-"""The queries of the library and the SQL they are checked against."""
+"""The queries of the library over the driver's tables, and the SQL they are checked against.
+
+The tables hold no postings, so postings() reads order lines as such: the part's name is the title, its brand the
+company, the supplier's nation and region the place, the price the pay, the ship date the day of posting."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions import contact, geo, html, quality, salary, text
+from millrace.operators import corpus, facets, rank, resolve, score, suffix
+from millrace.operators.intent import Intent
+from millrace.plans import batch
+from millrace.schema import content_id
+
+AS_OF = "2001-06-01"
+
+
+def _now():
+    return F.expr(f"TIMESTAMP_NTZ '{AS_OF} 00:00:00'")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+LEVELS = {"ECONOMY": "intern", "LARGE": "entry", "MEDIUM": "mid", "PROMO": "senior", "SMALL": "lead", "STANDARD": "exec"}
+ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round(l_extendedprice * 100) as bigint))"
+
+
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    level = F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv])[F.col("p_type")]
+    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.expr(ID).alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("company"), F.array(F.lower("p_type")).alias("skills"),
+        F.array().cast("array<string>").alias("tags"), F.lit("").alias("summary"), F.lit("").alias("description"), level.alias("seniority"),
+        F.col("l_shipdate").alias("posted_at"), F.col("l_extendedprice").alias("pay"), F.col("l_returnflag").alias("currency"), F.col("l_suppkey").alias("suppkey"))
+
+
+POSTINGS_SQL = f"""SELECT {ID.replace("round(l_extendedprice * 100)", "round(l_extendedprice * 100)")} AS id, p_name AS title, p_brand AS company, lower(p_type) AS skill,
+  {"CASE p_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LEVELS.items()) + " END"} AS seniority, l_shipdate AS posted_at, l_extendedprice AS pay, l_returnflag AS currency, l_suppkey AS suppkey
+  FROM lineitem JOIN part ON l_partkey = p_partkey"""
+
+RING = Intent("red ring", ("red", "ring"), "ring", ("red ring", "hot ring", "red plate"), ("economy", "promo"), ("cold gear", "red gear"), "senior")
+GEAR = Intent("cold gear", ("cold", "gear"), "gear", ("cold gear", "old gear"), ("small",), ("red ring",), "")
+BOLT = Intent("blue bolt", ("blue", "bolt"))
+
+
+def _score_sql(q: Intent, body: bool = True) -> str:
+    """SQL of the score over a posting's title, skill and company, before what only the full score weighs."""
+    has = lambda c, xs: "(" + " OR ".join(f"contains({c}, '{x}')" for x in xs if x) + ")" if any(xs) else "FALSE"
+    word = lambda c, t: f"list_contains(string_split({c}, ' '), '{t}')::INT"
+    hay = "(title || ' ' || skill)"
+    present = " + ".join(word("title", t) for t in q.terms)
+    n = len(q.terms)
+    tier = f"CASE WHEN contains(title, '{q.normalised}') THEN 1.0::DOUBLE WHEN {has('title', q.aliases)} THEN 0.82::DOUBLE WHEN ({present}) = {n} THEN 0.7::DOUBLE ELSE ({present}) * (0.34::DOUBLE / {n}) END"
+    skills = " + ".join(f"contains({hay}, '{s}')::INT" for s in q.skills) or "0"
+    back = f"least(0.18::DOUBLE, 0.03::DOUBLE * ({skills}) + 0.02::DOUBLE * ({' + '.join(word(hay, t) for t in q.terms)}) + 0.015::DOUBLE * {has('lower(company)', q.terms)}::INT)"
+    best = "greatest(0, " + ", ".join(f"CASE WHEN contains(title, '{p}') THEN {len(p)} ELSE 0 END" for p in dict.fromkeys((q.normalised, *q.aliases))) + ")"
+    covered = f"(len(list_filter(string_split(title, ' '), lambda w: w IN ({', '.join(repr(t) for t in q.terms)})))::DOUBLE / len(string_split(title, ' ')))"
+    focus = f"CASE WHEN {best} = 0 THEN {covered} ELSE least(1.0::DOUBLE, {best}::DOUBLE / length(title)) END"
+    every = " AND ".join(f"{word(hay, t)} = 1" for t in q.terms)
+    base = f"(CASE WHEN ({tier}) > 0 THEN ({tier}) + {back} + 0.12::DOUBLE * ({focus}) WHEN {every} THEN 0.44::DOUBLE + {back} WHEN {back} > 0.02::DOUBLE THEN 0.16::DOUBLE + {back} ELSE 0 END)"
+    rival = f"(CASE WHEN {has('title', q.rivals)} AND NOT {has('title', q.aliases)} THEN 0.35::DOUBLE ELSE 1.0::DOUBLE END)" if q.family and q.rivals else "1"
+    fresh = f"(0.7::DOUBLE + 0.3::DOUBLE * exp(-greatest(0.0::DOUBLE, date_diff('microsecond', posted_at, TIMESTAMP '{AS_OF}') / 86400000000.0::DOUBLE) / 14.0::DOUBLE))"
+    return f"({base} * {rival} * {{more}} * {fresh} * {{where}})"
+
+
+def _scored(df: DataFrame, q: Intent, **more) -> DataFrame:
+    return df.withColumn("score", score.relevance(q, _now(), ts=F.col("posted_at"), **more))
+
+
+def rank_topk(spark, sf_dir):
+    found = _scored(score.prepare(postings(spark, sf_dir)), RING)
+    return rank.top(found, 50).select("id", "title", "score")
+
+
+def rank_full_score(spark, sf_dir):
+    places = (table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+              .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", "n_name", "r_name"))
+    rows = score.prepare(postings(spark, sf_dir).join(places, F.col("suppkey") == F.col("s_suppkey"), "left"))
+    where = F.when(F.col("n_name") == "NATION_7", "exact").when(F.col("r_name") == "ASIA", "metro").otherwise("")
+    found = _scored(rows, RING, level=F.col("seniority"), noise=rank.noise_title(F.col("title_n"), ("old rod", "new rod")), locality=where)
+    return rank.top(found, 80).select("id", "title", "score")
+
+
+def union_of_topk(spark, sf_dir):
+    rows = score.prepare(postings(spark, sf_dir))
+    return rank.union_best([rank.top(_scored(rows, q), 40).select("id", "score") for q in (RING, GEAR, BOLT)])
+
+
+def relevance_floor(spark, sf_dir):
+    rows = score.prepare(postings(spark, sf_dir).where("pay > 95000"))
+    found = _scored(rows, Intent("hot rod", ("hot", "rod")))
+    return rank.relevance_floor(found, order=("id",)).select("id", "score", "strong_count", "relaxed")
+
+
+def sort_salary_fx(spark, sf_dir):
+    fx = {"A": 84.0, "N": 91.0}
+    rupees = text.in_rupees(F.col("pay"), F.col("currency"), fx)
+    rows = postings(spark, sf_dir).where(F.coalesce(rupees >= 5_000_000, F.lit(False))).withColumn("rupees", F.round(rupees, 2))
+    return rows.orderBy(F.desc("rupees"), "id").limit(100).select("id", "rupees")
+
+
+def budgeted_topn(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return rank.top_per_group(docs.where("n_chars < 800"), ["source"], ["doc_id"], 10)
+
+
+def age_filter(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    as_of = F.expr("TIMESTAMP_NTZ '2001-07-15 12:00:00'")
+    return orders.where(rank.within_age(F.col("o_orderdate"), as_of, 60)).withColumn("recent", rank.younger_than(F.col("o_orderdate"), as_of, 30.25))
+
+
+RANKING = ["PROMO", "SMALL", "LARGE"]
+
+
+def _records(spark, sf_dir) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    when = lambda d: F.expr(f"timestampadd(DAY, {d}, TIMESTAMP_NTZ '2024-01-01 00:00:00')")
+    return part.select(
+        F.col("p_partkey").alias("ord"), F.lit("").alias("id"), F.col("p_brand").alias("company"), F.col("p_name").alias("title"), F.col("p_type").alias("source"),
+        F.expr("repeat('x', p_size)").alias("description"), F.expr("case when p_size % 3 = 0 then 0.0 else p_retailprice end").alias("salary_min"),
+        F.expr("p_retailprice * 2").alias("salary_max"), F.lit("INR").alias("salary_currency"), F.lit("year").alias("salary_period"), F.expr("cast(p_partkey as string)").alias("salary_text"),
+        F.expr("case when p_size % 2 = 0 then 'unknown' when p_size % 5 = 0 then 'hybrid' else 'remote' end").alias("remote"),
+        F.expr("case when p_size % 4 = 0 then '' else concat('City', p_size % 7, ', X') end").alias("location"), F.expr("case when p_size % 5 < 3 then '' else concat('u', p_partkey) end").alias("apply_url"),
+        F.expr("case when p_size % 6 = 0 then null else timestampadd(DAY, p_size, TIMESTAMP_NTZ '2024-01-01 00:00:00') end").alias("posted_at"),
+        when("p_size").alias("first_seen_at"), when("p_size + 3").alias("last_seen_at"), F.array(F.expr("concat('Size: ', p_size)"), F.expr("lower(p_type)")).alias("tags"))
+
+
+def exact_dedupe_merge(spark, sf_dir):
+    rows = _records(spark, sf_dir).withColumns({"company": text.normalise_company(F.col("company")), "title": text.normalise_title(F.col("title")),
+                                                "rank_": resolve.source_rank(F.col("source"), RANKING), "len_": -F.length("description")})
+    out = resolve.merge(rows, ["company", "title"], ["rank_", "len_", "ord"])
+    return out.select("company", "title", "ord", "source", F.length("description").alias("chars"), "salary_min", "salary_max", "salary_text", "remote", "location", "apply_url",
+                      "posted_at", "first_seen_at", "last_seen_at", content_id(F.col("company"), F.col("title"), F.col("location")).alias("new_id"))
+
+
+MERGE_SQL = """
+WITH r AS (
+  SELECT p_partkey AS ord, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')) AS company, p_name AS title, p_type AS source, p_size, p_retailprice,
+    CASE p_type WHEN 'PROMO' THEN 0 WHEN 'SMALL' THEN 1 WHEN 'LARGE' THEN 2 ELSE 3 END AS rk,
+    CASE WHEN p_size % 3 = 0 THEN 0.0 ELSE p_retailprice END AS smin,
+    CASE WHEN p_size % 2 = 0 THEN 'unknown' WHEN p_size % 5 = 0 THEN 'hybrid' ELSE 'remote' END AS remote,
+    CASE WHEN p_size % 4 = 0 THEN '' ELSE 'City' || (p_size % 7) || ', X' END AS location,
+    CASE WHEN p_size % 5 < 3 THEN '' ELSE 'u' || p_partkey END AS apply_url,
+    TIMESTAMP '2024-01-01' + to_days(p_size) AS seen FROM part),
+n AS (SELECT *, row_number() OVER (PARTITION BY company, title ORDER BY rk, p_size DESC, ord) AS pos FROM r),
+m AS (
+  SELECT company, title, arg_min(ord, pos) AS ord, arg_min(source, pos) AS source, max(p_size) AS chars,
+    coalesce(arg_min(smin, pos) FILTER (WHERE smin <> 0), arg_min(smin, pos)) AS salary_min,
+    coalesce(arg_min(p_retailprice * 2, pos) FILTER (WHERE smin <> 0), arg_min(p_retailprice * 2, pos)) AS salary_max,
+    coalesce(arg_min(ord::VARCHAR, pos) FILTER (WHERE smin <> 0), arg_min(ord::VARCHAR, pos)) AS salary_text,
+    coalesce(arg_min(remote, pos) FILTER (WHERE remote <> 'unknown'), 'unknown') AS remote,
+    coalesce(arg_min(location, pos) FILTER (WHERE location <> ''), '') AS location,
+    coalesce(arg_min(apply_url, pos) FILTER (WHERE apply_url <> ''), '') AS apply_url,
+    min(seen) FILTER (WHERE p_size % 6 <> 0) AS posted_at, min(seen) AS first_seen_at, max(seen) + to_days(3) AS last_seen_at
+  FROM n GROUP BY company, title)
+SELECT *, substr(sha256(company || '|' || title || '|' || trim(regexp_replace(lower(split_part(location, ',', 1)), '[^a-z0-9]+', ' ', 'g'))), 1, 16) AS new_id FROM m
+"""
+
+
+def fuzzy_dedupe(spark, sf_dir):
+    return resolve.resolve(_records(spark, sf_dir), RANKING).select("ord", "id", "company", "title", "tags")
+
+
+def tag_fold(spark, sf_dir):
+    """Each user's events as one-tag records in order: "type: k" tags, of which the first of each type stays."""
+    e = table(spark, sf_dir, "events")
+    rows = e.select("user_id", F.struct("event_id", F.array(F.concat_ws(": ", "event_type", F.get_json_object("props", "$.k"))).alias("tags"), F.lit("s").alias("source")).alias("r"))
+    folded = rows.groupBy("user_id").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    return folded.select("user_id", F.array_join(resolve.fold_tags(F.transform("rs", lambda r: F.struct(r["tags"].alias("tags"), r["source"].alias("source"))), F.lit("s")), "|").alias("tags"))
+
+
+def content_ids(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", content_id(F.col("p_brand"), F.col("p_name"), F.concat_ws(", ", "p_type", F.col("p_size").cast("string"))).alias("id"))
+
+
+def _corpus_sides(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(
+        F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("seniority"), F.array(F.lower("o_orderstatus")).alias("skills"), F.col("o_orderpriority").alias("summary"),
+        F.array(F.lower("o_orderpriority"), F.lower("o_orderstatus")).alias("tags"), (F.col("o_orderstatus") == "F").alias("enriched"),
+        F.when(F.col("o_totalprice") > 200000, F.concat(F.lit("d"), F.col("o_orderkey").cast("string"))).otherwise("").alias("description"),
+        F.col("o_orderdate").alias("posted_at"), F.col("o_orderdate").alias("first_seen_at"), F.col("o_orderdate").alias("last_seen_at"), F.col("o_orderkey").alias("k"))
+    cut = F.expr("TIMESTAMP_NTZ '2000-01-01 00:00:00'")
+    side = lambda w: corpus.latest(rows.where(w), ["id"], [F.desc("posted_at"), "k"]).drop("k")
+    return side(F.col("posted_at") < cut), side(F.col("posted_at") >= cut)
+
+
+def upsert_retain(spark, sf_dir):
+    old, new = _corpus_sides(spark, sf_dir)
+    out = corpus.retained(corpus.upsert(old, new, _now()), _now(), 600)
+    return out.withColumns({"skills": F.array_join("skills", ","), "tags": F.array_join("tags", ",")})
+
+
+UPSERT_SQL = """
+WITH r AS (
+  SELECT o_custkey AS id, o_orderstatus AS seniority, lower(o_orderstatus) AS skills, o_orderpriority AS summary, [lower(o_orderpriority), lower(o_orderstatus)] AS tags,
+    o_orderstatus = 'F' AS enriched, CASE WHEN o_totalprice > 200000 THEN 'd' || o_orderkey ELSE '' END AS description, o_orderdate AS d, o_orderkey AS k FROM orders),
+old AS (SELECT * FROM r WHERE d < TIMESTAMP '2000-01-01' QUALIFY row_number() OVER (PARTITION BY id ORDER BY d DESC, k) = 1),
+new AS (SELECT * FROM r WHERE d >= TIMESTAMP '2000-01-01' QUALIFY row_number() OVER (PARTITION BY id ORDER BY d DESC, k) = 1),
+m AS (
+  SELECT coalesce(n.id, o.id) AS id, n.id IS NOT NULL AS fresh, n.id IS NOT NULL AND o.id IS NOT NULL AND o.enriched AND NOT n.enriched AS carry, o.id IS NOT NULL AS known,
+    n.*, o.seniority AS o1, o.skills AS o2, o.summary AS o3, o.tags AS o4, o.enriched AS o5, o.description AS o6, o.d AS o7
+  FROM old o FULL OUTER JOIN new n ON o.id = n.id),
+u AS (
+  SELECT coalesce(id, NULL) AS id, CASE WHEN fresh AND NOT carry THEN seniority ELSE o1 END AS seniority, CASE WHEN fresh AND NOT carry THEN skills ELSE o2 END AS skills,
+    CASE WHEN fresh AND NOT carry THEN summary ELSE o3 END AS summary,
+    array_to_string(CASE WHEN carry THEN list_sort(list_distinct(list_concat(tags, o4)))[1:16] WHEN fresh THEN tags ELSE o4 END, ',') AS tags,
+    CASE WHEN carry THEN TRUE WHEN fresh THEN enriched ELSE o5 END AS enriched,
+    CASE WHEN fresh AND known AND description = '' THEN o6 WHEN fresh THEN description ELSE o6 END AS description,
+    CASE WHEN fresh THEN d ELSE o7 END AS posted_at, CASE WHEN known THEN o7 ELSE d END AS first_seen_at, CASE WHEN fresh THEN TIMESTAMP '2001-06-01' ELSE o7 END AS last_seen_at
+  FROM m)
+SELECT * FROM u WHERE posted_at >= TIMESTAMP '2001-06-01' - INTERVAL 600 DAY
+"""
+
+
+def carry_forward(spark, sf_dir):
+    old, new = _corpus_sides(spark, sf_dir)
+    return corpus.carry_descriptions(new, old).select("id", "description")
+
+
+def new_only(spark, sf_dir):
+    old, new = _corpus_sides(spark, sf_dir)
+    return corpus.not_enriched(new, old).select("id", "posted_at")
+
+
+def _tracker(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("event_type in ('click', 'purchase', 'error')")
+    last = corpus.latest(e, ["user_id"], [F.desc("ts"), F.desc("event_id")])
+    mark = F.when(F.col("event_type") == "click", "saved").when(F.col("event_type") == "purchase", "applied").otherwise("hidden")
+    return last.select(F.col("user_id").alias("id"), mark.alias("mark"), F.col("ts").alias("at"))
+
+
+TRACKER_SQL = """t AS (SELECT user_id AS id, CASE event_type WHEN 'click' THEN 'saved' WHEN 'purchase' THEN 'applied' ELSE 'hidden' END AS mark, ts AS "at" FROM events
+  WHERE event_type IN ('click', 'purchase', 'error') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)"""
+
+
+def _customers(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name")
+
+
+def hide_marked(spark, sf_dir):
+    return corpus.without_marked(_customers(spark, sf_dir), _tracker(spark, sf_dir))
+
+
+def saved_list(spark, sf_dir):
+    return corpus.marked(_customers(spark, sf_dir), _tracker(spark, sf_dir))
+
+
+def toggle_marks(spark, sf_dir):
+    return corpus.toggled(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), ["user_id"], "event_type", ["event_id"])
+
+
+def tracker_upsert(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    early = corpus.latest(e.where("event_id < 500"), ["user_id"], [F.desc("event_id")])
+    return corpus.upsert_by_key(early, e.where("event_id >= 500 and event_type <> 'view'"), "user_id", [F.desc("event_id")])
+
+
+def _runs(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("source"), F.col("event_id").alias("seq"), F.floor("value").alias("jobs_found"),
+                    F.length("props").cast("long").alias("duration_ms"), (F.col("event_type") == "purchase").alias("ok"),
+                    F.when(F.col("event_type") == "error", F.concat(F.lit("e"), F.col("event_id").cast("string"))).otherwise("").alias("error"))
+
+
+RUNS_SQL = """runs AS (SELECT 's' || user_id AS source, event_id AS seq, floor(value)::BIGINT AS jobs_found, length(props) AS duration_ms, event_type = 'purchase' AS ok,
+  CASE WHEN event_type = 'error' THEN 'e' || event_id ELSE '' END AS error FROM events)"""
+
+
+def health_rollup(spark, sf_dir):
+    return facets.health(_runs(spark, sf_dir))
+
+
+def _docs_as_rows(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("source", "lang", F.when(F.col("lang") == "en", "tier1").otherwise("tier2").alias("source_tier"), (F.col("n_chars") > 1000).alias("enriched"))
+
+
+def meta_counts(spark, sf_dir):
+    return facets.meta(_docs_as_rows(spark, sf_dir), facets.health(_runs(spark, sf_dir)))
+
+
+def tier_summary(spark, sf_dir):
+    return facets.tier_summary(_docs_as_rows(spark, sf_dir))
+
+
+def count_by_source(spark, sf_dir):
+    return facets.count_by(table(spark, sf_dir, "documents"), "source")
+
+
+def marks_by_kind(spark, sf_dir):
+    return facets.marks_by_kind(_tracker(spark, sf_dir), ["saved", "applied", "hidden", "none"])
+
+
+def facet_city(spark, sf_dir):
+    return facets.explode_count(table(spark, sf_dir, "part"), F.split(F.concat_ws(" ", "p_name", F.lower("p_type")), " "), "city")
+
+
+ROLES = {"rings": ["red ring", "blue ring", "ring"], "cold": ["cold gear", "cold rod"], "none": ["zebra"]}
+
+
+def facet_role(spark, sf_dir):
+    return facets.phrase_facet(table(spark, sf_dir, "part"), "p_name", ROLES)
+
+
+def facet_values(spark, sf_dir):
+    return facets.facet_values(table(spark, sf_dir, "orders"), "o_orderpriority")
+
+
+def board_audit(spark, sf_dir):
+    return facets.audit(table(spark, sf_dir, "documents"), ["lang", "source"])
+
+
+VOCAB = ["the", "edtion", "ontion of", "trash", "this", "der", "la", "with by"]
+
+
+def extract_skills(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.array_join(text.extract_skills(F.lower("text"), VOCAB, 3), ",").alias("skills"))
+
+
+def _skills_sql() -> str:
+    hit = " ".join(f"CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9]){p}([^a-z0-9]|$)') THEN '{p}' END," for p in sorted(VOCAB, key=lambda k: -len(k)))
+    return f"SELECT doc_id, array_to_string(list_filter([{hit.rstrip(',')}], lambda x: x IS NOT NULL)[1:3], ',') AS skills FROM documents"
+
+
+def keyword_narrow(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(rank.has_all(F.lower("text"), ["the", "tion", "re"])).select("doc_id")
+
+
+def detect_remote(spark, sf_dir):
+    label = F.concat_ws(" ", "p_name", F.when(F.col("p_size") % 4 == 0, "Hybrid role").when(F.col("p_size") % 4 == 1, "work from home").when(F.col("p_size") % 4 == 2, "on-site"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.detect_remote(label).alias("mode"))
+
+
+def detect_seniority(spark, sf_dir):
+    title = F.concat_ws(" ", F.when(F.col("p_size") % 6 == 0, "Sr.").when(F.col("p_size") % 6 == 1, "Intern").when(F.col("p_size") % 6 == 2, "Head of"), "p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", text.detect_seniority(title, F.concat(F.lit("needs "), (F.col("p_size") % 11).cast("string"), F.lit("+ years"))).alias("level"))
+
+
+def _labels(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", F.concat(F.lit("Sr. "), F.initcap("p_name"), F.lit(" (m/f/d) - Urgent, "), F.col("p_type"), F.lit(" Dev")).alias("title"),
+                    F.concat(F.col("p_brand"), F.lit(" Technologies Pvt. Ltd. [IN]")).alias("company"))
+
+
+LABELS_SQL = """l AS (SELECT p_partkey, 'Sr. ' || upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] || ' ' || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] || ' (m/f/d) - Urgent, ' || p_type || ' Dev' AS title,
+  p_brand || ' Technologies Pvt. Ltd. [IN]' AS company FROM part)"""
+
+
+def normalise_labels(spark, sf_dir):
+    return _labels(spark, sf_dir).select("p_partkey", text.normalise_title(F.col("title")).alias("title_key"), text.normalise_company(F.col("company")).alias("company_key"),
+                                         text.search_normalise(F.col("title")).alias("search_key"), text.slugify(F.col("title")).alias("slug"), text.truncate(F.col("title"), 20).alias("short"))
+
+
+NORMALISE_SQL = f"""WITH {LABELS_SQL} SELECT p_partkey,
+  'senior ' || lower((SELECT p_name FROM part p WHERE p.p_partkey = l.p_partkey)) || ' ' || lower((SELECT p_type FROM part p WHERE p.p_partkey = l.p_partkey)) || ' dev' AS title_key,
+  trim(regexp_replace(lower(split_part(company, ' Technologies', 1)), '[^a-z0-9]+', ' ', 'g')) AS company_key,
+  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(' ' || lower(title) || ' ', '[^a-z0-9+#/&.\\- ]+', ' ', 'g'), '\\bsr\\b\\.?', 'senior', 'g'), '\\bdev\\b\\.?', 'developer', 'g'), '\\s+', ' ', 'g')) AS search_key,
+  regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
+  CASE WHEN length(title) <= 20 THEN title ELSE regexp_replace(title[1:20], ' [^ ]*$', '') || ' …' END AS short FROM l"""
+
+
+def clean_urls(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.clean_url(F.col("url")).alias("url"), contact.domain_of(F.col("url"), ("example.net",)).alias("domain"))
+
+
+def emails_extract(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", contact.emails(F.col("text")).alias("found")).where(F.size("found") > 0)
+    return d.select("doc_id", F.array_join("found", ",").alias("emails"))
+
+
+def relative_age_label(spark, sf_dir):
+    days = F.timestamp_diff("DAY", F.col("o_orderdate"), _now()).cast("double")
+    return table(spark, sf_dir, "orders").where("o_orderdate >= TIMESTAMP_NTZ '2001-01-01 00:00:00'").select("o_orderkey", text.age_label(days).alias("age"))
+
+
+def salary_parse(spark, sf_dir):
+    k = F.col("p_size")
+    label = F.when(k % 3 == 0, F.concat(F.lit("CTC "), k.cast("string"), F.lit("-"), (k + 5).cast("string"), F.lit(" LPA"))).when(
+        k % 3 == 1, F.concat(F.lit("$"), (k + 60).cast("string"), F.lit("k per year"))).otherwise(F.concat(F.lit("₹ "), (k * 1000).cast("string"), F.lit(" per month")))
+    pay = table(spark, sf_dir, "part").select("p_partkey", salary.parse_salary(label).alias("pay"))
+    return pay.select("p_partkey", "pay.salary_min", "pay.salary_max", "pay.salary_currency")
+
+
+def longest_suffix_join(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("-", F.lower("p_type"), F.replace(F.col("p_name"), F.lit(" "), F.lit("-"))).alias("slug"))
+    entries = spark.createDataFrame([("ring",), ("red-ring",), ("gear",), ("small-cold-gear",), ("cold-gear",), ("plate",)], "entry string")
+    return suffix.longest_suffix(p, "slug", entries, "entry")
+
+
+RULES = [quality.Rule("opener", "high", r"(?i)\bthe and\b"), quality.Rule("ending", "medium", r"tion[ .,]"), quality.Rule("dash", "low", r",")]
+
+
+def slop_penalty(spark, sf_dir):
+    n = quality.rule_counts(F.col("text"), RULES)
+    cost = quality.penalty(n, 20.0)
+    bands = [(0, "poor"), (5, "fair"), (15, "good")]
+    points = quality.language_score(cost, 20.0)
+    return table(spark, sf_dir, "documents").select("doc_id", cost.alias("penalty"), points.alias("points"), quality.band(points, bands).alias("band"))
+
+
+def slop_by_severity(spark, sf_dir):
+    hits = quality.rule_hits(table(spark, sf_dir, "documents"), RULES, "doc_id", "text")
+    return hits.groupBy("severity").agg(F.count("*").alias("n"))
+
+
+def repeated_verb(spark, sf_dir):
+    return quality.repeated_openers(table(spark, sf_dir, "documents").where("lang = 'en'"), "doc_id", "text")
+
+
+CITIES = geo.Gazetteer({"NATION_7": ("nation seven",), "NATION_2": (), "NATION_12": ()}, states=())
+PLACES = geo.Gazetteer({"delhi": ("new delhi",), "noida": ("greater noida",), "pune": ()}, {"ncr": ("delhi", "noida")}, ("maharashtra", "haryana"), {"delhi": "delhi", "pune": "maharashtra"},
+                       ("india",), r"\b(worldwide|anywhere)\b", r"\b(us only|usa only)\b")
+SPOTS = ["New Delhi, India", "Greater Noida", "Pune, Maharashtra", "Maharashtra", "India", "Remote", "Worldwide", "Bloomington, IN", "", "Delhi / Pune"]
+
+
+def locality(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(*[F.lit(s) for s in SPOTS]), F.col("p_partkey").cast("int") % len(SPOTS) + 1).alias("location"),
+                                            (F.col("p_size") % 2 == 0).alias("far"))
+    kind = geo.locality(F.col("location"), "Delhi", PLACES, F.col("far"), F.lit(""))
+    return p.select("p_partkey", kind.alias("kind"), geo.best_locality(F.col("location"), ["pune", "noida"], PLACES, F.lit(False), F.lit("")).alias("best"))
+
+
+LOCALITY_SQL = """SELECT p_partkey,
+  CASE p_partkey % 10 WHEN 0 THEN 'exact' WHEN 1 THEN 'metro' WHEN 4 THEN 'region' WHEN 5 THEN CASE WHEN p_size % 2 = 0 THEN 'remote' ELSE '' END
+    WHEN 6 THEN CASE WHEN p_size % 2 = 0 THEN 'remote' ELSE '' END WHEN 9 THEN 'exact' ELSE '' END AS kind,
+  CASE p_partkey % 10 WHEN 0 THEN 'metro' WHEN 1 THEN 'exact' WHEN 2 THEN 'exact' WHEN 3 THEN 'region' WHEN 9 THEN 'exact' ELSE '' END AS best FROM part"""
+
+
+def html_to_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", html.html_to_text(F.col("html")).alias("text"))
+
+
+def batch_plan(spark, sf_dir):
+    """The whole batch: resolve, rank by three queries, upsert on what is stored, retain."""
+    return batch.run_on_parts(_records(spark, sf_dir), RANKING, [RING, GEAR, BOLT], F.expr("TIMESTAMP_NTZ '2024-03-01 00:00:00'"))
+
+
+def _full_sql() -> str:
+    fit = "CASE WHEN seniority IS NULL THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - least(0.62::DOUBLE, abs(list_position(['intern','entry','mid','senior','lead','exec'], seniority) - 4) * 0.2::DOUBLE) END"
+    noise = "CASE WHEN title IN ('old rod', 'new rod') THEN 0.15::DOUBLE ELSE 1.0::DOUBLE END"
+    where = "CASE WHEN n_name = 'NATION_7' THEN 1.25::DOUBLE WHEN r_name = 'ASIA' THEN 1.18::DOUBLE ELSE 0.55::DOUBLE END"
+    s = _score_sql(RING).format(more=f"({noise}) * ({fit})", where=f"({where})")
+    return f"""WITH p AS ({POSTINGS_SQL}), x AS (SELECT id, title, posted_at, round({s}, 5) AS score FROM p LEFT JOIN (SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey
+      JOIN region ON n_regionkey = r_regionkey) ON suppkey = s_suppkey) SELECT id, title, score FROM x WHERE score >= 0.02 ORDER BY score DESC, posted_at DESC, id LIMIT 80"""
+
+
+def _top_sql(q: Intent, n: int, cols: str = "id, score") -> str:
+    s = _score_sql(q).format(more="1", where="1")
+    return f"(SELECT {cols} FROM (SELECT id, title, posted_at, round({s}, 5) AS score FROM p) WHERE score >= 0.02 ORDER BY score DESC, posted_at DESC, id LIMIT {n})"
+
+
+HOT = Intent("hot rod", ("hot", "rod"))
+QUERIES = {f.__name__: f for f in (
+    rank_topk, rank_full_score, union_of_topk, relevance_floor, sort_salary_fx, budgeted_topn, age_filter, exact_dedupe_merge, fuzzy_dedupe, tag_fold, content_ids, upsert_retain, carry_forward,
+    new_only, hide_marked, saved_list, toggle_marks, tracker_upsert, health_rollup, meta_counts, tier_summary, count_by_source, marks_by_kind, facet_city, facet_role, facet_values, board_audit,
+    extract_skills, keyword_narrow, detect_remote, detect_seniority, normalise_labels, clean_urls, emails_extract, relative_age_label, salary_parse, longest_suffix_join, slop_penalty,
+    slop_by_severity, repeated_verb, locality, html_to_text, batch_plan)}
+
+SQL = {
+    "rank_topk": f"WITH p AS ({POSTINGS_SQL}) SELECT * FROM {_top_sql(RING, 50, 'id, title, score')}",
+    "rank_full_score": _full_sql(),
+    "union_of_topk": f"WITH p AS ({POSTINGS_SQL}) SELECT id, max(score) AS score FROM (SELECT * FROM {_top_sql(RING, 40)} UNION ALL SELECT * FROM {_top_sql(GEAR, 40)} UNION ALL SELECT * FROM {_top_sql(BOLT, 40)}) GROUP BY id",
+    "relevance_floor": f"""WITH p AS (SELECT * FROM ({POSTINGS_SQL}) WHERE pay > 95000), x AS (SELECT id, round({_score_sql(HOT).format(more='1', where='1')}, 5) AS score FROM p),
+      c AS (SELECT count(*) FILTER (WHERE score >= 0.35) AS strong_count, least(12, count(*) FILTER (WHERE score >= 0.22)) AS near FROM x)
+      SELECT id, score, strong_count, strong_count < 5 AND near > strong_count AS relaxed FROM c, (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS n FROM x)
+      WHERE CASE WHEN strong_count < 5 AND near > strong_count THEN score >= 0.22 AND n <= 12 ELSE score >= 0.35 END""",
+    "sort_salary_fx": f"WITH p AS ({POSTINGS_SQL}) SELECT id, round(pay * CASE currency WHEN 'A' THEN 84.0::DOUBLE WHEN 'N' THEN 91.0::DOUBLE ELSE 1.0::DOUBLE END, 2) AS rupees FROM p WHERE pay * CASE currency WHEN 'A' THEN 84 WHEN 'N' THEN 91 ELSE 1 END >= 5000000 ORDER BY rupees DESC, id LIMIT 100",
+    "budgeted_topn": "SELECT doc_id, source, n_chars FROM documents WHERE n_chars < 800 QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 10",
+    "age_filter": "SELECT o_orderkey, o_orderdate, date_diff('second', o_orderdate, TIMESTAMP '2001-07-15 12:00:00') / 86400.0 <= 30.25 AS recent FROM orders WHERE trunc(date_diff('second', o_orderdate, TIMESTAMP '2001-07-15 12:00:00') / 86400.0) <= 60",
+    "exact_dedupe_merge": MERGE_SQL,
+    "tag_fold": """SELECT user_id, array_to_string((list(tag ORDER BY event_id))[1:16], '|') AS tags FROM (SELECT user_id, event_id, event_type || ': ' || json_extract_string(props, '$.k') AS tag,
+      row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events) WHERE n = 1 GROUP BY user_id""",
+    "content_ids": "SELECT p_partkey, substr(sha256(trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')) || '|' || p_name || '|' || lower(p_type)), 1, 16) AS id FROM part",
+    "upsert_retain": UPSERT_SQL,
+    "carry_forward": UPSERT_SQL[: UPSERT_SQL.index("m AS (")].rstrip().rstrip(",") + " SELECT n.id, CASE WHEN n.description = '' AND o.description IS NOT NULL THEN o.description ELSE n.description END AS description FROM new n LEFT JOIN old o ON n.id = o.id",
+    "new_only": UPSERT_SQL[: UPSERT_SQL.index("m AS (")].rstrip().rstrip(",") + " SELECT id, d AS posted_at FROM new WHERE id NOT IN (SELECT id FROM old WHERE enriched)",
+    "hide_marked": f"WITH {TRACKER_SQL} SELECT c_custkey AS id, c_name FROM customer WHERE c_custkey NOT IN (SELECT id FROM t WHERE mark = 'hidden')",
+    "saved_list": f"WITH {TRACKER_SQL} SELECT c_custkey AS id, c_name, mark, \"at\" FROM customer JOIN t ON c_custkey = id WHERE mark IN ('saved', 'applied')",
+    "toggle_marks": """WITH a AS (SELECT *, event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS new FROM events),
+      b AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM a), c AS (SELECT user_id, run, event_type, count(*) AS n FROM b GROUP BY ALL)
+      SELECT user_id, event_type FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY run DESC) = 1 AND n % 2 = 1""",
+    "tracker_upsert": """WITH early AS (SELECT user_id, event_id, event_type FROM events WHERE event_id < 500 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1),
+      late AS (SELECT user_id, event_id, event_type FROM events WHERE event_id >= 500 AND event_type <> 'view' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+      SELECT * FROM late UNION ALL SELECT * FROM early WHERE user_id NOT IN (SELECT user_id FROM late)""",
+    "health_rollup": f"WITH {RUNS_SQL} SELECT source, sum(jobs_found)::BIGINT AS jobs_found, sum(duration_ms)::BIGINT AS duration_ms, bool_or(ok) AS ok, CASE WHEN bool_or(ok) THEN '' ELSE coalesce(arg_max(error, seq) FILTER (WHERE error <> ''), '') END AS error FROM runs GROUP BY source",
+    "meta_counts": f"WITH {RUNS_SQL}, h AS (SELECT source, bool_or(ok) AS ok FROM runs GROUP BY source) SELECT (SELECT count(*) FROM documents) AS total, (SELECT count(*) FROM documents WHERE lang = 'en') AS tier1, (SELECT count(*) FROM documents WHERE n_chars > 1000) AS enriched, count(*) FILTER (WHERE ok) AS sources_ok, count(*) FILTER (WHERE NOT ok) AS sources_failed FROM h",
+    "tier_summary": "SELECT count(*) FILTER (WHERE lang = 'en') AS tier1, count(*) FILTER (WHERE lang <> 'en') AS tier2 FROM documents",
+    "count_by_source": "SELECT source, count(*) AS n FROM documents GROUP BY source",
+    "marks_by_kind": f"WITH {TRACKER_SQL} SELECT k.mark, count(t.id) AS n FROM (VALUES ('saved'), ('applied'), ('hidden'), ('none')) k(mark) LEFT JOIN t ON t.mark = k.mark GROUP BY k.mark",
+    "facet_city": "SELECT city, count(*) AS n FROM (SELECT DISTINCT p_partkey, unnest(string_split(p_name || ' ' || lower(p_type), ' ')) AS city FROM part) GROUP BY city",
+    "facet_role": "SELECT 'rings' AS family, count(*) FILTER (WHERE contains(p_name, 'ring')) AS n FROM part UNION ALL SELECT 'cold', count(*) FILTER (WHERE p_name IN ('cold gear', 'cold rod')) FROM part UNION ALL SELECT 'none', 0",
+    "facet_values": "SELECT DISTINCT o_orderpriority FROM orders",
+    "board_audit": "SELECT lang, source, count(*) AS n FROM documents GROUP BY GROUPING SETS ((lang, source), ())",
+    "extract_skills": _skills_sql(),
+    "keyword_narrow": "SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'tion') AND contains(lower(text), 're')",
+    "detect_remote": "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'hybrid' WHEN 1 THEN 'remote' WHEN 2 THEN 'onsite' ELSE 'unknown' END AS mode FROM part",
+    "detect_seniority": "SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'senior' WHEN 1 THEN 'intern' WHEN 2 THEN 'exec' ELSE CASE WHEN p_size % 11 >= 8 THEN 'lead' WHEN p_size % 11 >= 5 THEN 'senior' WHEN p_size % 11 >= 2 THEN 'mid' ELSE 'entry' END END AS level FROM part",
+    "normalise_labels": NORMALISE_SQL,
+    "clean_urls": "SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url, CASE WHEN d = 'example.net' OR d LIKE '%.example.net' THEN '' ELSE d END AS domain FROM (SELECT *, regexp_replace(lower(regexp_extract(url, '://([^/?#:]+)', 1)), '^www\\.', '') AS d FROM pages)",
+    "emails_extract": r"SELECT doc_id, array_to_string(e, ',') AS emails FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}'), lambda x: lower(x)) AS a, list_filter(a, lambda x, i: list_position(a, x) = i) AS e FROM documents) WHERE len(e) > 0",
+    "relative_age_label": f"SELECT o_orderkey, CASE WHEN n <= 0 THEN 'today' WHEN n = 1 THEN 'yesterday' WHEN n < 7 THEN n || 'd ago' WHEN n < 30 THEN (n // 7) || 'w ago' ELSE (n // 30) || 'mo ago' END AS age FROM (SELECT o_orderkey, date_diff('day', o_orderdate, TIMESTAMP '{AS_OF}') AS n FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01')",
+    "salary_parse": """SELECT p_partkey, CASE WHEN ok THEN lo END AS salary_min, CASE WHEN ok THEN hi END AS salary_max, CASE WHEN ok THEN cur END AS salary_currency FROM (
+      SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_size * 100000.0::DOUBLE WHEN 1 THEN (p_size + 60) * 1000.0::DOUBLE ELSE p_size * 12000.0::DOUBLE END AS lo,
+        CASE p_size % 3 WHEN 0 THEN (p_size + 5) * 100000.0::DOUBLE WHEN 1 THEN (p_size + 60) * 1000.0::DOUBLE ELSE p_size * 12000.0::DOUBLE END AS hi, CASE p_size % 3 WHEN 1 THEN 'USD' ELSE 'INR' END AS cur,
+        NOT (p_size % 3 = 2 AND p_size * 1000 BETWEEN 1900 AND 2100) AS ok FROM part)""",
+    "longest_suffix_join": """SELECT p_partkey, slug, matched, slug[1 : length(slug) - length(matched) - 1] AS rest FROM (SELECT p_partkey, lower(p_type) || '-' || replace(p_name, ' ', '-') AS slug FROM part)
+      JOIN (VALUES ('ring'), ('red-ring'), ('gear'), ('small-cold-gear'), ('cold-gear'), ('plate')) e(matched) ON suffix(slug, '-' || matched) QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY length(matched) DESC) = 1""",
+    "slop_penalty": r"""SELECT doc_id, c AS penalty, round(greatest(0.0::DOUBLE, 20.0::DOUBLE - c), 1) AS points, CASE WHEN round(20.0::DOUBLE - c, 1) >= 15 THEN 'good' WHEN round(20.0::DOUBLE - c, 1) >= 5 THEN 'fair' ELSE 'poor' END AS band FROM (
+      SELECT doc_id, least(20.0::DOUBLE, 3.0::DOUBLE * len(regexp_extract_all(text, '(?i)\bthe and\b')) + 1.5::DOUBLE * len(regexp_extract_all(text, 'tion[ .,]')) + 0.5::DOUBLE * len(regexp_extract_all(text, ','))) AS c FROM documents)""",
+    "slop_by_severity": r"SELECT 'high' AS severity, sum(len(regexp_extract_all(text, '(?i)\bthe and\b')))::BIGINT AS n FROM documents UNION ALL SELECT 'medium', sum(len(regexp_extract_all(text, 'tion[ .,]')))::BIGINT FROM documents UNION ALL SELECT 'low', sum(len(regexp_extract_all(text, ',')))::BIGINT FROM documents",
+    "repeated_verb": r"SELECT doc_id, opener, count(*) AS times FROM (SELECT doc_id, lower(regexp_extract(unnest(string_split(text, chr(10))), '^\s*[-*•]?\s*([A-Za-z]+)', 1)) AS opener FROM documents WHERE lang = 'en') WHERE opener <> '' GROUP BY ALL HAVING count(*) >= 3",
+    "locality": LOCALITY_SQL,
+}
