@@ -56,4 +56,4 @@ def html_to_text(markup: Column) -> Column:
 def json_ld(markup: Column, kind: str = "JobPosting") -> Column:
     """The first JSON-LD block of that type, as JSON text."""
     blocks = F.regexp_extract_all(markup, F.lit(r'(?s)<script[^>]*application/ld\+json[^>]*>(.*?)</script>'), 1)
-    return F.filter(blocks, lambda b: F.get_json_object(b, "$.@type") == kind)[0]
+    return F.get(F.filter(blocks, lambda b: F.get_json_object(b, "$.@type") == kind), 0)

@@ -51,4 +51,4 @@ def salary_from_text(text: Column) -> Column:
     pairs = F.arrays_zip(F.regexp_extract_all(head, F.lit(either), 1).alias("labelled"), F.regexp_extract_all(head, F.lit(either), 2).alias("bare"))
     cut = F.transform(pairs, lambda p: F.regexp_replace(F.coalesce(F.nullif(p["labelled"], F.lit("")), p["bare"]), f"(?is){NEXT_FIELD}.*$", ""))
     phrases = F.filter(cut, lambda p: (F.trim(p) != "") & p.rlike(f"(?i){HAS_MONEY}"))
-    return F.filter(F.transform(phrases, parse_salary), lambda s: s.isNotNull())[0]
+    return F.get(F.filter(F.transform(phrases, parse_salary), lambda s: s.isNotNull()), 0)
