@@ -23,7 +23,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-BATCH_CHARS = 200_000
+BATCH_CHARS = 100_000
 #: Unicode White_Space.
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 LETTER, NUMBER, OTHER, BLANK = 1, 2, 3, 0
@@ -202,14 +202,15 @@ class Encoder:
     """Encodes batches. Keeps the ids of the words it has met: a table of fixed size, in which a new word takes the
     place of another with the same slot, tells a word by its hash and first bytes."""
 
-    SLOT_BITS, KEPT_WORDS = 20, 1_500_000
+    SLOT_BITS, KEPT_WORDS = 18, 1_000_000
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
         self._reset()
 
     def _reset(self) -> None:
-        self.ids, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.ids, self.start = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
+        self.count = 0
         self.keys, self.heads = (np.zeros(1 << self.SLOT_BITS, np.uint64) for _ in range(2))
         self.numbers = np.full(1 << self.SLOT_BITS, -1, np.int32)
 
@@ -217,12 +218,18 @@ class Encoder:
         flat = data[ranges(start, size)].astype(np.int64)
         flat[np.cumsum(size) - 1] += 256
         ids, word = merge_rounds(self.vocab.symbols[flat], np.repeat(np.arange(len(size)), size), self.vocab)
-        self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(np.bincount(word, minlength=len(size)))))
-        self.ids = np.concatenate((self.ids, ids.astype(np.int32)))
+        first, n = self.start[self.count], self.count + len(size)
+        if len(self.start) <= n:  # room doubles, so that what is kept is not copied for every batch
+            self.start = np.concatenate((self.start, np.zeros(max(n, len(self.start)), np.int64)))
+        if len(self.ids) < first + len(ids):
+            self.ids = np.concatenate((self.ids, np.zeros(max(len(ids), len(self.ids)), np.int32)))
+        self.start[self.count + 1: n + 1] = first + np.cumsum(np.bincount(word, minlength=len(size)))
+        self.ids[first: first + len(ids)] = ids
+        self.count = n
 
     def words(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The number in this encoder's store of each word of a batch."""
-        if len(self.start) > self.KEPT_WORDS:
+        if self.count > self.KEPT_WORDS:
             self._reset()
         key, head = word_keys(data, start, size)
         slot = (key >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
@@ -233,7 +240,7 @@ class Encoder:
             rep = new[rep]
             if (head[rep][which] != head[new]).any() or (size[rep][which] != size[new]).any():
                 raise ValueError("two words share a hash")
-            fresh = len(self.start) - 1 + np.arange(len(rep))
+            fresh = self.count + np.arange(len(rep))
             self._encode(data, start[rep], size[rep])
             self.keys[slot[rep]], self.heads[slot[rep]], self.numbers[slot[rep]] = key[rep], head[rep], fresh
             # Of words of one slot the last one stays; numpy keeps the last of repeated places in each of the three.
@@ -347,8 +354,19 @@ def read_vocabulary(spark, path: str) -> Vocabulary:
     return Vocabulary(spark.read.text(path, wholetext=True).first()[0] if "://" in path else open(path, encoding="utf-8").read())
 
 
-def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id_col, ids (array of int), decoded.
+def decimal_text(ids: np.ndarray) -> bytes:
+    """The ids, below 100,000, as decimals joined by one space."""
+    rest, digits, shown = ids.astype(np.int32), np.empty((len(ids), 6), np.uint8), np.ones((len(ids), 6), bool)
+    for k in range(4, -1, -1):
+        shown[:, k] = (rest > 0) | (k == 4)
+        digits[:, k] = rest % 10 + 48
+        rest = rest // 10
+    digits[:, 5] = 32
+    return digits[shown].tobytes()[:-1]
+
+
+def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+    """One row per row of docs: id_col, ids (array of int, or as_text: decimals joined by a space), n_tokens, decoded.
 
     Null counts as empty and has no ids; texts of any length are encoded whole; repeated rows are encoded each; null
     ids pass through. Other columns are left out. An empty table gives none. The result equals that of the
@@ -356,7 +374,8 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(read_vocabulary(spark, path))
-    out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    kind = T.StringType() if as_text else T.ArrayType(T.IntegerType())
+    out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", kind), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.StringType())])
 
     def run(found):
         encoder = encoder_of(shared.value)
@@ -364,9 +383,12 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         for batch in found:
             for a, texts in slices(batch.column(1)):
                 ids = list(encode(texts, encoder))
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+                if as_text:
+                    lists = pa.array([decimal_text(x) for x in ids], pa.binary()).cast(pa.string())
+                else:
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.concatenate(ids)))
                 decoded = [decode(x.tolist(), vocab) for x in ids]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), lists, pa.array(decoded, pa.string())], names=[id_col, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), lists, pa.array(sizes), pa.array(decoded, pa.string())], names=out.names)
 
     return docs.select(id_col, text_col).mapInArrow(run, out)
