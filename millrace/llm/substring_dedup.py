@@ -26,7 +26,7 @@ from millrace.llm.bpe import ranges, word_keys
 
 WINDOW = 13
 SHORTEST = 7
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 500_000
 #: Bits of a shorter window's hash that are sent besides its range; a chance match is found out at the last length.
 SENT_BITS = 40
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -247,7 +247,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     total = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    buckets = min(20, max(4, (blocks - 1).bit_length()))
+    buckets = min(20, max(4, (blocks // 8).bit_length()))
     levels = lengths(window)
     dealt = docs.withColumn("block_", F.pmod(F.xxhash64(id_col), F.lit(blocks))).repartition("block_")
     block_of = lambda t: t.column("block_")[0].as_py()
