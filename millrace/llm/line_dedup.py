@@ -8,7 +8,7 @@ occurrence (smallest id, then place) stays, and the others are cut from their te
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import salt_of, salted, written
@@ -29,7 +29,7 @@ def _let(value: Column, body) -> Column:
 
 
 def _chunks(text: Column) -> Column:
-    """Array of (n lines, text, again: the same chunk came earlier in this text); null for null."""
+    """Array of (n lines, text); null for null."""
     def cut(lines: Column) -> Column:
         n = F.size(lines)
         # A line whose hash, rolled with the one before, is 0 modulo MEAN_LINES ends a chunk; the next one begins another.
@@ -39,9 +39,7 @@ def _chunks(text: Column) -> Column:
         sizes = lambda at: F.zip_with(at, F.concat(F.slice(at, 2, F.size(at)), F.array(n + 1)), lambda s, e: F.struct(s.alias("at"), (e - s).alias("n")))
         pieces = lambda cuts: F.transform(cuts, lambda c: F.struct(
             c["n"].alias("n"), F.array_join(F.slice(lines, c["at"], c["n"]), "\n").alias("text")))
-        marked = lambda all_: F.transform(all_, lambda c, k: F.struct(
-            c["n"].alias("n"), c["text"].alias("text"), ((c["n"] >= MIN_LINES) & (F.array_position(all_, c) <= k)).alias("again")))
-        return _let(_let(_let(starts, sizes), pieces), marked)
+        return _let(_let(starts, sizes), pieces)
 
     return F.when(text.isNotNull(), _let(F.split(text, "\n", -1), cut))
 
@@ -55,25 +53,29 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others and are never a first occurrence, unless a chunk occurs in such rows only. Other columns pass through;
     the names used inside end in an underscore.
     """
-    rows = docs.withColumn("sum_", F.xxhash64(text_col))
-    occ = (rows.select(F.col(id_col).alias("id_"), "sum_", F.posexplode(_chunks(F.col(text_col))).alias("k_", "c_")).where(F.col("c_.n") >= MIN_LINES)
-           .select("id_", "sum_", "k_", F.col("c_.n").alias("n_"), F.col("c_.again").alias("again_"), F.col("c_.text").alias("chunk_"))
-           .withColumn("digest_", F.unhex(F.sha2("chunk_", 256))))
-    texts = occ.groupBy("digest_", "chunk_").agg(F.min("id_").alias("first_"), F.count("*").alias("times_"))
+    cut = docs.withColumn("sum_", F.xxhash64(text_col)).withColumn("chunks_", _chunks(F.col(text_col)))
+    # The cut texts are written once; what follows reads of them the columns it needs.
+    cut = written(cut.select(*[c for c in docs.columns if c != text_col], "sum_", F.col("chunks_.n").alias("sizes_"), F.col("chunks_.text").alias("texts_"),
+                             F.transform("chunks_", lambda c: F.when(c["n"] >= MIN_LINES, F.unhex(F.sha2(c["text"], 256)))).alias("digests_")), "line-cut")
+    key = F.col(id_col).alias("id_")
+    occ = cut.select(F.posexplode_outer(F.arrays_zip("digests_", "texts_")).alias("k_", "c_"), key).where(F.col("c_.digests_").isNotNull())
+    texts = (occ.select("id_", F.col("c_.digests_").alias("digest_"), F.col("c_.texts_").alias("chunk_"))
+             .groupBy("digest_", "chunk_").agg(F.min("id_").alias("first_"), F.count("*").alias("times_")))
     repeated = written(texts.groupBy("digest_").agg(
         F.count("*").alias("texts_"), F.min("first_").alias("first_"), F.sum("times_").alias("times_")).where("times_ > 1"), "line-chunks")
-    key = ["digest_"]
-    if not repeated.where("texts_ > 1").isEmpty():  # different chunks with one digest: chunks are then told apart by their bytes here too
-        key, repeated = ["digest_", "chunk_"], texts.where("times_ > 1")
-    where = occ.select("id_", "sum_", "k_", "again_", *key).withColumn("salt", salt_of(salts, "id_", "k_"))
-    later = (where.join(salted(repeated.select(*key, "first_"), salts), [*key, "salt"])
-             .where(F.col("again_") | ~F.col("id_").eqNullSafe(F.col("first_"))))
-    drops = later.groupBy("id_", "sum_").agg(F.collect_set("k_").alias("drops_"))
-    back = rows.join(drops, rows[id_col].eqNullSafe(drops["id_"]) & (rows["sum_"] == drops["sum_"]), "left").drop(drops["sum_"])
-    back = back.withColumn("chunks_", _chunks(F.col(text_col)))
-    kept = back.withColumn("kept_", F.filter("chunks_", lambda c, k: ~F.coalesce(F.array_contains("drops_", k), F.lit(False))))
-    lines = lambda c: F.coalesce(F.aggregate(c, F.lit(0), lambda a, x: a + x["n"]), F.lit(0)).cast("long")
-    return kept.select(
-        *[F.col(c) if c != text_col else F.when(F.col("drops_").isNull(), F.col(text_col)).otherwise(
-            F.array_join(F.transform("kept_", lambda c: c["text"]), "\n")).alias(text_col) for c in docs.columns],
-        lines("chunks_").alias("n_lines"), (lines("chunks_") - lines("kept_")).alias("n_removed"))
+    if repeated.where("texts_ > 1").isEmpty():
+        by = ["digest_"]
+        where = cut.select(key, "sum_", F.posexplode_outer("digests_").alias("k_", "digest_")).where("digest_ is not null")
+    else:  # different chunks with one digest: chunks are told apart by their bytes here too
+        by, repeated = ["digest_", "chunk_"], texts.where("times_ > 1")
+        where = cut.select(key, "sum_", F.posexplode_outer(F.arrays_zip("digests_", "texts_")).alias("k_", "c_")).select(
+            "id_", "sum_", "k_", F.col("c_.digests_").alias("digest_"), F.col("c_.texts_").alias("chunk_")).where("digest_ is not null")
+    met = where.withColumn("salt", salt_of(salts, "id_", "k_")).join(salted(repeated.select(*by, "first_"), salts), [*by, "salt"])
+    earlier = Window.partitionBy("id_", "sum_", *by).orderBy("k_")
+    later = met.withColumn("nth_", F.row_number().over(earlier)).where((F.col("nth_") > 1) | ~F.col("id_").eqNullSafe(F.col("first_")))
+    drops = later.groupBy("id_", F.col("sum_").alias("of_")).agg(F.collect_set("k_").alias("drops_"))
+    kept = cut.join(drops, F.col(id_col).eqNullSafe(F.col("id_")) & (F.col("sum_") == F.col("of_")), "left")
+    stays = lambda c: F.when(F.col("drops_").isNull(), F.col(c)).otherwise(F.filter(c, lambda x, k: ~F.array_contains("drops_", k)))
+    lines = lambda c: F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda a, n: a + n), F.lit(0).cast("long"))
+    return kept.select(*[F.col(c) if c != text_col else F.array_join(stays("texts_"), "\n").alias(text_col) for c in docs.columns],
+                       lines(F.col("sizes_")).alias("n_lines"), (lines(F.col("sizes_")) - lines(stays("sizes_"))).alias("n_removed"))
