@@ -68,9 +68,8 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bpe.encode_texts(_table(spark, sf_dir, "documents"), bpe.vocabulary_path())
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                      F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = bpe.encode_texts(_table(spark, sf_dir, "documents"), bpe.vocabulary_path(), as_text=True)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

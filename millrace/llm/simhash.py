@@ -169,8 +169,8 @@ def _similar(pairs: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component) of every row whose id is not the smallest of its group of near-duplicates. Ids are longs.
 
-    The estimate of the similarity has a standard error of 0.02; a pair at 0.8 shares a posting with a chance of 0.9,
-    at 0.9 of 0.999. Rows with one signature (copies, and texts without words among themselves) are one member. In a
+    The estimate of the similarity has a standard error of 0.02; a pair at 0.8 shares a posting with a chance of 0.8 to
+    0.95, one at 0.9 of 0.999. Rows with one signature (copies, and texts without words among themselves) are one member. In a
     posting all are compared with the first; then those that are in different groups still, with one another.
     """
     out = "id long, sig binary, n long"
