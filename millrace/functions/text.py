@@ -171,5 +171,6 @@ def absolute_time(text: Column) -> Column:
     """Epoch seconds or (above 1e11) milliseconds, ISO, or one of a few written forms."""
     number = text.try_cast("double")
     epoch = F.timestamp_seconds(F.when(number > 1e11, number / 1000).otherwise(number))
-    forms = [F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(f)) for f in ("EEE, d MMM yyyy HH:mm:ss Z", "d MMM yyyy", "MMM d, yyyy")]]
+    dated = F.regexp_replace(F.trim(text), "^[A-Za-z]{3}, ", "")  # a weekday adds nothing, and its pattern cannot be parsed with
+    forms = [F.try_to_timestamp(text), *[F.try_to_timestamp(dated, F.lit(f)) for f in ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy", "MMM d, yyyy")]]
     return F.when(number.isNotNull(), epoch).otherwise(F.coalesce(*forms))
