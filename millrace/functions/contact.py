@@ -20,8 +20,8 @@ def personal(addresses: Column, generic=GENERIC) -> Column:
 
 def address_pattern(local: Column) -> Column:
     """How an address is built from a name."""
-    return (F.when(local.rlike(r"^[a-z]+\.[a-z]+$"), "first.last").when(local.rlike("^[a-z]+_[a-z]+$"), "first_last")
-            .when(local.rlike(r"^[a-z]\.[a-z]+$"), "f.last").when(local.rlike("^[a-z]+$"), "first").otherwise(""))
+    return (F.when(local.rlike(r"^[a-z]\.[a-z]+$"), "f.last").when(local.rlike(r"^[a-z]+\.[a-z]+$"), "first.last")
+            .when(local.rlike("^[a-z]+_[a-z]+$"), "first_last").when(local.rlike("^[a-z]+$"), "first").otherwise(""))
 
 
 def build_email(first: Column, last: Column, domain: Column, pattern: Column) -> Column:
