@@ -3,7 +3,9 @@
 Centroids are fitted to a bounded sample and linked to a graph of near centroids that tasks hold in memory. Every
 vector goes to the list of its nearest centroid, found by a beam search on the graph, and also to those of further
 centroids that are hardly more distant (boundary vectors). A query takes the lists whose centroids' distances stay
-within a ratio of the nearest one's. Lists are balanced: one with many vectors is dealt to parts, one with many
+within a ratio of the nearest one's, up to a number that is measured on the table: a bounded sample of the queries is
+compared with every vector, and as many lists are probed, up to all, as hold the share RECALL of what is truly
+nearest; where the ratio would hide too much of it, it is left out. Lists are balanced: one with many vectors is dealt to parts, one with many
 queries to blocks, and each pair of part and block is compared in one task. Scores of what is kept are cosines of the
 original vectors in double precision. Equal vectors are one entry with its smallest ids, which is all that can be
 among the nearest, so copies make no list longer.
@@ -25,6 +27,7 @@ MOST_LISTS = 16_384
 SAMPLE_PER_LIST = 32
 REPLICAS, REPLICA_RATIO = 4, 1.1
 LEAST_PROBES, PROBES, PROBE_RATIO = 4, 40, 1.5
+RECALL, MEASURED_QUERIES = 0.98, 256
 PART = 2048
 BEAM, LINKS = 48, 16
 
@@ -56,6 +59,13 @@ class Graph:
                 return new, np.sqrt(np.maximum(0, 2 - 2 * near))
             found = new
 
+    def scan(self, unit: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same over all centroids, exactly; cheaper than the walk where many are wanted."""
+        near = unit @ self.centroids.T
+        best = np.argpartition(-near, min(most, near.shape[1]) - 1, 1)[:, :most]
+        best = np.take_along_axis(best, np.argsort(-np.take_along_axis(near, best, 1), 1, kind="stable"), 1)
+        return best, np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(near, best, 1)))
+
 
 def build(sample: np.ndarray, lists: int, seed: int = 7, rounds: int = 10) -> Graph:
     """Spherical k-means on the sample, in which an overfull cluster gives its place to the emptiest one's centroid."""
@@ -84,10 +94,57 @@ def _usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _unit(column: pa.Array) -> np.ndarray:
+    flat = np.asarray(column.flatten(), float).reshape(len(column), -1)
+    return flat / np.linalg.norm(flat, axis=1, keepdims=True)
+
+
+def _reach(wanted: DataFrame, entries: DataFrame, posted: DataFrame, graph: Graph, k: int, probes: int, recall: float) -> tuple[int, float]:
+    """Lists to probe, at least probes, and the ratio, with which a sample of the queries finds that share of its true nearest."""
+    asked = wanted.orderBy(F.xxhash64("rid"), "rid").limit(MEASURED_QUERIES).toPandas()
+    if not len(asked) or len(graph.centroids) <= probes:
+        return probes, PROBE_RATIO
+    own = asked["rid"].to_numpy()
+    unit = np.array(asked["v"].tolist(), float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+
+    def best(found):
+        top, ids = np.full((len(own), 0), -np.inf), np.zeros((len(own), 0), np.int64)
+        for batch in found:
+            for a in range(0, len(batch), 4096):
+                part = batch.slice(a, 4096)
+                rid = np.asarray(part.column("rid"))
+                score = unit @ _unit(part.column("v")).T
+                score[own[:, None] == rid[None]] = -np.inf
+                top, ids = np.concatenate((top, score), 1), np.concatenate((ids, np.tile(rid, (len(own), 1))), 1)
+                keep = np.argsort(-top, 1, kind="stable")[:, :k] if top.shape[1] <= k else np.argpartition(-top, k - 1, 1)[:, :k]
+                top, ids = np.take_along_axis(top, keep, 1), np.take_along_axis(ids, keep, 1)
+        row, col = np.nonzero(top > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(ids[row, col]), pa.array(top[row, col])], names=["q", "rid", "score"])
+
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "rid")
+    true = entries.select("rid", "v").mapInArrow(best, "q long, rid long, score double").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+    # At most MEASURED_QUERIES * k rows, with REPLICAS lists each.
+    held = posted.select("rid", "list").join(F.broadcast(true.select("q", "rid")), "rid").toPandas()
+    if not len(held):
+        return probes, PROBE_RATIO
+    far = np.sqrt(np.maximum(0, 2 - 2 * unit @ graph.centroids.T))
+    place = np.argsort(np.argsort(far, 1, kind="stable"), 1)
+    q, at = held["q"].to_numpy(), held["list"].to_numpy()
+    held["place"] = place[q, at]
+    held["ratio"] = far[q, at] / np.maximum(far[q].min(1), 1e-9)
+    each = held.groupby(["q", "rid"])[["place", "ratio"]].min()
+    ratio = PROBE_RATIO if (each["ratio"] <= PROBE_RATIO).mean() >= (1 + recall) / 2 else float("inf")
+    needed = np.sort(np.where(each["ratio"] <= ratio, each["place"] + 1, len(graph.centroids)))
+    return max(probes, int(needed[int(np.ceil(recall * len(needed))) - 1])), ratio
+
+
 def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", list_size: int = LIST,
-            probes: int = PROBES) -> DataFrame:
+            probes: int = PROBES, recall: float = RECALL) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of every row for which the column queries holds.
 
+    At most probes lists are read for a query, or more where a sample of the queries needs them to find the share recall.
+
     Nearness is the cosine, ties go to the smaller id; a row is not its own neighbour; with fewer candidates than k
     all are returned. Vectors that are null, zero, or hold nulls or non-finite numbers take no part, nor do those with
     another length than most (of equally frequent lengths, the smallest) or rows with a null id. Repeated rows count once. Other columns are left out.
@@ -109,18 +166,17 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     share = int(min(1.0, lists * SAMPLE_PER_LIST / n) * (1 << 20))
     sample = entries.where(F.pmod(F.xxhash64("rid"), F.lit(1 << 20)) <= share).select("rid", "v").toPandas().sort_values("rid")
     sample = np.array(sample["v"].tolist(), float).reshape(len(sample), -1) if len(sample) else np.ones((1, common["d"]))
-    graph = spark.sparkContext.broadcast(build(sample / np.linalg.norm(sample, axis=1, keepdims=True), lists))
-
-    def unit(column: pa.Array) -> np.ndarray:
-        flat = np.asarray(column.flatten(), float).reshape(len(column), -1)
-        return flat / np.linalg.norm(flat, axis=1, keepdims=True)
+    built = build(sample / np.linalg.norm(sample, axis=1, keepdims=True), lists)
+    graph = spark.sparkContext.broadcast(built)
 
     def place(beam: int, least: int, most: int, ratio: float):
         def run(found):
+            rows_ = 1024 if most <= BEAM else 128
             for batch in found:
-                for a in range(0, len(batch), 1024):
-                    part = batch.slice(a, 1024)
-                    near, far = graph.value.search(unit(part.column("v")), beam)
+                for a in range(0, len(batch), rows_):
+                    part = batch.slice(a, rows_)
+                    unit = _unit(part.column("v"))
+                    near, far = graph.value.search(unit, beam) if most <= beam else graph.value.scan(unit, most)
                     nth = np.arange(near.shape[1])
                     keep = ((far <= ratio * np.maximum(far[:, :1], 1e-9)) & (nth < most)) | (nth < least)
                     row, col = np.nonzero(keep)
@@ -132,7 +188,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     posted = written(entries.select("rid", "v").mapInArrow(place(12, 1, REPLICAS, REPLICA_RATIO), kind), "postings")
     asked = written(rows.where("asked").join(entries, "v").select("rid", F.col("id").alias("query_id")), "asked")
     wanted = entries.join(asked.select("rid").distinct(), "rid", "left_semi").select("rid", "v")
-    probed = written(wanted.mapInArrow(place(BEAM, LEAST_PROBES, probes, PROBE_RATIO), kind), "probes")
+    probes, ratio = _reach(wanted, entries, posted, built, k, probes, recall)
+    probed = written(wanted.mapInArrow(place(BEAM, LEAST_PROBES, probes, ratio), kind), "probes")
     sizes = posted.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).join(
         probed.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("blocks")), "list")
     # One row per list that is asked: no more than MOST_LISTS.
@@ -142,7 +199,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     def compare(of: pa.Table, among: pa.Table) -> pa.Table:
         out = {"q": [], "rid": [], "score": []}
         if len(of) and len(among):
-            q, v = (unit(t.column("v").combine_chunks()) for t in (of, among))
+            q, v = (_unit(t.column("v").combine_chunks()) for t in (of, among))
             ids = np.asarray(among.column("rid"))
             score = q @ v.T
             top = np.argpartition(-score, min(k, len(ids) - 1), 1)[:, : k + 1]

@@ -212,6 +212,19 @@ def test_ann(spark):
     assert sorted(r.vec_id for r in few.collect()) == [1, 2]
 
 
+def test_ann_where_lists_far_outnumber_probes(spark):
+    v = np.random.default_rng(1).normal(size=(6000, 64))
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.nearest(df, F.col("vec_id") % 40 == 0, list_size=8).collect():
+        got[r.query_id].add(r.vec_id)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    score = unit[::40] @ unit.T
+    score[np.arange(150), np.arange(0, 6000, 40)] = -2
+    hits = sum(len(got[40 * q] & set(np.argsort(-s)[:5].tolist())) for q, s in enumerate(score))
+    assert hits >= 0.95 * 5 * 150
+
+
 def test_sharding(spark, texts):
     got = sharding.shard_rows(documents(spark, texts), shards=5).collect()
     counts = Counter(r.shard for r in got)
