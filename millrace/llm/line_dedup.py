@@ -72,7 +72,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             "id_", "sum_", "k_", F.col("c_.digests_").alias("digest_"), F.col("c_.texts_").alias("chunk_")).where("digest_ is not null")
     met = where.withColumn("salt", salt_of(salts, "id_", "k_")).join(salted(repeated.select(*by, "first_"), salts), [*by, "salt"])
     earlier = Window.partitionBy("id_", "sum_", *by).orderBy("k_")
-    later = met.withColumn("nth_", F.row_number().over(earlier)).where((F.col("nth_") > 1) | ~F.col("id_").eqNullSafe(F.col("first_")))
+    later = met.withColumn("nth_", F.dense_rank().over(earlier)).where((F.col("nth_") > 1) | ~F.col("id_").eqNullSafe(F.col("first_")))
     drops = later.groupBy("id_", F.col("sum_").alias("of_")).agg(F.collect_set("k_").alias("drops_"))
     kept = cut.join(drops, F.col(id_col).eqNullSafe(F.col("id_")) & (F.col("sum_") == F.col("of_")), "left")
     stays = lambda c: F.when(F.col("drops_").isNull(), F.col(c)).otherwise(F.filter(c, lambda x, k: ~F.array_contains("drops_", k)))

@@ -95,6 +95,16 @@ def test_lines(spark):
     assert set(EXTRA) <= set(got[200].asDict())
 
 
+def test_lines_of_repeated_rows(spark):
+    text = "\n".join(f"line {i}" for i in range(12))
+    rows = [(1, text), (1, text), (2, "other"), (None, "\n".join(f"row {i}" for i in range(12)))]
+    got = sorted((r.doc_id or 0, r.n_removed, r.text) for r in line_dedup.line_dedup(documents(spark, rows + rows[-1:])).collect())
+    assert got == sorted([(1, 0, text)] * 2 + [(2, 0, "other")] + [(0, 0, rows[-1][1])] * 2)
+    got = rows_by_id(line_dedup.line_dedup(documents(spark, rows[:2] + [(5, text)])))
+    assert (got[1].n_removed, got[1].text) == (0, text)
+    assert got[5].n_removed == sum(len(c) for c in chunks(text) if len(c) > 1)
+
+
 @pytest.mark.parametrize("block", [500_000, 400])
 def test_substrings(spark, texts, block):
     words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in texts}
