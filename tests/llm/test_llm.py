@@ -160,6 +160,20 @@ def test_near_duplicates(spark):
     assert got == {**{i + 100: i for i in range(12)}, 300: 3, 302: 301}
 
 
+def test_near_duplicates_about_the_limit(spark):
+    rng, rows, want = random.Random(8), [], {}
+    for i in range(90):
+        words = [f"t{rng.randrange(10**9)}" for _ in range(300)]
+        other = words[:-(29, 32, 36)[i % 3]]  # Jaccard 0.82, 0.80, 0.78
+        other += [f"t{rng.randrange(10**9)}" for _ in range(300 - len(other))]
+        a, b = ({tuple(w[k:k + 5]) for k in range(296)} for w in (words, other))
+        if len(a & b) >= 0.8 * len(a | b):
+            want[i + 1000] = i
+        rows += [(i, " ".join(words)), (i + 1000, " ".join(other))]
+    assert len(want) == 60
+    assert {r.id: r.component for r in simhash.near_duplicates(documents(spark, rows)).collect()} == want
+
+
 def test_packing(spark, texts):
     capacity = 64
     got = packing.pack(documents(spark, texts), PATH, capacity=capacity, keep_ids=True).collect()
