@@ -136,8 +136,9 @@ def _send(words: Words, block: int, places: np.ndarray, level: int, window: int,
     order = np.argsort(keys, kind="stable")
     keys, doc = keys[order], doc[order]
     first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
-    last = np.concatenate((first[1:], [len(keys)]))[: len(first)] - 1
-    twice, keys = (words.ids[doc[first]] != words.ids[doc[last]]).astype(np.uint8), keys[first]
+    ids = words.ids[doc]  # rows that share an id lie in any order: the ends of a group say nothing of its middle
+    least, most = (of.reduceat(ids, first) if len(first) else ids for of in (np.minimum, np.maximum))
+    twice, keys = (least != most).astype(np.uint8), keys[first]
     return _by_bucket(block, keys >> np.uint64(SENT_BITS), ("hashes", lambda a, b: _five(keys[a:b])), ("twice", lambda a, b: np.packbits(twice[a:b]).tobytes()))
 
 

@@ -118,6 +118,20 @@ def test_substrings(spark, texts, block):
         assert (got[i].n_words, got[i].n_removed, got[i].text) == (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
 
 
+def test_substrings_of_rows_that_share_an_id(spark):
+    import pyarrow as pa
+
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(1, "a " + passage), (2, passage + " b"), (1, passage + " c")]
+    words = substring_dedup.Words(*(pa.chunked_array([list(c)]) for c in zip(*rows)))
+    sent = substring_dedup._send(words, 0, words.windows(13), 7, 13, 16)
+    twice = [np.unpackbits(np.frombuffer(t, np.uint8), count=len(h) // 5).any() for t, h in zip(sent.column("twice").to_pylist(), sent.column("hashes").to_pylist())]
+    assert any(twice)
+    for order in ([0, 1, 2], [1, 0, 2], [0, 2, 1]):
+        got = substring_dedup.substring_dedup(documents(spark, [rows[i] for i in order]).coalesce(1)).collect()
+        assert sorted((r.doc_id, r.n_removed, r.text) for r in got) == [(1, 0, rows[0][1]), (1, 0, rows[2][1]), (2, 20, "b")]
+
+
 def fingerprint(text):
     import xxhash
 
