@@ -1,7 +1,7 @@
 """BPE encoding and decoding in batches of numpy merge rounds.
 
-The words of many texts lie in one flat array of code points; equal words are found by hash and compared, and each
-distinct word is encoded once per batch. Their symbols lie in one flat array too. A round looks up every pair of
+The words of many texts lie in one flat array of code points; equal words are found by hash and compared byte by byte,
+and each distinct word is encoded once per batch. Their symbols lie in one flat array too. A round looks up every pair of
 neighbours by binary search over the sorted pair keys of the merge list, takes each word's lowest rank and merges
 that pair wherever it occurs in the word; words without a known pair are done. Spark deals out the texts; a task
 holds one batch at a time, and a batch is at most BATCH_CHARS characters or one text.
@@ -171,20 +171,34 @@ _MIX = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xFF51AFD7E
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
-def word_keys(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each word: a 64-bit hash of all its bytes, and its first eight bytes. data has eight bytes to spare."""
-    eights = _eights(data)
-    head = eights[start] & _MASKS[np.minimum(size, 8)]
+def word_keys(data: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of all bytes of each word. data has eight bytes to spare."""
+    eights, seed = _eights(data), np.uint64(seed)
+    head = (eights[start] & _MASKS[np.minimum(size, 8)]) ^ seed
     key = (head ^ (head >> np.uint64(29))) * _MIX[0] + size.astype(np.uint64)
     todo, done = np.flatnonzero(size > 8), 8
     while len(todo):
         part = eights[start[todo] + done] & _MASKS[np.minimum(size[todo] - done, 8)]
-        mixed = (key[todo] ^ part) * _MIX[1]
+        mixed = ((key[todo] ^ (key[todo] >> np.uint64(31))) * _MIX[2] ^ part ^ seed) * _MIX[1]
         key[todo] = mixed ^ (mixed >> np.uint64(32))
         done += 8
         todo = todo[size[todo] > done]
     key *= _MIX[2]
-    return key ^ (key >> np.uint64(33)), head
+    return key ^ (key >> np.uint64(33))
+
+
+def same_words(data: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.ndarray, other_start: np.ndarray, other_size: np.ndarray) -> np.ndarray:
+    """Whether word k of data equals word k of other, by their bytes. Both have eight bytes to spare."""
+    x, y, same, done = _eights(data), _eights(other), size == other_size, 0
+    todo = np.flatnonzero(same)
+    while len(todo):
+        mask = _MASKS[np.minimum(size[todo] - done, 8)]
+        equal = ((x[start[todo] + done] ^ y[other_start[todo] + done]) & mask) == 0
+        same[todo[~equal]] = False
+        done += 8
+        todo = todo[equal]
+        todo = todo[size[todo] > done]
+    return same
 
 
 def _eights(data: np.ndarray) -> np.ndarray:
@@ -198,11 +212,16 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
 
 
+def _room(array: np.ndarray, n: int) -> np.ndarray:
+    """array, or a longer copy with room for n: room doubles, so that what is kept is not copied for every batch."""
+    return array if len(array) >= n else np.concatenate((array, np.zeros(max(n - len(array), len(array)), array.dtype)))
+
+
 class Encoder:
-    """Encodes batches. Keeps the ids of the words it has met: a table of fixed size, in which a new word takes the
-    place of another with the same slot, tells a word by its hash and first bytes."""
+    """Encodes batches. Keeps the bytes and ids of the words it has met; a table of fixed size, in which a new word takes
+    the place of another with the same slot, finds the word that may equal one of a batch, and their bytes decide."""
 
-    SLOT_BITS, KEPT_WORDS = 18, 1_000_000
+    SLOT_BITS, KEPT_WORDS, KEPT_BYTES = 18, 1_000_000, 1 << 26
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
@@ -210,41 +229,48 @@ class Encoder:
 
     def _reset(self) -> None:
         self.ids, self.start = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
+        self.bytes, self.at = np.zeros(1 << 16, np.uint8), np.zeros(1 << 14, np.int64)
         self.count = 0
-        self.keys, self.heads = (np.zeros(1 << self.SLOT_BITS, np.uint64) for _ in range(2))
+        self.keys = np.zeros(1 << self.SLOT_BITS, np.uint64)
         self.numbers = np.full(1 << self.SLOT_BITS, -1, np.int32)
 
     def _encode(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        flat = data[ranges(start, size)].astype(np.int64)
+        own = data[ranges(start, size)]
+        flat = own.astype(np.int64)
         flat[np.cumsum(size) - 1] += 256
         ids, word = merge_rounds(self.vocab.symbols[flat], np.repeat(np.arange(len(size)), size), self.vocab)
-        first, n = self.start[self.count], self.count + len(size)
-        if len(self.start) <= n:  # room doubles, so that what is kept is not copied for every batch
-            self.start = np.concatenate((self.start, np.zeros(max(n, len(self.start)), np.int64)))
-        if len(self.ids) < first + len(ids):
-            self.ids = np.concatenate((self.ids, np.zeros(max(len(ids), len(self.ids)), np.int32)))
+        first, at, n = self.start[self.count], self.at[self.count], self.count + len(size)
+        self.start, self.at = _room(self.start, n + 1), _room(self.at, n + 1)
+        self.ids, self.bytes = _room(self.ids, first + len(ids)), _room(self.bytes, at + len(own) + 8)
         self.start[self.count + 1: n + 1] = first + np.cumsum(np.bincount(word, minlength=len(size)))
+        self.at[self.count + 1: n + 1] = at + np.cumsum(size)
         self.ids[first: first + len(ids)] = ids
+        self.bytes[at: at + len(own)] = own
         self.count = n
 
     def words(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The number in this encoder's store of each word of a batch."""
-        if self.count > self.KEPT_WORDS:
+        if self.count > self.KEPT_WORDS or self.at[self.count] > self.KEPT_BYTES:
             self._reset()
-        key, head = word_keys(data, start, size)
+        key = word_keys(data, start, size)
         slot = (key >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
-        numbers = np.where((self.keys[slot] == key) & (self.heads[slot] == head), self.numbers[slot], -1)
-        new = np.flatnonzero(numbers < 0)
-        if len(new):
-            _, rep, which = np.unique(key[new], return_index=True, return_inverse=True)
-            rep = new[rep]
-            if (head[rep][which] != head[new]).any() or (size[rep][which] != size[new]).any():
-                raise ValueError("two words share a hash")
+        numbers = np.where(self.keys[slot] == key, self.numbers[slot], -1)
+        known = np.flatnonzero(numbers >= 0)
+        held = self.at[numbers[known]]
+        same = same_words(data, start[known], size[known], self.bytes, held, self.at[numbers[known] + 1] - held)
+        numbers[known[~same]] = -1
+        todo = np.flatnonzero(numbers < 0)
+        while len(todo):  # once more only if different words share a hash
+            _, rep, which = np.unique(key[todo], return_index=True, return_inverse=True)
+            rep = todo[rep]
             fresh = self.count + np.arange(len(rep))
             self._encode(data, start[rep], size[rep])
-            self.keys[slot[rep]], self.heads[slot[rep]], self.numbers[slot[rep]] = key[rep], head[rep], fresh
-            # Of words of one slot the last one stays; numpy keeps the last of repeated places in each of the three.
-            numbers[new] = fresh[which]
+            # Of words of one slot the last one stays; numpy keeps the last of repeated places in both.
+            self.keys[slot[rep]], self.numbers[slot[rep]] = key[rep], fresh
+            of = rep[which]
+            same = same_words(data, start[todo], size[todo], data, start[of], size[of])
+            numbers[todo[same]] = fresh[which[same]]
+            todo = todo[~same]
         return numbers
 
     def segments(self, segments: list[str]) -> Encoded:

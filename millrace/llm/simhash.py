@@ -141,7 +141,7 @@ def shingles(text: str, words: int) -> np.ndarray:
     if not found:
         return np.zeros(0, np.uint64)
     size = np.fromiter(map(len, found), np.int64, len(found))
-    key = word_keys(np.frombuffer(b"".join(found) + bytes(8), np.uint8), np.cumsum(size) - size, size)[0]
+    key = word_keys(np.frombuffer(b"".join(found) + bytes(8), np.uint8), np.cumsum(size) - size, size, seed)
     if len(key) < words:
         key = np.concatenate((key, np.zeros(words - len(key), np.uint64)))
     n = len(key) - words + 1

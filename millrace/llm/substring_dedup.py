@@ -1,20 +1,24 @@
 """Substring dedup by level-wise doubling of word windows.
 
 Wanted are all windows of WINDOW words that also start in a document with a smaller id. Lengths double up to WINDOW
-(7, 13 for 13 words): only windows that hold a repeated shorter window are looked at in the next length, until the
-last length or until none is left. Each window of the last length is represented, at a shorter one, by the smallest
-hash among the windows of that length inside it: equal windows have equal representatives, and neighbouring windows
-mostly share theirs, so a level sends a quarter of the positions or less.
+(4, 7, 13 for 13 words): only windows all of whose representatives were repeated at one length are looked at in the
+next, until the last length; a block without candidates left sends nothing more. Each window of the last length is
+represented, at a shorter one, by the smallest hash among the windows of that length inside it: equal windows have equal
+representatives, and neighbouring windows mostly share theirs, so a level sends a quarter of the positions or less.
 
 Documents are dealt by hash to blocks of about BLOCK_BYTES. A block sends each distinct hash once, however many of
 its documents hold it, in packed arrays by hash range; so a passage that a third of all documents share costs one
-entry per block. At the last length, windows are known by 128 bits made from all their words. The answer to a block
-is the windows that have a smaller id elsewhere; repeats inside a block it settles itself.
+entry per block. What comes back is one bit for each hash sent, in the order in which it was sent: the block makes the
+same array again. At the last length a window is known by a 128-bit BLAKE2b digest of all its bytes, salted for the
+run: that two of n different windows agree has a chance below n * n / 2**129, whatever the texts. The bits then say which windows
+have a smaller id elsewhere; repeats inside a block it settles itself.
 """
 
 from __future__ import annotations
 
+import os
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +29,10 @@ from pyspark.sql import types as T
 from millrace.llm.bpe import ranges, word_keys
 
 WINDOW = 13
-SHORTEST = 7
+SHORTEST = 4
 BLOCK_BYTES = 500_000
+#: Blocks whose hashes of one range meet in a task.
+BLOCKS_A_BUCKET = 64
 #: Bits of a shorter window's hash that are sent besides its range; a chance match is found out at the last length.
 SENT_BITS = 40
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -62,8 +68,9 @@ def smallest(values: np.ndarray, width: int) -> np.ndarray:
 class Words:
     """The words of a block's documents in flat arrays. Documents with a null id have none here."""
 
-    def __init__(self, ids: pa.ChunkedArray, texts: pa.ChunkedArray):
+    def __init__(self, ids: pa.ChunkedArray, texts: pa.ChunkedArray, salt: bytes = bytes(16)):
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts.to_pylist()]
+        self.salt = salt
         self.null = np.asarray(ids.is_null())
         self.ids = np.asarray(ids.fill_null(0)).astype(np.int64)
         self.data = np.frombuffer(b"\n".join(raw) + b"\n" + bytes(8), np.uint8)
@@ -75,32 +82,68 @@ class Words:
         offsets = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))
         self.bounds = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(len(raw)), np.diff(self.bounds))
-        key, head = word_keys(self.data, self.start, self.size)
-        self.first, self.second = key, (key ^ (head * np.uint64(0xD6E8FEB86659FD93))) * MIX
+        self.keys = word_keys(self.data, self.start, self.size, int.from_bytes(salt[:8], "little"))
 
     def windows(self, length: int) -> np.ndarray:
         """Places where a window of that many words of one document with an id begins."""
         left = self.bounds[1:][self.doc] - np.arange(len(self.doc))
         return np.flatnonzero((left >= length) & ~self.null[self.doc])
 
+    def joined(self) -> tuple[bytes, np.ndarray]:
+        """All words, each with one space behind it, and where each begins, with the end of all."""
+        ends = np.cumsum(self.size + 1)
+        out = self.data[ranges(self.start, self.size + 1)]
+        out[ends - 1] = 0x20
+        return out.tobytes(), np.concatenate(([0], ends))
 
-def _keys(words: Words, places: np.ndarray, level: int, window: int, buckets: int) -> np.ndarray:
-    """Bucket and sent bits of the representatives, at a shorter length, of the windows at places."""
-    return smallest(rolled(words.first, level), window - level + 1)[places] >> np.uint64(64 - buckets - SENT_BITS)
+    def digests(self, places: np.ndarray, window: int) -> np.ndarray:
+        """The digest of each window: two numbers a row."""
+        flat, at = self.joined()
+        flat, salt = memoryview(flat), self.salt
+        found = [blake2b(flat[s:e], digest_size=16, salt=salt).digest() for s, e in zip(at[places].tolist(), at[places + window].tolist())]
+        return np.frombuffer(b"".join(found), np.uint64).reshape(-1, 2)
+
+
+def _representatives(words: Words, places: np.ndarray, level: int, window: int) -> np.ndarray:
+    return smallest(rolled(words.keys, level), window - level + 1)[places]
+
+
+def _starts(sorted_: np.ndarray) -> np.ndarray:
+    """Where each run of equal values (or rows) begins."""
+    if not len(sorted_):
+        return np.zeros(0, np.int64)
+    new = sorted_[1:] != sorted_[:-1]
+    return np.flatnonzero(np.concatenate(([True], new.any(1) if new.ndim == 2 else new)))
+
+
+def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - buckets)).astype(np.int64)
+
+
+def _told(bucket: np.ndarray, flags: pa.Table, kind: int) -> np.ndarray:
+    """The bits that came back for the hashes of one level, of which bucket holds the (ascending) buckets; none came: 0."""
+    out = np.zeros(len(bucket), bool)
+    for b, k, bits in zip(*(flags.column(c).to_pylist() for c in ("bucket", "kind", "bits"))):
+        if k == kind:
+            s, e = np.searchsorted(bucket, (b, b + 1))
+            out[s:e] = np.unpackbits(np.frombuffer(bits, np.uint8), count=e - s)
+    return out
+
+
+def _level(words: Words, places: np.ndarray, level: int, window: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct representatives (bucket and sent bits) of these windows, ascending, and the number of each window's."""
+    keys = _representatives(words, places, level, window) >> np.uint64(64 - buckets - SENT_BITS)
+    return np.unique(keys, return_inverse=True)
 
 
 def _candidates(words: Words, window: int, levels: list[int], flags: pa.Table, buckets: int) -> np.ndarray:
     """Places of the windows whose representatives at all these levels are repeated."""
     places = words.windows(window)
-    kinds = np.asarray(flags.column("kind")) if flags is not None else np.zeros(0)
-    for k, level in enumerate(levels):
-        repeated = [np.frombuffer(b, np.uint64) for b, kind in zip(flags.column("hashes").to_pylist(), kinds) if kind == k]
-        repeated = np.sort(np.concatenate(repeated)) if repeated else np.zeros(0, np.uint64)
-        if not len(repeated) or not len(places):
-            return places[:0]
-        keys = _keys(words, places, level, window, buckets)
-        at = np.minimum(np.searchsorted(repeated, keys), len(repeated) - 1)
-        places = places[repeated[at] == keys]
+    for kind, level in enumerate(levels):
+        if not len(places):
+            break
+        keys, which = _level(words, places, level, window, buckets)
+        places = places[_told((keys >> np.uint64(SENT_BITS)).astype(np.int64), flags, kind)[which]]
     return places
 
 
@@ -117,100 +160,81 @@ def _unfive(data: bytes) -> np.ndarray:
 
 def _by_bucket(block: int, bucket: np.ndarray, *columns) -> pa.Table:
     """One row per bucket of arrays that are sorted by bucket; columns are (name, bytes of a slice)."""
-    edge = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])) if len(bucket) else np.zeros(1, int)
+    edge = np.append(_starts(bucket), len(bucket))
     pairs = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
-    return pa.table({"bucket": pa.array(bucket[edge[:-1]].astype(np.int64)), "block": pa.array([block] * len(pairs), pa.int64()),
+    return pa.table({"bucket": pa.array(bucket[edge[:-1]]), "block": pa.array([block] * len(pairs), pa.int64()),
                      **{name: pa.array([pack(a, b) for a, b in pairs], pa.binary()) for name, pack in columns}})
 
 
 SENT = "bucket long, block long, hashes binary, twice binary"
-FLAGS = "block long, kind int, hashes binary"
+FLAGS = "block long, kind int, bucket long, bits binary"
 ASKED = "bucket long, block long, hashes binary, ids binary"
 
 
 def _send(words: Words, block: int, places: np.ndarray, level: int, window: int, buckets: int) -> pa.Table:
     """The distinct representatives of these windows, and whether two documents of the block have them."""
-    keys, doc = _keys(words, places, level, window, buckets), words.doc[places]
-    new = np.concatenate((np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])))
-    keys, doc = keys[new], doc[new]
-    order = np.argsort(keys, kind="stable")
-    keys, doc = keys[order], doc[order]
-    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
-    ids = words.ids[doc]  # rows that share an id lie in any order: the ends of a group say nothing of its middle
-    least, most = (of.reduceat(ids, first) if len(first) else ids for of in (np.minimum, np.maximum))
-    twice, keys = (least != most).astype(np.uint8), keys[first]
-    return _by_bucket(block, keys >> np.uint64(SENT_BITS), ("hashes", lambda a, b: _five(keys[a:b])), ("twice", lambda a, b: np.packbits(twice[a:b]).tobytes()))
+    keys, which = _level(words, places, level, window, buckets)
+    ids = words.ids[words.doc[places]]  # rows that share an id are one document
+    least, most = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), np.iinfo(np.int64).min)
+    np.minimum.at(least, which, ids)
+    np.maximum.at(most, which, ids)
+    twice = least != most
+    return _by_bucket(block, (keys >> np.uint64(SENT_BITS)).astype(np.int64), ("hashes", lambda a, b: _five(keys[a:b])), ("twice", lambda a, b: np.packbits(twice[a:b]).tobytes()))
+
+
+def _flags(table: pa.Table, kind: int, parts: list[np.ndarray], bits: np.ndarray) -> pa.Table:
+    """The bits, which stand for the entries of all parts in turn, for each block that has one set."""
+    out, at = {"block": [], "bits": []}, 0
+    for block, part in zip(table.column("block").to_pylist(), parts):
+        own = bits[at: at + len(part)]
+        at += len(part)
+        if own.any():
+            out["block"].append(block)
+            out["bits"].append(np.packbits(own).tobytes())
+    n, bucket = len(out["block"]), table.column("bucket")[0].as_py()
+    return pa.table({"block": pa.array(out["block"], pa.int64()), "kind": pa.array([kind] * n, pa.int32()), "bucket": pa.array([bucket] * n, pa.int64()), "bits": pa.array(out["bits"], pa.binary())})
 
 
 def _repeated(table: pa.Table, kind: int) -> pa.Table:
     """For each block, which of the hashes it sent are in two documents."""
     parts = [_unfive(h) for h in table.column("hashes").to_pylist()]
     twice = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=len(p)) for t, p in zip(table.column("twice").to_pylist(), parts)])
-    all_, bucket = np.concatenate(parts), table.column("bucket")[0].as_py()
-    _, which, counts = np.unique(all_, return_inverse=True, return_counts=True)
+    _, which, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
     many = (counts > 1) | (np.bincount(which, twice, len(counts)) > 0)
-    out, at = {"block": [], "hashes": []}, 0
-    for block, part in zip(table.column("block").to_pylist(), parts):
-        hit = part[many[which[at: at + len(part)]]] | np.uint64(bucket << SENT_BITS)
-        at += len(part)
-        if len(hit):
-            out["block"].append(block)
-            out["hashes"].append(hit.tobytes())
-    return pa.table({"block": pa.array(out["block"], pa.int64()), "kind": pa.array([kind] * len(out["block"]), pa.int32()), "hashes": pa.array(out["hashes"], pa.binary())})
+    return _flags(table, kind, parts, many[which])
 
 
-def _exact(words: Words, places: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the windows at places, by hash: both hashes, the smallest id of each group, and the group of each place."""
-    a, b = rolled(words.first, window)[places], rolled(words.second, window)[places]
-    order = np.lexsort((b, a))
-    x, y = a[order], b[order]
-    new = np.concatenate((np.ones(min(1, len(x)), bool), (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
-    first = np.flatnonzero(new)
+def _exact(words: Words, places: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the windows at places: their distinct digests, ascending, the smallest id of each, and the number of each place's."""
+    found = words.digests(places, window)
+    order = np.lexsort((found[:, 1], found[:, 0]))
+    found, first = found[order], _starts(found[order])
     least = np.minimum.reduceat(words.ids[words.doc[places[order]]], first) if len(first) else np.zeros(0, np.int64)
     group = np.empty(len(places), np.int64)
-    group[order] = np.cumsum(new) - 1
-    return x[first], y[first], least, group
+    group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(places))))
+    return found[first], least, group
 
 
 def _ask(words: Words, block: int, places: np.ndarray, window: int, buckets: int) -> pa.Table:
-    a, b, least, _ = _exact(words, places, window)
-    both = np.stack((a, b), 1)
-    return _by_bucket(block, a >> np.uint64(64 - buckets), ("hashes", lambda s, e: both[s:e].tobytes()), ("ids", lambda s, e: least[s:e].tobytes()))
+    both, least, _ = _exact(words, places, window)
+    return _by_bucket(block, _bucket_of(both[:, 0], buckets), ("hashes", lambda s, e: both[s:e].tobytes()), ("ids", lambda s, e: least[s:e].tobytes()))
 
 
 def _answer(table: pa.Table, kind: int) -> pa.Table:
-    """For each block, the windows that have a smaller id in another one."""
+    """For each block, which of its windows have a smaller id in another one."""
     parts = [np.frombuffer(h, np.uint64).reshape(-1, 2) for h in table.column("hashes").to_pylist()]
     both, ids = np.concatenate(parts), np.concatenate([np.frombuffer(i, np.int64) for i in table.column("ids").to_pylist()])
     order = np.lexsort((both[:, 1], both[:, 0]))
-    new = np.concatenate(([True], (both[order][1:] != both[order][:-1]).any(1)))
+    first = _starts(both[order])
     least = np.empty(len(ids), np.int64)
-    least[order] = np.minimum.reduceat(ids[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-    out, at = {"block": [], "hashes": []}, 0
-    for block, part in zip(table.column("block").to_pylist(), parts):
-        later = part[least[at: at + len(part)] < ids[at: at + len(part)]]
-        at += len(part)
-        if len(later):
-            out["block"].append(block)
-            out["hashes"].append(later.tobytes())
-    return pa.table({"block": pa.array(out["block"], pa.int64()), "kind": pa.array([kind] * len(out["block"]), pa.int32()), "hashes": pa.array(out["hashes"], pa.binary())})
+    least[order] = np.repeat(np.minimum.reduceat(ids[order], first), np.diff(np.append(first, len(ids))))
+    return _flags(table, kind, parts, least < ids)
 
 
-def _cut(words: Words, places: np.ndarray, answers: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def _cut(words: Words, places: np.ndarray, flags: pa.Table, kind: int, window: int, buckets: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Words and removed words of each document, and its kept words joined by one space."""
-    a, b, least, group = _exact(words, places, window)
-    elsewhere = np.zeros(len(a), bool)
-    if answers and len(a):
-        told = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 2) for x in answers])
-        told = told[np.lexsort((told[:, 1], told[:, 0]))].copy().view("u8,u8").ravel()
-        mine = np.stack((a, b), 1).view("u8,u8").ravel()
-        at = np.searchsorted(told["f0"], a)  # equal first hashes with different seconds are a handful at most
-        for step in range(64):
-            near = np.minimum(at + step, len(told) - 1)
-            same = told["f0"][near] == a
-            if not same.any():
-                break
-            elsewhere |= same & (told["f1"][near] == mine["f1"])
+    both, least, group = _exact(words, places, window)
+    elsewhere = _told(_bucket_of(both[:, 0], buckets), flags, kind)
     hit = places[elsewhere[group] | (words.ids[words.doc[places]] > least[group])]
     cover = np.zeros(len(words.start) + window + 1, np.int64)
     np.add.at(cover, hit, 1)
@@ -244,15 +268,21 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A changed text is its kept words joined by one space; others stay as they are, unless join_all asks for the same
     form (null then gives an empty text). Null and empty texts have no words. Rows that share an id are one document:
     neither is earlier. Rows with a null id take no part and stay whole. Ids are longs. Texts of any length are read
-    whole. Other columns pass through, whatever their names (except "block_" and the two added ones).
+    whole. Other columns pass through, whatever their names; columns named n_words or n_removed are replaced. An empty
+    table gives none.
     """
+    docs = docs.drop("n_words", "n_removed")
     total = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    buckets = min(20, max(4, (blocks // 8).bit_length()))
-    levels = lengths(window)
-    dealt = docs.withColumn("block_", F.pmod(F.xxhash64(id_col), F.lit(blocks))).repartition("block_")
-    block_of = lambda t: t.column("block_")[0].as_py()
-    words_of = lambda t: Words(t.column(id_col), t.column(text_col))
+    buckets = min(64 - SENT_BITS, max(5, (blocks // BLOCKS_A_BUCKET).bit_length()))
+    levels, salt = lengths(window), os.urandom(16)
+    block_col = "block_"
+    while block_col in docs.columns:
+        block_col += "_"
+    dealt = docs.withColumn(block_col, F.pmod(F.xxhash64(id_col), F.lit(blocks))).repartition(block_col)
+    block_of = lambda t: t.column(block_col)[0].as_py()
+    words_of = lambda t: Words(t.column(id_col), t.column(text_col), salt)
+
     def send(k: int, level: int):
         def of(t: pa.Table, f: pa.Table | None) -> pa.Table:
             words = words_of(t)
@@ -266,8 +296,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     flags = None
     for k, level in enumerate(levels):
         one = send(k, level)
-        sent = (dealt.groupBy("block_").applyInArrow(lambda t: send(0, levels[0])(t, None), SENT) if flags is None else
-                dealt.groupBy("block_").cogroup(flags.groupBy("block")).applyInArrow(one, SENT))
+        sent = (dealt.groupBy(block_col).applyInArrow(lambda t: send(0, levels[0])(t, None), SENT) if flags is None else
+                dealt.groupBy(block_col).cogroup(flags.groupBy("block")).applyInArrow(one, SENT))
         found = sent.groupBy("bucket").applyInArrow(repeated(k), FLAGS)
         flags = found if flags is None else flags.unionByName(found)
 
@@ -275,18 +305,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         words = words_of(t)
         return _ask(words, block_of(t), _candidates(words, window, levels, f, buckets), window, buckets)
 
-    asked = dealt.groupBy("block_").cogroup(flags.groupBy("block")).applyInArrow(ask, ASKED)
+    asked = dealt.groupBy(block_col).cogroup(flags.groupBy("block")).applyInArrow(ask, ASKED)
     answers = asked.groupBy("bucket").applyInArrow(lambda t: _answer(t, len(levels)), FLAGS)
     out = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def cut(t: pa.Table, f: pa.Table) -> pa.Table:
         words = words_of(t)
-        told = [h for h, kind in zip(f.column("hashes").to_pylist(), f.column("kind").to_pylist()) if kind == len(levels)]
-        n, removed, kept = _cut(words, _candidates(words, window, levels, f, buckets), told, window)
+        n, removed, kept = _cut(words, _candidates(words, window, levels, f, buckets), f, len(levels), window, buckets)
         old = t.column(text_col).to_pylist()
         texts = pa.array([k.decode("utf-8", "surrogatepass") if join_all or r else o for k, r, o in zip(kept, removed, old)], pa.string())
-        t = t.drop_columns(["block_"]) if "block_" in t.column_names else t
+        t = t.drop_columns([block_col]) if block_col in t.column_names else t
         t = t.set_column(t.column_names.index(text_col), text_col, texts)
         return t.append_column("n_words", pa.array(n, pa.int64())).append_column("n_removed", pa.array(removed, pa.int64()))
 
-    return dealt.groupBy("block_").cogroup(flags.unionByName(answers).groupBy("block")).applyInArrow(cut, out)
+    return dealt.groupBy(block_col).cogroup(flags.unionByName(answers).groupBy("block")).applyInArrow(cut, out)
