@@ -9,14 +9,19 @@ members meet at midpoints instead. Two fingerprints within two bits have a numbe
 their 64 one-bit neighbours, and at most 65 members share such a number, so this is exact and linear.
 
 near_duplicates(): the same index over signatures of SIGNATURE_BITS bits, for texts that share 0.8 of their five-word
-shingles, which changes about one bit in seven. There a posting is the bytes at three positions, in TABLES ways to deal
-the positions to threes; the tally asks for MIN_SHARED of the positional bytes, pairs whose share of differing bits
-says less than the wanted similarity by over SLACK go, and the rest is decided by the Jaccard of the texts' shingles.
+shingles, which changes about one bit in seven. There a posting is the bytes at three positions or more (half bytes
+count): as many as keep chance meetings below CHANCE a signature, and so many different ones that a pair at the wanted
+similarity misses all with a chance of exp(-MEETINGS). Keys travel in packed arrays, by ranges of keys: six bytes or less each. The
+tally asks for MIN_SHARED of the positional bytes, pairs whose share of differing bits says less than the wanted
+similarity by over SLACK go, and the rest is decided by the Jaccard of the texts' sets of shingles.
 """
 
 from __future__ import annotations
 
+import math
+import os
 from functools import lru_cache
+from hashlib import blake2b
 from itertools import combinations
 
 import numpy as np
@@ -35,8 +40,13 @@ POSTING = 64
 SEED = 42
 SALTS = 8
 SIGNATURE_BITS = 2048
-KEY_BYTES = 3
-TABLES = 4
+LEAST_KEY_BITS = 24
+MEETINGS = 6.2
+CHANCE = 4
+#: Signatures whose keys of one range meet in a task.
+RANGE = 1 << 20
+#: Sizes of sets in steps of a twentieth: sets whose sizes differ by more steps than WIDTH(similarity) are not compared.
+STEP = 1.05
 #: Five standard errors of the similarity that the signatures tell.
 SLACK = 0.1
 #: Of 256 positional bytes; pairs at similarity 0.8 share 69 on average, with a deviation of 7, unrelated ones 1.
@@ -119,23 +129,34 @@ def _flips() -> np.ndarray:
     return np.where(np.random.default_rng(SEED).random(SIGNATURE_BITS) < 0.5, -1, 1).astype(np.float32)
 
 
-@lru_cache(1)
-def _places() -> np.ndarray:
-    """The positions of the bytes of each key."""
-    rng, many = np.random.default_rng(SEED), SIGNATURE_BITS // 8 // KEY_BYTES
-    return np.concatenate([rng.permutation(SIGNATURE_BITS // 8)[: many * KEY_BYTES].reshape(many, KEY_BYTES) for _ in range(TABLES)])
+def plan_keys(signatures_: int, similarity: float) -> tuple[int, int]:
+    """Bits of a key (a multiple of four) and how many keys a signature has."""
+    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    many = lambda bits: math.ceil(MEETINGS / agree**bits)
+    bits = LEAST_KEY_BITS
+    while many(bits) * signatures_ > CHANCE * 2.0 ** (bits + 4) and bits < 56:  # one in eight chance pairs has sets of like sizes
+        bits += 4
+    return bits, many(bits)
+
+
+@lru_cache(4)
+def _places(bits: int, keys: int) -> np.ndarray:
+    """The positions of the bytes of each key: positions are dealt to keys, again and again in another order."""
+    rng, size = np.random.default_rng(SEED), -(-bits // 8)
+    deal = SIGNATURE_BITS // 8 // size
+    return np.concatenate([rng.permutation(SIGNATURE_BITS // 8)[: deal * size].reshape(deal, size) for _ in range(-(-keys // deal))])[:keys]
 
 
-def keys_of(sig: np.ndarray) -> np.ndarray:
+def keys_of(sig: np.ndarray, bits: int, keys: int) -> np.ndarray:
     """The keys of each signature (rows of bytes)."""
-    places = _places()
-    key = np.tile(np.arange(len(places)) << 8 * KEY_BYTES, (len(sig), 1))
-    for k in range(KEY_BYTES):
-        key |= sig[:, places[:, k]].astype(np.int64) << 8 * k
-    return key
+    places = _places(bits, keys)
+    out = np.zeros((len(sig), keys), np.uint64)
+    for k in range(places.shape[1]):
+        out |= sig[:, places[:, k]].astype(np.uint64) << np.uint64(8 * k)
+    return out & np.uint64((1 << bits) - 1)
 
 
-def shingles(text: str, words: int) -> np.ndarray:
+def shingles(text: str, words: int, seed: int = 0) -> np.ndarray:
     """The set of hashes of the text's runs of that many words (fewer words: one run of all), ascending."""
     found = text.encode("utf-8", "surrogatepass").lower().split()
     if not found:
@@ -152,31 +173,145 @@ def shingles(text: str, words: int) -> np.ndarray:
     return np.unique(mixed)
 
 
-def signatures(texts: list[str], words: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """SimHash bits of each text's set of shingles (rows of bytes), and how many shingles it has.
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """SimHash bits of each set of shingles, as rows of bytes.
 
     The shingles are summed with signs into SIGNATURE_BITS cells, which a fast Hadamard transform turns into as many
-    signed sums over all shingles; the bits are the signs. No words: all bits 0."""
-    cells, counts = np.zeros((len(texts), SIGNATURE_BITS), np.float32), np.zeros(len(texts), np.int64)
-    for k, text in enumerate(texts):
-        mixed = shingles(text, words)
-        if not len(mixed):
-            continue
-        counts[k] = len(mixed)
-        sign = np.where(mixed >> np.uint64(63), 1.0, -1.0)
-        cells[k] = np.bincount((mixed % np.uint64(SIGNATURE_BITS)).astype(np.int64), sign, SIGNATURE_BITS)
+    signed sums over all shingles; the bits are the signs. The smallest shingle breaks ties. No words: all bits 0."""
+    cells = np.zeros((len(sets), SIGNATURE_BITS), np.float32)
+    for k, mixed in enumerate(sets):
+        if len(mixed):
+            sign = np.where(mixed >> np.uint64(63), 1.0, -1.0)
+            sign[0] *= 1.5
+            cells[k] = np.bincount((mixed % np.uint64(SIGNATURE_BITS)).astype(np.int64), sign, SIGNATURE_BITS)
     cells *= _flips()
     step = 1
     while step < SIGNATURE_BITS:
-        view = cells.reshape(len(texts), -1, 2, step)
-        cells = np.stack((view[:, :, 0] + view[:, :, 1], view[:, :, 0] - view[:, :, 1]), 2).reshape(len(texts), -1)
+        view = cells.reshape(len(sets), -1, 2, step)
+        cells = np.stack((view[:, :, 0] + view[:, :, 1], view[:, :, 0] - view[:, :, 1]), 2).reshape(len(sets), -1)
         step *= 2
-    return np.packbits(cells > 0, axis=1), counts
+    return np.packbits(cells > 0, axis=1)
+
+
+def _digest(members: np.ndarray) -> bytes:
+    return blake2b(members.tobytes(), digest_size=16).digest()
+
+
+def _runs(sids: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of rows whose numbers are near enough for offsets of four bytes."""
+    far = np.flatnonzero(np.abs(np.diff(sids)) >= 1 << 31) + 1
+    edge = [0, *far.tolist(), len(sids)]
+    return [(a, b) for a, b in zip(edge[:-1], edge[1:]) if b > a]
+
+
+KEYS = "bucket long, base long, offsets binary, keys binary, steps binary, names binary"
 
 
-def _similar(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The (u, v) of pairs with at least that similarity; texts are (id, text)."""
-    side = lambda c, s, n: sigs.select(F.col("id").alias(c), F.col("sig").alias(s), F.col("n").alias(n))
+def _index(bits: int, keys: int, ranges_: int):
+    """Packed postings of (sid, sig, n, name): one row for each bucket (key number and range) of a batch. name is null in the first round."""
+    shift = bits - (ranges_.bit_length() - 1)
+
+    def run(found):
+        for batch in found:
+            sids, n = np.asarray(batch.column("sid")), np.asarray(batch.column("n"))
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, SIGNATURE_BITS // 8)
+            steps = np.minimum(np.log(n) / math.log(STEP), 255).astype(np.uint8)
+            named = batch.column("name").null_count == 0
+            names = np.asarray(batch.column("name")) if named else None
+            for a, b in _runs(sids):
+                for c in range(a, b, 4096):
+                    d = min(b, c + 4096)
+                    found_keys, base = keys_of(sig[c:d], bits, keys), int(sids[c:d].min())
+                    offsets = (sids[c:d] - base).astype(np.uint32)
+                    part, out = (found_keys >> np.uint64(shift)).astype(np.int64), {k: [] for k in ("bucket", "offsets", "keys", "steps", "names")}
+                    rest = found_keys & np.uint64((1 << shift) - 1)
+                    for t in range(keys):
+                        order = np.argsort(part[:, t], kind="stable") if ranges_ > 1 else np.arange(d - c)
+                        edge = np.searchsorted(part[order, t], np.arange(ranges_ + 1))
+                        for r in range(ranges_):
+                            own = order[edge[r]: edge[r + 1]]
+                            if len(own):
+                                out["bucket"].append(t * ranges_ + r)
+                                out["offsets"].append(offsets[own].tobytes() if len(own) < d - c or (np.diff(offsets) != 1).any() else b"")
+                                out["keys"].append(_packed(rest[own, t], shift))
+                                out["steps"].append(steps[c:d][own].tobytes())
+                                out["names"].append(names[c:d][own].tobytes() if named else b"")
+                    m = len(out["bucket"])
+                    yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int64()), pa.array([base] * m, pa.int64()), *[pa.array(out[k], pa.binary()) for k in ("offsets", "keys", "steps", "names")]],
+                                                     names=["bucket", "base", "offsets", "keys", "steps", "names"])
+
+    return run
+
+
+def _packed(values: np.ndarray, bits: int) -> bytes:
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : -(-bits // 8)]).tobytes()
+
+
+def _unpacked(data: bytes, bits: int) -> np.ndarray:
+    size = -(-bits // 8)
+    out = np.zeros((len(data) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(data, np.uint8).reshape(-1, size)
+    return out.view("<u8").ravel()
+
+
+PAIRS = "part long, pairs binary, open binary"
+
+
+def _by_part(values: np.ndarray, part: np.ndarray) -> list[tuple[int, bytes]]:
+    """The parts that occur, and the bytes of the values of each."""
+    order = np.argsort(part, kind="stable")
+    values, part = values[order], part[order]
+    edge = np.flatnonzero(np.concatenate((np.ones(min(1, len(part)), bool), part[1:] != part[:-1], [True])))
+    return [(int(part[a]), values[a:b].tobytes()) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+
+
+def _meet(shift: int, parts: int, width: int, cross: bool):
+    """What meets in the postings of a bucket, as packed pairs by part. First round: the first of a posting with all others, and who is
+    in a posting of three or more. Second round (cross): all pairs of different names."""
+    def run(t: pa.Table) -> pa.Table:
+        keys = [_unpacked(k, shift) for k in t.column("keys").to_pylist()]
+        sids = np.concatenate([b + (np.frombuffer(o, np.uint32).astype(np.int64) if o else np.arange(len(k))) for b, o, k in zip(t.column("base").to_pylist(), t.column("offsets").to_pylist(), keys)])
+        steps = np.concatenate([np.frombuffer(x, np.uint8) for x in t.column("steps").to_pylist()]).astype(np.int16)
+        key = np.concatenate(keys)
+        order = np.lexsort((sids, key))
+        key, sids, steps = key[order], sids[order], steps[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(first, len(key)))
+        u, v, open_ = [], [], np.zeros(0, np.int64)
+        if not cross:
+            lead = np.repeat(first, size)
+            at = np.flatnonzero((np.arange(len(key)) > lead) & (np.abs(steps - steps[lead]) <= width))
+            u, v = [sids[lead[at]]], [sids[at]]
+            open_ = np.unique(sids[np.repeat(size > 2, size)])
+        else:
+            names = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("names").to_pylist()])[order]
+            end = np.repeat(first + size, size)
+            at, lag = np.flatnonzero(np.repeat(size > 1, size)), 1
+            while len(at):
+                at = at[at + lag < end[at]]
+                hit = at[(names[at] != names[at + lag]) & (np.abs(steps[at] - steps[at + lag]) <= width)]
+                u.append(sids[hit])
+                v.append(sids[hit + lag])
+                lag += 1
+        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
+        pairs = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v)), 1), axis=0)
+        mixed = (pairs[:, 0] * 31 + pairs[:, 1]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        rows = [(p, b, b"") for p, b in _by_part(pairs, (mixed >> np.uint64(40)).astype(np.int64) % parts)] + [(p, b"", b) for p, b in _by_part(open_, open_ % parts)]
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "pairs": pa.array([r[1] for r in rows], pa.binary()), "open": pa.array([r[2] for r in rows], pa.binary())})
+
+    return run
+
+
+def _distinct(t: pa.Table) -> pa.Table:
+    """(u, v) pairs of a part once each, and (null, v) for members of postings of three or more."""
+    pairs = np.unique(np.frombuffer(b"".join(t.column("pairs").to_pylist()), np.int64).reshape(-1, 2), axis=0)
+    opened = np.unique(np.frombuffer(b"".join(t.column("open").to_pylist()), np.int64))
+    return pa.table({"u": pa.chunked_array([pa.array(pairs[:, 0]), pa.nulls(len(opened), pa.int64())]), "v": pa.chunked_array([pa.array(pairs[:, 1]), pa.array(opened)])})
+
+
+def _similar(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, similarity: float, seed: int) -> DataFrame:
+    """Of (u, v) numbers of signatures those with at least that similarity; texts are (id, text)."""
+    side = lambda c, s, n: sigs.select(F.col("sid").alias(c), F.col("sig").alias(s), F.col("n").alias(n))
     both = pairs.join(side("u", "s", "n"), "u").join(side("v", "t", "m"), "v").select("u", "v", "s", "t", "n", "m")
 
     def run(found):
@@ -193,7 +328,8 @@ def _similar(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, si
     def sets(found):
         for batch in found:
             for a, part in slices(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(part)), pa.array([shingles(t, words).tobytes() for t in part], pa.binary())], names=["id", "set"])
+                made = [shingles(t, words, seed) for t in part]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(part)), pa.array(map(_digest, made), pa.binary()), pa.array([m.tobytes() for m in made], pa.binary())], names=["id", "member", "set"])
 
     def decide(found):
         for batch in found:
@@ -204,50 +340,65 @@ def _similar(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, si
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(kept, pa.bool_()))
 
     near = written(both.mapInArrow(run, "u long, v long"), "near")
-    asked = near.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    held = written(texts.join(asked, "id", "left_semi").mapInArrow(sets, "id long, set binary"), "shingles")
-    mine = lambda c, s: held.select(F.col("id").alias(c), F.col("set").alias(s))
+    asked = sigs.join(near.select(F.explode(F.array("u", "v")).alias("sid")).distinct(), "sid").select("sid", "id", "member")
+    made = texts.join(asked.select("id").distinct(), "id", "left_semi").mapInArrow(sets, "id long, member binary, set binary")
+    held = written(made.join(asked, ["id", "member"]).dropDuplicates(["sid"]).select("sid", "set"), "shingles")
+    mine = lambda c, s: held.select(F.col("sid").alias(c), F.col("set").alias(s))
     return near.join(mine("u", "s"), "u").join(mine("v", "t"), "v").select("u", "v", "s", "t").mapInArrow(decide, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, component) of every row whose id is not the smallest of its group of near-duplicates. Ids are longs.
-
-    The similarity is the Jaccard of the sets of shingles; by calculation a pair at 0.8 shares a posting with a chance
-    of 0.998, and the estimate before it has a standard error of 0.02. Rows with one signature (copies, and texts without words among themselves) are one member. In a
-    posting all are compared with the first; then those that are in different groups still, with one another.
+    """(id, text_sha256, component) of every row that is not the one of its group of near-duplicates that stays: the smallest id.
+
+    The similarity is the Jaccard of the sets of shingles of the lower-cased texts, words being what stands between
+    ASCII white space. Rows with one set of shingles (copies, and texts without words among themselves; null counts as
+    empty) are one member. In a posting all members are compared with the first; then those that are in different
+    groups still, with one another. A set too small to reach the similarity with any other set is not indexed.
+    Rows that share an id are told apart by their texts; rows that repeat both stay or go together. Rows with a null id take no
+    part. Ids are longs; texts of any length are read whole; other columns are left out; an empty table gives none.
     """
-    out = "id long, sig binary, n long"
+    seed = int.from_bytes(os.urandom(7), "little")
 
     def run(found):
         for batch in found:
             for a, texts in slices(batch.column(1)):
-                sig, n = signatures(texts, words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array(n)], names=["id", "sig", "n"])
-
-    def keys(found):
-        for batch in found:
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, SIGNATURE_BITS // 8)
-            key = keys_of(sig)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(np.asarray(batch.column("id")), key.shape[1]))], names=["key", "id"])
+                sets = [shingles(t, words) for t in texts]
+                members = [_digest(shingles(t, words, seed)) for t in texts]  # which texts are one does not hang on hashes known beforehand
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), batch.column(2).slice(a, len(texts)), pa.array(members, pa.binary()),
+                                                  pa.array([r.tobytes() for r in signatures(sets)], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=["id", "sha", "member", "sig", "n"])
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = written(rows.mapInArrow(run, out), "signatures")
-    sigs = written(found.groupBy("sig").agg(F.min("id").alias("id"), F.max("n").alias("n")), "signatures-distinct")
-    index = sigs.mapInArrow(keys, "key long, id long")
-    posting = Window.partitionBy("key")
-    members = written(index.select("key", "id", F.min("id").over(posting).alias("u"), F.count("*").over(posting).alias("size")).where("size > 1"), "postings")
-    first = written(_similar(members.where("id <> u").select("u", F.col("id").alias("v")).distinct(), sigs, rows, words, similarity), "links")
-    named = components(first)
-    open_ = members.where("size > 2").join(named, "id", "left").select("key", "id", F.coalesce("component", "id").alias("name"))
-    apart = open_.groupBy("key").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a < b").select("key")
-    open_ = open_.join(apart, "key")
-    more = open_.select("key", F.col("id").alias("u"), F.col("name").alias("p")).join(open_.select("key", F.col("id").alias("v"), F.col("name").alias("q")), "key").where("p < q")
-    second = _similar(more.select("u", "v").distinct(), sigs, rows, words, similarity)
-    named = components(first.unionByName(second))
-    by_sig = sigs.join(named, "id", "left").select("sig", F.coalesce("component", "id").alias("component"))
-    # Only rows that share a signature or a group are looked up; many rows may share one signature.
-    copies = found.groupBy("sig").count().where("count > 1").select("sig")
-    groups = by_sig.join(copies, "sig", "left_semi").unionByName(by_sig.join(named.select(F.col("component")).distinct(), "component", "left_semi").select("sig", "component")).distinct()
-    return (found.select("id", "sig", salt_of(SALTS, "id").alias("salt")).join(salted(groups, SALTS), ["sig", "salt"])
-            .where("id <> component").select("id", "component").distinct())
+    hashed = rows.withColumn("sha", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    found = written(hashed.mapInArrow(run, "id long, sha binary, member binary, sig binary, n long"), "signatures")
+    sigs = found.groupBy("member").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("n").alias("n"))
+    sigs = written(sigs.withColumn("sid", F.monotonically_increasing_id()), "signatures-distinct")
+    able = sigs.where(F.col("n") >= similarity / (1 - similarity) - 1e-9) if similarity < 1 else sigs.where("false")
+    n = able.count()
+    bits, keys = plan_keys(n, similarity)
+    ranges_ = 1 << max(0, math.ceil(math.log2(max(1, n) / RANGE)))
+    shift, width = bits - (ranges_.bit_length() - 1), math.ceil(-math.log(similarity) / math.log(STEP)) + 1
+    parts = max(8, n * keys // 4_000_000)
+
+    def met(members: DataFrame, cross: bool) -> DataFrame:
+        index = members.select("sid", "sig", "n", "name").mapInArrow(_index(bits, keys, ranges_), KEYS)
+        return index.groupBy("bucket").applyInArrow(_meet(shift, parts, width, cross), PAIRS).groupBy("part").applyInArrow(_distinct, "u long, v long")
+
+    first = written(met(able.withColumn("name", F.lit(None).cast("long")), False), "met")
+    linked = written(_similar(first.where("u is not null"), sigs, rows, words, similarity, seed), "links")
+    named = components(linked)
+    open_ = able.join(first.where("u is null").select(F.col("v").alias("sid")).distinct(), "sid", "left_semi").join(named.withColumnRenamed("id", "sid"), "sid", "left").withColumn("name", F.coalesce("component", "sid"))
+    more = written(_similar(met(open_, True), sigs, rows, words, similarity, seed), "links")
+    named = components(linked.unionByName(more)).withColumnRenamed("id", "sid")
+    groups = sigs.select("sid", "id", "member").join(named, "sid", "left").withColumn("group", F.coalesce("component", "sid"))
+    least = groups.groupBy("group").agg(F.min("id").alias("least"))
+    by_member = groups.withColumn("salt", salt_of(SALTS, "sid")).join(salted(least, SALTS), ["group", "salt"]).select("member", F.col("least").alias("component"))
+    # Many rows may be one member, so the members' side is salted.
+    out = found.select("id", "sha", "member", salt_of(SALTS, "id").alias("salt")).join(salted(by_member, SALTS), ["member", "salt"])
+    return out.where("id <> component").select("id", F.lower(F.hex("sha")).alias("text_sha256"), "component")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that near_duplicates() does not name, all columns as they are."""
+    gone = near_duplicates(docs, id_col, text_col, **options).select(F.col("id").alias("gone_id_"), F.col("text_sha256").alias("gone_sha_")).distinct()
+    same = (docs[id_col].cast("long") == gone["gone_id_"]) & (F.sha2(F.coalesce(docs[text_col], F.lit("")), 256) == gone["gone_sha_"])
+    return docs.join(gone, same, "left_anti")

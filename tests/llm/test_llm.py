@@ -170,22 +170,61 @@ def test_near_duplicates(spark):
     rng = random.Random(2)
     base = [" ".join(f"t{rng.randrange(10**6)}" for _ in range(200)) for _ in range(12)]
     rows = list(enumerate(base)) + [(i + 100, " ".join("changed" if k == 77 else w for k, w in enumerate(t.split()))) for i, t in enumerate(base)] + [(300, base[3]), (301, ""), (302, None)]
-    got = {r.id: r.component for r in simhash.near_duplicates(documents(spark, rows)).collect()}
-    assert got == {**{i + 100: i for i in range(12)}, 300: 3, 302: 301}
+    docs = documents(spark, rows + [(None, base[0]), (300, base[3]), (100, "another text with the id of a copy")])
+    got = Counter((r.id, r.component) for r in simhash.near_duplicates(docs).collect())
+    assert got == Counter([*((i + 100, i) for i in range(12)), (300, 3), (300, 3), (302, 301)])
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([*range(12), 301, None, 100])
+
+
+def jaccard_links(rows):
+    sets = {i: {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for i, t in rows}
+    holders = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            holders[x].append(i)
+    pairs = {(a, b) for ids in holders.values() for a in ids for b in ids if a < b}
+    return {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
 
 
 def test_near_duplicates_about_the_limit(spark):
-    rng, rows, want = random.Random(8), [], {}
+    rng, rows = random.Random(8), []
     for i in range(90):
         words = [f"t{rng.randrange(10**9)}" for _ in range(300)]
         other = words[:-(29, 32, 36)[i % 3]]  # Jaccard 0.82, 0.80, 0.78
         other += [f"t{rng.randrange(10**9)}" for _ in range(300 - len(other))]
-        a, b = ({tuple(w[k:k + 5]) for k in range(296)} for w in (words, other))
-        if len(a & b) >= 0.8 * len(a | b):
-            want[i + 1000] = i
         rows += [(i, " ".join(words)), (i + 1000, " ".join(other))]
+    want = jaccard_links(rows)
     assert len(want) == 60
-    assert {r.id: r.component for r in simhash.near_duplicates(documents(spark, rows)).collect()} == want
+    assert {(r.component, r.id) for r in simhash.near_duplicates(documents(spark, rows)).collect()} == want
+
+
+def test_near_duplicates_of_short_texts_and_chains(spark):
+    """Texts of a few words, which have few distinct signatures, and a chain whose ends are not alike."""
+    rng = random.Random(9)
+    rows = [(i, f"a{rng.randrange(99)} b{rng.randrange(99)}") for i in range(900)] + [(i, " ".join(f"c{rng.randrange(9)}" for _ in range(8))) for i in range(900, 1300)]
+    words = [f"w{k}" for k in range(200)]
+    for k in range(12):
+        rows.append((5000 + k, " ".join(words)))
+        for j in range(k * 12, k * 12 + 6):
+            words[j] = f"x{j}"
+    sets = defaultdict(list)
+    for i, t in rows:
+        sets[frozenset(tuple(t.split()[k:k + 5]) for k in range(max(1, len(t.split()) - 4)))].append(i)
+    links = jaccard_links(rows) | {(ids[0], b) for ids in sets.values() for b in ids[1:]}
+    root = {i: i for i, _ in rows}
+    for _ in range(40):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {r.id: r.component for r in simhash.near_duplicates(documents(spark, rows)).collect()} == {i: r for i, r in root.items() if r != i}
+
+
+def test_keys_grow_with_the_number_of_signatures():
+    bits, keys = zip(*(simhash.plan_keys(n, 0.8) for n in (10, 10**6, 10**8, 10**10)))
+    agree = 1 - math.acos(1.6 / 1.8) / math.pi
+    assert bits == tuple(sorted(bits)) and bits[-1] > bits[0]
+    assert all((1 - agree**b) ** k < 0.0025 for b, k in zip(bits, keys))
 
 
 def test_packing(spark, texts):
