@@ -26,9 +26,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the smallest id stays."""
-    gone = simhash.near_duplicates(docs).select(F.col("id").alias("doc_id"))
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    """Of each group of texts that share 0.8 of their five-word shingles the document with the smallest id stays."""
+    return simhash.drop_near_duplicates(docs.select(*COLUMNS))
 
 
 def drop_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
