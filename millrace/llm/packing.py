@@ -1,30 +1,33 @@
-"""Best-fit packing of documents into sequences of a fixed number of tokens.
-
-Documents become pieces of at most CAPACITY tokens. Pieces and gaps of one size are interchangeable, so both are
-range-sorted as runs (size, how many): a rank says which piece or sequence of a run is meant. A superstep takes the
-longest pieces left, sweeps the gaps that can take them from the smallest up (the successors), gives the k-th piece
-the k-th such gap, opens sequences for what finds none, and puts the narrowed gaps back; it repeats with the next
-length. That is best-fit decreasing, exactly. There are at most CAPACITY lengths whatever the data, so the sweep is a
-bounded plan; all that grows with the data, tokens, ranks and places, is done by Spark. A rank needs no global sort:
-ranked() numbers rows within parts of a length and adds what the parts before hold.
+"""Best-fit packing of documents into sequences of a fixed number of tokens, in bulk-synchronous supersteps.
+
+Documents become pieces of at most CAPACITY tokens. A superstep range-sorts the pieces left and the gaps of all open
+sequences together, by size. Every range is swept once, from small to large: pieces go on a stack, and a gap takes the
+ones on top, the longest that fit and have no nearer gap; so of several pieces with one successor the longest gets it,
+and the others move on to the next gap. What a range cannot match within itself is matched between ranges by rank: the driver
+sees how many pieces and places each range has left, and nothing else. A gap that takes the longest piece left several times over
+has as many places. Then the gaps are narrowed and the next superstep begins. When a sweep places less than PROGRESS of
+the tokens left, OPENED of the sequences which they need at least are opened, for the longest. Some ten supersteps
+do, whatever the number of documents; on the test tables the sequences are as few as with best-fit decreasing, to 0.2 percent.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import bpe
-from millrace.llm.common import ranked, written
+from millrace.llm.common import discard, written
 
 CAPACITY = 2048
 END_ID = 0
+PROGRESS, OPENED = 0.01, 0.9
+RANGE_ROWS = 200_000
 
 
 def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -55,35 +58,115 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str
     return docs.select(id_col, text_col).mapInArrow(run, out)
 
 
-def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, first rank, end rank, first sequence, offset): piece first+k of that length goes to sequence first+k at offset."""
-    gaps: list[tuple[int, int, int]] = []  # (gap, first sequence, how many), sorted
-    runs, sequences = [], 0
-    for length in sorted(counts, reverse=True):
-        rank, left, narrowed = 0, counts[length], []
-        while left and (at := bisect_left(gaps, (length,))) < len(gaps):
-            gap, first, many = gaps.pop(at)
-            take = min(many, left)
-            runs.append((length, rank, rank + take, first, capacity - gap))
-            narrowed.append((gap - length, first, take))
+def fill(cells):
+    """Sweeps (kind, size, key, places) cells of one range in ascending order, pieces (kind 0, one place) before gaps (1) of their size.
+
+    Yields (state, piece, length, sequence, gap, rank, many): matched (0), pieces left (1) with their height in the stack, gaps with
+    places left (2) with the number of the first of them."""
+    stack, free = [], 0
+    for kind, size, key, places in cells:
+        if not kind:
+            stack.append((key, size))
+            continue
+        while places and stack:
+            piece, length = stack.pop()
+            places -= 1
+            yield 0, piece, length, key, size, 0, 0
+        if places:
+            yield 2, 0, 0, key, size, free, places
+            free += places
+    for rank, (piece, length) in enumerate(stack):
+        yield 1, piece, length, 0, 0, rank, 0
+
+
+def between(counts: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int, int, int]], dict[int, int], dict[int, int]]:
+    """(range, pieces left, places left), ascending -> which pieces meet which places of later ranges.
+
+    Runs (range, from height, to height, range of places, first place): the piece at the top takes the first place. Also how
+    many places of each range are taken and how many pieces of each range stay."""
+    stack, runs, taken = [], [], {}
+    for part, pieces, places in counts:
+        used = 0
+        while used < places and stack:
+            of, many = stack.pop()
+            take = min(many, places - used)
+            runs.append((of, many - take, many, part, used))
+            used += take
             if take < many:
-                insort(gaps, (gap, first + take, many - take))
-            rank, left = rank + take, left - take
-            if gap - length >= length:  # it may take the next one too, and is then the smallest that can
-                insort(gaps, narrowed.pop())
-        if left:
-            each = capacity // length
-            for many, full in ((left // each, each), (1, left % each)):
-                if many and full:
-                    for k in range(full):
-                        runs.append((length, rank, rank + many, sequences, k * length))
-                        rank += many
-                    narrowed.append((capacity - full * length, sequences, many))
-                    sequences += many
-        for gap in narrowed:
-            if gap[0]:
-                insort(gaps, gap)
-    return runs
+                stack.append((of, many - take))
+        taken[part] = used
+        if pieces:
+            stack.append((part, pieces))
+    return runs, taken, dict(stack)
+
+
+SWEPT = "part int, state int, pid long, length long, seq long, gap long, rank long, many long"
+
+
+def _swept(left: DataFrame, gaps: DataFrame | None, longest: int, rows: int) -> DataFrame:
+    cells = left.select(F.lit(0).alias("kind"), F.col("length").alias("size"), F.col("pid").alias("key"), F.lit(1).cast("long").alias("places"))
+    if gaps is not None:
+        cells = cells.unionByName(gaps.select(F.lit(1).alias("kind"), F.col("gap").alias("size"), F.col("seq").alias("key"), F.greatest(F.lit(1), F.floor(F.col("gap") / longest)).cast("long").alias("places")))
+    order = ["size", "kind", "key"]
+
+    def run(found):
+        part = TaskContext.get().partitionId()
+        cells = (cell for batch in found for cell in zip(*(batch.column(c).to_pylist() for c in ("kind", "size", "key", "places"))))
+        made = fill(cells)
+        while rows_ := [r for _, r in zip(range(50_000), made)]:
+            columns = [pa.array([part] * len(rows_), pa.int32()), *(pa.array(c, pa.int32() if k == 0 else pa.int64()) for k, c in enumerate(zip(*rows_)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "state", "pid", "length", "seq", "gap", "rank", "many"])
+
+    return written(cells.repartitionByRange(max(8, rows // RANGE_ROWS), *order).sortWithinPartitions(*order).mapInArrow(run, SWEPT), "swept")
+
+
+def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(pid, length) of a written table -> (pid, sequence_id, offset). Numbers of sequences begin with 0."""
+    spark, placed, opened, gaps, left, old = pieces.sparkSession, [], 0, None, pieces, []
+    small = lambda rows, ddl: F.broadcast(spark.createDataFrame(rows or [], ddl))  # one row for each range at most
+    look = lambda rows: tuple(rows.agg(F.count("*"), F.sum("length"), F.max("length"), F.min("length"), F.count_if(F.col("length") * 2 > capacity)).first())
+    count, total, longest, shortest, _ = look(left)
+    while count:
+        swept = _swept(left, gaps, longest, count + opened)
+        counts = swept.where("state > 0").groupBy("part").agg(F.count_if(F.col("state") == 1), F.sum(F.when(F.col("state") == 2, F.col("many")).otherwise(0))).orderBy("part").collect()
+        runs, taken, stay = between([tuple(c) for c in counts])
+        bases, above = [], 0  # places from the longest down
+        for part in sorted(stay, reverse=True):
+            bases.append((part, stay[part], above))
+            above += stay[part]
+        met = swept.where("state = 0").select("pid", "length", "seq", "gap")
+        if runs:
+            of = swept.where("state = 1").join(small(runs, "part int, low long, high long, at int, first long"), "part").where("rank >= low and rank < high").select(
+                "at", (F.col("first") + F.col("high") - 1 - F.col("rank")).alias("nth"), "pid", "length")
+            to = swept.where("state = 2").join(small([(p, u) for p, u in taken.items() if u], "part int, used long"), "part").where("rank < used").select(
+                F.col("part").alias("at"), F.explode(F.sequence("rank", F.least(F.col("rank") + F.col("many"), F.col("used")) - 1)).alias("nth"), "seq", "gap")
+            met = met.unionByName(of.join(to, ["at", "nth"]).select("pid", "length", "seq", "gap"))
+        rest = swept.where("state = 1").join(small(bases, "part int, stay long, above long"), "part").where("rank < stay").select(
+            "pid", "length", (F.col("above") + F.col("stay") - 1 - F.col("rank")).alias("nth"))
+        here, new = look(rest), 0
+        if here[0] and total - here[1] <= PROGRESS * total:
+            new = max(1, int(OPENED * max(here[4], -(-here[1] // capacity))))
+            met = met.unionByName(rest.where(F.col("nth") < new).select("pid", "length", (F.col("nth") + opened).alias("seq"), F.lit(capacity).cast("long").alias("gap")))
+        before = Window.partitionBy("seq").orderBy(F.desc("length"), "pid").rowsBetween(Window.unboundedPreceding, -1)
+        now = written(met.select("pid", "length", "seq", "gap", (capacity - F.col("gap") + F.coalesce(F.sum("length").over(before), F.lit(0))).alias("offset")), "placed")
+        placed.append(now)
+        used = now.groupBy("seq").agg(F.sum("length").alias("used"), F.min("gap").alias("was"))
+        narrowed = used.select("seq", (F.col("was") - F.col("used")).alias("gap"))
+        if gaps is not None:
+            narrowed = gaps.join(used, "seq", "left_anti").select("seq", "gap").unionByName(narrowed)
+        old += [swept] if gaps is None else [swept, gaps]
+        gaps = written(narrowed.where(F.col("gap") >= shortest), "gaps")
+        opened, left = opened + new, rest.where(F.col("nth") >= new).select("pid", "length")
+        count, total, longest, shortest, _ = look(left) if new else here
+        for table in old[:-2]:  # what is left is read from the last sweep
+            discard(table)
+        old = old[-2:]
+    for table in old:
+        discard(table)
+    out = [p.select("pid", F.col("seq").alias("sequence_id"), "offset") for p in placed]
+    while len(out) > 1:
+        out = [a.unionByName(b) for a, b in zip(out[::2], out[1::2])] + out[len(out) // 2 * 2:]
+    return out[0] if out else pieces.select("pid", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -92,10 +175,5 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "do
     Null text counts as empty: its one piece is the end token. Texts over capacity tokens are cut into full pieces and
     a rest. Repeated rows are packed each, null ids too; other columns are left out; an empty table packs to none.
     """
-    pieces = written(tokenised(docs, path, capacity, id_col, text_col, keep_ids), "pieces")
-    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    runs = docs.sparkSession.createDataFrame(best_fit(counts, capacity) or [(0, 0, 0, 0, 0)], "length long, first long, end long, sequence long, offset long")
-    placed = ranked(pieces, ["length"], [id_col, "piece", "start", "ids_crc32"])
-    at = F.col("rank") - F.col("first")
-    return placed.join(runs, "length").where((at >= 0) & (F.col("rank") < F.col("end"))).select(
-        id_col, "piece", "start", "length", "ids_crc32", (F.col("sequence") + at).alias("sequence_id"), "offset", *["ids"] * keep_ids)
+    pieces = written(tokenised(docs, path, capacity, id_col, text_col, keep_ids).withColumn("pid", F.monotonically_increasing_id()), "pieces")
+    return pieces.join(place(pieces.select("pid", "length"), capacity), "pid").select(id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * keep_ids)

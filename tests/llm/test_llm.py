@@ -248,20 +248,46 @@ def test_packing(spark, texts):
     assert len(sequences) <= math.ceil(sum(r.length for r in got) / capacity) * 1.1 + 1
 
 
-def test_best_fit_is_best_fit_decreasing():
-    rng = random.Random(4)
-    lengths = [rng.randint(1, 50) for _ in range(400)]
+def best_fit_decreasing(lengths, capacity):
     bins = []
     for n in sorted(lengths, reverse=True):
         fit = min((g for g in bins if g >= n), default=None)
         if fit is None:
-            bins.append(50 - n)
+            bins.append(capacity - n)
         else:
             bins.remove(fit)
             bins.append(fit - n)
-    runs = packing.best_fit(Counter(lengths), 50)
-    assert len({s + k for _, a, b, s, _ in runs for k in range(b - a)}) == len(bins)
-    assert sum(b - a for _, a, b, _, _ in runs) == len(lengths)
+    return len(bins)
+
+
+@pytest.mark.parametrize("lengths", [[10] * 90, "mixed"])
+def test_placing_against_best_fit_decreasing(spark, lengths, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE_ROWS", 40)  # many ranges, so that most matches are between them
+    rng = random.Random(4)
+    lengths = [rng.choice([rng.randint(1, 8), rng.randint(1, 50)]) for _ in range(300)] if lengths == "mixed" else lengths
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "pid long, length long").repartition(4)
+    rows, filled = packing.place(packing.written(pieces, "test"), 50).collect(), defaultdict(list)
+    assert sorted(r.pid for r in rows) == list(range(len(lengths)))
+    for r in rows:
+        filled[r.sequence_id].append((r.offset, lengths[r.pid]))
+    for places in filled.values():
+        assert [o for o, _ in sorted(places)] == [sum(n for _, n in sorted(places)[:k]) for k in range(len(places))]
+        assert sum(n for _, n in places) <= 50
+    assert len(filled) <= 1.01 * best_fit_decreasing(lengths, 50) + 1
+
+
+def test_matching_between_ranges_equals_one_sweep():
+    rng = random.Random(7)
+    cells = sorted((rng.randint(1, 99), rng.randrange(2), k) for k in range(400))
+    cells = [(kind, size, key, rng.randint(1, 3) if kind else 1) for size, kind, key in cells]
+    whole = {(p, q) for state, p, _, q, *_ in packing.fill(cells) if state == 0}
+    parts = [list(packing.fill(cells[a: a + 37])) for a in range(0, 400, 37)]
+    runs, taken, stay = packing.between([(i, sum(r[0] == 1 for r in p), sum(r[6] for r in p if r[0] == 2)) for i, p in enumerate(parts)])
+    pieces = {(i, r[5]): r[1] for i, p in enumerate(parts) for r in p if r[0] == 1}
+    places = {(i, r[5] + k): r[3] for i, p in enumerate(parts) for r in p if r[0] == 2 for k in range(r[6])}
+    found = {(r[1], r[3]) for p in parts for r in p if r[0] == 0}
+    found |= {(pieces[of, high - 1 - k], places[at, first + k]) for of, low, high, at, first in runs for k in range(high - low)}
+    assert found == whole and sum(stay.values()) == sum(not c[0] for c in cells) - len(whole)
 
 
 def test_ann(spark):
