@@ -13,6 +13,7 @@ do, whatever the number of documents; on the test tables the sequences are as fe
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -121,20 +122,28 @@ def _swept(left: DataFrame, gaps: DataFrame | None, longest: int, rows: int) ->
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(pid, length) of a written table -> (pid, sequence_id, offset). Numbers of sequences begin with 0."""
-    spark, placed, opened, gaps, left, old = pieces.sparkSession, [], 0, None, pieces, []
-    small = lambda rows, ddl: F.broadcast(spark.createDataFrame(rows or [], ddl))  # one row for each range at most
-    look = lambda rows: tuple(rows.agg(F.count("*"), F.sum("length"), F.max("length"), F.min("length"), F.count_if(F.col("length") * 2 > capacity)).first())
-    count, total, longest, shortest, _ = look(left)
+    """(pid, length) of a written table -> (pid, sequence_id, offset). Numbers of sequences begin with 0.
+
+    A superstep writes two tables, what the sweep left and what became of the sequences, and collects one row for each range."""
+    spark, states, opened, gaps, left = pieces.sparkSession, [], 0, None, pieces
+    small = lambda rows, ddl: F.broadcast(spark.createDataFrame(rows or [], ddl))  # noqa: E731  one row for each range at most
+    count, longest, shortest = pieces.agg(F.count("*"), F.max("length"), F.min("length")).first()
+    piece = F.when(F.col("state") == 1, F.col("length"))
+    last = None
     while count:
         swept = _swept(left, gaps, longest, count + opened)
-        counts = swept.where("state > 0").groupBy("part").agg(F.count_if(F.col("state") == 1), F.sum(F.when(F.col("state") == 2, F.col("many")).otherwise(0))).orderBy("part").collect()
-        runs, taken, stay = between([tuple(c) for c in counts])
+        parts = swept.groupBy("part").agg(F.count(piece).alias("pieces"), F.coalesce(F.sum(F.when(F.col("state") == 2, F.col("many"))), F.lit(0)).alias("places"), F.coalesce(F.sum(piece), F.lit(0)).alias("tokens"),
+                                          F.max(piece).alias("longest"), F.min(piece).alias("shortest"), F.count(F.when(piece * 2 > capacity, 1)).alias("big"),
+                                          F.sum("length").alias("total")).orderBy("part").collect()
+        if last:
+            discard(last)
+        last = swept
+        runs, taken, stay = between([(r["part"], r["pieces"], r["places"]) for r in parts])
         bases, above = [], 0  # places from the longest down
         for part in sorted(stay, reverse=True):
             bases.append((part, stay[part], above))
             above += stay[part]
-        met = swept.where("state = 0").select("pid", "length", "seq", "gap")
+        met = swept.where("state = 0 or state = 2").select(F.when(F.col("state") == 0, F.col("pid")).alias("pid"), "length", "seq", "gap")
         if runs:
             of = swept.where("state = 1").join(small(runs, "part int, low long, high long, at int, first long"), "part").where("rank >= low and rank < high").select(
                 "at", (F.col("first") + F.col("high") - 1 - F.col("rank")).alias("nth"), "pid", "length")
@@ -143,30 +152,24 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             met = met.unionByName(of.join(to, ["at", "nth"]).select("pid", "length", "seq", "gap"))
         rest = swept.where("state = 1").join(small(bases, "part int, stay long, above long"), "part").where("rank < stay").select(
             "pid", "length", (F.col("above") + F.col("stay") - 1 - F.col("rank")).alias("nth"))
-        here, new = look(rest), 0
-        if here[0] and total - here[1] <= PROGRESS * total:
-            new = max(1, int(OPENED * max(here[4], -(-here[1] // capacity))))
+        # A range holds like lengths: what stays of it is told by its mean.
+        here = [r for r in parts if stay.get(r["part"])]
+        tokens, new = sum(r["tokens"] * stay[r["part"]] // r["pieces"] for r in here), 0
+        if above and tokens >= (1 - PROGRESS) * sum(r["total"] for r in parts):
+            big = sum(min(r["big"], stay[r["part"]]) for r in here)
+            new = min(above, max(1, int(OPENED * max(big, -(-tokens // capacity)))))
             met = met.unionByName(rest.where(F.col("nth") < new).select("pid", "length", (F.col("nth") + opened).alias("seq"), F.lit(capacity).cast("long").alias("gap")))
-        before = Window.partitionBy("seq").orderBy(F.desc("length"), "pid").rowsBetween(Window.unboundedPreceding, -1)
-        now = written(met.select("pid", "length", "seq", "gap", (capacity - F.col("gap") + F.coalesce(F.sum("length").over(before), F.lit(0))).alias("offset")), "placed")
-        placed.append(now)
-        used = now.groupBy("seq").agg(F.sum("length").alias("used"), F.min("gap").alias("was"))
-        narrowed = used.select("seq", (F.col("was") - F.col("used")).alias("gap"))
-        if gaps is not None:
-            narrowed = gaps.join(used, "seq", "left_anti").select("seq", "gap").unionByName(narrowed)
-        old += [swept] if gaps is None else [swept, gaps]
-        gaps = written(narrowed.where(F.col("gap") >= shortest), "gaps")
-        opened, left = opened + new, rest.where(F.col("nth") >= new).select("pid", "length")
-        count, total, longest, shortest, _ = look(left) if new else here
-        for table in old[:-2]:  # what is left is read from the last sweep
-            discard(table)
-        old = old[-2:]
-    for table in old:
-        discard(table)
-    out = [p.select("pid", F.col("seq").alias("sequence_id"), "offset") for p in placed]
-    while len(out) > 1:
-        out = [a.unionByName(b) for a, b in zip(out[::2], out[1::2])] + out[len(out) // 2 * 2:]
-    return out[0] if out else pieces.select("pid", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+        of_seq = Window.partitionBy("seq").orderBy(F.col("pid").isNull(), F.desc("length"), "pid")
+        before = F.coalesce(F.sum("length").over(of_seq.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        met = met.select("pid", "length", "seq", (F.col("gap") - before).alias("room"), F.row_number().over(of_seq).alias("nth"), F.count("*").over(Window.partitionBy("seq")).alias("rows"))
+        states.append(written(met.where("pid is not null or nth = rows").select("pid", "seq", (capacity - F.col("room")).alias("offset"), F.when(F.col("nth") == F.col("rows"), F.col("room") - F.col("length")).alias("gap")), "placed"))
+        longest, shortest = max((r["longest"] for r in here), default=0), min((r["shortest"] for r in here), default=1)
+        gaps = states[-1].where(F.col("gap") >= shortest).select("seq", "gap")
+        count, opened, left = above - new, opened + new, rest.where(F.col("nth") >= new).select("pid", "length")
+    if last:
+        discard(last)
+    out = [p.where("pid is not null").select("pid", F.col("seq").alias("sequence_id"), "offset") for p in states]
+    return reduce(DataFrame.unionByName, out) if out else pieces.select("pid", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
