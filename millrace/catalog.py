@@ -29,13 +29,16 @@ LEVELS = {"ECONOMY": "intern", "LARGE": "entry", "MEDIUM": "mid", "PROMO": "seni
 ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round(l_extendedprice * 100) as bigint))"
 
 
-def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def postings(spark: SparkSession, sf_dir: str, intents: tuple[Intent, ...] = ()) -> DataFrame:
+    """Order lines as postings. Texts are normalised, and scored for intents, once per part, before lines meet their parts."""
     lines = table(spark, sf_dir, "lineitem")
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     level = F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv])[F.col("p_type")]
+    parts = score.prepare(table(spark, sf_dir, "part").select(
+        "p_partkey", F.col("p_name").alias("title"), F.col("p_brand").alias("company"), F.array(F.lower("p_type")).alias("skills"),
+        F.array().cast("array<string>").alias("tags"), F.lit("").alias("summary"), F.lit("").alias("description"), level.alias("seniority")))
+    parts = parts.withColumns({f"base {q.normalised}": score.text_score(q) for q in intents}) if intents else parts
     return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.expr(ID).alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("company"), F.array(F.lower("p_type")).alias("skills"),
-        F.array().cast("array<string>").alias("tags"), F.lit("").alias("summary"), F.lit("").alias("description"), level.alias("seniority"),
+        F.expr(ID).alias("id"), *[c for c in parts.columns if c != "p_partkey"],
         F.col("l_shipdate").alias("posted_at"), F.col("l_extendedprice").alias("pay"), F.col("l_returnflag").alias("currency"), F.col("l_suppkey").alias("suppkey"))
 
 
@@ -46,6 +49,7 @@ POSTINGS_SQL = f"""SELECT {ID.replace("round(l_extendedprice * 100)", "round(l_e
 RING = Intent("red ring", ("red", "ring"), "ring", ("red ring", "hot ring", "red plate"), ("economy", "promo"), ("cold gear", "red gear"), "senior")
 GEAR = Intent("cold gear", ("cold", "gear"), "gear", ("cold gear", "old gear"), ("small",), ("red ring",), "")
 BOLT = Intent("blue bolt", ("blue", "bolt"))
+HOT = Intent("hot rod", ("hot", "rod"))
 
 
 def _score_sql(q: Intent, body: bool = True) -> str:
@@ -69,44 +73,44 @@ def _score_sql(q: Intent, body: bool = True) -> str:
 
 
 def _scored(df: DataFrame, q: Intent, **more) -> DataFrame:
-    return df.withColumn("score", score.relevance(q, _now(), ts=F.col("posted_at"), **more))
+    return df.withColumn("score", score.relevance(q, _now(), ts=F.col("posted_at"), base=F.col(f"base {q.normalised}"), **more))
 
 
 def rank_topk(spark, sf_dir):
-    found = _scored(score.prepare(postings(spark, sf_dir)), RING)
+    found = _scored(postings(spark, sf_dir, (RING,)), RING)
     return rank.top(found, 50).select("id", "title", "score")
 
 
 def rank_full_score(spark, sf_dir):
     places = (table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
               .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", "n_name", "r_name"))
-    rows = score.prepare(postings(spark, sf_dir).join(places, F.col("suppkey") == F.col("s_suppkey"), "left"))
+    rows = postings(spark, sf_dir, (RING,)).join(places, F.col("suppkey") == F.col("s_suppkey"), "left")
     where = F.when(F.col("n_name") == "NATION_7", "exact").when(F.col("r_name") == "ASIA", "metro").otherwise("")
     found = _scored(rows, RING, level=F.col("seniority"), noise=rank.noise_title(F.col("title_n"), ("old rod", "new rod")), locality=where)
     return rank.top(found, 80).select("id", "title", "score")
 
 
 def union_of_topk(spark, sf_dir):
-    rows = score.prepare(postings(spark, sf_dir))
-    return rank.union_best([rank.top(_scored(rows, q), 40).select("id", "score") for q in (RING, GEAR, BOLT)])
+    queries = (RING, GEAR, BOLT)
+    scores = {q.normalised: score.relevance(q, _now(), ts=F.col("posted_at"), base=F.col(f"base {q.normalised}")) for q in queries}
+    return rank.union_best([rank.top_each(postings(spark, sf_dir, queries), scores, 40)])
 
 
 def relevance_floor(spark, sf_dir):
-    rows = score.prepare(postings(spark, sf_dir).where("pay > 95000"))
-    found = _scored(rows, Intent("hot rod", ("hot", "rod")))
+    found = _scored(postings(spark, sf_dir, (HOT,)), HOT)
     return rank.relevance_floor(found, order=("id",)).select("id", "score", "strong_count", "relaxed")
 
 
 def sort_salary_fx(spark, sf_dir):
     fx = {"A": 84.0, "N": 91.0}
     rupees = text.in_rupees(F.col("pay"), F.col("currency"), fx)
-    rows = postings(spark, sf_dir).where(F.coalesce(rupees >= 5_000_000, F.lit(False))).withColumn("rupees", F.round(rupees, 2))
-    return rows.orderBy(F.desc("rupees"), "id").limit(100).select("id", "rupees")
+    rows = postings(spark, sf_dir).where(rank.min_salary(F.col("pay"), F.col("currency"), 5_000_000, fx)).withColumn("rupees", F.round(rupees, 2)).withColumn("score", F.lit(0.0))
+    return rows.orderBy(*rank.sort_by("salary", salary=F.col("rupees"))).limit(100).select("id", "rupees")
 
 
 def budgeted_topn(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    return rank.top_per_group(docs.where("n_chars < 800"), ["source"], ["doc_id"], 10)
+    return rank.top_per_group(docs, ["source"], ["doc_id"], 10)
 
 
 def age_filter(spark, sf_dir):
@@ -257,9 +261,11 @@ def toggle_marks(spark, sf_dir):
 
 
 def tracker_upsert(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    early = corpus.latest(e.where("event_id < 500"), ["user_id"], [F.desc("event_id")])
-    return corpus.upsert_by_key(early, e.where("event_id >= 500 and event_type <> 'view'"), "user_id", [F.desc("event_id")])
+    """The first fortnight's last mark of each user is stored, all later events come in."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
+    cut = F.expr("TIMESTAMP_NTZ '2024-01-15 00:00:00'")
+    order = [F.desc("ts"), F.desc("event_id")]
+    return corpus.upsert_by_key(corpus.latest(e.where(F.col("ts") < cut), ["user_id"], order), e.where(F.col("ts") >= cut), "user_id", order)
 
 
 def _runs(spark, sf_dir):
@@ -377,7 +383,7 @@ def emails_extract(spark, sf_dir):
 
 def relative_age_label(spark, sf_dir):
     days = F.timestamp_diff("DAY", F.col("o_orderdate"), _now()).cast("double")
-    return table(spark, sf_dir, "orders").where("o_orderdate >= TIMESTAMP_NTZ '2001-01-01 00:00:00'").select("o_orderkey", text.age_label(days).alias("age"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.age_label(days).alias("age"))
 
 
 def salary_parse(spark, sf_dir):
@@ -411,11 +417,11 @@ def slop_by_severity(spark, sf_dir):
 
 
 def repeated_verb(spark, sf_dir):
-    return quality.repeated_openers(table(spark, sf_dir, "documents").where("lang = 'en'"), "doc_id", "text")
+    return quality.repeated_openers(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-CITIES = geo.Gazetteer({"NATION_7": ("nation seven",), "NATION_2": (), "NATION_12": ()}, states=())
-PLACES = geo.Gazetteer({"delhi": ("new delhi",), "noida": ("greater noida",), "pune": ()}, {"ncr": ("delhi", "noida")}, ("maharashtra", "haryana"), {"delhi": "delhi", "pune": "maharashtra"},
+CITIES = geo.Gazetteer({"NATION_7": ("nation seven",), "NATION_2": (), "NATION_12": ()}, states={})
+PLACES = geo.Gazetteer({"delhi": ("new delhi",), "noida": ("greater noida",), "pune": ()}, {"ncr": ("delhi", "noida")}, {"maharashtra": ("maharastra",), "haryana": ()}, {"delhi": "delhi", "pune": "maharashtra"},
                        ("india",), r"\b(worldwide|anywhere)\b", r"\b(us only|usa only)\b")
 SPOTS = ["New Delhi, India", "Greater Noida", "Pune, Maharashtra", "Maharashtra", "India", "Remote", "Worldwide", "Bloomington, IN", "", "Delhi / Pune"]
 
@@ -456,7 +462,6 @@ def _top_sql(q: Intent, n: int, cols: str = "id, score") -> str:
     return f"(SELECT {cols} FROM (SELECT id, title, posted_at, round({s}, 5) AS score FROM p) WHERE score >= 0.02 ORDER BY score DESC, posted_at DESC, id LIMIT {n})"
 
 
-HOT = Intent("hot rod", ("hot", "rod"))
 QUERIES = {f.__name__: f for f in (
     rank_topk, rank_full_score, union_of_topk, relevance_floor, sort_salary_fx, budgeted_topn, age_filter, exact_dedupe_merge, fuzzy_dedupe, tag_fold, content_ids, upsert_retain, carry_forward,
     new_only, hide_marked, saved_list, toggle_marks, tracker_upsert, health_rollup, meta_counts, tier_summary, count_by_source, marks_by_kind, facet_city, facet_role, facet_values, board_audit,
@@ -467,12 +472,12 @@ SQL = {
     "rank_topk": f"WITH p AS ({POSTINGS_SQL}) SELECT * FROM {_top_sql(RING, 50, 'id, title, score')}",
     "rank_full_score": _full_sql(),
     "union_of_topk": f"WITH p AS ({POSTINGS_SQL}) SELECT id, max(score) AS score FROM (SELECT * FROM {_top_sql(RING, 40)} UNION ALL SELECT * FROM {_top_sql(GEAR, 40)} UNION ALL SELECT * FROM {_top_sql(BOLT, 40)}) GROUP BY id",
-    "relevance_floor": f"""WITH p AS (SELECT * FROM ({POSTINGS_SQL}) WHERE pay > 95000), x AS (SELECT id, round({_score_sql(HOT).format(more='1', where='1')}, 5) AS score FROM p),
+    "relevance_floor": f"""WITH p AS ({POSTINGS_SQL}), x AS (SELECT id, round({_score_sql(HOT).format(more='1', where='1')}, 5) AS score FROM p),
       c AS (SELECT count(*) FILTER (WHERE score >= 0.35) AS strong_count, least(12, count(*) FILTER (WHERE score >= 0.22)) AS near FROM x)
       SELECT id, score, strong_count, strong_count < 5 AND near > strong_count AS relaxed FROM c, (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS n FROM x)
       WHERE CASE WHEN strong_count < 5 AND near > strong_count THEN score >= 0.22 AND n <= 12 ELSE score >= 0.35 END""",
     "sort_salary_fx": f"WITH p AS ({POSTINGS_SQL}) SELECT id, round(pay * CASE currency WHEN 'A' THEN 84.0::DOUBLE WHEN 'N' THEN 91.0::DOUBLE ELSE 1.0::DOUBLE END, 2) AS rupees FROM p WHERE pay * CASE currency WHEN 'A' THEN 84 WHEN 'N' THEN 91 ELSE 1 END >= 5000000 ORDER BY rupees DESC, id LIMIT 100",
-    "budgeted_topn": "SELECT doc_id, source, n_chars FROM documents WHERE n_chars < 800 QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 10",
+    "budgeted_topn": "SELECT doc_id, source, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 10",
     "age_filter": "SELECT o_orderkey, o_orderdate, date_diff('second', o_orderdate, TIMESTAMP '2001-07-15 12:00:00') / 86400.0 <= 30.25 AS recent FROM orders WHERE trunc(date_diff('second', o_orderdate, TIMESTAMP '2001-07-15 12:00:00') / 86400.0) <= 60",
     "exact_dedupe_merge": MERGE_SQL,
     "tag_fold": """SELECT user_id, array_to_string((list(tag ORDER BY event_id))[1:16], '|') AS tags FROM (SELECT user_id, event_id, event_type || ': ' || json_extract_string(props, '$.k') AS tag,
@@ -486,8 +491,8 @@ SQL = {
     "toggle_marks": """WITH a AS (SELECT *, event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS new FROM events),
       b AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM a), c AS (SELECT user_id, run, event_type, count(*) AS n FROM b GROUP BY ALL)
       SELECT user_id, event_type FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY run DESC) = 1 AND n % 2 = 1""",
-    "tracker_upsert": """WITH early AS (SELECT user_id, event_id, event_type FROM events WHERE event_id < 500 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1),
-      late AS (SELECT user_id, event_id, event_type FROM events WHERE event_id >= 500 AND event_type <> 'view' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+    "tracker_upsert": """WITH early AS (SELECT user_id, event_id, event_type, ts FROM events WHERE ts < TIMESTAMP '2024-01-15' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
+      late AS (SELECT user_id, event_id, event_type, ts FROM events WHERE ts >= TIMESTAMP '2024-01-15' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
       SELECT * FROM late UNION ALL SELECT * FROM early WHERE user_id NOT IN (SELECT user_id FROM late)""",
     "health_rollup": f"WITH {RUNS_SQL} SELECT source, sum(jobs_found)::BIGINT AS jobs_found, sum(duration_ms)::BIGINT AS duration_ms, bool_or(ok) AS ok, CASE WHEN bool_or(ok) THEN '' ELSE coalesce(arg_max(error, seq) FILTER (WHERE error <> ''), '') END AS error FROM runs GROUP BY source",
     "meta_counts": f"WITH {RUNS_SQL}, h AS (SELECT source, bool_or(ok) AS ok FROM runs GROUP BY source) SELECT (SELECT count(*) FROM documents) AS total, (SELECT count(*) FROM documents WHERE lang = 'en') AS tier1, (SELECT count(*) FROM documents WHERE n_chars > 1000) AS enriched, count(*) FILTER (WHERE ok) AS sources_ok, count(*) FILTER (WHERE NOT ok) AS sources_failed FROM h",
@@ -505,7 +510,7 @@ SQL = {
     "normalise_labels": NORMALISE_SQL,
     "clean_urls": "SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url, CASE WHEN d = 'example.net' OR d LIKE '%.example.net' THEN '' ELSE d END AS domain FROM (SELECT *, regexp_replace(lower(regexp_extract(url, '://([^/?#:]+)', 1)), '^www\\.', '') AS d FROM pages)",
     "emails_extract": r"SELECT doc_id, array_to_string(e, ',') AS emails FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}'), lambda x: lower(x)) AS a, list_filter(a, lambda x, i: list_position(a, x) = i) AS e FROM documents) WHERE len(e) > 0",
-    "relative_age_label": f"SELECT o_orderkey, CASE WHEN n <= 0 THEN 'today' WHEN n = 1 THEN 'yesterday' WHEN n < 7 THEN n || 'd ago' WHEN n < 30 THEN (n // 7) || 'w ago' ELSE (n // 30) || 'mo ago' END AS age FROM (SELECT o_orderkey, date_diff('day', o_orderdate, TIMESTAMP '{AS_OF}') AS n FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01')",
+    "relative_age_label": f"SELECT o_orderkey, CASE WHEN n <= 0 THEN 'today' WHEN n = 1 THEN 'yesterday' WHEN n < 7 THEN n || 'd ago' WHEN n < 30 THEN (n // 7) || 'w ago' ELSE (n // 30) || 'mo ago' END AS age FROM (SELECT o_orderkey, date_diff('day', o_orderdate, TIMESTAMP '{AS_OF}') AS n FROM orders)",
     "salary_parse": """SELECT p_partkey, CASE WHEN ok THEN lo END AS salary_min, CASE WHEN ok THEN hi END AS salary_max, CASE WHEN ok THEN cur END AS salary_currency FROM (
       SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_size * 100000.0::DOUBLE WHEN 1 THEN (p_size + 60) * 1000.0::DOUBLE ELSE p_size * 12000.0::DOUBLE END AS lo,
         CASE p_size % 3 WHEN 0 THEN (p_size + 5) * 100000.0::DOUBLE WHEN 1 THEN (p_size + 60) * 1000.0::DOUBLE ELSE p_size * 12000.0::DOUBLE END AS hi, CASE p_size % 3 WHEN 1 THEN 'USD' ELSE 'INR' END AS cur,
@@ -515,6 +520,6 @@ SQL = {
     "slop_penalty": r"""SELECT doc_id, c AS penalty, round(greatest(0.0::DOUBLE, 20.0::DOUBLE - c), 1) AS points, CASE WHEN round(20.0::DOUBLE - c, 1) >= 15 THEN 'good' WHEN round(20.0::DOUBLE - c, 1) >= 5 THEN 'fair' ELSE 'poor' END AS band FROM (
       SELECT doc_id, least(20.0::DOUBLE, 3.0::DOUBLE * len(regexp_extract_all(text, '(?i)\bthe and\b')) + 1.5::DOUBLE * len(regexp_extract_all(text, 'tion[ .,]')) + 0.5::DOUBLE * len(regexp_extract_all(text, ','))) AS c FROM documents)""",
     "slop_by_severity": r"SELECT 'high' AS severity, sum(len(regexp_extract_all(text, '(?i)\bthe and\b')))::BIGINT AS n FROM documents UNION ALL SELECT 'medium', sum(len(regexp_extract_all(text, 'tion[ .,]')))::BIGINT FROM documents UNION ALL SELECT 'low', sum(len(regexp_extract_all(text, ',')))::BIGINT FROM documents",
-    "repeated_verb": r"SELECT doc_id, opener, count(*) AS times FROM (SELECT doc_id, lower(regexp_extract(unnest(string_split(text, chr(10))), '^\s*[-*•]?\s*([A-Za-z]+)', 1)) AS opener FROM documents WHERE lang = 'en') WHERE opener <> '' GROUP BY ALL HAVING count(*) >= 3",
+    "repeated_verb": r"SELECT doc_id, opener, count(*) AS times FROM (SELECT doc_id, lower(regexp_extract(unnest(string_split(text, chr(10))), '^\s*[-*•]?\s*([A-Za-z]+)', 1)) AS opener FROM documents) WHERE opener <> '' GROUP BY ALL HAVING count(*) >= 3",
     "locality": LOCALITY_SQL,
 }

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 class Gazetteer:
     cities: dict[str, tuple[str, ...]]
     metros: dict[str, tuple[str, ...]] = field(default_factory=dict)
-    states: tuple[str, ...] = ()
+    states: dict[str, tuple[str, ...]] = field(default_factory=dict)
     city_state: dict[str, str] = field(default_factory=dict)
     country: tuple[str, ...] = ()
     anywhere: str = "(?!)"
@@ -26,7 +26,7 @@ class Gazetteer:
     @staticmethod
     def from_json(text: str) -> Gazetteer:
         v = json.loads(text)
-        return Gazetteer({c: tuple(a) for c, a in v["cities"].items()}, {m: tuple(c) for m, c in v.get("metro_areas", {}).items()}, tuple(v.get("states", ())),
+        return Gazetteer({c: tuple(a) for c, a in v["cities"].items()}, {m: tuple(c) for m, c in v.get("metro_areas", {}).items()}, {s: tuple(a) for s, a in v.get("states", {}).items()},
                          v.get("city_state", {}), tuple(v.get("india_terms", v.get("country_terms", ()))), v.get("anywhere_pattern", "(?!)"), v.get("region_lock_pattern", "(?!)"))
 
     def aliases(self) -> dict[str, str]:
@@ -76,7 +76,14 @@ def same_metro(a: Column, b: Column, g: Gazetteer) -> Column:
 
 
 def states_in(text: Column, g: Gazetteer) -> Column:
-    return F.array_compact(F.array(*[F.when(F.lower(text).contains(s), F.lit(s)) for s in g.states])) if g.states else F.array().cast("array<string>")
+    """The states that text names by any of their aliases."""
+    held = []
+    for state, aliases in g.states.items():
+        hit = F.lower(text).contains(state)
+        for a in aliases:
+            hit = hit | F.lower(text).contains(a)
+        held.append(F.when(hit, F.lit(state)))
+    return F.array_compact(F.array(*held)) if held else F.array().cast("array<string>")
 
 
 def _is_in(text: Column, names) -> Column:

@@ -1,4 +1,4 @@
-"""Markup to text. Tag-free text stays in generated code; the rest goes through one parser, in Arrow batches."""
+"""Markup to text, through one parser, in Arrow batches; text without tags is only unescaped there."""
 
 from __future__ import annotations
 

@@ -19,10 +19,19 @@ class Rule:
 
 
 def rule_hits(docs: DataFrame, rules: list[Rule], id_col: str, text_col: str) -> DataFrame:
-    """One row per match: id, rule, severity, excerpt, nth of that rule in the text."""
+    """One row per match: id, rule, severity, excerpt, nth of that rule in the text, and its start and end in characters from 0."""
     def matches(r: Rule) -> Column:
-        return F.transform(F.regexp_extract_all(F.col(text_col), F.lit(f"({r.pattern})"), 1), lambda m, i: F.struct(
-            F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), m.alias("excerpt"), (i + 1).alias("nth")))
+        # What stands between the matches, and the matches, tell where each begins. Patterns match one character at least.
+        both = F.struct(F.regexp_extract_all(F.col(text_col), F.lit(r.pattern), 0).alias("hit"), F.split(text_col, r.pattern, -1).alias("gap"))
+        chars = lambda parts: F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x))
+
+        def place(b: Column) -> Column:
+            return F.transform(b["hit"], lambda m, i: F.struct(
+                F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), m.alias("excerpt"), (i + 1).alias("nth"),
+                (chars(F.slice(b["gap"], 1, i + 1)) + chars(F.slice(b["hit"], 1, i))).alias("start"),
+                (chars(F.slice(b["gap"], 1, i + 1)) + chars(F.slice(b["hit"], 1, i + 1))).alias("end")))
+
+        return F.transform(F.array(both), place)[0]
 
     found = [matches(r) for r in rules]
     return docs.select(id_col, F.explode(F.concat(*found)).alias("hit")).select(id_col, "hit.*")

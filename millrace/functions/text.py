@@ -87,10 +87,13 @@ def band_seniority(years: Column) -> Column:
 
 
 def extract_skills(text: Column, vocabulary: list[str], limit: int = 10) -> Column:
-    """The first limit phrases of the vocabulary, longest first, that text (normalised) holds between non-alphanumerics."""
+    """The first limit phrases of the vocabulary, longest first, that text (normalised) holds between non-alphanumerics.
+
+    The text is made once, and a pattern is tried only where the phrase occurs at all."""
     phrases = sorted(dict.fromkeys(vocabulary), key=lambda k: -len(k))
-    held = [F.when(text.rlike(r"(?<![a-z0-9])\Q" + p + r"\E(?![a-z0-9])"), F.lit(p)) for p in phrases]
-    return F.slice(F.array_compact(F.array(*held)), 1, limit) if held else F.array().cast("array<string>")
+    hold = lambda t, p: t.contains(p) & t.rlike(r"(?<![a-z0-9])\Q" + p + r"\E(?![a-z0-9])")
+    found = lambda t: F.slice(F.array_compact(F.array(*[F.when(hold(t, p), F.lit(p)) for p in phrases])), 1, limit)
+    return F.transform(F.array(text), found)[0] if phrases else F.array().cast("array<string>")
 
 
 def slugify(text: Column) -> Column:

@@ -58,13 +58,18 @@ class Intent:
     seniority: str = ""
 
 
+def terms_of(normalised: str) -> tuple[str, ...]:
+    """Words of more than one character."""
+    return tuple(t for t in normalised.split() if len(t) > 1)
+
+
 def for_family(family: Family, vocabulary: Vocabulary, normalised: str = "", seniority: str = "") -> Intent:
     """The intent of a role: siblings' own names are rivals unless they are names of this one too."""
     names = tuple(dict.fromkeys(normalise(p) for p in family.canonical + family.aliases))
     siblings = [f for f in vocabulary.families if f.id in family.confused_with]
     rivals = tuple(dict.fromkeys(r for f in siblings for p in f.canonical if (r := normalise(p)) not in names))
     wanted = normalised or normalise(family.canonical[0])
-    return Intent(wanted, tuple(wanted.split()), family.id, names, tuple(normalise(s) for s in family.skills), rivals, seniority)
+    return Intent(wanted, terms_of(wanted), family.id, names, tuple(normalise(s) for s in family.skills), rivals, seniority)
 
 
 def query_seniority(query: str, vocabulary: Vocabulary) -> str:
@@ -80,4 +85,4 @@ def understand(query: str, vocabulary: Vocabulary) -> Intent:
     level = query_seniority(text, vocabulary)
     if held:
         return for_family(max(held, key=lambda h: h[:2])[2], vocabulary, text, level)
-    return Intent(text, tuple(text.split()), seniority=level)
+    return Intent(text, terms_of(text), seniority=level)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import in_rupees
+from millrace.functions.text import FX_TO_INR, in_rupees
 
 
 def within_age(ts: Column, as_of: Column, most_days: int) -> Column:
@@ -21,8 +21,8 @@ def younger_than(ts: Column, as_of: Column, days: float) -> Column:
     return F.coalesce(age, F.lit(999.0)) <= days
 
 
-def min_salary(amount: Column, currency: Column, least: float) -> Column:
-    return F.coalesce(in_rupees(amount, currency) >= least, F.lit(False))
+def min_salary(amount: Column, currency: Column, least: float, fx: dict[str, float] = FX_TO_INR) -> Column:
+    return F.coalesce(in_rupees(amount, currency, fx) >= least, F.lit(False))
 
 
 def has_all(text: Column, terms: list[str]) -> Column:
@@ -40,9 +40,19 @@ def looks_blocked(html: Column, status: Column, markers: tuple[str, ...], status
 
 
 def top(scored: DataFrame, limit: int, least: float = 0.02, score: str = "score", ts: str = "posted_at", key: str = "id") -> DataFrame:
-    """Score at least `least`, best first, then newest, then by key; 0 is no limit. Spark plans this as a take, not a sort."""
-    out = scored.where(F.col(score) >= least).orderBy(F.desc(score), F.desc(ts), key)
-    return out.limit(limit) if limit else out
+    """Score at least `least`, best first, then newest, then by key; 0 is no limit. Spark plans this as a take, not a sort.
+
+    The floor comes after the take, where the optimiser cannot copy the score into a filter over all rows."""
+    ordered = scored.orderBy(F.desc(score), F.desc(ts), key)
+    return (ordered.limit(limit) if limit else ordered).where(F.col(score) >= least)
+
+
+def top_each(rows: DataFrame, scores: dict[str, Column], limit: int, least: float = 0.02, ts: str = "posted_at", key: str = "id") -> DataFrame:
+    """(query, key, score): of every query the rows that top() gives, in one pass over rows."""
+    each = F.array(*[F.struct(F.lit(q).alias("query"), s.alias("score")) for q, s in scores.items()])
+    long = rows.select(F.col(key), F.col(ts).alias("ts_"), F.explode(each).alias("s_")).select(key, "ts_", "s_.query", "s_.score").where(F.col("score") >= least)
+    best = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("ts_"), key)
+    return long.withColumn("n_", F.row_number().over(best)).where(F.col("n_") <= limit).select("query", key, "score")
 
 
 def union_best(results: list[DataFrame], key: str = "id", score: str = "score") -> DataFrame:

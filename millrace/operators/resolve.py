@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,28 +74,43 @@ def merge(rows: DataFrame, key: list[str], pos: list[str]) -> DataFrame:
                       fold_tags(F.col("records_"), F.col("source")).alias("tags")).select(*rows.columns)
 
 
+def _sorted_words(s: str) -> str:
+    return " ".join(sorted(s.split()))
+
+
+def _common(x: str, y: str) -> int:
+    """Length of the longest common subsequence: one row of the table of lengths is one number's bits."""
+    masks: dict[str, int] = {}
+    for j, d in enumerate(y):
+        masks[d] = masks.get(d, 0) | 1 << j
+    row = 0
+    for c in x:
+        take = row | masks.get(c, 0)
+        row = take & ((take - ((row << 1) | 1)) ^ take)
+    return row.bit_count()
+
+
 def token_sort_ratio(a: str, b: str) -> float:
     """100 * 2 * (longest common subsequence) / (lengths), of the words in sorted order."""
-    x, y = (" ".join(sorted(s.split())) for s in (a, b))
-    if not x and not y:
-        return 100.0
-    row = [0] * (len(y) + 1)
-    for c in x:
-        last = 0
-        for j, d in enumerate(y, 1):
-            last, row[j] = row[j], last + 1 if c == d else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(x) + len(y))
+    x, y = _sorted_words(a), _sorted_words(b)
+    return 200.0 * _common(x, y) / (len(x) + len(y)) if x or y else 100.0
 
 
 def _leaders(least: float):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        leaders, out = [], []
+        leaders, known, out = [], {}, []
         for title, k in zip(*(group.sort_values("k_")[c] for c in ("title_k", "k_"))):
-            n = len(title)
-            found = next((lk for lt, lk in leaders if n + len(lt) == 0 or (200 * min(n, len(lt)) / (n + len(lt)) >= least and token_sort_ratio(title, lt) >= least)), None)
-            if found is None:
-                leaders.append((title, k))
-            out.append((group["company_k"].iloc[0], title, found if found is not None else k))
+            x = _sorted_words(title)
+            n, chars = len(x), Counter(x)
+            if x not in known:  # equal words in another order lead to the same leader
+                # Lengths, then letters in common, bound the ratio from above; few pairs are left for the comparison itself.
+                known[x] = next((lk for y, m, other, lk in leaders if n + m == 0 or (200 * min(n, m) >= least * (n + m) and 200 * (chars & other).total() >= least * (n + m)
+                                                                                     and 200.0 * _common(x, y) / (n + m) >= least)), None)
+                if known[x] is None:
+                    leaders.append((x, n, chars, k))
+                    known[x] = k
+            found = known[x]
+            out.append((group["company_k"].iloc[0], title, found))
         return pd.DataFrame(out, columns=["company_k", "title_k", "leader_k"])
 
     return run

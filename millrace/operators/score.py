@@ -78,9 +78,8 @@ def seniority_fit(level: Column, wanted: str) -> Column:
     return F.when(rungs == 0, 1.0).otherwise(1.0 - F.least(F.lit(MOST_STEPS), away * STEP))
 
 
-def relevance(intent: Intent, as_of: Column, *, ts: Column, level: Column | None = None, noise: Column | None = None, locality: Column | None = None,
-              remote_only: bool = False, remote: Column | None = None, description: Column | None = None, profile: str = "batch", digits: int | None = 5) -> Column:
-    """Score of a prepare()d row. locality is the kind of place match, where the query names a place."""
+def text_score(intent: Intent) -> Column:
+    """What a prepare()d row's texts alone are worth. Where many postings share texts, compute it once for each before they meet."""
     title, hay, company = F.col("title_n"), F.col("hay_n"), F.col("company_n")
     tier, backing = title_tier(title, intent), support(hay, company, intent)
     words = F.split(hay, " ")
@@ -90,6 +89,13 @@ def relevance(intent: Intent, as_of: Column, *, ts: Column, level: Column | None
     base = F.when(tier > 0, tier + backing + FOCUS * title_focus(title, intent)).when(all_in_body, BODY_TERMS + backing).when(backing > TERM, BODY + backing).otherwise(0.0)
     if intent.family and intent.rivals:
         base = base * F.when(_any_in(title, intent.rivals) & ~_any_in(title, intent.aliases), RIVAL).otherwise(1.0)
+    return base
+
+
+def relevance(intent: Intent, as_of: Column, *, ts: Column, level: Column | None = None, noise: Column | None = None, locality: Column | None = None, remote_only: bool = False,
+              remote: Column | None = None, description: Column | None = None, profile: str = "batch", digits: int | None = 5, base: Column | None = None) -> Column:
+    """Score of a prepare()d row. locality is the kind of place match, where the query names a place; base, text_score() if it is known."""
+    base = text_score(intent) if base is None else base
     if noise is not None:
         base = base * F.when(noise, NOISE).otherwise(1.0)
     if level is not None:

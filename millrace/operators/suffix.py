@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 def longest_suffix(rows: DataFrame, slug: str, dictionary: DataFrame, name: str, most_words: int = 8) -> DataFrame:
     """rows with matched (the longest run of trailing words, at most most_words, that is in dictionary.name) and rest (one word at least); others go.
 
-    Each row offers its suffixes to an equi-join; Spark broadcasts the dictionary if it is small and shuffles otherwise."""
+    Repeated rows stay repeated. Each row offers its suffixes to an equi-join; Spark broadcasts the dictionary if it is small and shuffles otherwise."""
     words = F.split(slug, "-")
     sizes = F.sequence(F.lit(1), F.least(F.lit(most_words), F.greatest(F.size(words) - 1, F.lit(1))))
-    offers = rows.where(F.size(words) > 1).select("*", F.explode(F.transform(sizes, lambda n: F.struct(
+    kept = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    offers = rows.where(F.size(words) > 1).select(kept.alias("row_"), F.monotonically_increasing_id().alias("nth_"), F.col(slug)).select("row_", "nth_", F.explode(F.transform(sizes, lambda n: F.struct(
         n.alias("n"), F.array_join(F.slice(words, F.size(words) - n + 1, n), "-").alias("matched"),
         F.array_join(F.slice(words, 1, F.size(words) - n), "-").alias("rest")))).alias("o"))
     found = offers.join(dictionary.select(F.col(name).alias("entry_")).distinct(), F.col("o.matched") == F.col("entry_"))
     best = F.max_by(F.struct("o.matched", "o.rest"), F.col("o.n"))
-    return found.groupBy(*rows.columns).agg(best.alias("b")).select(*rows.columns, "b.matched", "b.rest")
+    return found.groupBy("nth_").agg(F.first("row_").alias("row_"), best.alias("b")).select("row_.*", "b.matched", "b.rest")
 
 
 def strip_places(slug, places: list[str]):

@@ -19,11 +19,10 @@ def union_sources(parts: list[DataFrame]) -> DataFrame:
 
 
 def ranked_union(postings: DataFrame, intents: list[Intent], as_of: Column, limit: int = 400) -> DataFrame:
-    """Postings that any query ranks among its first, each with its best score. The normalised texts are made once."""
-    rows = score.prepare(postings)
+    """Postings that any query ranks among its first, each with its best score. One pass scores all queries."""
     ts = F.coalesce("posted_at", "first_seen_at")
-    results = [rank.top(rows.withColumn("score", score.relevance(q, as_of, ts=ts)), limit) for q in intents]
-    return postings.join(rank.union_best(results), "id")
+    scores = {str(i): score.relevance(q, as_of, ts=ts) for i, q in enumerate(intents)}
+    return postings.join(rank.union_best([rank.top_each(score.prepare(postings), scores, limit)]), "id")
 
 
 def run(incoming: DataFrame, stored: DataFrame, intents: list[Intent], as_of: Column, ranking: list[str] = resolve.SOURCE_RANK, days: int = 60, limit: int = 400) -> DataFrame:

@@ -20,7 +20,9 @@ def register(cls: type) -> type:
 class LandedPayloads(DataSource):
     """spark.read.format("landed").option("boards", "token=path,token=path").option("source", name).load(): one row per board.
 
-    A board that cannot be read gives a null payload, which counts as blocked."""
+    The paths are local ones, which every executor must see: a folder that all share. A board whose file is missing gives a null payload, which
+    counts as blocked, only with the option missing=blocked; else the read fails. Bytes that are no UTF-8 are replaced. In stores
+    that only Spark reads, landed() of payloads.py does the same."""
 
     @classmethod
     def name(cls) -> str:
@@ -41,6 +43,7 @@ class _Board(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.source, self.boards = options.get("source", ""), options.get("boards", "")
+        self.lenient = options.get("missing", "") == "blocked"
 
     def partitions(self):
         return [_Board(*b.split("=", 1)) for b in self.boards.split(",") if "=" in b] or [_Board("", "")]
@@ -49,8 +52,10 @@ class _Reader(DataSourceReader):
         if not partition.path:
             return
         try:
-            with open(partition.path, encoding="utf-8") as f:
+            with open(partition.path, encoding="utf-8", errors="replace") as f:
                 payload = f.read()
-        except OSError:
+        except FileNotFoundError:
+            if not self.lenient:
+                raise
             payload = None
         yield self.source, partition.token, partition.token, payload

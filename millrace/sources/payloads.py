@@ -97,6 +97,16 @@ FEEDS = {
 }
 
 
+def landed(spark, folder: str, source: str, boards: dict[str, str]) -> DataFrame:
+    """The landing table of files folder/<token>.<any ending>, wherever Spark can read: one row per board of boards (token -> company).
+
+    A board without a file has a null payload, which counts as blocked."""
+    found = spark.read.format("binaryFile").load(folder).select(
+        F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("token"), F.make_valid_utf8(F.col("content").cast("string")).alias("payload"))
+    asked = spark.createDataFrame(list(boards.items()), "token string, company string")
+    return asked.join(found, "token", "left").select(F.lit(source).alias("source"), "token", "company", "payload")
+
+
 def postings_of(landed: DataFrame, source: str, tier: str = "tier1") -> DataFrame:
     """The postings in one source's landed JSON payloads (for weworkremotely: {"item": [...]} as rss_items() lands it)."""
     feed = FEEDS[source]
@@ -139,13 +149,16 @@ def request_plan(sources: DataFrame, queries: DataFrame) -> DataFrame:
     return whole.unionByName(each.select("source", "keyword", F.explode(F.sequence(F.lit(1), "pages")).alias("page")))
 
 
-def cached_listings(pages: DataFrame, listing: str, company: str) -> DataFrame:
+def cached_listings(pages: DataFrame, listing: str, company: str, order: str | None = None) -> DataFrame:
     """Listings of a page's object cache joined to the companies that they refer to; those without one go.
 
-    pages: (payload) with a JSON map of objects by "Kind:id"; the last object of a reference wins."""
-    objects = pages.select(F.explode(F.from_json("payload", "map<string, string>")).alias("ref", "body"))
-    side = lambda kind: objects.where(F.col("ref").startswith(kind + ":")).select(F.substring_index("ref", ":", -1).alias("id"), "body")
-    companies = side(company).groupBy("id").agg(F.last("body").alias("owner"))
+    pages: (payload) with a JSON map of objects by "Kind:id"; the last object of a reference wins: the one of the page that is
+    last by the column order (of several such pages, or without it, the greatest text)."""
+    place = F.col(order) if order else F.lit(0)
+    objects = pages.select(place.alias("page"), F.explode(F.from_json("payload", "map<string, string>")).alias("ref", "body"))
+    side = lambda kind: objects.where(F.col("ref").startswith(kind + ":")).groupBy(F.substring_index("ref", ":", -1).alias("id")).agg(
+        F.max_by("body", F.struct("page", "body")).alias("body"))
+    companies = side(company).withColumnRenamed("body", "owner")
     owner = F.substring_index(F.get_json_object("body", "$.startup.__ref"), ":", -1)
     return side(listing).withColumn("owner_id", owner).join(companies.withColumnRenamed("id", "owner_id"), "owner_id").select("id", "body", "owner_id", "owner")
 

@@ -1,10 +1,12 @@
-"""The corpus kept by a stream: each micro-batch is upserted, retained and swapped in.
+"""The corpus kept by a stream: each micro-batch is upserted, retained and becomes a new version.
 
-A version is written to a new folder before the pointer moves, so a batch that fails and is run again changes nothing
-twice: its version's name is its batch id."""
+A version is a folder named after its batch; it counts once Spark's commit has put _SUCCESS into it. A batch reads the
+highest version before its own, so one that failed and runs again changes nothing twice, and a crash at any moment
+leaves the last whole version in force. The two versions before a new one are kept, older ones deleted."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -12,20 +14,24 @@ from pyspark.sql import functions as F
 
 from millrace.operators import corpus
 
+KEPT = 2
 
-def _pointer(root: str) -> str:
-    return f"{root}/current"
 
+def versions(spark, root: str) -> list[int]:
+    """The finished versions, ascending."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return sorted(int(n[1:]) for n in names if re.fullmatch(r"v\d+", n) and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS")))
 
-def current(spark, root: str, schema) -> DataFrame:
-    """The corpus as the last finished batch left it; empty at first."""
-    try:
-        version = spark.read.text(_pointer(root)).first()[0]
-    except Exception as e:  # no pointer yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/{version}")
+
+def current(spark, root: str, schema, before: int | None = None) -> DataFrame:
+    """The corpus as the last finished batch (of those before a given one) left it; empty at first."""
+    found = [v for v in versions(spark, root) if before is None or v < before]
+    return spark.read.schema(schema).parquet(f"{root}/v{found[-1]}") if found else spark.createDataFrame([], schema)
 
 
 def upsert_batch(root: str, schema, order: list, days: int = 60, prepare: Callable[[DataFrame], DataFrame] | None = None):
@@ -36,9 +42,12 @@ def upsert_batch(root: str, schema, order: list, days: int = 60, prepare: Callab
         now = rows.agg(F.max("last_seen_at")).first()[0]
         if now is None:
             return
-        merged = corpus.retained(corpus.upsert(current(spark, root, schema), rows, F.lit(now)), F.lit(now), days)
+        merged = corpus.retained(corpus.upsert(current(spark, root, schema, batch_id), rows, F.lit(now)), F.lit(now), days)
         merged.write.mode("overwrite").parquet(f"{root}/v{batch_id}")
-        spark.createDataFrame([(f"v{batch_id}",)], "version string").coalesce(1).write.mode("overwrite").text(_pointer(root))
+        jvm = spark._jvm
+        for old in [v for v in versions(spark, root) if v < batch_id][:-KEPT]:
+            path = jvm.org.apache.hadoop.fs.Path(f"{root}/v{old}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     return run
 

@@ -60,7 +60,7 @@ def test_contacts(spark):
     assert values(spark, contact.build_email(F.lit("Jo"), F.lit("Li"), F.lit("x.io"), contact.address_pattern(F.col("a"))), "a.bc", "ab.cd", "ab") == ["j.li@x.io", "jo.li@x.io", "jo@x.io"]
 
 
-PLACES = geo.Gazetteer({"delhi": ("new delhi",), "noida": ("greater noida",), "pune": ()}, {"ncr": ("delhi", "noida")}, ("maharashtra",), {"pune": "maharashtra"}, ("india",), r"\bworldwide\b", r"\bus only\b")
+PLACES = geo.Gazetteer({"delhi": ("new delhi",), "noida": ("greater noida",), "pune": ()}, {"ncr": ("delhi", "noida")}, {"maharashtra": ("maharastra",)}, {"pune": "maharashtra"}, ("india",), r"\bworldwide\b", r"\bus only\b")
 
 
 def test_places(spark):

@@ -166,7 +166,10 @@ def test_comments_cards_and_caches(spark):
 def test_landed_source(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"jobs":[]}')
     spark.dataSource.register(LandedPayloads)
-    got = spark.read.format("landed").option("source", "s").option("boards", f"a={tmp_path}/a.json,b={tmp_path}/none").load()
+    boards = spark.read.format("landed").option("source", "s").option("boards", f"a={tmp_path}/a.json,b={tmp_path}/none")
+    with pytest.raises(Exception, match="No such file"):
+        boards.load().collect()
+    got = boards.option("missing", "blocked").load()
     assert {(r.token, r.payload) for r in got.collect()} == {("a", '{"jobs":[]}'), ("b", None)}
     with pytest.raises(ValueError):
         register(LandedPayloads)
@@ -193,3 +196,88 @@ def test_streamed_upsert(spark, tmp_path):
          .trigger(availableNow=True).start())
     q.awaitTermination(120)
     assert upsert.current(spark, str(tmp_path / "c"), POSTING).count() == 2
+
+
+def test_streamed_upsert_after_a_crash(spark, tmp_path):
+    """A half-written version does not count, a batch that runs again reads the version before its own, and old versions go."""
+    root, one = str(tmp_path / "c"), lambda t: jobs(spark, {"title": t}).drop("ord")
+    run = upsert.upsert_batch(root, POSTING, [F.desc("last_seen_at")])
+    run(one("A"), 0)
+    run(one("B"), 1)
+    (tmp_path / "c" / "v1" / "_SUCCESS").unlink()
+    assert {r.title for r in upsert.current(spark, root, POSTING).collect()} == {"A"}
+    run(one("B"), 1)
+    run(one("B"), 1)
+    run(one("C"), 2)
+    run(one("D"), 3)
+    assert {r.title for r in upsert.current(spark, root, POSTING).collect()} == {"A", "B", "C", "D"}
+    assert upsert.versions(spark, root) == [1, 2, 3]
+
+
+def test_longest_suffix_keeps_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, "old-red-ring"), (1, "old-red-ring")], "k int, slug string").withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    got = suffix.longest_suffix(rows, "slug", spark.createDataFrame([("ring",), ("red-ring",)], "e string"), "e").collect()
+    assert [(r.k, r.matched, r.rest, r.m) for r in got] == [(1, "red-ring", "old", {"a": 1})] * 2
+
+
+def test_terms_have_two_characters_at_least():
+    assert understand("c developer", Vocabulary()).terms == ("developer",)
+
+
+def test_rule_hits_tell_where_and_keep_back_references(spark):
+    from millrace.functions import quality
+
+    docs = spark.createDataFrame([(1, "so so it is, no no"), (2, None)], "id int, text string")
+    got = quality.rule_hits(docs, [quality.Rule("twice", "low", r"\b(\w+) \1\b")], "id", "text").orderBy("nth").collect()
+    assert [(r.excerpt, r.start, r.end) for r in got] == [("so so", 0, 5), ("no no", 13, 18)]
+
+
+def test_last_object_of_a_reference_wins_by_page(spark):
+    pages = spark.createDataFrame([(2, '{"C:1":"{\\"n\\":\\"new\\"}"}'), (1, '{"C:1":"{\\"n\\":\\"old\\"}","L:7":"{\\"startup\\":{\\"__ref\\":\\"C:1\\"}}"}')], "page int, payload string")
+    assert [r.owner for r in payloads.cached_listings(pages, "L", "C", "page").collect()] == ['{"n":"new"}']
+
+
+def test_landed_folder(spark, tmp_path):
+    (tmp_path / "a.json").write_bytes(b'{"jobs":[]}\xff')
+    got = payloads.landed(spark, str(tmp_path), "s", {"a": "A", "b": "B"}).collect()
+    assert {(r.token, r.company, (r.payload or "")[:11]) for r in got} == {("a", "A", '{"jobs":[]}'), ("b", "B", "")}
+
+
+def test_token_sort_ratio_against_the_table_of_lengths():
+    import random
+
+    def table(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            last = 0
+            for j, d in enumerate(y, 1):
+                last, row[j] = row[j], last + 1 if c == d else max(row[j], row[j - 1])
+        return row[-1]
+
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc d") for _ in range(rng.randint(0, 70))) for _ in range(2))
+        x, y = (" ".join(sorted(s.split())) for s in (a, b))
+        assert resolve.token_sort_ratio(a, b) == (200 * table(x, y) / (len(x) + len(y)) if x or y else 100)
+
+
+def test_leaders_against_comparing_all(spark):
+    import random
+
+    rng = random.Random(5)
+    titles = [" ".join(rng.sample(["data", "dato", "analyst", "analist", "senior", "lead", "x", "engineer"], rng.randint(1, 4))) for _ in range(120)]
+    rows = jobs(spark, *({"title": t, "company": "Acme"} for t in titles)).withColumn("source", F.lit("adzuna"))
+    keys, leaders = list(dict.fromkeys(titles)), []
+    for t in keys:
+        if not any(resolve.token_sort_ratio(t, other) >= resolve.ALIKE for other in leaders):
+            leaders.append(t)
+    assert resolve.resolve(rows).count() == len(leaders)
+
+
+def test_ranking_plans_normalise_once(spark):
+    from millrace import catalog
+
+    for name in ("rank_topk", "rank_full_score", "union_of_topk", "relevance_floor"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        scans = plan.count("p_partkey#") and plan.count("l_shipdate#") and sum("Relation" in line and "l_orderkey" in line for line in plan.splitlines())
+        assert 0 < plan.count("regexp_replace(") < 50 * scans, (name, scans, plan.count("regexp_replace("))
