@@ -94,9 +94,18 @@ def _usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component to about 1: exact, and squares neither overflow nor vanish."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(1, keepdims=True, initial=0))[1])
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    return _scaled(np.asarray(column.flatten(), float).reshape(len(column), -1))
+
+
 def _unit(column: pa.Array) -> np.ndarray:
-    flat = np.asarray(column.flatten(), float).reshape(len(column), -1)
-    return flat / np.linalg.norm(flat, axis=1, keepdims=True)
+    rows = _rows(column)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
 def _reach(wanted: DataFrame, entries: DataFrame, posted: DataFrame, graph: Graph, k: int, probes: int, recall: float) -> tuple[int, float]:
@@ -105,7 +114,7 @@ def _reach(wanted: DataFrame, entries: DataFrame, posted: DataFrame, graph: Grap
     if not len(asked) or len(graph.centroids) <= probes:
         return probes, PROBE_RATIO
     own = asked["rid"].to_numpy()
-    unit = np.array(asked["v"].tolist(), float)
+    unit = _scaled(np.array(asked["v"].tolist(), float))
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
 
     def best(found):
@@ -147,7 +156,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
 
     Nearness is the cosine, ties go to the smaller id; a row is not its own neighbour; with fewer candidates than k
     all are returned. Vectors that are null, zero, or hold nulls or non-finite numbers take no part, nor do those with
-    another length than most (of equally frequent lengths, the smallest) or rows with a null id. Repeated rows count once. Other columns are left out.
+    another length than most (of equally frequent lengths, the smallest) or rows with a null id. Components may be as large or small as doubles
+    are. Repeated rows count once. Other columns are left out. An empty table gives none.
     """
     spark = vectors.sparkSession
     rows = vectors.where(_usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(
@@ -162,10 +172,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
     entries = written(first.groupBy("v").agg(F.min("id").alias("rid"), F.array_sort(F.collect_list("id")).alias("ids")), "entries")
     n = entries.count()
-    lists = min(MOST_LISTS, -(-n // list_size)) if n > 4 * list_size else 1
+    lists = max(1, min(MOST_LISTS, -(-n // list_size)))
     share = int(min(1.0, lists * SAMPLE_PER_LIST / n) * (1 << 20))
     sample = entries.where(F.pmod(F.xxhash64("rid"), F.lit(1 << 20)) <= share).select("rid", "v").toPandas().sort_values("rid")
-    sample = np.array(sample["v"].tolist(), float).reshape(len(sample), -1) if len(sample) else np.ones((1, common["d"]))
+    sample = _scaled(np.array(sample["v"].tolist(), float).reshape(len(sample), -1)) if len(sample) else np.ones((1, common["d"]))
     built = build(sample / np.linalg.norm(sample, axis=1, keepdims=True), lists)
     graph = spark.sparkContext.broadcast(built)
 
@@ -206,7 +216,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
             # Rounding may differ at the edge between equals: keep all that tie with the last one kept.
             edge = np.take_along_axis(score, top, 1).min(1) - 1e-12
             row, col = np.nonzero(score >= edge[:, None])
-            a, b = (np.asarray(t.column("v").combine_chunks().flatten(), float).reshape(len(t), -1) for t in (of, among))
+            a, b = (_rows(t.column("v").combine_chunks()) for t in (of, among))
             a, b = a[row], b[col]
             out = {"q": np.asarray(of.column("rid"))[row], "rid": ids[col],
                    "score": np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))}

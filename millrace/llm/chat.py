@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+RUN = 256
 NEXT, END = "<|next|>", "<|end|>\n"
 ROLE_CODES = [("%", "%25"), ("\n", "%0A"), ("|", "%7C")]
 
@@ -48,11 +49,13 @@ def format_chat(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
     each learn_role text in its escaped form), n_turns.
 
     Rows are ordered by turn (null first), ties by role, then text; repeated rows are turns of their own. A null text
-    or role counts as empty. Rows with a null conversation form one conversation. A conversation is one output row,
-    so it has to fit in memory; there is no limit on their number. Other columns are left out. No rows give none.
+    or role counts as empty. A row with a null conversation is a conversation of its own, so that such rows, however many,
+    never meet in one group. A conversation is one output row, so it has to fit in memory; there is no limit on their
+    number. Other columns are left out. No rows give none.
     """
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
-    convs = rows.groupBy(F.col(conv_col).alias("conv_")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    alone = F.when(F.col(conv_col).isNull(), F.monotonically_increasing_id())
+    convs = rows.groupBy(F.col(conv_col).alias("conv_"), alone.alias("alone_")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     # What stands before and after each text depends on whether its neighbours have the same role.
     roles = convs.withColumn("roles", F.col("turns.role"))
     before = F.concat(F.array(F.lit(None).cast("string")), F.slice("roles", 1, F.size("roles") - 1))
@@ -64,14 +67,26 @@ def format_chat(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
         F.when(z["after"].eqNullSafe(z["turns"]["role"]), F.lit(NEXT)).otherwise(F.lit(END)).alias("tail"),
         (z["turns"]["role"] == learn_role).alias("learn")))
     placed = roles.select("conv_", F.explode(F.array(parts)).alias("parts"))
-    spans = F.aggregate("parts", F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start: bigint, length: bigint>>)").alias("spans")), lambda acc, p: F.struct(
-        (acc["at"] + F.length(p["head"]) + F.length(p["body"]) + F.length(p["tail"])).alias("at"),
-        F.when(p["learn"], F.concat(acc["spans"], F.array(F.struct(
-            (acc["at"] + F.length(p["head"])).cast("long").alias("start"), F.length(p["body"]).cast("long").alias("length"))))).otherwise(acc["spans"]).alias("spans")))
+    # Places are summed in runs of RUN turns, so that a conversation of very many turns copies no growing list at each.
+    size = lambda p: (F.length(p["head"]) + F.length(p["body"]) + F.length(p["tail"])).cast("long")
+    total = lambda run: F.aggregate(run, F.lit(0).cast("long"), lambda a, p: a + size(p))
+    nothing = F.expr("cast(array() as array<struct<start: bigint, length: bigint>>)")
+
+    def spans_of(run: Column, at: Column) -> Column:
+        return F.aggregate(run, F.struct(at.alias("at"), nothing.alias("spans")), lambda acc, p: F.struct(
+            (acc["at"] + size(p)).alias("at"),
+            F.when(p["learn"], F.concat(acc["spans"], F.array(F.struct(
+                (acc["at"] + F.length(p["head"])).cast("long").alias("start"), F.length(p["body"]).cast("long").alias("length"))))).otherwise(acc["spans"]).alias("spans")))["spans"]
+
+    runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size("parts") / RUN).cast("int") - 1), lambda k: F.slice("parts", k * RUN + 1, RUN))
+    placed = placed.withColumn("runs", runs)
+    placed = placed.withColumn("sums", F.transform("runs", total))
+    starts = F.aggregate("sums", F.array(F.lit(0).cast("long")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    placed = placed.withColumn("spans", F.flatten(F.zip_with("runs", F.slice(starts, 1, F.size("runs")), spans_of)))
     return placed.select(
         F.col("conv_").alias(conv_col),
         F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], p["tail"])), "").alias("formatted"),
-        spans["spans"].alias("loss_spans"), F.size("parts").cast("long").alias("n_turns"))
+        F.col("spans").alias("loss_spans"), F.size("parts").cast("long").alias("n_turns"))
 
 
 def parse_chat(formatted: Column) -> Column:

@@ -315,6 +315,26 @@ def test_ann(spark):
     assert sorted(r.vec_id for r in few.collect()) == [1, 2]
 
 
+@pytest.mark.parametrize("n", [300, 2500])
+def test_ann_at_the_default_list_size(spark, n):
+    """Posting lists from the first list on; vectors of huge and tiny components, null ids and repeated rows."""
+    v = np.random.default_rng(3).normal(size=(n, 8))
+    v[7], v[9] = 1e200 * v[0], 1e-200 * v[0]
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
+    df = spark.createDataFrame(rows + rows[5:6] + [(None, rows[0][1])], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    unit, hits = v / np.abs(v).max(1, keepdims=True), 0
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    assert {i for _, i, s in sorted(got[0])[:2]} == {7, 9} and all(abs(s - 1) < 1e-12 for _, _, s in sorted(got[0])[:2])
+    for q, found in got.items():
+        score = unit @ unit[q]
+        score[q] = -2
+        hits += len({i for _, i, _ in found} & set(np.argsort(-score, kind="stable")[:5].tolist()))
+    assert hits >= 0.9 * 5 * len(range(0, n, 50))
+
+
 def test_ann_where_lists_far_outnumber_probes(spark):
     v = np.random.default_rng(1).normal(size=(6000, 64))
     df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
@@ -371,6 +391,27 @@ def test_chat_round_trip(spark):
     assert (got[2].n_turns, got[2].loss, got[None].loss) == (2, "yy", "")
 
 
+def test_chat_of_many_turns_and_rows_without_a_conversation(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"t{k}") for k in range(1500)] + [(None, 0, "assistant", "a"), (None, 0, "assistant", "b")]
+    out = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = sorted((r.conv_id or 0, r.n_turns, r.loss) for r in out.select("conv_id", "n_turns", chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect())
+    assert got == [(0, 1, "a"), (0, 1, "b"), (1, 1500, "".join(f"t{k}" for k in range(1, 1500, 2)))]
+
+
+def test_words_that_share_a_hash(spark, monkeypatch):
+    """Words are told apart by their bytes, whatever their hashes."""
+    from tokenizers import Tokenizer
+
+    tokenizer, words = Tokenizer.from_file(PATH), ["abcdefghdmbwoebiaaaaaaaa", "abcdefghjonnjjnocebziamk"]
+    head = " ".join(f"c{k}" for k in range(12))
+    got = substring_dedup.substring_dedup(documents(spark, [(k, f"{head} {w}") for k, w in enumerate(words)])).collect()
+    assert [r.n_removed for r in got] == [0, 0]
+    full, texts = bpe.word_keys, words + random_texts(20)
+    monkeypatch.setattr(bpe, "word_keys", lambda *a: full(*a) & np.uint64(3 << 62))
+    for text, ids in zip(texts, bpe.encode([t or "" for t in texts], bpe.Encoder(bpe.Vocabulary(open(PATH, encoding="utf-8").read())))):
+        assert ids.tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
 def test_bpe_equals_the_library(spark, texts):
     from tokenizers import Tokenizer
 
