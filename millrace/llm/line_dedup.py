@@ -51,7 +51,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null texts stay null with no lines, an empty text is one line; texts of any length are cut whole. Rows that
     repeat an id and its text are treated alike and both keep a first occurrence. Rows with a null id come after all
     others and are never a first occurrence, unless a chunk occurs in such rows only. Other columns pass through;
-    the names used inside end in an underscore.
+    the names used inside end in an underscore. An empty table gives none.
     """
     cut = docs.withColumn("sum_", F.xxhash64(text_col)).withColumn("chunks_", _chunks(F.col(text_col)))
     # The cut texts are written once; what follows reads of them the columns it needs.

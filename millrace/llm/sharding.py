@@ -60,7 +60,8 @@ def shard_rows(docs: DataFrame, shards: int = 8, vnodes: int = VNODES, id_col: s
     """One row per row of docs: id_col, size (UTF-8 bytes of the text plus 1), text_crc32, shard, slot (gapless in its shard).
 
     Shards' row counts differ by one at most. Null texts have no bytes and count as empty; repeated rows and null ids
-    are rows like others; equal texts stay together as far as the shares allow. Other columns are left out.
+    are rows like others; equal texts share a place on the ring, and where a place overflows its rows are dealt on by hash, so that
+    equal texts may part there. Texts of any length count whole. Other columns are left out; an empty table gives none.
     """
     bits, nodes = ring(shards, vnodes)
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -167,7 +167,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns as they are, whose score is below the threshold."""
+    """The rows of docs, all columns as they are, whose score is below the threshold. Null and empty texts have one score, long texts
+    are read whole, repeated rows go or stay together, a score that equals the threshold goes, an empty table gives none."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(found):
