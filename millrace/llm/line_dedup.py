@@ -1,9 +1,11 @@
 """Line dedup by content-defined chunks, in DataFrame functions alone.
 
 A text is cut into lines; a rolling hash over the hashes of two successive lines ends a chunk after a line where it
-is 0 modulo MEAN_LINES. Boundaries thus depend on nearby lines only: a passage pasted elsewhere is cut alike from
-its second line on. Chunks of two or more lines which occur again anywhere are compared by their bytes, the first
-occurrence (smallest id, then place) stays, and the others are cut from their texts.
+is less than at the line before and no more than at the line after. Boundaries thus depend on nearby lines only: a passage
+pasted elsewhere is cut alike from its third line to its last but one. No two boundaries are neighbours, so a chunk has two
+lines at least (three in the mean), but for texts of one line. Chunks of two or more lines which occur again anywhere are
+compared by their bytes, the first occurrence (smallest id, then place) stays, and the others are cut from their texts.
+What a passage has outside its whole chunks stays.
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import salt_of, salted, written
 
-MEAN_LINES = 3
 MIN_LINES = 2
 SALTS = 8
 
@@ -32,9 +33,9 @@ def _chunks(text: Column) -> Column:
     """Array of (n lines, text); null for null."""
     def cut(lines: Column) -> Column:
         n = F.size(lines)
-        # A line whose hash, rolled with the one before, is 0 modulo MEAN_LINES ends a chunk; the next one begins another.
-        ends = _let(F.transform(lines, line_hash), lambda h: F.zip_with(
-            h, F.concat(F.array(F.lit(0).cast("long")), F.slice(h, 1, n - 1)), lambda this, last: (this + last * 31) % MEAN_LINES == 0))
+        # The last two lines end no chunk but the last one, so that it has two lines too.
+        rolled = _let(F.transform(lines, line_hash), lambda h: F.zip_with(h, F.concat(F.array(F.lit(0).cast("long")), F.slice(h, 1, n - 1)), lambda this, last: this + last * 31))
+        ends = _let(rolled, lambda r: F.transform(r, lambda x, i: (i < n - 2) & F.coalesce((x < F.get(r, i - 1)) & (x <= F.get(r, i + 1)), F.lit(False))))
         starts = _let(ends, lambda e: F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | F.element_at(e, F.greatest(i - 1, F.lit(1)))))
         sizes = lambda at: F.zip_with(at, F.concat(F.slice(at, 2, F.size(at)), F.array(n + 1)), lambda s, e: F.struct(s.alias("at"), (e - s).alias("n")))
         pieces = lambda cuts: F.transform(cuts, lambda c: F.struct(

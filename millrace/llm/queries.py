@@ -23,7 +23,8 @@ WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
   FROM documents WHERE text IS NOT NULL),
 hashed AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM lines),
-ended AS (SELECT *, (h + 31 * coalesce(lag(h) OVER w, 0)) % 3 = 0 AS ends FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+rolled AS (SELECT *, h + 31 * coalesce(lag(h) OVER w, 0) AS r FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ended AS (SELECT *, coalesce(r < lag(r) OVER w AND r <= lead(r) OVER w AND lead(r, 2) OVER w IS NOT NULL, FALSE) AS ends FROM rolled WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 numbered AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM ended),
 chunks AS (SELECT doc_id, k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM numbered GROUP BY doc_id, k),
 judged AS (SELECT *, n >= 2 AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, k) > 1 AS gone FROM chunks)

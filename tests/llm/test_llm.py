@@ -66,15 +66,16 @@ def test_exact_repeats_and_nulls(spark):
 
 
 def chunks(text):
-    out, cur, last = [], [], 0
-    for line in text.split("\n"):
-        h = int(hashlib.md5(line.encode()).hexdigest()[:8], 16)
-        cur.append(line)
-        if (h + 31 * last) % 3 == 0:
+    lines = text.split("\n")
+    h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+    r = [x + 31 * y for x, y in zip(h, [0] + h)]
+    out, cur = [], []
+    for i, x in enumerate(lines):
+        cur.append(x)
+        if i == len(lines) - 1 or 0 < i < len(lines) - 2 and r[i - 1] > r[i] <= r[i + 1]:
             out.append(cur)
             cur = []
-        last = h
-    return out + [cur] if cur else out
+    return out
 
 
 def test_lines(spark):
