@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import contact, geo, html, quality, salary, text
-from millrace.operators import corpus, facets, rank, resolve, score, suffix
+from millrace.operators import corpus, facets, rank, resolve, score, search, suffix, tracker
 from millrace.operators.intent import Intent
 from millrace.plans import batch
 from millrace.schema import content_id
@@ -443,6 +443,56 @@ def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.html_to_text(F.col("html")).alias("text"))
 
 
+REGIONS = geo.Gazetteer({"asia": (), "europe": (), "africa": (), "america": (), "middle east": ()}, {"east": ("asia", "middle east")})
+
+
+def _placed(spark, sf_dir, intents: tuple[Intent, ...]) -> DataFrame:
+    places = (table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+              .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", F.col("r_name").alias("location")))
+    rows = postings(spark, sf_dir, intents).join(places, F.col("suppkey") == F.col("s_suppkey"))
+    return rows.withColumns({"remote": F.when(F.col("currency") == "R", "remote").otherwise("onsite"), "source": F.col("company"), "first_seen_at": F.col("posted_at"),
+                             "salary_max": F.col("pay"), "salary_currency": F.col("currency")})
+
+
+def filtered_roles(spark, sf_dir):
+    """Two roles, narrowed by a word, near one place, of a least pay and age."""
+    wanted = search.Filters(q="ring", roles=("ring", "gear"), cities=("asia",), min_salary=1_000_000, max_age_days=900)
+    found = search.filtered(_placed(spark, sf_dir, (RING, GEAR)), wanted, [RING, GEAR], Intent("ring", ("ring",)), REGIONS, _now(), base=lambda q: F.col(f"base {q.normalised}"), fx={"A": 84.0, "N": 91.0})
+    return found.select("id", F.round("score", 5).alias("score"), "strong_count", "relaxed")
+
+
+def filtered_facets(spark, sf_dir):
+    """No query: remote rows of one level and source, by pay."""
+    wanted = search.Filters(remote="remote", seniority="senior", source="Brand#11", cities=("asia", "europe"), include_nearby=False, sort="salary")
+    found = search.filtered(_placed(spark, sf_dir, ()), wanted, [], None, REGIONS, _now())
+    return found.select("id", "location", F.round("score", 5).alias("score"), "strong_count", "relaxed")
+
+
+def strict_match(spark, sf_dir):
+    rows = _placed(spark, sf_dir, ()).withColumn("score", F.lit(1.0))
+    return rows.where(search.matches(_now(), 400, True, "europe", REGIONS)).select("id", "location")
+
+
+def index_details(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.lit("").alias("description"), "p_size", "p_type")
+    told = part.where("p_size % 3 <> 0").select("id", F.when(F.col("p_size") % 5 != 0, F.col("p_type")).alias("description"), F.lit("year").alias("salary_period"))
+    return corpus.with_details(part.select("id", "title", "description"), told)
+
+
+def distinct_urls(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", text.clean_url(F.col("url")).alias("url"))
+    return corpus.first_by_url(pages, ["page_id"])
+
+
+def health_state(spark, sf_dir):
+    return facets.health_state(facets.health(_runs(spark, sf_dir)))
+
+
+def tracker_rows(spark, sf_dir):
+    rows = _records(spark, sf_dir).withColumns({"id": F.col("ord").cast("string"), "url": F.lit("page")})
+    return tracker.application_rows(rows).select(F.col("Job ID").alias("id"), F.col("Salary").alias("salary"), F.col("Posted").alias("posted"), F.col("URL").alias("url"), F.col("Status").alias("status"))
+
+
 def batch_plan(spark, sf_dir):
     """The whole batch: resolve, rank by three queries, upsert on what is stored, retain."""
     return batch.run_on_parts(_records(spark, sf_dir), RANKING, [RING, GEAR, BOLT], F.expr("TIMESTAMP_NTZ '2024-03-01 00:00:00'"))
@@ -462,11 +512,25 @@ def _top_sql(q: Intent, n: int, cols: str = "id, score") -> str:
     return f"(SELECT {cols} FROM (SELECT id, title, posted_at, round({s}, 5) AS score FROM p) WHERE score >= 0.02 ORDER BY score DESC, posted_at DESC, id LIMIT {n})"
 
 
+PLACED_SQL = f"""p AS (SELECT q.*, r_name AS location FROM ({POSTINGS_SQL}) q JOIN supplier ON suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
+
+def _roles_sql() -> str:
+    fit = "(CASE WHEN seniority IS NULL THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - least(0.62::DOUBLE, abs(list_position(['intern','entry','mid','senior','lead','exec'], seniority) - 4) * 0.2::DOUBLE) END)"
+    ring, gear = _score_sql(RING).format(more=fit, where="1"), _score_sql(GEAR).format(more="1", where="1")
+    return f"""WITH {PLACED_SQL}, x AS (SELECT id, posted_at, greatest({ring}, {gear}) * CASE location WHEN 'ASIA' THEN 1.25::DOUBLE ELSE 1.18::DOUBLE END AS score FROM p
+      WHERE location IN ('ASIA', 'MIDDLE EAST') AND pay * CASE currency WHEN 'A' THEN 84 WHEN 'N' THEN 91 ELSE 1 END >= 1000000 AND posted_at >= TIMESTAMP '{AS_OF}' - INTERVAL 900 DAY
+        AND contains(title || ' ' || skill || ' ' || lower(company) || ' ' || lower(location), 'ring')),
+      c AS (SELECT count(*) FILTER (WHERE score >= 0.35) AS strong_count, least(12, count(*) FILTER (WHERE score >= 0.22)) AS near FROM x)
+      SELECT id, round(score, 5) AS score, strong_count, strong_count < 5 AND near > strong_count AS relaxed FROM c, (SELECT *, row_number() OVER (ORDER BY score DESC, posted_at DESC, id) AS n FROM x)
+      WHERE CASE WHEN strong_count < 5 AND near > strong_count THEN score >= 0.22 AND n <= 12 ELSE score >= 0.35 END"""
+
+
 QUERIES = {f.__name__: f for f in (
     rank_topk, rank_full_score, union_of_topk, relevance_floor, sort_salary_fx, budgeted_topn, age_filter, exact_dedupe_merge, fuzzy_dedupe, tag_fold, content_ids, upsert_retain, carry_forward,
     new_only, hide_marked, saved_list, toggle_marks, tracker_upsert, health_rollup, meta_counts, tier_summary, count_by_source, marks_by_kind, facet_city, facet_role, facet_values, board_audit,
     extract_skills, keyword_narrow, detect_remote, detect_seniority, normalise_labels, clean_urls, emails_extract, relative_age_label, salary_parse, longest_suffix_join, slop_penalty,
-    slop_by_severity, repeated_verb, locality, html_to_text, batch_plan)}
+    slop_by_severity, repeated_verb, locality, html_to_text, batch_plan, filtered_roles, filtered_facets, strict_match, index_details, distinct_urls, health_state, tracker_rows)}
 
 SQL = {
     "rank_topk": f"WITH p AS ({POSTINGS_SQL}) SELECT * FROM {_top_sql(RING, 50, 'id, title, score')}",
@@ -522,4 +586,13 @@ SQL = {
     "slop_by_severity": r"SELECT 'high' AS severity, sum(len(regexp_extract_all(text, '(?i)\bthe and\b')))::BIGINT AS n FROM documents UNION ALL SELECT 'medium', sum(len(regexp_extract_all(text, 'tion[ .,]')))::BIGINT FROM documents UNION ALL SELECT 'low', sum(len(regexp_extract_all(text, ',')))::BIGINT FROM documents",
     "repeated_verb": r"SELECT doc_id, opener, count(*) AS times FROM (SELECT doc_id, lower(regexp_extract(unnest(string_split(text, chr(10))), '^\s*[-*•]?\s*([A-Za-z]+)', 1)) AS opener FROM documents) WHERE opener <> '' GROUP BY ALL HAVING count(*) >= 3",
     "locality": LOCALITY_SQL,
+    "filtered_roles": _roles_sql(),
+    "filtered_facets": f"""WITH {PLACED_SQL} SELECT id, location, 1.25::DOUBLE AS score, count(*) OVER () AS strong_count, FALSE AS relaxed FROM p
+      WHERE currency = 'R' AND seniority = 'senior' AND company = 'Brand#11' AND location IN ('ASIA', 'EUROPE')""",
+    "strict_match": f"""WITH {PLACED_SQL} SELECT id, location FROM p WHERE currency = 'R' AND location = 'EUROPE' AND date_diff('second', posted_at, TIMESTAMP '{AS_OF}') < 401 * 86400""",
+    "index_details": "SELECT p_partkey AS id, p_name AS title, CASE WHEN p_size % 3 = 0 THEN '' WHEN p_size % 5 <> 0 THEN p_type END AS description, CASE WHEN p_size % 3 <> 0 THEN 'year' END AS salary_period FROM part",
+    "distinct_urls": "SELECT min(page_id) AS page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages GROUP BY 2",
+    "health_state": f"WITH {RUNS_SQL}, h AS (SELECT bool_or(ok) AS ok FROM runs GROUP BY source) SELECT count(*) FILTER (WHERE ok) AS healthy, count(*) FILTER (WHERE NOT ok) AS degraded, CASE WHEN count(*) FILTER (WHERE NOT ok) = 0 THEN 'green' WHEN count(*) FILTER (WHERE NOT ok) < 3 THEN 'amber' ELSE 'red' END AS light FROM h",
+    "tracker_rows": """SELECT p_partkey::VARCHAR AS id, 'INR ' || format('{:,}', round_even(CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_retailprice END, 0)::BIGINT) || '–' || format('{:,}', round_even(p_retailprice * 2, 0)::BIGINT) AS salary,
+      CASE WHEN p_size % 6 = 0 THEN '' ELSE strftime(TIMESTAMP '2024-01-01' + to_days(p_size::INT), '%Y-%m-%d') END AS posted, CASE WHEN p_size % 5 < 3 THEN 'page' ELSE 'u' || p_partkey END AS url, 'Found' AS status FROM part""",
 }

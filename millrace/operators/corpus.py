@@ -84,6 +84,40 @@ def read_posting(spark, path: str, wanted: str) -> DataFrame:
     return spark.read.parquet(path).where((F.col("shard") == wanted[:2]) & (F.col("id") == wanted))
 
 
+def with_details(index: DataFrame, details: DataFrame) -> DataFrame:
+    """Index rows with what their details say, nulls included; rows without details keep their own. Ids are unique in details."""
+    told = [c for c in details.columns if c != "id"]
+    found = index.join(details.select("id", F.lit(True).alias("told_"), *[F.col(c).alias(f"{c}_told") for c in told]), "id", "left")
+    own = [F.when(F.col("told_"), F.col(f"{c}_told")).otherwise(F.col(c)).alias(c) if c in told else F.col(c) for c in index.columns]
+    return found.select(*own, *[F.col(f"{c}_told").alias(c) for c in told if c not in index.columns])
+
+
+def first_by_url(rows: DataFrame, order: list, url: str = "url") -> DataFrame:
+    """Of the rows of a run that share a url the first in that order; rows without one all stay."""
+    has = F.coalesce(F.col(url) != "", F.lit(False))
+    return latest(rows.where(has), [url], order).unionByName(rows.where(~has))
+
+
+DETAILS = ["description", "apply_url", "salary_period", "enriched"]
+
+
+def save(rows: DataFrame, health: DataFrame, path: str, as_of: Column) -> None:
+    """A corpus as four tables under path: index, details by shard, and health and meta as JSON."""
+    from millrace.operators import facets
+
+    index_projection(rows).write.mode("overwrite").parquet(f"{path}/index")
+    write_corpus(rows.select("id", *DETAILS), f"{path}/details")
+    health.write.mode("overwrite").json(f"{path}/health")
+    by = rows.groupBy("source").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "n")))).alias("by_source"))  # one entry a source
+    facets.meta(rows, health).crossJoin(by).select(as_of.alias("updated_at"), "*").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+
+
+def load(spark, path: str, rebuild: bool = False) -> DataFrame:
+    """What save() stored, as postings; a rebuild starts from none of it."""
+    rows = with_details(spark.read.parquet(f"{path}/index"), spark.read.parquet(f"{path}/details").drop("shard"))
+    return rows.where(F.lit(False)) if rebuild else rows
+
+
 def index_projection(rows: DataFrame) -> DataFrame:
     """The light index, newest first."""
     from millrace.schema import INDEX

@@ -22,6 +22,17 @@ def health(runs: DataFrame, source: str = "source", seq: str = "seq") -> DataFra
                                     last.alias("error")).withColumn("error", F.when(F.col("ok"), "").otherwise(F.coalesce("error", F.lit(""))))
 
 
+def health_order(health: DataFrame) -> DataFrame:
+    """Failed sources first, then by postings found, most first."""
+    return health.orderBy("ok", F.desc("jobs_found"), "source")
+
+
+def health_state(health: DataFrame) -> DataFrame:
+    """One row: healthy and degraded sources, and a light that is green without failures and red from three on."""
+    failed = F.count_if(~F.col("ok"))
+    return health.agg(F.count_if("ok").alias("healthy"), failed.alias("degraded"), F.when(failed == 0, "green").when(failed < 3, "amber").otherwise("red").alias("light"))
+
+
 def meta(rows: DataFrame, runs: DataFrame, tier: str = "source_tier") -> DataFrame:
     """One row: totals of postings, and of sources that worked or failed."""
     totals = rows.agg(F.count("*").alias("total"), F.count_if(F.col(tier) == "tier1").alias("tier1"), F.count_if("enriched").alias("enriched"))

@@ -5,7 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import corpus, enrich, facets, rank, resolve, score, suffix
+from millrace.functions.geo import Gazetteer
+from millrace.operators import corpus, enrich, facets, rank, resolve, score, search, suffix, tracker
 from millrace.operators.intent import Family, Vocabulary, understand
 from millrace.schema import POSTING, conform
 from millrace.sources import cards, payloads
@@ -281,3 +282,74 @@ def test_ranking_plans_normalise_once(spark):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         scans = plan.count("p_partkey#") and plan.count("l_shipdate#") and sum("Relation" in line and "l_orderkey" in line for line in plan.splitlines())
         assert 0 < plan.count("regexp_replace(") < 50 * scans, (name, scans, plan.count("regexp_replace("))
+
+
+PLACES = Gazetteer({"delhi": ("new delhi",), "noida": (), "pune": ()}, {"ncr": ("delhi", "noida")})
+
+
+def searched(spark, f, *rows):
+    found = search.apply_filters(jobs(spark, *rows), f, VOCAB, PLACES, F.lit(AS_OF).cast("timestamp")).collect()
+    return [r.title for r in found], {(r.strong_count, r.relaxed) for r in found}
+
+
+def test_filters_by_facet_and_place(spark):
+    rows = [{"title": "Clerk", "remote": "remote", "location": "Pune"}, {"title": "Data Analyst", "location": "Noida", "remote": "onsite", "salary_max": 9e5, "salary_currency": "INR"},
+            {"title": "Data Scientist", "location": "New Delhi", "salary_max": 2e4, "salary_currency": "USD", "posted_at": AS_OF - dt.timedelta(days=3)}]
+    assert searched(spark, search.Filters(), *rows)[1] == {(3, False)}
+    assert searched(spark, search.Filters(sort="newest"), *rows)[0][-1] == "Data Scientist"
+    assert searched(spark, search.Filters(remote="remote"), *rows)[0] == ["Clerk"]
+    assert searched(spark, search.Filters(cities=("delhi",)), *rows)[0] == ["Data Scientist", "Data Analyst"]
+    assert searched(spark, search.Filters(cities=("delhi",), include_nearby=False), *rows)[0] == ["Data Scientist"]
+    assert searched(spark, search.Filters(sort="salary"), *rows)[0] == ["Data Scientist", "Data Analyst", "Clerk"]
+    assert searched(spark, search.Filters(min_salary=1e6), *rows)[0] == ["Data Scientist"]
+    assert searched(spark, search.Filters(max_age_days=2.5), *rows, {"title": "Old", "posted_at": AS_OF - dt.timedelta(days=2.6)})[0].count("Old") == 0
+    assert searched(spark, search.Filters(source="y"), *rows) == ([], set())
+
+
+def test_filters_by_role_and_query(spark):
+    rows = [{"title": "Data Analyst", "company": "Python House"}, {"title": "Statistician"}, {"title": "Gardener"}]
+    assert searched(spark, search.Filters(roles=("analyst", "scientist")), *rows)[0] == ["Data Analyst", "Statistician"]
+    assert searched(spark, search.Filters(roles=("analyst", "scientist"), q="python"), *rows)[0] == ["Data Analyst"]
+    assert searched(spark, search.Filters(q="gardener"), *rows) == (["Gardener"], {(1, False)})
+    assert searched(spark, search.Filters(roles=("no such",), q="statistician"), *rows)[0][0] == "Statistician"
+
+
+def test_filters_in_a_link():
+    f = search.Filters(q="data analyst", cities=("delhi", "pune"), include_nearby=False, max_age_days=7, min_salary=1_500_000, sort="newest")
+    assert search.to_url(f) == "?q=data+analyst&cities=delhi%2Cpune&near=0&age=7&pay=1500000&sort=newest"
+    assert search.from_url(search.to_url(f)) == f
+    assert (search.to_url(search.Filters()), search.from_url("")) == ("", search.Filters())
+    assert search.from_url("cities=a,, a ,b").cities == ("a", "b")
+    assert search.from_url("loc=New+Delhi", PLACES).cities == ("delhi",) and search.from_url("loc=New+Delhi&cities=pune", PLACES).cities == ("pune",)
+
+
+def test_saved_corpus(spark, tmp_path):
+    rows = conform(jobs(spark, {"title": "A", "description": "long text", "source": "x", "apply_url": "u"}, {"title": "B", "source": "y"}).drop("ord"), F.lit(AS_OF).cast("timestamp"))
+    runs = spark.createDataFrame([("x", 3, 10, True, ""), ("y", 9, 10, False, "e"), ("z", 5, 1, False, "")], "source string, jobs_found long, duration_ms long, ok boolean, error string")
+    corpus.save(rows, runs, str(tmp_path / "c"), F.lit("2024-06-01"))
+    back = corpus.load(spark, str(tmp_path / "c"))
+    assert sorted((r.title, r.description, r.apply_url) for r in back.collect()) == [("A", "long text", "u"), ("B", "", "")]
+    assert corpus.load(spark, str(tmp_path / "c"), rebuild=True).count() == 0
+    meta = spark.read.json(str(tmp_path / "c/meta")).first()
+    assert (meta.total, meta.sources_ok, meta.sources_failed, meta.by_source.asDict(), meta.updated_at) == (2, 1, 2, {"x": 1, "y": 1}, "2024-06-01")
+    assert [r.source for r in facets.health_order(runs).collect()] == ["y", "z", "x"]
+    assert tuple(facets.health_state(runs).first()) == (1, 2, "amber")
+
+
+def test_details_and_urls(spark):
+    index = spark.createDataFrame([(1, "old"), (2, "old"), (3, None)], "id int, description string")
+    told = spark.createDataFrame([(1, "new", "year"), (2, None, None)], "id int, description string, period string")
+    assert sorted(map(tuple, corpus.with_details(index, told).collect())) == [(1, "new", "year"), (2, None, None), (3, None, None)]
+    pages = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None), (5, "")], "id int, url string")
+    assert sorted(r.id for r in corpus.first_by_url(pages, ["id"]).collect()) == [1, 3, 4, 5]
+
+
+def test_tracker_rows(spark):
+    pay = spark.createDataFrame([(1, 1234.5, 99999.0, "INR"), (2, 1500.0, 1500.0, None), (3, None, 5.0, "USD"), (4, 7.0, 0.0, "EUR"), (5, 8.0, None, "EUR")], "id int, a double, b double, c string")
+    got = [r.t for r in pay.orderBy("id").select(tracker.salary_text(F.col("a"), F.col("b"), F.col("c")).alias("t")).collect()]
+    assert got == ["INR 1,234–99,999", "1,500", "", "EUR 7", "EUR 8"]
+    reports = spark.sql("select cast(null as int) as total, 'Fair' as band, map('impact', named_struct('score', 7, 'max', 10)) as scores, array(named_struct('problem', 'p', 'action', 'a'), named_struct('problem', 'q', 'action', null)) as top_fixes")
+    row = tracker.cv_rows(reports, "analyst").first().asDict()
+    assert (row["Score"], row["Impact"], row["ATS"], row["Top Fixes"], row["Target Role"]) == ("partial", "7/10", "", "p → a | q → ", "analyst")
+    out = tracker.outreach_rows(spark.sql("select 1 as id, 'Acme' as company, 'Ann' as name, cast(null as string) as email")).first().asDict()
+    assert (out["Contact Name"], out["Email"], out["Sent?"], out["Email Body"]) == ("Ann", "", "No", "")
