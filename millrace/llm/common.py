@@ -40,6 +40,11 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, such as a vocabulary: on the driver's disk, or at a URI that Spark reads."""
+    return spark.read.text(path, wholetext=True).first()[0] if "://" in path else open(path, encoding="utf-8").read()
+
+
 def salted(right: DataFrame, salts: int) -> DataFrame:
     """One row of right for each salt, so that a hot key of the other side meets it in that many partitions."""
     return right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

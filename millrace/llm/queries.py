@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import ann, bpe, chat, exact_dedup, line_dedup, packing, sharding, simhash, substring_dedup, toxicity
+from millrace.llm import alignment, ann, bpe, byte_bpe, chat, exact_dedup, fill_in_middle, line_dedup, packing, retrieval_packing, sharding, simhash, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,6 +115,40 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
+
+
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents"), seed=1, percent=90, suffix_first=20)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fill_in_middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+OP11_SQL = """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS h, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units FROM documents),
+numbers AS (
+  SELECT *, len(units) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(units) + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (len(units) + 1) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+      WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (
+  SELECT *, coalesce(array_to_string(units[1:least(a, b)], ''), '') AS prefix, coalesce(array_to_string(units[least(a, b) + 1:greatest(a, b)], ''), '') AS middle,
+    coalesce(array_to_string(units[greatest(a, b) + 1:], ''), '') AS suffix FROM numbers)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+def op12_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval_packing.pack(_table(spark, sf_dir, "documents"), byte_bpe.byte_vocabulary_path())
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.align(_table(spark, sf_dir, "documents"), byte_bpe.byte_vocabulary_path(), alignment.piece_vocabulary_path())
+    return out.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))).drop("groups")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -126,6 +160,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_bpe": op10_bpe,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_retrieval_packing": op12_retrieval_packing,
+    "op13_alignment": op13_alignment,
     "pipeline": corpus_pipeline.run,
 }
-SQL = {"op1_line_dedup": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op9_chat_formatting": OP9_SQL}
+SQL = {"op1_line_dedup": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op9_chat_formatting": OP9_SQL, "op11_fill_in_middle": OP11_SQL}
