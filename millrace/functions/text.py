@@ -81,9 +81,10 @@ def detect_seniority(title: Column, description: Column) -> Column:
     return _first_of(title, SENIORITY_TITLES, F.when(years.isNull(), "unknown").otherwise(years_to_level(years)))
 
 
-def band_seniority(years: Column) -> Column:
-    """The coarser reading of a board's experience label: under 2, 5 and 8 years."""
-    return years_to_level(years)
+def band_seniority(label: Column) -> Column:
+    """The level that a label such as "2 to 7 Yrs" asks for at least: its first number, under 2, 5 and 8 years; without one unknown."""
+    years = F.regexp_extract(F.coalesce(label.cast("string"), F.lit("")), r"(\d+)", 1).try_cast("decimal(38,0)")
+    return F.when(years.isNull(), "unknown").otherwise(years_to_level(years))
 
 
 def extract_skills(text: Column, vocabulary: list[str], limit: int = 10) -> Column:
@@ -113,10 +114,15 @@ def clean_url(url: Column) -> Column:
     return F.regexp_replace(url, "[?#].*$", "")
 
 
-def title_case_slug(slug: Column, acronyms: dict[str, str]) -> Column:
-    """Words of a hyphenated slug with capitals; acronyms in their own spelling."""
-    known = F.create_map(*[F.lit(x) for pair in (acronyms or {"": ""}).items() for x in pair])
-    return F.array_join(F.transform(F.split(slug, "-"), lambda w: F.coalesce(F.try_element_at(known, w), F.initcap(w))), " ")
+def title_case_slug(slug: Column, acronyms: tuple[str, ...] | list[str] = ()) -> Column:
+    """Words of a hyphenated slug with capitals. Words all in capitals stay, acronyms (in lower case) are written in capitals."""
+    known = F.array(*[F.lit(a) for a in acronyms]) if acronyms else F.array().cast("array<string>")
+
+    def word(w: Column) -> Column:
+        shouted = (w == F.upper(w)) & (w != F.lower(w))
+        return F.when(shouted, w).when(F.array_contains(known, F.lower(w)), F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))))
+
+    return F.array_join(F.transform(F.split(slug, "-"), word), " ")
 
 
 def fix_case(text: Column, acronyms: dict[str, str]) -> Column:
