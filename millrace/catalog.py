@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import contact, geo, html, quality, salary, text
-from millrace.operators import corpus, facets, rank, resolve, score, search, suffix, tracker
+from millrace.operators import corpus, facets, rank, resolve, score, search, similar, suffix, tracker
 from millrace.operators.intent import Intent
 from millrace.plans import batch
 from millrace.schema import content_id
@@ -171,12 +171,55 @@ def fuzzy_dedupe(spark, sf_dir):
     return resolve.resolve(_records(spark, sf_dir), RANKING).select("ord", "id", "company", "title", "tags")
 
 
+def _tagged(spark, sf_dir) -> DataFrame:
+    """Each event as a record of two tags, "type: k" and a plain one, from one of three sources."""
+    k = F.get_json_object("props", "$.k")
+    return table(spark, sf_dir, "events").select("user_id", "event_id", F.array(F.concat_ws(": ", "event_type", k), F.concat(F.lit("k"), k)).alias("tags"),
+                                                 F.concat(F.lit("s"), (F.col("event_id") % 3).cast("string")).alias("source"))
+
+
 def tag_fold(spark, sf_dir):
-    """Each user's events as one-tag records in order: "type: k" tags, of which the first of each type stays."""
-    e = table(spark, sf_dir, "events")
-    rows = e.select("user_id", F.struct("event_id", F.array(F.concat_ws(": ", "event_type", F.get_json_object("props", "$.k"))).alias("tags"), F.lit("s").alias("source")).alias("r"))
-    folded = rows.groupBy("user_id").agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    return folded.select("user_id", F.array_join(resolve.fold_tags(F.transform("rs", lambda r: F.struct(r["tags"].alias("tags"), r["source"].alias("source"))), F.lit("s")), "|").alias("tags"))
+    """Each user's events folded in their order: the first tag of each type, every plain one, marks of the other sources, cut at sixteen."""
+    folded = resolve.folded_tags(_tagged(spark, sf_dir), ["user_id"], ["event_id"])
+    return folded.select(F.col("user_id_k").alias("user_id"), F.array_join("tags_", "|").alias("tags"))
+
+
+def similar_titles(spark, sf_dir):
+    """Of each kind of part the names, each with the first one (in the order of names) that it is like and that leads."""
+    names = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("kind"), F.col("p_name").alias("title")).agg(F.count("*").alias("n"))
+    found = similar.grouped(names.withColumn("place", F.concat_ws("|", "kind", "title")), "kind", "title", "place")
+    return found.select("kind", "title", F.substring_index("leader", "|", -1).alias("leader"))
+
+
+#: Every pair of names is compared by a table of common lengths, a row for each character; then names go one after another to the leaders before them.
+SIMILAR_SQL = """
+WITH RECURSIVE names AS (SELECT DISTINCT p_name AS title, array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS x FROM part),
+pairs AS (SELECT a.title AS ta, b.title AS tb, a.x AS xa, b.x AS xb FROM names a, names b WHERE a.title <> b.title),
+lcs AS (
+  SELECT ta, tb, xa, xb, 0 AS i, j, 0 AS c FROM pairs, range(0, length(xb) + 1) r(j)
+  UNION ALL
+  SELECT ta, tb, xa, xb, i + 1, j, max(best) OVER (PARTITION BY ta, tb ORDER BY j) FROM (
+    SELECT *, CASE WHEN j > 0 AND xa[i + 1] = xb[j] THEN greatest(c, lag(c) OVER (PARTITION BY ta, tb ORDER BY j) + 1) ELSE c END AS best FROM lcs WHERE i < length(xa))),
+alike AS (SELECT list(ta || '|' || tb) AS pairs FROM lcs WHERE i = length(xa) AND j = length(xb) AND 200 * c >= 88 * (length(xa) + length(xb))),
+ordered AS (SELECT p_type AS kind, p_name AS title, row_number() OVER (PARTITION BY p_type ORDER BY p_name) AS n FROM (SELECT DISTINCT p_type, p_name FROM part)),
+led AS (
+  SELECT kind, 0 AS n, ''::VARCHAR AS title, ''::VARCHAR AS leader, []::VARCHAR[] AS leaders FROM (SELECT DISTINCT kind FROM ordered)
+  UNION ALL
+  SELECT kind, n, title, coalesce(hit, title), CASE WHEN hit IS NULL THEN list_append(leaders, title) ELSE leaders END FROM (
+    SELECT l.kind, o.n, o.title, l.leaders, list_filter(l.leaders, lambda y: list_contains(a.pairs, y || '|' || o.title))[1] AS hit
+    FROM led l JOIN ordered o ON o.kind = l.kind AND o.n = l.n + 1 CROSS JOIN alike a))
+SELECT kind, title, leader FROM led WHERE n > 0
+"""
+
+TAG_FOLD_SQL = """
+WITH r AS (SELECT user_id, list({'tags': [event_type || ': ' || json_extract_string(props, '$.k'), 'k' || json_extract_string(props, '$.k')], 'source': 's' || (event_id % 3)} ORDER BY event_id) AS rs FROM events GROUP BY user_id),
+f AS (SELECT user_id, list_reduce(rs, lambda a, b: {'tags': list_transform([
+    list_reduce(list_transform(list_concat(a.tags, b.tags), lambda t: [t]), lambda x, y: CASE WHEN list_contains(x, y[1]) OR (contains(y[1], ':') AND NOT starts_with(y[1], 'also:')
+      AND list_contains(list_transform(list_filter(x, lambda z: contains(z, ':') AND NOT starts_with(z, 'also:')), lambda z: lower(trim(split_part(z, ':', 1)))), lower(trim(split_part(y[1], ':', 1)))))
+      THEN x ELSE list_concat(x, y) END)[1:16]],
+    lambda m: CASE WHEN a.source = b.source OR list_contains(m, 'also:' || b.source) THEN m ELSE list_append(m, 'also:' || b.source) END)[1], 'source': a.source}) AS m FROM r)
+SELECT user_id, array_to_string(m.tags, '|') AS tags FROM f
+"""
 
 
 def content_ids(spark, sf_dir):
@@ -527,7 +570,7 @@ def _roles_sql() -> str:
 
 
 QUERIES = {f.__name__: f for f in (
-    rank_topk, rank_full_score, union_of_topk, relevance_floor, sort_salary_fx, budgeted_topn, age_filter, exact_dedupe_merge, fuzzy_dedupe, tag_fold, content_ids, upsert_retain, carry_forward,
+    rank_topk, rank_full_score, union_of_topk, relevance_floor, sort_salary_fx, budgeted_topn, age_filter, exact_dedupe_merge, fuzzy_dedupe, similar_titles, tag_fold, content_ids, upsert_retain, carry_forward,
     new_only, hide_marked, saved_list, toggle_marks, tracker_upsert, health_rollup, meta_counts, tier_summary, count_by_source, marks_by_kind, facet_city, facet_role, facet_values, board_audit,
     extract_skills, keyword_narrow, detect_remote, detect_seniority, normalise_labels, clean_urls, emails_extract, relative_age_label, salary_parse, longest_suffix_join, slop_penalty,
     slop_by_severity, repeated_verb, locality, html_to_text, batch_plan, filtered_roles, filtered_facets, strict_match, index_details, distinct_urls, health_state, tracker_rows)}
@@ -544,8 +587,8 @@ SQL = {
     "budgeted_topn": "SELECT doc_id, source, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 10",
     "age_filter": "SELECT o_orderkey, o_orderdate, date_diff('second', o_orderdate, TIMESTAMP '2001-07-15 12:00:00') / 86400.0 <= 30.25 AS recent FROM orders WHERE trunc(date_diff('second', o_orderdate, TIMESTAMP '2001-07-15 12:00:00') / 86400.0) <= 60",
     "exact_dedupe_merge": MERGE_SQL,
-    "tag_fold": """SELECT user_id, array_to_string((list(tag ORDER BY event_id))[1:16], '|') AS tags FROM (SELECT user_id, event_id, event_type || ': ' || json_extract_string(props, '$.k') AS tag,
-      row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events) WHERE n = 1 GROUP BY user_id""",
+    "tag_fold": TAG_FOLD_SQL,
+    "similar_titles": SIMILAR_SQL,
     "content_ids": "SELECT p_partkey, substr(sha256(trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')) || '|' || p_name || '|' || lower(p_type)), 1, 16) AS id FROM part",
     "upsert_retain": UPSERT_SQL,
     "carry_forward": UPSERT_SQL[: UPSERT_SQL.index("m AS (")].rstrip().rstrip(",") + " SELECT n.id, CASE WHEN n.description = '' AND o.description IS NOT NULL THEN o.description ELSE n.description END AS description FROM new n LEFT JOIN old o ON n.id = o.id",

@@ -33,10 +33,16 @@ def noise_title(title: Column, listed: tuple[str, ...]) -> Column:
     return (F.length(title) < 3) | title.isin(*listed) if listed else F.length(title) < 3
 
 
-def looks_blocked(html: Column, status: Column, markers: tuple[str, ...], statuses=(403, 429, 503), shortest: int = 500) -> Column:
+# What a challenge or refusal says of itself, the statuses of one, and the length below which a page is none.
+BLOCK_MARKERS = ("just a moment", "checking your browser", "cf-challenge", "captcha", "recaptcha", "access denied", "unusual traffic", "enable javascript and cookies")
+BLOCK_STATUSES, SHORTEST_PAGE = (403, 406, 429, 451), 500
+
+
+def looks_blocked(html: Column, status: Column, markers: tuple[str, ...] = BLOCK_MARKERS, statuses=BLOCK_STATUSES, shortest: int = SHORTEST_PAGE) -> Column:
+    """Whether a page is a refusal: by its status, or as it is missing, too short, or names one of the markers in its first 4000 characters. Never null."""
     head = F.lower(F.substring(html, 1, 4000))
     marked = reduce(lambda a, m: a | head.contains(m), markers, F.lit(False))
-    return status.isin(*statuses) | (F.length(html) < shortest) | marked
+    return F.coalesce(status.isin(*statuses), F.lit(False)) | F.coalesce((F.length(html) < shortest) | marked, F.lit(True))
 
 
 def top(scored: DataFrame, limit: int, least: float = 0.02, score: str = "score", ts: str = "posted_at", key: str = "id") -> DataFrame:

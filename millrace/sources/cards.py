@@ -1,61 +1,189 @@
-"""Postings in server-rendered cards: a page's elements of one class, and in each the text or link of some classes."""
+"""Server-rendered markup as records: a page's elements that a selector finds, and in each the texts, links and records of others.
+
+A selector is a small part of CSS: alternatives with commas, each a chain of descendants of tag, .class, [attribute], [attribute=value] and [attribute*=part]."""
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass, field
+from html import escape
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.html import text_of
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+PART = re.compile(r"""\[([\w-]+)(?:(\*?=)['"]?([^'"\]]*)['"]?)?\]|([.]?[\w-]+)""")
+
+
+@dataclass(frozen=True)
+class Field:
+    """The first element that css finds in its record (every: all of them, as an array): its words, its "html" as readable text, or an attribute."""
+
+    css: str
+    take: str = "text"
+    every: bool = False
+
+    @property
+    def ddl(self) -> str:
+        return "array<string>" if self.every else "string"
+
+
+@dataclass(frozen=True)
+class Record:
+    """All elements that css finds, each with its fields; own names attributes of the element itself."""
+
+    css: str
+    fields: dict[str, Field | Record]
+    own: tuple[str, ...] = ()
+
+    @property
+    def struct(self) -> str:
+        return "struct<" + ", ".join([f"{n}: {f.ddl}" for n, f in self.fields.items()] + [f"`@{a}`: string" for a in self.own]) + ">"
+
+    @property
+    def ddl(self) -> str:
+        return f"array<{self.struct}>"
+
+
+def compiled(css: str) -> list[list[list[tuple[str, str, str]]]]:
+    """Alternatives of chains of elements of (name, test, value)."""
+    return [[[(a, op or "has", v) if a else (("class" if w[0] == "." else "tag"), "is", w.lstrip(".").lower() if w[0] != "." else w[1:]) for a, op, v, w in PART.findall(one)]
+             for one in re.findall(r"(?:\[[^\]]*\]|[^\s\[])+", chain)] for chain in css.split(",")]
+
+
+def fits(element: tuple[str, dict], tests: list[tuple[str, str, str]]) -> bool:
+    tag, attributes = element
+    for name, test, value in tests:
+        held = attributes.get(name)
+        if test == "is":
+            ok = tag == value if name == "tag" else value in (attributes.get("class") or "").split()
+        else:
+            ok = name in attributes if test == "has" else held == value if test == "=" else value in (held or "")
+        if not ok:
+            return False
+    return True
 
 
-class _Cards(HTMLParser):
-    def __init__(self, card: str, fields: dict[str, str]):
+def matches(stack: list[tuple[str, dict]], css) -> bool:
+    """Whether the last element of the stack is what css finds; the others may be any of its ancestors."""
+    for chain in css:
+        if fits(stack[-1], chain[-1]):
+            left = chain[:-1]
+            for element in reversed(stack[:-1]):
+                if left and fits(element, left[-1]):
+                    left = left[:-1]
+            if not left:
+                return True
+    return False
+
+
+@dataclass
+class _Open:
+    """A record or a field's text that is being read, down to the depth at which its element lies."""
+
+    depth: int
+    values: dict | None = None
+    fields: dict | None = None
+    raw: bool = False
+    parts: list[str] = field(default_factory=list)
+    into: tuple[dict, str, bool] | None = None
+
+
+class _Reader(HTMLParser):
+    def __init__(self, root: dict[str, Field | Record], rules: dict[str, list]):
         super().__init__(convert_charrefs=True)
-        self.card, self.fields, self.stack, self.open, self.out = card, fields, [], None, []
+        self.rules, self.stack, self.values = rules, [], {}
+        self.open = [self._record(root, -1, self.values)]
+
+    def _record(self, fields: dict, depth: int, values: dict) -> _Open:
+        values |= {n: [] if isinstance(f, Record) or f.every else None for n, f in fields.items()}
+        return _Open(depth, values, fields)
 
     def handle_starttag(self, tag, attrs):
-        attrs = dict(attrs)
-        classes = (attrs.get("class") or "").split()
-        if self.open is None and self.card in classes:
-            self.open = (len(self.stack), {k: "" for k in self.fields})
-            self.out.append(self.open[1])
-        names = [k for k, c in self.fields.items() if self.open and c.split("@")[0] in classes]
-        for k in names:
-            attribute = self.fields[k].partition("@")[2]
-            if attribute:
-                self.open[1][k] = self.open[1][k] or attrs.get(attribute) or ""
-        if tag not in VOID:
-            self.stack.append((tag, [k for k in names if "@" not in self.fields[k]]))
+        attributes = dict(attrs)
+        self.stack.append((tag, attributes))
+        depth = len(self.stack) - 1
+        for o in self.open:
+            if o.raw:
+                o.parts.append(self.get_starttag_text() or "")
+        for o in [o for o in self.open if o.fields is not None]:
+            for name, f in o.fields.items():
+                if not matches(self.stack, self.rules[f.css]):
+                    continue
+                if isinstance(f, Record):
+                    made = {f"@{a}": attributes.get(a) or "" for a in f.own}
+                    o.values[name].append(made)
+                    self.open.append(self._record(f.fields, depth, made))
+                elif f.every or o.values[name] is None:
+                    if f.take not in ("text", "html"):
+                        self._put((o.values, name, f.every), attributes.get(f.take) or "")
+                    else:
+                        if not f.every:
+                            o.values[name] = ""
+                        self.open.append(_Open(depth, raw=f.take == "html", into=(o.values, name, f.every)))
+        if tag in VOID:
+            self._close(depth)
+
+    @staticmethod
+    def _put(into: tuple[dict, str, bool], value: str) -> None:
+        values, name, every = into
+        if every:
+            values[name].append(value)
+        else:
+            values[name] = value
+
+    def _close(self, depth: int) -> None:
+        del self.stack[depth:]
+        for o in [o for o in self.open if o.depth >= depth]:
+            self.open.remove(o)
+            if o.into:
+                self._put(o.into, text_of("".join(o.parts)) if o.raw else " ".join(" ".join(o.parts).split()))
 
     def handle_endtag(self, tag):
-        while self.stack and any(t == tag for t, _ in self.stack):
-            t, _ = self.stack.pop()
-            if self.open and len(self.stack) <= self.open[0]:
-                self.open = None
-            if t == tag:
-                break
+        at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag), None)
+        if at is not None:
+            for o in self.open:
+                if o.raw and o.depth < at:
+                    o.parts.append(f"</{tag}>")
+            self._close(at)
 
     def handle_data(self, data):
-        if self.open:
-            for _, names in self.stack:
-                for k in names:
-                    self.open[1][k] += " " + data
+        for o in self.open:
+            if o.into:
+                o.parts.append(escape(data, quote=False) if o.raw else data)
 
+    def read(self, markup: str) -> dict:
+        self.feed(markup)
+        self.close()
+        self._close(0)
+        return self.values
 
-def cards(pages: DataFrame, key: str, html_col: str, card: str, fields: dict[str, str]) -> DataFrame:
-    """key, and one column per field, of every element of class `card`. A field is a class, or class@attribute."""
-    schema = ", ".join(f"{k} string" for k in fields)
 
-    @F.pandas_udf(f"array<struct<{schema.replace(' string', ': string')}>>")
+def _css(record: Record) -> set[str]:
+    return {record.css}.union(*({f.css} if isinstance(f, Field) else _css(f) for f in record.fields.values()))
+
+
+def elements(pages: DataFrame, html_col: str, record: Record, keep: list[str], place: str = "nth") -> DataFrame:
+    """A row for each element of a page that record finds, in its order (place, from 0): the columns keep, place, the record's fields.
+
+    What a page lacks is null, text is trimmed and has single spaces; null and unreadable markup has no elements."""
+    rules = {css: compiled(css) for css in _css(record)}
+
+    @F.pandas_udf(record.ddl)
     def parse(found: pd.Series) -> pd.Series:
-        def of(markup):
-            parser = _Cards(card, fields)
-            parser.feed(markup or "")
-            return [{k: " ".join(v.split()) for k, v in c.items()} for c in parser.out]
+        return found.map(lambda markup: _Reader({"all": record}, rules).read(markup or "")["all"])
+
+    rows = pages.select(*keep, F.posexplode(parse(html_col)).alias(place, "c_"))
+    own = [F.col("c_")[f"@{a}"].alias(f"own_{a}") for a in record.own]
+    return rows.select(*keep, place, *[F.col(f"c_.{n}") for n in record.fields], *own)
 
-        return found.map(of)
 
-    return pages.select(key, F.explode(parse(html_col)).alias("c")).select(key, "c.*")
+def cards(pages: DataFrame, key: str, html_col: str, card: str, fields: dict[str, str]) -> DataFrame:
+    """key, and one column per field, of every element of class `card`. A field is a class, or class@attribute; what is missing is empty."""
+    of = lambda c: Field("." + c.split("@")[0], c.partition("@")[2] or "text")
+    found = elements(pages, html_col, Record("." + card, {n: of(c) for n, c in fields.items()}), [key])
+    return found.select(key, *[F.coalesce(n, F.lit("")).alias(n) for n in fields])

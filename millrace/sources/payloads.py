@@ -165,10 +165,9 @@ def cached_listings(pages: DataFrame, listing: str, company: str, order: str | N
 
 def streamed_chunks(pages: DataFrame, key: str, pattern: str, array_name: str, ddl: str) -> DataFrame:
     """The rows of a JSON array that a page sends as string chunks: chunks are joined in order, the array is cut out and parsed."""
-    chunk = F.transform(F.regexp_extract_all(F.col("payload"), F.lit(pattern), 1), lambda c: F.from_json(F.concat(F.lit('{"c":'), c, F.lit("}")), "c string")["c"])
-    whole = pages.select(key, F.array_join(chunk, "").alias("text"))
-    body = F.regexp_extract("text", rf'(?s)"{array_name}":(\[(?:[^\[\]]|\[[^\[\]]*\])*\])', 1)
-    return whole.select(key, F.explode(F.from_json(body, ddl)).alias("j")).select(key, "j.*")
+    from millrace.sources.embedded import array_objects, streamed_text
+
+    return pages.select(key, F.explode(array_objects(streamed_text(F.col("payload"), pattern), array_name, ddl)).alias("j")).select(key, "j.*")
 
 
 def sitemap_urls(files: DataFrame) -> DataFrame:
@@ -177,23 +176,8 @@ def sitemap_urls(files: DataFrame) -> DataFrame:
     return files.select(entry).select(F.regexp_extract("e", r"<loc>\s*(.*?)\s*</loc>", 1).alias("url"), F.try_to_timestamp(F.regexp_extract("e", r"<lastmod>\s*(.*?)\s*</lastmod>", 1)).alias("lastmod"))
 
 
-ROLE = r"(?i)\b(engineer|developer|designer|scientist|analyst|manager|lead|architect|researcher|founder|head|director|programmer|devops|sre)\w*\b"
-MODE = r"(?i)^(remote|onsite|on-site|hybrid|full[- ]?time|part[- ]?time|contract|intern(ship)?s?|visa)\b"
-MONEY = r"(?i)[$€£₹]|\b\d+\s*k\b|\bsalary\b|\bequity\b"
-PLACE = r"(?i)\b(remote|onsite|hybrid|usa?|uk|eu|europe|india|london|berlin|new york|nyc|san francisco|sf|toronto)\b|,\s*[A-Z]{2}\b"
-
-
 def parse_posting(text: Column) -> Column:
-    """struct(company, title, location) of a free-form comment whose first line is "Company | Role | Place", or null.
-
-    The first field after the company that is no work mode, no money and no plain place is the role."""
-    line = F.regexp_replace(F.trim(F.substring_index(text, "\n", 1)), r"https?://\S+", " ")
-    fields = F.filter(F.transform(F.split(line, r"\s*[|•]\s*"), F.trim), lambda f: f != "")
-    rest = F.slice(fields, 2, F.greatest(F.size(fields) - 1, F.lit(0)))
-    role = lambda f: ~f.rlike(MODE) & ~f.rlike(MONEY) & (~f.rlike(PLACE) | f.rlike(ROLE))
-    title = F.get(F.filter(rest, role), 0)
-    places = F.filter(rest, lambda f: (f != title) & (f.rlike(PLACE) | f.rlike(MODE)) & ~f.rlike(MONEY))
-    at = r"(?i)^([^,.|]{4,90}?)\s+(?:at|@|with)\s+([^,.|]{2,60}?)(?:\s+in\s+([^,.|]{2,50}))?$"
-    spoken = F.when(F.regexp_extract(line, at, 1).rlike(ROLE), F.struct(F.regexp_extract(line, at, 2).alias("company"), F.regexp_extract(line, at, 1).alias("title"), F.regexp_extract(line, at, 3).alias("location")))
-    piped = F.when(title.isNotNull(), F.struct(F.substring(F.get(fields, 0), 1, 80).alias("company"), F.substring(title, 1, 140).alias("title"), F.substring(F.array_join(places, " · "), 1, 90).alias("location")))
-    return F.when(F.size(fields) >= 2, piped).otherwise(spoken)
+    """See comments.parse_posting."""
+    from millrace.sources import comments
+
+    return comments.parse_posting(text)
