@@ -21,7 +21,7 @@ from millrace.llm.byte_bpe import byte_bpe
 from millrace.llm.common import read_text, written
 from millrace.llm.retrieval_packing import runs
 
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 #: Fixed value: how pieces write a space.
 SPACE_SIGN = "▁"
 

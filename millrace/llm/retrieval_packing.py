@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from millrace.llm.bpe import ranges
 from millrace.llm.byte_bpe import byte_bpe
-from millrace.llm.common import read_text, written
+from millrace.llm.common import discard, read_text, written
 
 CAPACITY, END_ID = 1024, 0
 #: BM25's two constants: saturation of repeated terms, weight of the length.
@@ -32,24 +32,44 @@ SHARD_TOKENS, SHARD_ROWS, PART_TOKENS, MOST_PARTS = 1 << 20, 1 << 14, 1 << 21, 2
 KEY_TERMS = 3
 #: Neighbours taken from the scores at first; twice as many each time that they leave room.
 PULLED = 16
+#: An index is made anew when this share of its documents is placed.
+STALE = 0.1
+#: A term is common in a shard if one in so many of its documents has it.
+COMMON = 16
 
 
 def tokenised(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, doc_tokens, ids as little-endian 32-bit numbers), each text's ids followed by END_ID."""
+    """Rows (id, doc_tokens, ids as little-endian numbers), each text's ids followed by END_ID; and a row a task of
+    terms and the number of its documents that hold each (dfs), in which ids is null."""
     shared = docs.sparkSession.sparkContext.broadcast(read_text(docs.sparkSession, path))
-    out = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("doc_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    out = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("doc_tokens", T.LongType()), T.StructField("ids", T.BinaryType()),
+                        T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("dfs", T.ArrayType(T.LongType()))])
+    lists = pa.list_(pa.int32()), pa.list_(pa.int64())
 
     def run(found):
-        vocab, end = byte_bpe(shared.value), np.array([END_ID], "<u4")
+        vocab = byte_bpe(shared.value)
+        kind, total, id_type = id_kind(vocab.size), np.zeros(vocab.size, np.int64), None
+        end = np.array([END_ID], kind)
         for batch in found:
+            id_type = batch.column(0).type
             for a, rows in runs(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0)), 4_000_000):
                 part = batch.slice(a, rows)
-                ids = [np.concatenate((vocab.encode(t or "", special=True), end)).astype("<u4") for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=out.names)
+                ids = [np.concatenate((vocab.encode(t or "", special=True).astype(kind), end)) for t in part.column(1).to_pylist()]
+                size = np.array(list(map(len, ids)))
+                total += np.bincount(counted(np.concatenate(ids), size)[1], minlength=vocab.size)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), *(pa.nulls(rows, k) for k in lists)], names=out.names)
+        if id_type is not None:
+            seen = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen], lists[0]), pa.array([total[seen]], lists[1])], names=out.names)
 
     return docs.select(id_col, text_col).mapInArrow(run, out)
 
 
+def id_kind(size: int) -> str:
+    """Two bytes an id where the vocabulary allows it."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
 def runs(sizes: np.ndarray, limit: int):
     """(first row, rows) of successive runs of at most limit in all, or one row."""
     a = 0
@@ -61,25 +81,18 @@ def runs(sizes: np.ndarray, limit: int):
 
 def counted(ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents, terms and their numbers of documents given by one flat array, by document, then term."""
-    key, n = np.unique(np.repeat(np.arange(len(size)), size) << 32 | ids, return_counts=True)
-    return key >> 32, key & 0xFFFFFFFF, n
+    bits = 8 * ids.itemsize
+    kind = np.uint32 if len(size) << bits <= 1 << 32 else np.int64
+    key, n = np.unique(np.repeat(np.arange(len(size), dtype=kind), size) << kind(bits) | ids, return_counts=True)
+    return (key >> kind(bits)).astype(np.int64), (key & kind((1 << bits) - 1)).astype(np.int64), n
 
 
 def frequencies(table: DataFrame, terms: int) -> np.ndarray:
-    """In how many documents each term occurs: whole counts, summed in each task and then by term."""
-
-    def run(found):
-        total = np.zeros(terms, np.int64)
-        for batch in found:
-            for a, rows in runs(np.asarray(pa.compute.binary_length(batch.column(0))), 8_000_000):
-                parts = [np.frombuffer(x, "<u4") for x in batch.column(0).slice(a, rows).to_pylist()]
-                total += np.bincount(counted(np.concatenate(parts), np.array(list(map(len, parts))))[1], minlength=terms)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["term", "df"])
-
+    """In how many documents each term occurs, summed over what tokenised() counted in each task."""
+    each = table.where("terms is not null").select(F.explode(F.arrays_zip("terms", "dfs")).alias("t")).groupBy("t.terms").agg(F.sum("t.dfs").alias("df"))
     out = np.zeros(terms, np.int64)
-    for row in table.select("ids").mapInArrow(run, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():  # a row for each id of the vocabulary at most
-        out[row["term"]] = row["df"]
+    for row in each.collect():  # a row for each id of the vocabulary at most
+        out[row["terms"]] = row["df"]
     return out
 
 
@@ -130,7 +143,7 @@ class Filler:
     def _close(self, pieces: list) -> None:
         offset = 0
         for row, start, part, total, score in pieces:
-            self.done.append((row, start, len(part), zlib.crc32(part), total, self.sequence, offset, score, part))
+            self.done.append((row, start, len(part), zlib.crc32(part.astype("<u4")), total, self.sequence, offset, score, part))
             offset += len(part)
         self.sequence += 1
 
@@ -142,12 +155,24 @@ class Filler:
         own = np.searchsorted(doc, np.arange(len(size) + 1))
         order = np.argsort(term, kind="stable")
         by_term, by_doc, by_weight = term[order], doc[order], weight[order]
-        terms, at = np.unique(by_term, return_index=True)
-        many = np.diff(np.append(at, len(by_term)))
+        terms = np.arange(int(by_term[-1]) + 2)
+        many = np.diff(np.searchsorted(by_term, terms), append=len(by_term))
+        # Terms of many documents as rows of weights, the others as postings.
+        dense = np.flatnonzero(many * COMMON > len(size))
+        row_of = np.full(len(terms), -1)
+        row_of[dense] = np.arange(len(dense))
+        common = row_of[by_term] >= 0
+        rows_of = np.zeros((len(dense), len(size)))
+        rows_of[row_of[by_term[common]], by_doc[common]] = by_weight[common]
+        by_term, by_doc, by_weight = by_term[~common], by_doc[~common], by_weight[~common]
+        at = np.searchsorted(by_term, terms)
+        indexed = unplaced = len(size)
         free, following, seed, scores, pull = np.ones(len(size), bool), 0, None, None, PULLED
 
         def put(k: int, score: float | None) -> bool:
+            nonlocal unplaced
             free[k] = False
+            unplaced -= 1
             if scores is not None:
                 scores[k] = 0
             return self._put(rows[k], ids[end[k] - size[k]: end[k]], score)
@@ -167,11 +192,17 @@ class Filler:
                 continue
             if scores is None:
                 pull = PULLED
-                mine = np.searchsorted(terms, term[own[seed]: own[seed + 1]])
-                read = ranges(at[mine], many[mine])
-                scores = np.bincount(by_doc[read], by_weight[read], len(size)) * free
+                if unplaced < indexed * (1 - STALE):  # postings of what is placed go
+                    live = free[by_doc]
+                    by_term, by_doc, by_weight = by_term[live], by_doc[live], by_weight[live]
+                    at, indexed = np.searchsorted(by_term, terms), unplaced
+                mine = term[own[seed]: own[seed + 1]]
+                read = ranges(at[mine], at[mine + 1] - at[mine])
+                heavy = row_of[mine]
+                scores = rows_of[heavy[heavy >= 0]].sum(axis=0) + np.bincount(by_doc[read], by_weight[read], len(size))
+                scores = np.round(scores, 9) * free  # so that ties are ties in whatever order weights are added
             pull = min(pull, len(scores))
-            pulled = np.flatnonzero(scores >= max(np.partition(scores, -pull)[-pull], 1e-12))
+            pulled = np.flatnonzero(scores >= max(np.partition(scores, -pull)[-pull], 1e-9))
             pull *= 2
             pulled = pulled[np.argsort(-scores[pulled], kind="stable")] if len(pulled) else np.array([following])
             for k, score in zip(pulled.tolist(), scores[pulled].tolist()):
@@ -208,13 +239,15 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "do
     nearest neighbours. Ties in score go by the sorted order. Other columns are left out. An empty table packs to none.
     """
     spark = docs.sparkSession
-    table = written(tokenised(docs, path, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    tokens = written(tokenised(docs, path, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    table = tokens.where("ids is not null").select("id", "doc_tokens", "ids", "row")
     n, mean, total = table.agg(F.count("*"), F.avg("doc_tokens"), F.sum("doc_tokens")).first()
     out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType)] + [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
                        + [T.StructField("score", T.DoubleType())] + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * keep_ids)
     if not n:
         return spark.createDataFrame([], out)
-    df = frequencies(table, byte_bpe(read_text(spark, path)).size)
+    size = byte_bpe(read_text(spark, path)).size
+    df, kind = frequencies(tokens, size), id_kind(size)
     shared = spark.sparkContext.broadcast((rarity(df, n), df > 1))
 
     def keyed(found):
@@ -222,7 +255,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "do
         for batch in found:
             for a, rows in runs(np.asarray(pa.compute.binary_length(batch.column(2))), 8_000_000):
                 part = batch.slice(a, rows)
-                ids = [np.frombuffer(x, "<u4") for x in part.column(2).to_pylist()]
+                ids = [np.frombuffer(x, kind) for x in part.column(2).to_pylist()]
                 size = np.array(list(map(len, ids)))
                 doc, term, times = counted(np.concatenate(ids), size)
                 keys = heaviest(doc, term, weights(idf, term, times, size[doc], mean) * common[term], rows)
@@ -249,7 +282,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "do
         for batch in found:
             id_type = batch.column(0).type
             for row, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(x.as_buffer(), "<u4")
+                ids = np.frombuffer(x.as_buffer(), kind)
                 if rows and (held + len(ids) > shard_tokens or len(rows) == SHARD_ROWS):
                     flush()
                     held = 0
@@ -267,4 +300,6 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "do
     order = [*(f"k{k}" for k in range(KEY_TERMS)), "row"]
     keys = T.StructType(table.schema.fields + [T.StructField(f"k{k}", T.IntegerType()) for k in range(KEY_TERMS)])
     parts = min(MOST_PARTS, max(1, total // part_tokens))
-    return table.mapInArrow(keyed, keys).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "ids").mapInArrow(fill, out)
+    sorted_ = written(table.mapInArrow(keyed, keys), "keyed")  # so that the ranges are found from the keys alone
+    discard(tokens)
+    return sorted_.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "ids").mapInArrow(fill, out)
