@@ -425,8 +425,8 @@ def emails_extract(spark, sf_dir):
 
 
 def relative_age_label(spark, sf_dir):
-    days = F.timestamp_diff("DAY", F.col("o_orderdate"), _now()).cast("double")
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.age_label(days).alias("age"))
+    seen = F.expr("timestampadd(HOUR, o_orderkey % 61, o_orderdate)")
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.age_label(F.timestamp_diff("SECOND", seen, _now())).alias("age"))
 
 
 def salary_parse(spark, sf_dir):
@@ -459,8 +459,39 @@ def slop_by_severity(spark, sf_dir):
     return hits.groupBy("severity").agg(F.count("*").alias("n"))
 
 
+def _listed(spark, sf_dir) -> DataFrame:
+    """Documents as lists: their first line is prose, every sentence after that a bullet of one of four kinds, by the document."""
+    mark = F.element_at(F.array(*[F.lit(m) for m in ("- ", "• ", "  * ", "– ")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), r"\. +", F.concat(F.lit(".\n"), mark)).alias("text"))
+
+
+LISTED_SQL = r"""listed AS (SELECT doc_id, regexp_replace(replace(text, chr(10), ' '), '\. +', '.' || chr(10) || ['- ', '• ', '  * ', '– '][doc_id % 4 + 1], 'g') AS text FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM listed),
+bullets AS (SELECT doc_id, i, start, regexp_replace(l, '^[•*–-]\s+', '') AS bullet FROM (
+  SELECT doc_id, i, regexp_replace(line, '^\s+|\s+$', '', 'g') AS l, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM lines)
+  WHERE regexp_matches(l, '^[•*–-]\s')),
+openers AS (SELECT doc_id, lower(regexp_extract(bullet, '[A-Za-z'']+')) AS opener, count(*) AS times FROM bullets GROUP BY ALL)"""
+
+
 def repeated_verb(spark, sf_dir):
-    return quality.repeated_openers(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return quality.repeated_openers(_listed(spark, sf_dir), "doc_id", "text")
+
+
+CHECKED = [quality.Check("bullet_too_long", "cv", 180), quality.Check("repeated_opening_verb", "cv", 3), quality.Check("note_too_long", "note", 300), quality.Check("email_too_long", "email", 180)]
+
+
+def text_findings(spark, sf_dir):
+    found = quality.findings(_listed(spark, sf_dir), RULES, CHECKED, "cv", "doc_id", "text")
+    return found.groupBy("doc_id", "rule", "severity").agg(F.count("*").alias("n"), F.min("start").alias("first_start"), F.max(F.length("excerpt")).alias("longest"))
+
+
+FINDINGS_SQL = rf"""WITH {LISTED_SQL},
+found AS (
+  SELECT doc_id, rule, severity, len(hits) AS n, length(string_split_regex(text, pattern)[1]) AS first_start, list_max(list_transform(hits, lambda h: length(trim(regexp_replace(h, '\s+', ' ', 'g'))))) AS longest
+  FROM (SELECT *, regexp_extract_all(text, pattern) AS hits FROM listed, (VALUES ('opener', 'high', '(?i)\bthe and\b'), ('ending', 'medium', 'tion[ .,]'), ('dash', 'low', ',')) r(rule, severity, pattern)) WHERE len(hits) > 0
+  UNION ALL SELECT doc_id, 'bullet_too_long', 'medium', count(*), min(start), 90 FROM bullets WHERE length(bullet) > 180 GROUP BY doc_id
+  UNION ALL SELECT doc_id, 'repeated_opening_verb', 'low', count(*), 0, max(length('"' || opener || '" opens ' || times || ' bullets')) FROM openers WHERE opener <> '' AND times >= 3 GROUP BY doc_id)
+SELECT doc_id, rule, severity, n::BIGINT AS n, first_start::BIGINT AS first_start, longest::INT AS longest FROM found"""
 
 
 CITIES = geo.Gazetteer({"NATION_7": ("nation seven",), "NATION_2": (), "NATION_12": ()}, states={})
@@ -486,6 +517,13 @@ def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.html_to_text(F.col("html")).alias("text"))
 
 
+HTML_SQL = r"""
+WITH bare AS (SELECT page_id, regexp_replace(html, '(?is)<head>.*?</head>|<style.*?</style>|<script.*?</script>|<noscript.*?</noscript>|<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g') AS h FROM pages),
+broken AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '(?i)<li(\s[^>]*)?>', chr(10) || '• ', 'g'), '(?i)<(p|div|br|h1|h2|h3|h4|tr)(\s[^>]*)?/?>', chr(10), 'g'), '</?[a-zA-Z][^>]*>', '', 'g') AS h FROM bare),
+plain AS (SELECT page_id, replace(replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS h FROM broken)
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '[ \t\r\f\v]+', ' ', 'g'), '\n\s*\n\s*\n+', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM plain
+"""
+
 REGIONS = geo.Gazetteer({"asia": (), "europe": (), "africa": (), "america": (), "middle east": ()}, {"east": ("asia", "middle east")})
 
 
@@ -573,7 +611,7 @@ QUERIES = {f.__name__: f for f in (
     rank_topk, rank_full_score, union_of_topk, relevance_floor, sort_salary_fx, budgeted_topn, age_filter, exact_dedupe_merge, fuzzy_dedupe, similar_titles, tag_fold, content_ids, upsert_retain, carry_forward,
     new_only, hide_marked, saved_list, toggle_marks, tracker_upsert, health_rollup, meta_counts, tier_summary, count_by_source, marks_by_kind, facet_city, facet_role, facet_values, board_audit,
     extract_skills, keyword_narrow, detect_remote, detect_seniority, normalise_labels, clean_urls, emails_extract, relative_age_label, salary_parse, longest_suffix_join, slop_penalty,
-    slop_by_severity, repeated_verb, locality, html_to_text, batch_plan, filtered_roles, filtered_facets, strict_match, index_details, distinct_urls, health_state, tracker_rows)}
+    slop_by_severity, repeated_verb, text_findings, locality, html_to_text, batch_plan, filtered_roles, filtered_facets, strict_match, index_details, distinct_urls, health_state, tracker_rows)}
 
 SQL = {
     "rank_topk": f"WITH p AS ({POSTINGS_SQL}) SELECT * FROM {_top_sql(RING, 50, 'id, title, score')}",
@@ -615,9 +653,11 @@ SQL = {
     "detect_remote": "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'hybrid' WHEN 1 THEN 'remote' WHEN 2 THEN 'onsite' ELSE 'unknown' END AS mode FROM part",
     "detect_seniority": "SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'senior' WHEN 1 THEN 'intern' WHEN 2 THEN 'exec' ELSE CASE WHEN p_size % 11 >= 8 THEN 'lead' WHEN p_size % 11 >= 5 THEN 'senior' WHEN p_size % 11 >= 2 THEN 'mid' ELSE 'entry' END END AS level FROM part",
     "normalise_labels": NORMALISE_SQL,
-    "clean_urls": "SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url, CASE WHEN d = 'example.net' OR d LIKE '%.example.net' THEN '' ELSE d END AS domain FROM (SELECT *, regexp_replace(lower(regexp_extract(url, '://([^/?#:]+)', 1)), '^www\\.', '') AS d FROM pages)",
-    "emails_extract": r"SELECT doc_id, array_to_string(e, ',') AS emails FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}'), lambda x: lower(x)) AS a, list_filter(a, lambda x, i: list_position(a, x) = i) AS e FROM documents) WHERE len(e) > 0",
-    "relative_age_label": f"SELECT o_orderkey, CASE WHEN n <= 0 THEN 'today' WHEN n = 1 THEN 'yesterday' WHEN n < 7 THEN n || 'd ago' WHEN n < 30 THEN (n // 7) || 'w ago' ELSE (n // 30) || 'mo ago' END AS age FROM (SELECT o_orderkey, date_diff('day', o_orderdate, TIMESTAMP '{AS_OF}') AS n FROM orders)",
+    "clean_urls": "SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url, CASE WHEN contains(d, 'example.net') THEN '' ELSE d END AS domain FROM (SELECT *, regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\\.', '') AS d FROM pages)",
+    "emails_extract": r"SELECT doc_id, array_to_string(e, ',') AS emails FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b'), lambda x: lower(x)) AS a, list_filter(a, lambda x, i: list_position(a, x) = i) AS e FROM documents) WHERE len(e) > 0",
+    "relative_age_label": f"""SELECT o_orderkey, CASE WHEN ms < 0 THEN 'just now' WHEN d = 0 AND h <= 1 THEN 'just now' WHEN d = 0 THEN h || 'h ago' WHEN d = 1 THEN 'yesterday' WHEN d < 7 THEN d || 'd ago'
+      WHEN d < 30 THEN (d // 7) || 'w ago' ELSE (d // 30) || 'mo ago' END AS age FROM (SELECT *, ms // 86400000 AS d, ms // 3600000 AS h FROM (
+        SELECT o_orderkey, date_diff('millisecond', o_orderdate + to_hours((o_orderkey % 61)::INT), TIMESTAMP '{AS_OF}') AS ms FROM orders))""",
     "salary_parse": """SELECT p_partkey, CASE WHEN ok THEN lo END AS salary_min, CASE WHEN ok THEN hi END AS salary_max, CASE WHEN ok THEN cur END AS salary_currency FROM (
       SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_size * 100000.0::DOUBLE WHEN 1 THEN (p_size + 60) * 1000.0::DOUBLE ELSE p_size * 12000.0::DOUBLE END AS lo,
         CASE p_size % 3 WHEN 0 THEN (p_size + 5) * 100000.0::DOUBLE WHEN 1 THEN (p_size + 60) * 1000.0::DOUBLE ELSE p_size * 12000.0::DOUBLE END AS hi, CASE p_size % 3 WHEN 1 THEN 'USD' ELSE 'INR' END AS cur,
@@ -627,7 +667,9 @@ SQL = {
     "slop_penalty": r"""SELECT doc_id, c AS penalty, round(greatest(0.0::DOUBLE, 20.0::DOUBLE - c), 1) AS points, CASE WHEN round(20.0::DOUBLE - c, 1) >= 15 THEN 'good' WHEN round(20.0::DOUBLE - c, 1) >= 5 THEN 'fair' ELSE 'poor' END AS band FROM (
       SELECT doc_id, least(20.0::DOUBLE, 3.0::DOUBLE * len(regexp_extract_all(text, '(?i)\bthe and\b')) + 1.5::DOUBLE * len(regexp_extract_all(text, 'tion[ .,]')) + 0.5::DOUBLE * len(regexp_extract_all(text, ','))) AS c FROM documents)""",
     "slop_by_severity": r"SELECT 'high' AS severity, sum(len(regexp_extract_all(text, '(?i)\bthe and\b')))::BIGINT AS n FROM documents UNION ALL SELECT 'medium', sum(len(regexp_extract_all(text, 'tion[ .,]')))::BIGINT FROM documents UNION ALL SELECT 'low', sum(len(regexp_extract_all(text, ',')))::BIGINT FROM documents",
-    "repeated_verb": r"SELECT doc_id, opener, count(*) AS times FROM (SELECT doc_id, lower(regexp_extract(unnest(string_split(text, chr(10))), '^\s*[-*•]?\s*([A-Za-z]+)', 1)) AS opener FROM documents) WHERE opener <> '' GROUP BY ALL HAVING count(*) >= 3",
+    "repeated_verb": f"WITH {LISTED_SQL} SELECT doc_id, opener, times FROM openers WHERE opener <> '' AND times >= 3",
+    "text_findings": FINDINGS_SQL,
+    "html_to_text": HTML_SQL,
     "locality": LOCALITY_SQL,
     "filtered_roles": _roles_sql(),
     "filtered_facets": f"""WITH {PLACED_SQL} SELECT id, location, 1.25::DOUBLE AS score, count(*) OVER () AS strong_count, FALSE AS relaxed FROM p

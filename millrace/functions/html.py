@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLOCKS = {"p", "br", "div", "li", "tr", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "table", "header", "footer", "blockquote"}
-HIDDEN = {"script", "style", "noscript"}
+# Elements before which a line breaks, and those that hold no text.
+BREAKS = {"p", "div", "br", "h1", "h2", "h3", "h4", "tr"}
+HIDDEN = {"script", "style", "noscript", "head"}
 
 
 class _Text(HTMLParser):
@@ -20,14 +21,12 @@ class _Text(HTMLParser):
         self.parts, self.hidden = [], 0
 
     def handle_starttag(self, tag, attrs):
-        self.hidden += tag in HIDDEN
-        if tag in BLOCKS:
+        self.hidden = 0 if tag == "body" else self.hidden + (tag in HIDDEN)
+        if tag == "li" or tag in BREAKS:
             self.parts.append("\n• " if tag == "li" else "\n")
 
     def handle_endtag(self, tag):
         self.hidden = max(0, self.hidden - (tag in HIDDEN))
-        if tag in BLOCKS:
-            self.parts.append("\n")
 
     def handle_data(self, data):
         if not self.hidden:
@@ -35,13 +34,14 @@ class _Text(HTMLParser):
 
 
 def text_of(markup: str) -> str:
+    """Text with a line for each block that begins, a bullet for each list entry; references that were escaped twice are resolved too."""
     if "<" not in markup:
         return " ".join(html.unescape(markup).split())
     parser = _Text()
     parser.feed(markup)
     parser.close()
-    lines = [re.sub(r"[^\S\n]+", " ", x).strip() for x in "".join(parser.parts).split("\n")]
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
+    text = re.sub(r"[ \t\r\f\v]+", " ", html.unescape("".join(parser.parts)))
+    return re.sub(r"\n\s*\n\s*\n+", "\n\n", text).strip()
 
 
 def html_to_text(markup: Column) -> Column:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# What a finding costs by its severity.
 COST = {"high": 3.0, "medium": 1.5, "low": 0.5}
 OTHER_COST = 1.0
 
@@ -58,19 +60,95 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != ""))
 
 
+MARK = r"(?U)^[•\-*–]\s+"
+
+
+def _stripped(line: Column) -> Column:
+    return F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
+
+
 def bullets(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda line: F.ltrim(line).rlike(r"^[-*•]\s"))
+    """The lines that begin with a bullet, without it."""
+    lines = F.filter(F.transform(F.split(text, "\n"), _stripped), lambda line: line.rlike(MARK))
+    return F.transform(lines, lambda line: F.regexp_replace(line, MARK, ""))
 
 
 def long_bullets(text: Column, most: int) -> Column:
     return F.size(F.filter(bullets(text), lambda b: F.length(b) > most))
 
 
+def bullet_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A row a bullet: id_col, nth line (from 0), start of its line in characters, bullet. Starts are running sums over a text's lines; lines end with a newline alone.
+
+    Texts are told apart as rows, so repeated and null ids mix nothing up."""
+    rows = docs.select(F.col(id_col), F.col(text_col), F.monotonically_increasing_id().alias("row_"))
+    lines = rows.select(F.col(id_col), "row_", F.posexplode(F.split(text_col, "\n")).alias("nth", "line"))
+    before = Window.partitionBy("row_").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0))
+    told = lines.select(id_col, "row_", "nth", start.alias("start"), _stripped(F.col("line")).alias("line")).where(F.col("line").rlike(MARK))
+    return told.select(id_col, "row_", "nth", "start", F.regexp_replace("line", MARK, "").alias("bullet"))
+
+
+def opener(bullet: Column) -> Column:
+    """The first word of a bullet, in lower case, with its apostrophes."""
+    return F.lower(F.regexp_extract(bullet, r"([A-Za-z']+)", 1))
+
+
 def repeated_openers(docs: DataFrame, id_col: str, text_col: str, least: int = 3) -> DataFrame:
-    """Words that open at least so many lines of one text."""
-    lines = docs.select(id_col, F.explode(F.split(text_col, "\n")).alias("line"))
-    verbs = lines.select(id_col, F.lower(F.regexp_extract("line", r"^\s*[-*•]?\s*([A-Za-z]+)", 1)).alias("opener")).where("opener <> ''")
-    return verbs.groupBy(id_col, "opener").agg(F.count("*").alias("times")).where(F.col("times") >= least)
+    """Words that open at least so many bullets of one text; prose opens none."""
+    verbs = bullet_lines(docs, id_col, text_col).select(id_col, "row_", opener(F.col("bullet")).alias("opener")).where("opener <> ''")
+    return verbs.groupBy("row_", id_col, "opener").agg(F.count("*").alias("times")).where(F.col("times") >= least).drop("row_")
+
+
+@dataclass(frozen=True)
+class Check:
+    """A structural check: one of CHECKS, the kind of text that it applies to, and its threshold."""
+
+    id: str
+    applies_to: str
+    threshold: int
+
+
+# How grave each structural check is.
+CHECKS = {"note_too_long": "high", "email_too_long": "medium", "bullet_too_long": "medium", "repeated_opening_verb": "low"}
+
+
+def findings(docs: DataFrame, rules: list[Rule], checks: list[Check], kind: str, id_col: str, text_col: str) -> DataFrame:
+    """id_col, rule, severity, excerpt (at most 90 characters), start: every hit of a rule, and of each check for this kind of text.
+
+    A check of the whole text starts at 0, one of a bullet where its line starts. Blank and null texts have no findings. Order them by id, start."""
+    own = docs.where(F.trim(F.regexp_replace(F.coalesce(text_col, F.lit("")), r"(?U)\s+", " ")) != "")
+    text = F.col(text_col)
+    parts = []
+    if rules:
+        hits = rule_hits(own, rules, id_col, text_col)
+        parts.append(hits.select(id_col, "rule", "severity", F.substring(F.trim(F.regexp_replace("excerpt", r"(?U)\s+", " ")), 1, 90).alias("excerpt"), F.col("start").cast("long").alias("start")))
+    for c in (c for c in checks if c.applies_to == kind):
+        made = lambda rows, excerpt, start=F.lit(0), c=c: rows.select(id_col, F.lit(c.id).alias("rule"), F.lit(CHECKS[c.id]).alias("severity"), excerpt.alias("excerpt"), start.cast("long").alias("start"))
+        if c.id == "note_too_long":
+            parts.append(made(own.where(F.length(text) > c.threshold), F.format_string(f"%d characters (limit {c.threshold})", F.length(text))))
+        elif c.id == "email_too_long":
+            parts.append(made(own.where(word_count(text) > c.threshold), F.format_string(f"%d words (aim for under {c.threshold})", word_count(text))))
+        elif c.id == "bullet_too_long":
+            parts.append(made(bullet_lines(own, id_col, text_col).where(F.length("bullet") > c.threshold), F.substring("bullet", 1, 90), F.col("start")))
+        elif c.id == "repeated_opening_verb":
+            parts.append(made(repeated_openers(own, id_col, text_col, c.threshold), F.format_string('"%s" opens %d bullets', "opener", "times")))
+        else:
+            raise ValueError(f"no such check: {c.id}")
+    if not parts:
+        return own.select(id_col, *[F.lit("").alias(n) for n in ("rule", "severity", "excerpt")], F.lit(0).cast("long").alias("start")).where(F.lit(False))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def report(docs: DataFrame, found: DataFrame, id_col: str, weight: float = 10.0) -> DataFrame:
+    """id_col, findings, clean, by_severity (a map), penalty (capped at weight), points: of every text, those without findings too. Ids are unique in docs."""
+    cost = F.coalesce(F.create_map(*[F.lit(x) for kv in COST.items() for x in kv])[F.col("severity")], F.lit(OTHER_COST))
+    each = found.groupBy(id_col, "severity").agg(F.count("*").alias("n"), F.sum(cost).alias("cost"))
+    told = each.groupBy(id_col).agg(F.sum("n").alias("n_"), F.sum("cost").alias("cost_"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("severity", "n")))).alias("by_"))  # an entry a severity
+    lost = F.least(F.coalesce("cost_", F.lit(0.0)), F.lit(float(weight)))
+    return docs.select(id_col).join(told, id_col, "left").select(
+        id_col, F.coalesce("n_", F.lit(0)).alias("findings"), F.col("n_").isNull().alias("clean"), F.coalesce("by_", F.expr("cast(map() as map<string, bigint>)")).alias("by_severity"),
+        lost.alias("penalty"), language_score(lost, weight).alias("points"))
 
 
 def rubric_total(scores: DataFrame, id_col: str) -> DataFrame:

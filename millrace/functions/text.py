@@ -125,26 +125,45 @@ def title_case_slug(slug: Column, acronyms: tuple[str, ...] | list[str] = ()) ->
     return F.array_join(F.transform(F.split(slug, "-"), word), " ")
 
 
-def fix_case(text: Column, acronyms: dict[str, str]) -> Column:
-    """Display repair of words that are all capitals or all lower case."""
-    known = F.create_map(*[F.lit(x) for pair in (acronyms or {"": ""}).items() for x in pair])
-    repaired = lambda w: F.when((w == F.upper(w)) | (w == F.lower(w)), F.initcap(F.lower(w))).otherwise(w)
-    return F.array_join(F.transform(F.split(text, " "), lambda w: F.coalesce(F.try_element_at(known, F.lower(w)), repaired(w))), " ")
+# Acronyms that title case spoils, and those of them that read well in it.
+ACRONYMS = ("ncr ey ibm tcs hcl kpmg pwc hdfc icici sbi hsbc hr it ites bpo kpo bfsi nbfc mnc sme msme ai ml sql aws gcp sap crm erp qa ui ux seo sem llp pvt ltd inc llc uae usa uk us gst kyc cfa mba bsc msc "
+            "bca mca btech mtech ca cs cma").split()
+LEFT_IN_TITLE_CASE = ("pvt", "ltd", "inc", "llc")
 
 
-def age_label(days: Column) -> Column:
-    n = F.floor(days).cast("int")
-    return (F.when(days.isNull(), "").when(n <= 0, "today").when(n == 1, "yesterday").when(n < 7, F.concat(n.cast("string"), F.lit("d ago")))
-            .when(n < 30, F.concat(F.floor(n / 7).cast("string"), F.lit("w ago"))).otherwise(F.concat(F.floor(n / 30).cast("string"), F.lit("mo ago"))))
+def fix_case(text: Column, acronyms: tuple[str, ...] | list[str] = tuple(ACRONYMS)) -> Column:
+    """Acronyms of up to six letters that are in title case, in capitals; every other word stays as it is."""
+    spoilt = F.array(*[F.lit(a.capitalize()) for a in acronyms if len(a) <= 6 and a not in LEFT_IN_TITLE_CASE]) if acronyms else F.array().cast("array<string>")
+    pieces = F.regexp_extract_all(text, F.lit("([A-Za-z0-9_]+|[^A-Za-z0-9_]+)"), 1)
+    return F.array_join(F.transform(pieces, lambda w: F.when(F.array_contains(spoilt, w), F.upper(w)).otherwise(w)), "")
+
+
+def age_label(seconds: Column) -> Column:
+    """How long ago, by whole days, within a day by whole hours; the future is just now, an unknown age empty."""
+    days, hours = F.floor(seconds / 86400).cast("long"), F.floor(seconds / 3600).cast("long")
+    ago = lambda n, unit: F.concat(n.cast("string"), F.lit(f"{unit} ago"))
+    return (F.when(seconds.isNull(), "").when(hours <= 1, "just now").when(days == 0, ago(hours, "h")).when(days == 1, "yesterday").when(days < 7, ago(days, "d"))
+            .when(days < 30, ago(F.floor(days / 7), "w")).otherwise(ago(F.floor(days / 30), "mo")))
+
+
+# How amounts of a currency begin.
+SIGNS = {"INR": "₹", "USD": "$", "EUR": "€", "GBP": "£"}
 
 
 def salary_label(low: Column, high: Column, currency: Column) -> Column:
-    """Lakh and crore for rupees, thousands for the rest."""
-    def amount(x: Column) -> Column:
-        rupees = F.when(x >= 1e7, F.concat(F.format_number(x / 1e7, 1), F.lit("Cr"))).otherwise(F.concat(F.format_number(x / 1e5, 1), F.lit("L")))
-        return F.when(currency == "INR", rupees).otherwise(F.concat(F.format_number(x / 1e3, 0), F.lit("k")))
+    """Lakhs and crores a year for rupees, thousands for the rest; ends that read alike are one. Null without a low end."""
+    cur = F.coalesce(currency, F.lit(""))
+    whole = lambda x, unit: F.when(x % unit == 0, F.format_string("%.0f", x / unit)).otherwise(F.format_string("%.1f", x / unit))
 
-    return F.when(low.isNull(), "").when(high.isNull() | (high == low), amount(low)).otherwise(F.concat(amount(low), F.lit("–"), amount(high)))
+    def amount(x: Column) -> Column:
+        x = x.cast("double")
+        rupees = F.when(x >= 1e7, F.concat(whole(x, 1e7), F.lit("Cr"))).otherwise(F.concat(whole(x, 1e5), F.lit("L")))
+        rounded = lambda v: F.floor(v + 0.5).cast("string")
+        return F.when(cur == "INR", rupees).when(x >= 1000, F.concat(rounded(x / 1000), F.lit("k"))).otherwise(rounded(x))
+
+    sign = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SIGNS.items() for x in kv]), cur), F.lit(""))
+    ends = F.when(high.isNull() | (amount(high) == amount(low)), amount(low)).otherwise(F.concat(amount(low), F.lit("–"), amount(high)))
+    return F.when(low.isNotNull(), F.concat(sign, ends, F.when(cur == "INR", " PA").otherwise("/yr")))
 
 
 # Rupees per unit; an unknown currency counts as rupees.

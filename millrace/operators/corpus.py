@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,9 +76,12 @@ def needs_details(rows: DataFrame, existing: DataFrame, sources: list[str], shor
     return rows.where((F.length("description") < shortest) & F.col("source").isin(*sources)).join(existing, "id", "left_anti")
 
 
-def write_corpus(rows: DataFrame, path: str) -> None:
-    """Details by shard, the first two digits of the id. An overwrite drops shards that have no rows any more."""
-    rows.withColumn("shard", F.substring("id", 1, 2)).repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+def write_corpus(rows: DataFrame, path: str, splits: int = 16, file_rows: int = 1_000_000) -> None:
+    """Details by shard, the first two digits of the id. An overwrite drops shards that have no rows any more.
+
+    A shard is written by as many tasks as splits says, in files of file_rows at most, so that a shard of any size is no one task's work."""
+    split = F.pmod(F.xxhash64("id"), F.lit(splits))
+    rows.withColumn("shard", F.substring("id", 1, 2)).repartition("shard", split).write.mode("overwrite").option("maxRecordsPerFile", file_rows).partitionBy("shard").parquet(path)
 
 
 def read_posting(spark, path: str, wanted: str) -> DataFrame:
@@ -99,22 +104,75 @@ def first_by_url(rows: DataFrame, order: list, url: str = "url") -> DataFrame:
 
 
 DETAILS = ["description", "apply_url", "salary_period", "enriched"]
+#: Versions that stay besides the one in force: readers of them may still be running.
+KEPT = 1
+
+
+def _fs(spark, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def _numbers(spark, path: str) -> list[int]:
+    fs, place = _fs(spark, f"{path}/commits")
+    return sorted(int(n) for s in fs.listStatus(place) if (n := s.getPath().getName()).isdigit()) if fs.exists(place) else []
+
+
+def _commits(spark, path: str) -> list[tuple[int, str]]:
+    """(number, version) of every commit, ascending. A commit is a file named by its number that holds its version's name; one without a name never came into force."""
+    if not _numbers(spark, path):
+        return []
+    read = spark.read.text(f"{path}/commits").select(F.regexp_extract(F.input_file_name(), r"(\d+)$", 1).cast("long").alias("n"), "value").where("value <> ''")
+    return sorted((r["n"], r["value"]) for r in read.collect())  # a few files: old ones go with each save
+
+
+def version(spark, path: str) -> str:
+    """The folder of the version in force."""
+    found = _commits(spark, path)
+    if not found:
+        raise FileNotFoundError(f"no corpus in {path}")
+    return f"{path}/{found[-1][1]}"
+
 
+def save(rows: DataFrame, health: DataFrame, path: str, as_of: Column) -> str:
+    """A corpus as four tables of one version under path: index, details by shard, and health and meta as JSON. Returns the version's folder.
 
-def save(rows: DataFrame, health: DataFrame, path: str, as_of: Column) -> None:
-    """A corpus as four tables under path: index, details by shard, and health and meta as JSON."""
+    All tables are written to a folder of their own; then one file that names it is made, which is the commit. Until then, and after a crash at any step, the version before stays in
+    force, whole. Two that save at once get numbers of their own or the later one fails: a commit's file is never overwritten. Old versions but KEPT, and what crashes left, are deleted after the commit."""
     from millrace.operators import facets
 
-    index_projection(rows).write.mode("overwrite").parquet(f"{path}/index")
-    write_corpus(rows.select("id", *DETAILS), f"{path}/details")
-    health.write.mode("overwrite").json(f"{path}/health")
+    spark = rows.sparkSession
+    before = _commits(spark, path)
+    made = f"version-{uuid.uuid4().hex}"
+    target = f"{path}/{made}"
+    index_projection(rows).write.parquet(f"{target}/index")
+    write_corpus(rows.select("id", *DETAILS), f"{target}/details")
+    health.write.json(f"{target}/health")
     by = rows.groupBy("source").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "n")))).alias("by_source"))  # one entry a source
-    facets.meta(rows, health).crossJoin(by).select(as_of.alias("updated_at"), "*").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+    facets.meta(rows, health).crossJoin(F.broadcast(by)).select(as_of.alias("updated_at"), "*").coalesce(1).write.json(f"{target}/meta")  # one row each
+    commit(spark, path, max(_numbers(spark, path), default=0) + 1, made)
+    kept = {made, *(v for _, v in before[-KEPT:])}
+    fs, place = _fs(spark, path)
+    for s in fs.listStatus(place):
+        if s.getPath().getName().startswith("version-") and s.getPath().getName() not in kept:
+            fs.delete(s.getPath(), True)
+    for n, _ in before[: max(0, len(before) - KEPT)]:
+        fs.delete(_fs(spark, f"{path}/commits/{n:020d}")[1], False)
+    return target
+
+
+def commit(spark, path: str, number: int, made: str) -> None:
+    """Puts a version in force. The file is made only if there is none of that number, which file systems with atomic creation decide for one of two that try."""
+    fs, place = _fs(spark, f"{path}/commits/{number:020d}")
+    out = fs.create(place, False)
+    out.writeBytes(made)
+    out.close()
 
 
 def load(spark, path: str, rebuild: bool = False) -> DataFrame:
-    """What save() stored, as postings; a rebuild starts from none of it."""
-    rows = with_details(spark.read.parquet(f"{path}/index"), spark.read.parquet(f"{path}/details").drop("shard"))
+    """What save() stored last, as postings; a rebuild starts from none of it."""
+    at = version(spark, path)
+    rows = with_details(spark.read.parquet(f"{at}/index"), spark.read.parquet(f"{at}/details").drop("shard"))
     return rows.where(F.lit(False)) if rebuild else rows
 
 

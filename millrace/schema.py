@@ -62,17 +62,51 @@ def conform(rows: DataFrame, as_of: Column) -> DataFrame:
     return rows.select(*[v.alias(c) for c, v in out.items()])
 
 
+# The most characters of a stored text, and the most entries of a stored list, that are taken.
+MOST_CHARS = {"id": 64, "title": 300, "company": 200, "location": 200, "url": 2000, "source": 40, "remote": 20, "tier": 20, "seniority": 20, "salary_currency": 8, "salary_text": 160, "summary": 2000}
+MOST_ENTRIES, ENTRY_CHARS = 30, 120
+
+
 def coerce_stored(rows: DataFrame) -> DataFrame:
-    """Stored rows of strings and numbers of any quality, made safe; `dropped` marks those without title or url."""
-    text = lambda c, n: F.substring(F.coalesce(F.col(c).cast("string"), F.lit("")), 1, n)
-    amount = lambda c: F.when(F.expr(f"try_cast({c} as double)") > 0, F.expr(f"try_cast({c} as double)"))
-    url = F.when(F.col("url").rlike("^https?://"), F.col("url")).otherwise("")
-    finite = lambda c: F.when(amount(c) < float("inf"), amount(c))
-    return rows.withColumns({
-        "title": text("title", 300), "company": text("company", 200), "location": text("location", 200), "url": url,
-        "salary_min": finite("salary_min"), "salary_max": finite("salary_max"),
-        "posted_at": F.try_to_timestamp(F.col("posted_at").cast("string")),
-        "first_seen_at": F.coalesce(F.try_to_timestamp(F.col("first_seen_at").cast("string")), F.timestamp_seconds(F.lit(0))),
-        "remote": one_of(F.col("remote"), REMOTE, "unknown"), "seniority": one_of(F.col("seniority"), SENIORITY, "unknown"),
-        "id": F.coalesce(F.nullif(F.col("id").cast("string"), F.lit("")), url),
-    }).withColumn("dropped", (F.col("title") == "") | (F.col("url") == ""))
+    """Stored rows of any quality as index entries that can be shown; `dropped` marks those without a title or a link that may be opened.
+
+    Columns may be missing or of other types; texts are cut and trimmed, links are http(s) only, amounts are finite and above 0, unknown kinds and unreadable times take
+    their defaults: company Unknown, source unknown, tier tier1, first_seen_at the epoch, id the link."""
+    kinds = dict(rows.dtypes)
+
+    def text(c: str) -> Column:
+        if c not in kinds or kinds[c].startswith(("array", "map", "struct", "binary")):
+            return F.lit("")
+        return F.substring(F.coalesce(F.col(c).cast("string"), F.lit("")), 1, MOST_CHARS[c])
+
+    trimmed = lambda c: F.regexp_replace(text(c), r"(?U)^\s+|\s+$", "")
+    said = lambda c, other: F.coalesce(F.nullif(trimmed(c), F.lit("")), F.lit(other))
+
+    def entries(c: str) -> Column:
+        if not kinds.get(c, "").startswith("array"):
+            return F.array().cast("array<string>")
+        cut = F.transform(F.coalesce(F.col(c).cast("array<string>"), F.array().cast("array<string>")), lambda v: F.substring(v, 1, ENTRY_CHARS))
+        return F.slice(F.filter(cut, lambda v: F.coalesce(v, F.lit("")) != ""), 1, MOST_ENTRIES)
+
+    def amount(c: str) -> Column:
+        n = F.col(c).cast("string").try_cast("double") if c in kinds and kinds[c] != "boolean" else F.lit(None).cast("double")
+        return F.when((n > 0) & (n < float("inf")), n)
+
+    def time(c: str) -> Column:
+        return F.try_to_timestamp(F.nullif(F.substring(F.col(c).cast("string"), 1, 40), F.lit(""))) if c in kinds else F.lit(None).cast("timestamp")
+
+    url = F.when(trimmed("url").rlike("(?i)^https?://"), trimmed("url")).otherwise("")
+    out = {
+        "title": trimmed("title"), "company": said("company", "Unknown"), "location": trimmed("location"), "remote": one_of(text("remote"), REMOTE, "unknown"), "url": url,
+        "source": F.coalesce(F.nullif(text("source"), F.lit("")), F.lit("unknown")), "tier": one_of(text("tier"), TIERS, "tier1"), "posted_at": time("posted_at"),
+        "first_seen_at": F.coalesce(time("first_seen_at"), F.timestamp_seconds(F.lit(0))), "salary_min": amount("salary_min"), "salary_max": amount("salary_max"),
+        "salary_currency": text("salary_currency"), "salary_text": text("salary_text"), "skills": entries("skills"), "seniority": one_of(text("seniority"), SENIORITY, "unknown"),
+        "summary": text("summary"), "tags": entries("tags")}
+    made = rows.select(F.coalesce(F.nullif(text("id"), F.lit("")), url).alias("id"), *[v.alias(c) for c, v in out.items()])
+    return made.withColumn("dropped", (F.col("title") == "") | (F.col("url") == ""))
+
+
+def usable(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """coerce_stored() rows without the dropped ones, and one row of how many these are."""
+    made = coerce_stored(rows)
+    return made.where("not dropped").drop("dropped"), made.agg(F.count_if("dropped").alias("dropped"))

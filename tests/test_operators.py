@@ -1,6 +1,7 @@
 """Ranking, resolution, corpus and source operators on small tables."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 from millrace.functions.geo import Gazetteer
 from millrace.operators import corpus, enrich, facets, rank, resolve, score, search, suffix, tracker
 from millrace.operators.intent import Family, Vocabulary, understand
-from millrace.schema import POSTING, conform
+from millrace.plans import batch
+from millrace.schema import POSTING, conform, usable
 from millrace.sources import cards, payloads
 from millrace.sources.datasource import LandedPayloads, register
 from millrace.streaming import upsert
@@ -330,12 +332,84 @@ def test_saved_corpus(spark, tmp_path):
     back = corpus.load(spark, str(tmp_path / "c"))
     assert sorted((r.title, r.description, r.apply_url) for r in back.collect()) == [("A", "long text", "u"), ("B", "", "")]
     assert corpus.load(spark, str(tmp_path / "c"), rebuild=True).count() == 0
-    meta = spark.read.json(str(tmp_path / "c/meta")).first()
+    meta = spark.read.json(f"{corpus.version(spark, str(tmp_path / 'c'))}/meta").first()
     assert (meta.total, meta.sources_ok, meta.sources_failed, meta.by_source.asDict(), meta.updated_at) == (2, 1, 2, {"x": 1, "y": 1}, "2024-06-01")
     assert [r.source for r in facets.health_order(runs).collect()] == ["y", "z", "x"]
     assert tuple(facets.health_state(runs).first()) == (1, 2, "amber")
 
 
+def test_a_crash_at_any_step_leaves_the_corpus_whole(spark, tmp_path, monkeypatch):
+    path, runs = str(tmp_path / "c"), spark.createDataFrame([("x", 3, 10, True, "")], "source string, jobs_found long, duration_ms long, ok boolean, error string")
+    make = lambda *titles: conform(jobs(spark, *({"title": t, "description": f"about {t}"} for t in titles)).drop("ord"), F.lit(AS_OF).cast("timestamp"))
+    held = lambda: sorted((r.title, r.description) for r in corpus.load(spark, path).collect())
+    with pytest.raises(FileNotFoundError):
+        corpus.load(spark, path)
+    corpus.save(make("A", "B"), runs, path, F.lit("1"))
+    for step in ("index_projection", "write_corpus", "commit"):
+        with monkeypatch.context() as m:
+            m.setattr(corpus, step, lambda *a, **k: (_ for _ in ()).throw(OSError("lost")))
+            with pytest.raises(OSError, match="lost"):
+                corpus.save(make("C"), runs, path, F.lit("2"))
+        assert held() == [("A", "about A"), ("B", "about B")]
+    (tmp_path / "c/commits/00000000000000000002").touch()  # made, but not yet named
+    assert held() == [("A", "about A"), ("B", "about B")]
+    first = corpus.version(spark, path)
+    corpus.save(make("C"), runs, path, F.lit("2"))
+    assert held() == [("C", "about C")] and spark.read.parquet(f"{first}/index").count() == 2  # readers of the version before go on
+    corpus.save(make("D"), runs, path, F.lit("3"))
+    assert held() == [("D", "about D")] and len([f for f in os.listdir(path) if f.startswith("version-")]) == 2
+    with pytest.raises(Exception, match="exist"):
+        corpus.commit(spark, path, 4, "other")
+
+
+def test_a_shard_is_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(4000).select(F.concat(F.lit("ab"), F.col("id").cast("string")).alias("id"))
+    corpus.write_corpus(rows, str(tmp_path / "c"), splits=4, file_rows=300)
+    files = os.listdir(tmp_path / "c/shard=ab")
+    assert len([f for f in files if f.endswith(".parquet")]) >= 4000 // 300 and spark.read.parquet(str(tmp_path / "c")).count() == 4000
+
+
+def test_counts_of_a_run(spark):
+    rows = jobs(spark, {"title": "Data Analyst", "description": "sql"}, {"title": "Data Analysts", "source": "y"}, {"title": "Plumber"}, {"title": "Data Analyst", "company": "Other"})
+    now = F.lit(AS_OF).cast("timestamp")
+    told = batch.dry_run(rows, rows.drop("ord").where("false"), [understand("data analyst", VOCAB)], now)
+    assert told == {"raw": {"n": 4}, "resolved": {"n": 3}, "kept": {"n": 2}, "final": {"n": 2, "tier1": 2, "tier2": 0}}
+
+
+def test_stored_rows_are_made_safe(spark):
+    rows = spark.sql("""select * from values (1, ' Dev ', cast(null as string), 'HTTPS://x.io/1 ', 'odd', '12.5', 'NaN', array('sql', '', null), '2024-01-02', 'lead'),
+      (2, '', 'Acme', 'https://x.io/2', 'remote', '-1', 'inf', null, 'soon', 'boss'), (null, 'Dev', ' ', 'javascript:x', 'hybrid', '5', '1e3', array(), null, null), (null, 'QA', 'B', 'http://y', 'onsite', null, '7', array(repeat('z', 200)), '', '')
+      as t(id, title, company, url, remote, salary_min, salary_max, skills, posted_at, seniority)""")
+    kept, dropped = usable(rows)
+    got = {r.title: r for r in kept.collect()}
+    assert dropped.first().dropped == 2 and set(got) == {"Dev", "QA"}
+    dev, qa = got["Dev"], got["QA"]
+    assert (dev.id, dev.company, dev.url, dev.remote, dev.salary_min, dev.salary_max, dev.skills, str(dev.posted_at)[:10], dev.seniority, dev.source, dev.tier, dev.first_seen_at.year) == (
+        "1", "Unknown", "HTTPS://x.io/1", "unknown", 12.5, None, ["sql"], "2024-01-02", "lead", "unknown", "tier1", 1970)
+    assert (qa.id, qa.company, qa.salary_max, qa.skills, qa.posted_at, qa.seniority, qa.tags, qa.summary) == ("http://y", "B", 7.0, ["z" * 120], None, "unknown", [], "")
+
+
+def test_pages_plans_and_feeds(spark, tmp_path):
+    rows = spark.range(95).orderBy("id")
+    assert [r.id for r in rank.page(rows, 2).collect()] == list(range(80, 95)) and rank.page(rows, 3).count() == 0
+    thin = spark.createDataFrame([(1, "short", "a"), (2, "x" * 80, "a"), (3, "", "b"), (4, "", "a")], "id int, description string, source string")
+    assert [r.id for r in corpus.needs_details(thin, thin.where("id = 4").select("id"), ["a"]).collect()] == [1]
+    sources = spark.createDataFrame([("feed", True, 1), ("board", False, 2)], "source string, query_independent boolean, pages int")
+    asked = payloads.request_plan(sources, spark.createDataFrame([(["sql", "qa"],), (["sql"],)], "keywords array<string>"))
+    assert sorted(map(tuple, asked.collect()), key=str) == sorted([("feed", None, 1)] + [("board", k, p) for k in ("qa", "sql") for p in (1, 2)], key=str)
+    (tmp_path / "f.xml").write_text("<rss><channel><item><title>Acme: Dev</title><link>http://x</link></item><item><title>B</title></item></channel></rss>")
+    assert [(r.title, r.link) for r in payloads.rss_items(spark, str(tmp_path / "f.xml")).collect()] == [("Acme: Dev", "http://x"), ("B", None)]
+
+
+def test_scores_of_remote_long_and_wordless(spark):
+    rows = score.prepare(jobs(spark, {"title": "Dev", "remote": "remote", "description": "y" * 401}, {"title": "Dev", "company": "B"}))
+    now = F.lit(AS_OF).cast("timestamp")
+    of = lambda q, **k: {r.company: r.s for r in rows.select("company", score.relevance(q, now, ts=F.col("posted_at"), **k).alias("s")).collect()}
+    plain, far, long = (of(understand("dev", VOCAB), **k) for k in ({}, {"remote_only": True, "remote": F.col("remote")}, {"description": F.col("description")}))
+    assert far["Acme"] == plain["Acme"] and far["B"] == round(plain["B"] * 0.2, 5) and long["Acme"] == round(plain["Acme"] * 1.04, 5) and long["B"] == plain["B"]
+    assert of(understand("", VOCAB)) == {"Acme": 0.7, "B": 0.7}  # every row is as good as one that has all words
+
+
 def test_details_and_urls(spark):
     index = spark.createDataFrame([(1, "old"), (2, "old"), (3, None)], "id int, description string")
     told = spark.createDataFrame([(1, "new", "year"), (2, None, None)], "id int, description string, period string")
