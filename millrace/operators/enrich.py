@@ -39,7 +39,8 @@ def ask(rows: DataFrame, provider: Callable[[list[dict]], list[str | None]], siz
 def apply(rows: DataFrame, answers: DataFrame) -> DataFrame:
     """Answers put into their postings: 8 skills, a known level, 220 characters of summary, 4 tags before cross-post marks."""
     fenced = F.regexp_replace(F.col("answer"), r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", "")
-    told = answers.select("id", F.from_json(fenced, ANSWER).alias("a")).where("a is not null")
+    whole = F.try_variant_get(F.try_parse_json(fenced), "$", "map<string, variant>").isNotNull()
+    told = answers.where(whole).select("id", F.from_json(fenced, ANSWER).alias("a"))  # what is no object says nothing
     both = rows.join(told, "id", "left")
     said, marks = F.col("a").isNotNull(), F.filter("tags", lambda t: t.startswith("also:"))
     return both.withColumns({

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from millrace import catalog, catalog_landed
+from millrace import catalog, catalog_landed, catalog_sources
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
@@ -24,7 +24,7 @@ def plain(rows):
     return sorted(repr(tuple(round(v, 6) if isinstance(v, float) else v for v in r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted({**catalog.QUERIES, **catalog_landed.QUERIES}))
+@pytest.mark.parametrize("name", sorted({**catalog.QUERIES, **catalog_landed.QUERIES, **catalog_sources.QUERIES}))
 def test_query(spark, sql, name):
     df = entry.queries()[name](spark, DATA)
     columns = sorted(df.columns)
