@@ -51,9 +51,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Removed are chunks of MIN_LINES or more lines that occur anywhere before (a smaller id, or earlier in the text).
     Null texts stay null with no lines, an empty text is one line; texts of any length are cut whole. Rows that
     repeat an id and its text are treated alike and both keep a first occurrence. Rows with a null id come after all
-    others and are never a first occurrence, unless a chunk occurs in such rows only. Other columns pass through;
-    the names used inside end in an underscore. An empty table gives none.
+    others and are never a first occurrence, unless a chunk occurs in such rows only. Other columns pass through, whatever
+    their names; columns named n_lines or n_removed are replaced. An empty table gives none.
     """
+    docs = docs.drop("n_lines", "n_removed")
+    names = docs.columns
+    inside = [f"c{k}" for k in range(len(names))]  # names used inside end in an underscore
+    out = _line_dedup(docs.toDF(*inside), inside[names.index(id_col)], inside[names.index(text_col)], salts)
+    return out.toDF(*names, "n_lines", "n_removed")
+
+
+def _line_dedup(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
     cut = docs.withColumn("sum_", F.xxhash64(text_col)).withColumn("chunks_", _chunks(F.col(text_col)))
     # The cut texts are written once; what follows reads of them the columns it needs.
     cut = written(cut.select(*[c for c in docs.columns if c != text_col], "sum_", F.col("chunks_.n").alias("sizes_"), F.col("chunks_.text").alias("texts_"),
@@ -76,7 +84,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     later = met.withColumn("nth_", F.dense_rank().over(earlier)).where((F.col("nth_") > 1) | ~F.col("id_").eqNullSafe(F.col("first_")))
     drops = later.groupBy("id_", F.col("sum_").alias("of_")).agg(F.collect_set("k_").alias("drops_"))
     kept = cut.join(drops, F.col(id_col).eqNullSafe(F.col("id_")) & (F.col("sum_") == F.col("of_")), "left")
-    stays = lambda c: F.when(F.col("drops_").isNull(), F.col(c)).otherwise(F.filter(c, lambda x, k: ~F.array_contains("drops_", k)))
+    left = F.when(F.col("drops_").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("sizes_") - 1), "drops_"))
+    kept = kept.withColumn("left_", left)
+    stays = lambda c: F.when(F.col("left_").isNull(), F.col(c)).otherwise(F.transform("left_", lambda k: F.get(F.col(c), k)))
     lines = lambda c: F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda a, n: a + n), F.lit(0).cast("long"))
     return kept.select(*[F.col(c) if c != text_col else F.array_join(stays("texts_"), "\n").alias(text_col) for c in docs.columns],
                        lines(F.col("sizes_")).alias("n_lines"), (lines(F.col("sizes_")) - lines(stays("sizes_"))).alias("n_removed"))
