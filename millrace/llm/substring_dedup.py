@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.bpe import ranges, word_keys
+from millrace.llm.common import SPACE
 
 WINDOW = 13
 SHORTEST = 4
@@ -272,6 +273,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives none.
     """
     docs = docs.drop("n_words", "n_removed")
+    said = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), SPACE), lambda w: w != "")
+    whole = docs.where(F.col(id_col).isNull()).withColumns({"n_words": F.size(said).cast("long"), "n_removed": F.lit(0).cast("long"), **({text_col: F.array_join(said, " ")} if join_all else {})})
+    columns, docs = docs.columns, docs.where(F.col(id_col).isNotNull())
     total = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     buckets = min(64 - SENT_BITS, max(5, (blocks // BLOCKS_A_BUCKET).bit_length()))
@@ -279,7 +283,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     block_col = "block_"
     while block_col in docs.columns:
         block_col += "_"
-    dealt = docs.withColumn(block_col, F.pmod(F.xxhash64(id_col), F.lit(blocks))).repartition(block_col)
+    # An id that many rows share is dealt by its texts: blocks compare by ids, so its rows need not lie together.
+    dealt = docs.withColumn(block_col, F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks))).repartition(block_col)
     block_of = lambda t: t.column(block_col)[0].as_py()
     words_of = lambda t: Words(t.column(id_col), t.column(text_col), salt)
 
@@ -318,4 +323,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         t = t.set_column(t.column_names.index(text_col), text_col, texts)
         return t.append_column("n_words", pa.array(n, pa.int64())).append_column("n_removed", pa.array(removed, pa.int64()))
 
-    return dealt.groupBy(block_col).cogroup(flags.unionByName(answers).groupBy("block")).applyInArrow(cut, out)
+    done = dealt.groupBy(block_col).cogroup(flags.unionByName(answers).groupBy("block")).applyInArrow(cut, out)
+    return done.unionByName(whole.select(*columns, "n_words", "n_removed"))
