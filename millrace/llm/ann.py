@@ -5,7 +5,7 @@ vector goes to the list of its nearest centroid, found by a beam search on the g
 centroids that are hardly more distant (boundary vectors). A query takes the lists whose centroids' distances stay
 within a ratio of the nearest one's, up to a number that is measured on the table: a bounded sample of the queries is
 compared with every vector, and as many lists are probed, up to all, as hold the share RECALL of what is truly
-nearest; where the ratio would hide too much of it, it is left out. Lists are balanced: one with many vectors is dealt to parts, one with many
+nearest; the ratio is widened to what hides no more than half of the rest. Lists are balanced: one with many vectors is dealt to parts, one with many
 queries to blocks, and each pair of part and block is compared in one task. Scores of what is kept are cosines of the
 original vectors in double precision. Equal vectors are one entry with its smallest ids, which is all that can be
 among the nearest, so copies make no list longer.
@@ -29,7 +29,9 @@ REPLICAS, REPLICA_RATIO = 4, 1.1
 LEAST_PROBES, PROBES, PROBE_RATIO = 4, 40, 1.5
 RECALL, MEASURED_QUERIES = 0.98, 256
 PART = 2048
-BEAM, LINKS = 48, 16
+BEAM, LINKS, FAR_LINKS = 48, 16, 4
+#: Numbers that a step of the walk holds at once.
+WALK_NUMBERS = 8_000_000
 
 
 @dataclass
@@ -59,13 +61,6 @@ class Graph:
                 return new, np.sqrt(np.maximum(0, 2 - 2 * near))
             found = new
 
-    def scan(self, unit: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """The same over all centroids, exactly; cheaper than the walk where many are wanted."""
-        near = unit @ self.centroids.T
-        best = np.argpartition(-near, min(most, near.shape[1]) - 1, 1)[:, :most]
-        best = np.take_along_axis(best, np.argsort(-np.take_along_axis(near, best, 1), 1, kind="stable"), 1)
-        return best, np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(near, best, 1)))
-
 
 def build(sample: np.ndarray, lists: int, seed: int = 7, rounds: int = 10) -> Graph:
     """Spherical k-means on the sample, in which an overfull cluster gives its place to the emptiest one's centroid."""
@@ -82,10 +77,12 @@ def build(sample: np.ndarray, lists: int, seed: int = 7, rounds: int = 10) -> Gr
                 sums[empty] = sample[rng.choice(np.flatnonzero(mine == full))]
         length = np.linalg.norm(sums, axis=1, keepdims=True)
         centroids = np.where(length > 0, sums / np.maximum(length, 1e-12), centroids)
-    near = centroids @ centroids.T
-    np.fill_diagonal(near, -np.inf)
-    links = np.argsort(-near, 1)[:, : max(1, min(LINKS, lists - 1))] if lists > 1 else np.zeros((1, 1), int)
-    far = rng.integers(0, lists, (lists, 4))  # a few distant links keep the graph connected
+    links = np.zeros((lists, max(1, min(LINKS, lists - 1))), int)
+    for a in range(0, lists if lists > 1 else 0, 1024):  # never all lists against all at once
+        near = centroids[a: a + 1024] @ centroids.T
+        near[np.arange(len(near)), a + np.arange(len(near))] = -np.inf
+        links[a: a + 1024] = np.argsort(-near, 1)[:, : links.shape[1]]
+    far = rng.integers(0, lists, (lists, FAR_LINKS))  # a few distant links keep the graph connected
     return Graph(centroids, np.concatenate((links, far), 1), rng.choice(lists, min(lists, BEAM), replace=False))
 
 
@@ -143,7 +140,7 @@ def _reach(wanted: DataFrame, entries: DataFrame, posted: DataFrame, graph: Grap
     held["place"] = place[q, at]
     held["ratio"] = far[q, at] / np.maximum(far[q].min(1), 1e-9)
     each = held.groupby(["q", "rid"])[["place", "ratio"]].min()
-    ratio = PROBE_RATIO if (each["ratio"] <= PROBE_RATIO).mean() >= (1 + recall) / 2 else float("inf")
+    ratio = max(PROBE_RATIO, float(np.quantile(each["ratio"], (1 + recall) / 2, method="higher")))
     needed = np.sort(np.where(each["ratio"] <= ratio, each["place"] + 1, len(graph.centroids)))
     return max(probes, int(needed[int(np.ceil(recall * len(needed))) - 1])), ratio
 
@@ -174,19 +171,21 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     n = entries.count()
     lists = max(1, min(MOST_LISTS, -(-n // list_size)))
     share = int(min(1.0, lists * SAMPLE_PER_LIST / n) * (1 << 20))
-    sample = entries.where(F.pmod(F.xxhash64("rid"), F.lit(1 << 20)) <= share).select("rid", "v").toPandas().sort_values("rid")
-    sample = _scaled(np.array(sample["v"].tolist(), float).reshape(len(sample), -1)) if len(sample) else np.ones((1, common["d"]))
+    taken = entries.where(F.pmod(F.xxhash64("rid"), F.lit(1 << 20)) <= share).select("rid", "v").toArrow().sort_by("rid")
+    sample = _rows(taken.column("v").combine_chunks()) if len(taken) else np.ones((1, common["d"]))
     built = build(sample / np.linalg.norm(sample, axis=1, keepdims=True), lists)
     graph = spark.sparkContext.broadcast(built)
 
     def place(beam: int, least: int, most: int, ratio: float):
+        wide = max(beam, most + most // 4)  # the beam grows with the lists that are wanted
+        rows_ = max(8, min(1024, WALK_NUMBERS // (wide * (LINKS + FAR_LINKS) * common["d"])))
+
         def run(found):
-            rows_ = 1024 if most <= BEAM else 128
             for batch in found:
                 for a in range(0, len(batch), rows_):
                     part = batch.slice(a, rows_)
                     unit = _unit(part.column("v"))
-                    near, far = graph.value.search(unit, beam) if most <= beam else graph.value.scan(unit, most)
+                    near, far = graph.value.search(unit, wide)
                     nth = np.arange(near.shape[1])
                     keep = ((far <= ratio * np.maximum(far[:, :1], 1e-9)) & (nth < most)) | (nth < least)
                     row, col = np.nonzero(keep)
