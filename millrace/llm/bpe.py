@@ -381,13 +381,14 @@ def read_vocabulary(spark, path: str) -> Vocabulary:
 
 
 def decimal_text(ids: np.ndarray) -> bytes:
-    """The ids, below 100,000, as decimals joined by one space."""
-    rest, digits, shown = ids.astype(np.int32), np.empty((len(ids), 6), np.uint8), np.ones((len(ids), 6), bool)
-    for k in range(4, -1, -1):
-        shown[:, k] = (rest > 0) | (k == 4)
+    """The ids as decimals joined by one space."""
+    width = len(str(int(ids.max()))) if len(ids) else 1
+    rest, digits, shown = ids.astype(np.int64), np.empty((len(ids), width + 1), np.uint8), np.ones((len(ids), width + 1), bool)
+    for k in range(width - 1, -1, -1):
+        shown[:, k] = (rest > 0) | (k == width - 1)
         digits[:, k] = rest % 10 + 48
         rest = rest // 10
-    digits[:, 5] = 32
+    digits[:, width] = 32
     return digits[shown].tobytes()[:-1]
 
 
