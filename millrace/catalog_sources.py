@@ -262,13 +262,106 @@ def stages(spark, sf_dir):
     return facets.stage_counts({"stored": old, "incoming": new, "after": corpus.upsert(old, new, _now())})
 
 
-QUERIES = {f.__name__: f for f in (feed_postings, object_caches, board_cards, board_health, request_plan, text_parts, written_times, salary_in_text, embedded_posting, places_of_parts, found_rows, looked_up, thin_rows, enriched_rows, stages)}
+
+def _mixed(spark, sf_dir, words: list[str], sizes=(1, 12, 5), sep: str = ", ") -> DataFrame:
+    """Parts with a label of three of these words each, by their keys."""
+    word = lambda n: F.element_at(F.array(*map(F.lit, words)), (F.floor(F.col("p_partkey") / n) % len(words) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size", F.concat_ws(sep, *map(word, sizes)).alias("label"))
+
+
+def _mixed_sql(words: list[str], sizes=(1, 12, 5), sep: str = ", ") -> str:
+    listed = ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+    return "m AS (SELECT p_partkey, p_size, concat_ws('" + sep + "', " + ", ".join(f"([{listed}])[p_partkey // {n} % {len(words)} + 1]" for n in sizes) + ") AS label FROM part)"
+
+
+MODE_WORDS = ["Hybrid role", "work from home", "on-site", "remote-first", "fully remote", "Remotely", "office", "WFO", "onsite only", "hybridized", "In office", "Pune", "100% Remote"]
+LEVEL_WORDS = ["Senior", "Sr. Dev", "Intern", "Head of Data", "Manager", "Engineer II", "SDE 3", "Fresher", "Analyst", "Internal Auditor", "iv", "Chief", "Associate", "Staff", "Tester", "Clerk", "Cook"]
+PLACE_WORDS = ["New Delhi", "Noida", "Pune", "greater noida", "Kochi", "India", "Maharashtra", "remote", "Worldwide", "US only", "", "Haryana", "Maharastra"]
+
+
+def modes_of_labels(spark, sf_dir):
+    return _mixed(spark, sf_dir, MODE_WORDS).select("p_partkey", text.detect_remote(F.col("label")).alias("mode"))
+
+
+def levels_of_titles(spark, sf_dir):
+    said = F.element_at(F.array(*map(F.lit, ("needs 3+ years", "5 to 7 yrs", "1 year", "10 years", "", "years of it", "8-12 Yrs"))), (F.col("p_size") % 7 + 1).cast("int"))
+    return _mixed(spark, sf_dir, LEVEL_WORDS, (1, 17), " ").select("p_partkey", text.detect_seniority(F.col("label"), said).alias("level"))
+
+
+def pay_of_labels(spark, sf_dir):
+    """Labels of a currency, one or two figures and a unit, in all combinations."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    pick = lambda n, xs: F.element_at(F.array(*map(F.lit, xs)), (F.floor(k / n) % len(xs) + 1).cast("int"))
+    low = (k % 37 + 3).cast("string")
+    label = F.concat(F.lit("Pay: "), pick(1, SIGN_WORDS), low, F.when(k % 2 == 0, F.concat(F.lit(" - "), (k % 37 + 8).cast("string"))).otherwise(""), pick(7, UNIT_WORDS))
+    pay = p.select("p_partkey", salary.parse_salary(label).alias("pay"))
+    return pay.select("p_partkey", "pay.salary_min", "pay.salary_max", "pay.salary_currency", "pay.salary_period", "pay.salary_text")
+
+
+SIGN_WORDS, UNIT_WORDS = ["₹ ", "$", "Rs. ", "£", ""], [" LPA", " lakhs", "k per year", ",000 per month", "/hour", " crore", "", " Cr", "k"]
+PAY_SQL = r"""
+WITH l AS (SELECT p_partkey, p_partkey AS k, ['₹ ', '$', 'Rs. ', '£', ''][p_partkey % 5 + 1] AS sign, [' LPA', ' lakhs', 'k per year', ',000 per month', '/hour', ' crore', '', ' Cr', 'k'][p_partkey // 7 % 9 + 1] AS unit FROM part),
+f AS (SELECT *, (k % 37 + 3)::DOUBLE AS a, CASE WHEN k % 2 = 0 THEN (k % 37 + 8)::DOUBLE END AS b, CASE WHEN unit IN (' LPA', ' lakhs') THEN 100000.0 WHEN unit IN (' crore', ' Cr') THEN 10000000.0 WHEN unit IN ('k', 'k per year') THEN 1000.0 ELSE 1.0 END AS scale,
+  CASE WHEN unit IN (' LPA', 'k per year') THEN 1 WHEN unit = ',000 per month' THEN 12 WHEN unit = '/hour' THEN 2080 ELSE 0 END AS period FROM l),
+g AS (SELECT *, CASE WHEN unit = ',000 per month' THEN 1000.0 ELSE 1.0 END AS many, CASE WHEN sign IN ('₹ ', 'Rs. ') THEN 'INR' WHEN sign = '$' THEN 'USD' WHEN sign = '£' THEN 'GBP' WHEN scale IN (100000.0, 10000000.0) THEN 'INR' ELSE '' END AS currency FROM f),
+h AS (SELECT *, CASE WHEN b IS NULL THEN a * many ELSE least(a, b * many) END * scale AS low, CASE WHEN b IS NULL THEN a * many ELSE b * many END * scale AS high FROM g),
+i AS (SELECT *, CASE WHEN period > 0 THEN period WHEN currency = 'INR' THEN CASE WHEN high >= 100000 THEN 1 ELSE 12 END WHEN high >= 10000 THEN 1 END AS factor FROM h),
+j AS (SELECT *, low * factor AS least, high * factor AS most, high * factor >= 1000 AND high * factor <= 500000000 AND NOT (currency = 'INR' AND high * factor > 100000000) AS fits FROM i)
+SELECT p_partkey, CASE WHEN fits THEN least END AS salary_min, CASE WHEN fits THEN most END AS salary_max, CASE WHEN fits THEN currency END AS salary_currency, CASE WHEN fits THEN 'year' END AS salary_period,
+  CASE WHEN fits THEN 'Pay: ' || sign || a::INT || CASE WHEN b IS NULL THEN '' ELSE ' - ' || b::INT END || unit END AS salary_text FROM j
+"""
+
+
+def locality_of_places(spark, sf_dir):
+    """How made places satisfy a search in one city, and the best of two."""
+    rows = _mixed(spark, sf_dir, PLACE_WORDS, (1, 13, 5))
+    kind = geo.locality(F.col("label"), "Delhi", PLACES, F.col("p_size") % 2 == 0, F.lit(""))
+    return rows.select("p_partkey", kind.alias("kind"), geo.best_locality(F.col("label"), ["pune", "noida"], PLACES, F.lit(False), F.lit("")).alias("best"))
+
+
+LOCALITY_SQL = "WITH " + _mixed_sql(PLACE_WORDS, (1, 13, 5)) + r""",
+n AS (SELECT *, lower(label) AS t FROM m),
+b AS (SELECT *, regexp_matches(t, '\bdelhi\b') AS delhi, regexp_matches(t, '\bnoida\b') AS noida, regexp_matches(t, '\bpune\b') AS pune, regexp_matches(t, 'maharashtra|maharastra') AS mh, contains(t, 'haryana') AS hr, regexp_matches(t, '\bindia\b') AS india,
+  p_size % 2 = 0 AND NOT regexp_matches(t, '\b(us only|usa only)\b') AND (regexp_matches(t, '\b(worldwide|anywhere)\b') OR trim(t) IN ('remote', 'remote worldwide', 'fully remote', 'remote - global')) AS far FROM n),
+k AS (SELECT *, CASE WHEN far THEN 'remote' ELSE '' END AS away FROM b)
+SELECT p_partkey, CASE WHEN delhi THEN 'exact' WHEN noida THEN 'metro' WHEN pune OR mh OR hr THEN away WHEN india THEN 'region' ELSE away END AS kind,
+  CASE WHEN pune OR noida THEN 'exact' WHEN delhi THEN 'metro' WHEN mh THEN 'region' ELSE '' END AS best FROM k
+"""
+
+
+def names_of_companies(spark, sf_dir):
+    """Company and title keys of made names: brackets, noise words, abbreviations and signs in all combinations."""
+    rows = _mixed(spark, sf_dir, NAME_WORDS, (1, 11, 5), " ")
+    return rows.select("p_partkey", text.normalise_company(F.col("label")).alias("company"), text.normalise_title(F.col("label")).alias("title"), text.search_normalise(F.col("label")).alias("search"))
+
+
+NAME_WORDS = ["Acme Labs", "Pvt. Ltd.", "Zed (India)", "Sr.", "jr ML Eng", "[Urgent] hiring", "Technologies", "C++/PM", "Full-time Dev", "Blue & Sons", "co", "sde, bi"]
+NAMES_SQL = "WITH " + _mixed_sql(NAME_WORDS, (1, 11, 5), " ") + r""",
+b AS (SELECT p_partkey, lower(label) AS l, regexp_replace(lower(label), '[\(\[\{].*?[\)\]\}]', ' ', 'g') AS t, regexp_replace(' ' || lower(label) || ' ', '[^a-z0-9+#/&.\- ]+', ' ', 'g') AS q FROM m)
+SELECT p_partkey,
+  trim(regexp_replace(regexp_replace(t, '\b(pvt\.?|private|ltd\.?|limited|llp|inc\.?|incorporated|corp\.?|corporation|gmbh|plc|co\.?|company|technologies|technology|solutions|services|labs|india)\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS company,
+  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\b(urgent|immediate|hiring|opening|position|role|job|vacancy|full[- ]time|part[- ]time|permanent|contract|wfh|remote|hybrid|onsite|fresher|experienced|m/f/d|\(m/w/d\))\b', ' ', 'g'),
+    '\bsr\.?\b', 'senior', 'g'), '\bjr\.?\b', 'junior', 'g'), '[^a-z0-9]+', ' ', 'g')) AS title,
+  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(q, '\bsr\b\.?', 'senior', 'g'), '\bjr\b\.?', 'junior', 'g'), '\beng\b\.?', 'engineer', 'g'), '\bdev\b\.?', 'developer', 'g'),
+    '\bml\b', 'machine learning', 'g'), '\bbi\b', 'business intelligence', 'g'), '\bsde\b', 'software engineer', 'g'), '\bpm\b', 'product manager', 'g'), '\s+', ' ', 'g')) AS search
+FROM b
+"""
+
+
+QUERIES = {f.__name__: f for f in (feed_postings, object_caches, board_cards, board_health, request_plan, text_parts, written_times, salary_in_text, embedded_posting, places_of_parts, found_rows, looked_up, thin_rows, enriched_rows, stages,
+                                        modes_of_labels, levels_of_titles, pay_of_labels, locality_of_places, names_of_companies)}
 SQL = {
     "feed_postings": _feeds_sql(), "object_caches": CACHE_SQL, "board_cards": CARDS_SQL, "board_health": HEALTH_SQL, "request_plan": PLAN_SQL, "text_parts": TEXT_SQL, "written_times": TIMES_SQL, "salary_in_text": SALARY_SQL,
     "embedded_posting": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url END AS name FROM pages", "places_of_parts": PLACES_SQL, "found_rows": FOUND_SQL,
     "looked_up": "SELECT c_name AS id, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_name = 'Customer#000000077'",
     "thin_rows": "SELECT o_orderkey AS id, o_orderstatus AS source FROM orders WHERE o_custkey % 200 < 80 AND o_orderstatus IN ('F', 'O') AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
-    "enriched_rows": ENRICHED_SQL,
+    "enriched_rows": ENRICHED_SQL, "pay_of_labels": PAY_SQL, "locality_of_places": LOCALITY_SQL, "names_of_companies": NAMES_SQL,
+    "modes_of_labels": "WITH " + _mixed_sql(MODE_WORDS) + r""" SELECT p_partkey, CASE WHEN regexp_matches(l, '\bhybrid\b') THEN 'hybrid' WHEN regexp_matches(l, '\b(fully[\s-]?remote|work from home|wfh|remote[\s-]?first|100% remote|remote)\b') THEN 'remote'
+      WHEN regexp_matches(l, '\b(on[\s-]?site|in[\s-]?office|work from office|wfo)\b') THEN 'onsite' ELSE 'unknown' END AS mode FROM (SELECT p_partkey, lower(label) AS l FROM m)""",
+    "levels_of_titles": "WITH " + _mixed_sql(LEVEL_WORDS, (1, 17), " ") + r""" SELECT p_partkey, CASE WHEN regexp_matches(l, '\b(intern|internship|trainee|apprentice)\b') THEN 'intern' WHEN regexp_matches(l, '\b(chief|cto|ceo|cfo|coo|vp|vice president|head of|director)\b') THEN 'exec'
+      WHEN regexp_matches(l, '\b(lead|principal|staff|architect|manager)\b') THEN 'lead' WHEN regexp_matches(l, '\b(senior|sr|sde\s*[3-9]|iii|iv)\b') THEN 'senior' WHEN regexp_matches(l, '\b(junior|jr|entry|fresher|graduate|associate|sde\s*1|i{1,2})\b') THEN 'entry'
+      WHEN y IS NULL THEN 'unknown' WHEN y >= 8 THEN 'lead' WHEN y >= 5 THEN 'senior' WHEN y >= 2 THEN 'mid' ELSE 'entry' END AS level FROM (SELECT p_partkey, lower(label) AS l, [3, 5, 1, 10, NULL, NULL, 8][p_size % 7 + 1] AS y FROM m)""",
     "stages": """SELECT 'stored' AS stage, count(DISTINCT o_custkey) AS n FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01' UNION ALL SELECT 'incoming', count(DISTINCT o_custkey) FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01'
       UNION ALL SELECT 'after', count(DISTINCT o_custkey) FROM orders""",
 }
