@@ -139,7 +139,7 @@ def best_locality(location: Column, cities: list[str], g: Gazetteer, remote: Col
     return F.element_at(ranks, best.cast("int"))
 
 
-def picker_order(g: Gazetteer, first: str) -> list[str]:
-    """Cities for a picker: one metro's first, then metro cities, then the rest by name."""
-    groups = {c: 0 if g.metro_of(c) == first else 1 if g.metro_of(c) else 2 for c in g.cities}
-    return sorted(g.cities, key=lambda c: (groups[c], c))
+def picker_order(g: Gazetteer, first: str, metros: tuple[str, ...] = ()) -> list[str]:
+    """Cities for a picker: those of one metro as it lists them, then metros (if none are given, the other metros' cities as they are listed), then the rest by name."""
+    listed = metros or tuple(c for m, cities in g.metros.items() if m != first for c in cities)
+    return list(dict.fromkeys(c for c in (*g.metros.get(first, ()), *listed, *sorted(g.cities)) if c in g.cities))

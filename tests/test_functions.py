@@ -82,6 +82,8 @@ def test_places(spark):
     assert values(spark, near, "Noida", "India") == ["metro", ""]
     assert values(spark, far, "Noida") == [""]
     assert geo.picker_order(PLACES, "ncr") == ["delhi", "noida", "pune"]
+    g = geo.Gazetteer({c: () for c in "abcdef"}, {"x": ("d", "b", "zz"), "y": ("f",)})
+    assert geo.picker_order(g, "x") == list("dbface") and geo.picker_order(g, "x", ("e", "d", "a")) == list("dbeacf")
 
 
 def test_quality(spark):
