@@ -49,6 +49,8 @@ RANGE = 1 << 20
 STEP = 1.05
 #: Five standard errors of the similarity that the signatures tell.
 SLACK = 0.1
+#: Tables of the first rounds; bytes of a signature that the last round compares before it emits a pair.
+FIRST_TABLES, SKETCH = (8, 32), 256
 #: Of 256 positional bytes; pairs at similarity 0.8 share 69 on average, with a deviation of 7, unrelated ones 1.
 MIN_SHARED = 32
 STRIDE = 1 << 17
@@ -193,6 +195,12 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(cells > 0, axis=1)
 
 
+def sketch_limit(similarity: float) -> int:
+    """How many bits of two sketches differ at most for sets of at least that similarity, six deviations above the mean: their cosine is 2s / (1 + s) at least."""
+    share, n = math.acos(2 * similarity / (1 + similarity)) / math.pi, 8 * SKETCH
+    return math.ceil(n * share + 6 * math.sqrt(n * share * (1 - share)))
+
+
 def _digest(members: np.ndarray) -> bytes:
     return blake2b(members.tobytes(), digest_size=16).digest()
 
@@ -204,11 +212,12 @@ def _runs(sids: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(edge[:-1], edge[1:]) if b > a]
 
 
-KEYS = "bucket long, base long, offsets binary, keys binary, steps binary, names binary"
+KEYS = "bucket long, base long, offsets binary, keys binary, steps binary, names binary, sketches binary"
 
 
-def _index(bits: int, keys: int, ranges_: int):
-    """Packed postings of (sid, sig, n, name): one row for each bucket (key number and range) of a batch. name is null in the first round."""
+def _index(bits: int, keys: int, ranges_: int, tables: int, sketched: bool):
+    """Packed postings of (sid, sig, n, name) under the first tables of the keys: one row for each bucket (key number and range) of a batch. name is null in the first
+    round; sketched puts SKETCH bytes of the signature with each posting."""
     shift = bits - (ranges_.bit_length() - 1)
 
     def run(found):
@@ -223,9 +232,9 @@ def _index(bits: int, keys: int, ranges_: int):
                     d = min(b, c + 4096)
                     found_keys, base = keys_of(sig[c:d], bits, keys), int(sids[c:d].min())
                     offsets = (sids[c:d] - base).astype(np.uint32)
-                    part, out = (found_keys >> np.uint64(shift)).astype(np.int64), {k: [] for k in ("bucket", "offsets", "keys", "steps", "names")}
+                    part, out = (found_keys >> np.uint64(shift)).astype(np.int64), {k: [] for k in ("bucket", "offsets", "keys", "steps", "names", "sketches")}
                     rest = found_keys & np.uint64((1 << shift) - 1)
-                    for t in range(keys):
+                    for t in range(tables):
                         order = np.argsort(part[:, t], kind="stable") if ranges_ > 1 else np.arange(d - c)
                         edge = np.searchsorted(part[order, t], np.arange(ranges_ + 1))
                         for r in range(ranges_):
@@ -236,9 +245,10 @@ def _index(bits: int, keys: int, ranges_: int):
                                 out["keys"].append(_packed(rest[own, t], shift))
                                 out["steps"].append(steps[c:d][own].tobytes())
                                 out["names"].append(names[c:d][own].tobytes() if named else b"")
+                                out["sketches"].append(np.ascontiguousarray(sig[c:d][own, :SKETCH]).tobytes() if sketched else b"")
                     m = len(out["bucket"])
-                    yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int64()), pa.array([base] * m, pa.int64()), *[pa.array(out[k], pa.binary()) for k in ("offsets", "keys", "steps", "names")]],
-                                                     names=["bucket", "base", "offsets", "keys", "steps", "names"])
+                    yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int64()), pa.array([base] * m, pa.int64()), *[pa.array(out[k], pa.binary()) for k in ("offsets", "keys", "steps", "names", "sketches")]],
+                                                     names=["bucket", "base", "offsets", "keys", "steps", "names", "sketches"])
 
     return run
 
@@ -265,31 +275,34 @@ def _by_part(values: np.ndarray, part: np.ndarray) -> list[tuple[int, bytes]]:
     return [(int(part[a]), values[a:b].tobytes()) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
 
 
-def _meet(shift: int, parts: int, width: int, cross: bool):
-    """What meets in the postings of a bucket, as packed pairs by part. First round: the first of a posting with all others, and who is
-    in a posting of three or more. Second round (cross): all pairs of different names."""
+def _meet(shift: int, parts: int, width: int, far: int | None):
+    """What meets in the postings of a bucket, as packed pairs by part. First rounds: the first of a posting with all others that have another name, and who is
+    in a posting of three or more of different names. Last round (far is given): all pairs of different names whose sketches differ in far bits at most."""
     def run(t: pa.Table) -> pa.Table:
         keys = [_unpacked(k, shift) for k in t.column("keys").to_pylist()]
         sids = np.concatenate([b + (np.frombuffer(o, np.uint32).astype(np.int64) if o else np.arange(len(k))) for b, o, k in zip(t.column("base").to_pylist(), t.column("offsets").to_pylist(), keys)])
         steps = np.concatenate([np.frombuffer(x, np.uint8) for x in t.column("steps").to_pylist()]).astype(np.int16)
+        names = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("names").to_pylist()])
         key = np.concatenate(keys)
         order = np.lexsort((sids, key))
-        key, sids, steps = key[order], sids[order], steps[order]
+        key, sids, steps, names = key[order], sids[order], steps[order], names[order] if len(names) else sids[order]
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(first, len(key)))
         u, v, open_ = [], [], np.zeros(0, np.int64)
-        if not cross:
+        if far is None:
             lead = np.repeat(first, size)
-            at = np.flatnonzero((np.arange(len(key)) > lead) & (np.abs(steps - steps[lead]) <= width))
+            other = names != names[lead]
+            at = np.flatnonzero(other & (np.abs(steps - steps[lead]) <= width))
             u, v = [sids[lead[at]]], [sids[at]]
-            open_ = np.unique(sids[np.repeat(size > 2, size)])
+            open_ = np.unique(sids[np.repeat((size > 2) & np.logical_or.reduceat(other, first), size)])
         else:
-            names = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("names").to_pylist()])[order]
+            sketch = np.frombuffer(b"".join(t.column("sketches").to_pylist()), np.uint64).reshape(-1, SKETCH // 8)[order]
             end = np.repeat(first + size, size)
             at, lag = np.flatnonzero(np.repeat(size > 1, size)), 1
             while len(at):
                 at = at[at + lag < end[at]]
                 hit = at[(names[at] != names[at + lag]) & (np.abs(steps[at] - steps[at + lag]) <= width)]
+                hit = hit[np.bitwise_count(sketch[hit] ^ sketch[hit + lag]).sum(1) <= far]
                 u.append(sids[hit])
                 v.append(sids[hit + lag])
                 lag += 1
@@ -353,7 +366,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The similarity is the Jaccard of the sets of shingles of the lower-cased texts, words being what stands between
     ASCII white space. Rows with one set of shingles (copies, and texts without words among themselves; null counts as
     empty) are one member. In a posting all members are compared with the first; then those that are in different
-    groups still, with one another. A set too small to reach the similarity with any other set is not indexed.
+    groups still, with one another, where sketches of their signatures do not tell them apart. A set too small to reach the similarity with any other set is not indexed.
     Rows that share an id are told apart by their texts; rows that repeat both stay or go together. Rows with a null id take no
     part. Ids are longs; texts of any length are read whole; other columns are left out; an empty table gives none.
     """
@@ -379,15 +392,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shift, width = bits - (ranges_.bit_length() - 1), math.ceil(-math.log(similarity) / math.log(STEP)) + 1
     parts = max(8, n * keys // 4_000_000)
 
-    def met(members: DataFrame, cross: bool) -> DataFrame:
-        index = members.select("sid", "sig", "n", "name").mapInArrow(_index(bits, keys, ranges_), KEYS)
-        return index.groupBy("bucket").applyInArrow(_meet(shift, parts, width, cross), PAIRS).groupBy("part").applyInArrow(_distinct, "u long, v long")
-
-    first = written(met(able.withColumn("name", F.lit(None).cast("long")), False), "met")
-    linked = written(_similar(first.where("u is not null"), sigs, rows, words, similarity, seed), "links")
-    named = components(linked)
-    open_ = able.join(first.where("u is null").select(F.col("v").alias("sid")).distinct(), "sid", "left_semi").join(named.withColumnRenamed("id", "sid"), "sid", "left").withColumn("name", F.coalesce("component", "sid"))
-    more = written(_similar(met(open_, True), sigs, rows, words, similarity, seed), "links")
+    def met(members: DataFrame, tables: int, far: int | None = None) -> DataFrame:
+        index = members.select("sid", "sig", "n", "name").mapInArrow(_index(bits, keys, ranges_, tables, far is not None), KEYS)
+        return index.groupBy("bucket").applyInArrow(_meet(shift, parts, width, far), PAIRS).groupBy("part").applyInArrow(_distinct, "u long, v long")
+
+    def known(members: DataFrame, links: DataFrame) -> DataFrame:
+        return members.join(components(links).withColumnRenamed("id", "sid"), "sid", "left").withColumn("name", F.coalesce("component", "sid"))
+
+    # A few tables link most copies; with these as names, all tables leave little to compare, and the last round less.
+    linked = None
+    for tables in (*(t for t in FIRST_TABLES if t < keys), keys):
+        members = known(able, linked) if linked is not None else able.withColumn("name", F.lit(None).cast("long"))
+        first = written(met(members, tables), "met")
+        fresh = _similar(first.where("u is not null"), sigs, rows, words, similarity, seed)
+        linked = written(fresh if linked is None else linked.unionByName(fresh), "links")
+    open_ = able.join(first.where("u is null").select(F.col("v").alias("sid")).distinct(), "sid", "left_semi")
+    more = written(_similar(met(known(open_, linked), keys, sketch_limit(similarity)).where("u is not null"), sigs, rows, words, similarity, seed), "links")
     named = components(linked.unionByName(more)).withColumnRenamed("id", "sid")
     groups = sigs.select("sid", "id", "member").join(named, "sid", "left").withColumn("group", F.coalesce("component", "sid"))
     least = groups.groupBy("group").agg(F.min("id").alias("least"))
