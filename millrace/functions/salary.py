@@ -28,20 +28,36 @@ def _first(text: Column, rules, other) -> Column:
 
 
 def parse_salary(text: Column) -> Column:
-    """struct(salary_min, salary_max, salary_currency, salary_period, salary_text) a year, or null where nothing is confidently pay."""
+    """struct(salary_min, salary_max, salary_currency, salary_period, salary_text) a year, or null where nothing is confidently pay.
+
+    Each step goes through an array of one entry: what it finds is bound to a name there, where a plain expression would be written out, and run, at every use."""
+    def marks(blob: Column) -> Column:
+        return F.struct(blob.alias("blob"), _first(blob, SCALES, 1.0).alias("scale"), _first(blob, PERIODS, 0).alias("period"), _first(blob, CURRENCIES, "").alias("named"))
+
+    def figures(m: Column) -> Column:
+        scale = m["scale"]
+        found = F.transform(F.regexp_extract_all(m["blob"], F.lit(r"(\d[\d,.]*)"), 1), lambda n: F.replace(n, F.lit(",")).try_cast("double"))
+        # A figure that may be a year is none unless thousands are meant.
+        kept = F.filter(found, lambda n: n.isNotNull() & ~(n.between(1900, 2100) & scale.isin(1.0, 1e5, 1e7)))
+        return F.struct(m.alias("m"), F.when((m["named"] == "") & scale.isin(1e5, 1e7), "INR").otherwise(m["named"]).alias("currency"), kept.alias("kept"))
+
+    def ends(f: Column) -> Column:
+        return F.struct(f["m"]["blob"].alias("blob"), f["m"]["period"].alias("period"), f["currency"].alias("currency"),
+                        (F.array_min(f["kept"]) * f["m"]["scale"]).alias("low"), (F.array_max(f["kept"]) * f["m"]["scale"]).alias("high"))
+
+    def pay(e: Column) -> Column:
+        high, period, currency = e["high"], e["period"], e["currency"]
+        factor = (F.when(period > 0, period).when(currency == "INR", F.when(high >= 1e5, 1).otherwise(12)).when(high >= 1e4, 1))
+        least, most = e["low"] * factor, high * factor
+        fits = most.isNotNull() & (most >= 1e3) & (most <= 5e8) & ~((currency == "INR") & (most > 1e8))
+        return F.when(fits, F.struct(F.round(least, 2).alias("salary_min"), F.round(most, 2).alias("salary_max"), currency.alias("salary_currency"),
+                                     F.lit("year").alias("salary_period"), F.substring(e["blob"], 1, 120).alias("salary_text")))
+
     blob = F.substring(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " ")), 1, 300)
-    scale, period = _first(blob, SCALES, 1.0), _first(blob, PERIODS, 0)
-    named = _first(blob, CURRENCIES, "")
-    currency = F.when((named == "") & scale.isin(1e5, 1e7), "INR").otherwise(named)
-    figures = F.transform(F.regexp_extract_all(blob, F.lit(r"(\d[\d,.]*)"), 1), lambda n: F.replace(n, F.lit(",")).try_cast("double"))
-    # A figure that may be a year is none unless thousands are meant.
-    figures = F.filter(figures, lambda n: n.isNotNull() & ~(n.between(1900, 2100) & scale.isin(1.0, 1e5, 1e7)))
-    low, high = F.array_min(figures) * scale, F.array_max(figures) * scale
-    factor = (F.when(period > 0, period).when(currency == "INR", F.when(high >= 1e5, 1).otherwise(12)).when(high >= 1e4, 1))
-    least, most = low * factor, high * factor
-    fits = most.isNotNull() & (most >= 1e3) & (most <= 5e8) & ~((currency == "INR") & (most > 1e8))
-    return F.when(fits, F.struct(F.round(least, 2).alias("salary_min"), F.round(most, 2).alias("salary_max"), currency.alias("salary_currency"),
-                                 F.lit("year").alias("salary_period"), F.substring(blob, 1, 120).alias("salary_text")))
+    bound = F.array(blob)
+    for step in (marks, figures, ends, pay):
+        bound = F.transform(bound, step)
+    return bound[0]
 
 
 def salary_from_text(text: Column) -> Column:

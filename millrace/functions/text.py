@@ -185,14 +185,20 @@ def display_tags(tags: Column) -> Column:
 
 def relative_time(text: Column, as_of: Column) -> Column:
     """"3 days ago", "an hour ago", "30+ days", "yesterday", "just now" -> a timestamp; a month is 30 days."""
-    t = F.lower(text)
-    found = F.regexp_extract(t, r"(\d+|an?\b)\+?\s*(minute|min|hour|hr|day|week|month|year)", 1)
-    n = F.when(found.rlike("^a"), 1).otherwise(found.try_cast("int"))
-    unit = F.regexp_extract(t, r"(\d+|an?\b)\+?\s*(minute|min|hour|hr|day|week|month|year)", 2)
-    seconds = (F.when(unit.isin("minute", "min"), 60).when(unit.isin("hour", "hr"), 3600).when(unit == "day", 86400)
-               .when(unit == "week", 604800).when(unit == "month", 2592000).when(unit == "year", 31536000))
-    back = F.when(t.rlike("just now|today|few (minutes|hours) ago|moments"), 0).when(t.contains("yesterday"), 86400).otherwise(n * seconds)
-    return F.timestamp_seconds(F.unix_timestamp(as_of) - back)
+    pattern = r"(\d+|an?\b)\+?\s*(minute|min|hour|hr|day|week|month|year)"
+
+    def parts(t: Column) -> Column:
+        return F.struct(t.alias("t"), F.regexp_extract(t, pattern, 1).alias("found"), F.regexp_extract(t, pattern, 2).alias("unit"))
+
+    def back(p: Column) -> Column:
+        t, found, unit = p["t"], p["found"], p["unit"]
+        n = F.when(found.startswith("a"), 1).otherwise(found.try_cast("int"))
+        seconds = (F.when(unit.isin("minute", "min"), 60).when(unit.isin("hour", "hr"), 3600).when(unit == "day", 86400)
+                   .when(unit == "week", 604800).when(unit == "month", 2592000).when(unit == "year", 31536000))
+        return F.when(t.rlike("just now|today|few (minutes|hours) ago|moments"), 0).when(t.contains("yesterday"), 86400).otherwise(n * seconds)
+
+    # Steps through an array of one entry: what they find is bound, not run again at every use.
+    return F.timestamp_seconds(F.unix_timestamp(as_of) - F.transform(F.transform(F.array(F.lower(text)), parts), back)[0])
 
 
 def absolute_time(text: Column) -> Column:

@@ -31,7 +31,7 @@ def pay_of(label: Column) -> Column:
     """parse_salary of a label with the label itself as its text; "not disclosed" is no pay."""
     pay = parse_salary(label)
     kept = F.when(label.isNotNull() & ~F.lower(label).contains("disclosed"), pay)
-    return F.when(kept.isNotNull(), kept.withField("salary_text", F.substring(F.trim(label), 1, 120)))
+    return F.transform(F.array(kept), lambda k: F.when(k.isNotNull(), k.withField("salary_text", F.substring(F.trim(label), 1, 120))))[0]
 
 
 def posting(rows: DataFrame, source: str, *, title: Column, company: Column, location: Column, url: Column, description: Column | None = None, posted_at: Column | None = None,

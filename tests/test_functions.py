@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import contact, geo, html, quality, salary, text
 from millrace.schema import conform, content_id
+from millrace.sources import boards, comments, embedded
 
 
 def values(spark, column, *inputs):
@@ -33,6 +34,14 @@ def test_salary_refuses(spark):
     assert values(spark, salary.salary_from_text(F.col("a")), "Join us. CTC: 8-10 LPA Experience 3 years")[0].salary_max == 1e6
 
 
+def test_patterns_are_written_out_once(spark):
+    """Pay and ages are read step by step: however often what a pattern finds is used, it does not stand in the plan anew."""
+    rows = spark.createDataFrame([("9-12 LPA", "3 days ago")], "a string, b string")
+    plan = rows.select(boards.pay_of(F.col("a"))["salary_max"], text.relative_time(F.col("b"), F.current_timestamp()))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") <= 30
+    assert plan.count("(minute|min|hour|hr|day|week|month|year)") == 2
+
+
 def test_modes_and_levels(spark):
     assert values(spark, text.detect_remote(F.col("a"), F.col("b")), ("Pune", "hybrid, remote"), ("Remote", ""), ("x", "on-site"), ("x", "y")) == ["hybrid", "remote", "onsite", "unknown"]
     assert values(spark, text.detect_seniority(F.col("a"), F.col("b")), ("Senior Engineering Manager", ""), ("Intern", "9 years"), ("Dev", "6+ years"), ("Dev", ""), ("Engineer II", "")) == [
@@ -144,3 +153,15 @@ def test_conform_fills_and_names(spark):
     row = conform(spark.createDataFrame([(None, " A   b ", "odd")], "id string, title string, remote string"), F.lit("2024-01-01").cast("timestamp")).first()
     assert (row.title, row.remote, row.company, row.tags, row.enriched) == ("A b", "unknown", "", [], False)
     assert row.id == values(spark, content_id(F.lit(""), F.col("a"), F.lit("")), "A b")[0]
+
+
+def test_comments_and_arrays_are_read_once(spark):
+    rows = spark.createDataFrame([(1, "a", "Acme | Data Lead | Pune<p>We build things for people who like things built well.", 5)], "id int, author string, text string, created_at_i long")
+    got = comments.comment_postings(rows)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("please\\s+normalize") == 1
+    assert [(r.title, r.company, r.location) for r in got.collect()] == [("Data Lead", "Acme", "Pune")]
+    pages = spark.createDataFrame([('x "jobs":[{"a":"]"},[1]] y',), ("none",), (None,)], "a string")
+    found = pages.select(embedded.array_text(F.concat(F.col("a"), F.lit("")), "jobs").alias("v"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert [r.v for r in found.collect()] == ['[{"a":"]"},[1]]', None, None]
