@@ -23,9 +23,6 @@ def array_text(blob: Column, name: str) -> Column:
     Its end is where the running depth of brackets is zero again. Brackets in strings do not count, and a backslash takes the character after it along, so any
     depth and any text inside will do."""
     marker = f'"{name}":['
-    at = F.locate(marker, blob) if isinstance(blob, str) else F.position(F.lit(marker), blob)
-    tail = F.substr(blob, at + F.lit(len(marker) - 1))
-    pieces = F.regexp_extract_all(tail, F.lit(r'(?s)(\\.|["\[\]{}]|[^"\\\[\]{}]+)'), 1)
 
     def step(acc: Column, piece: Column) -> Column:
         going = acc["end"] == 0
@@ -35,10 +32,18 @@ def array_text(blob: Column, name: str) -> Column:
         closed = going & (change == -1) & (acc["depth"] == 1)
         return F.struct((acc["depth"] + change).alias("depth"), inside.alias("inside"), (acc["n"] + 1).alias("n"), F.when(closed, acc["n"] + 1).otherwise(acc["end"]).alias("end"))
 
+    def tail(b: Column) -> Column:
+        at = F.position(F.lit(marker), b)
+        return F.when(at > 0, F.substr(b, at + F.lit(len(marker) - 1)))
+
     begin = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("inside"), F.lit(0).alias("n"), F.lit(0).alias("end"))
+    pieces = lambda t: F.regexp_extract_all(t, F.lit(r'(?s)(\\.|["\[\]{}]|[^"\\\[\]{}]+)'), 1)
     cut = lambda ps: F.slice(ps, 1, F.aggregate(ps, begin, step, lambda acc: acc["end"]))
-    text = F.array_join(F.transform(F.array(pieces), cut)[0], "")
-    return F.when(at > 0, F.nullif(text, F.lit("")))
+    # Steps through an array of one entry: what they find is bound, not run again at every use.
+    bound = F.array(F.col(blob) if isinstance(blob, str) else blob)
+    for each in (tail, pieces, cut, lambda ps: F.nullif(F.array_join(ps, ""), F.lit(""))):
+        bound = F.transform(bound, each)
+    return bound[0]
 
 
 def array_objects(blob: Column, name: str, ddl: str) -> Column:
