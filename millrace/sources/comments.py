@@ -37,31 +37,42 @@ def parse_posting(text: Column) -> Column:
     The fields after the company go through a fold: the first that is no work mode and no money is the role, unless it is a place and no role
     word is in it; places and modes are gathered. Without a role in the first line the first short line of the body with a role word is it, from the second line to the twelfth. A first line without bars
     may be "role at company in place"."""
-    first = F.trim(F.substring_index(text, "\n", 1))
-    line = F.btrim(F.regexp_replace(first, URL, " "), F.lit(" |•-"))
-    fields = F.filter(F.transform(F.split(line, r"\s*[|•]\s*"), lambda f: F.btrim(f, F.lit(DASHES))), lambda f: f != "")
-
-    def step(acc: Column, f: Column) -> Column:
-        mode, place = f.rlike(MODE), f.rlike(PLACE)
-        open_ = (acc["title"] == "") & ~mode & ~f.rlike(MONEY)
-        role = open_ & ~(place & ~f.rlike(ROLE))
-        return F.struct(F.when(role, f).otherwise(acc["title"]).alias("title"), F.when(~role & (place | mode), F.concat(acc["places"], F.array(f))).otherwise(acc["places"]).alias("places"))
-
-    begin = F.struct(F.lit("").alias("title"), F.array().cast("array<string>").alias("places"))
-    read = F.aggregate(F.slice(fields, 2, F.greatest(F.size(fields) - 1, F.lit(0))), begin, step)
-    lines = F.slice(F.split(text, "\n"), 2, BODY_LINES)
-    spare = F.transform(lines, lambda x: F.btrim(x, F.lit(DASHES + "•*\t")))
-    short = lambda x: F.length(x).between(4, 90) & x.rlike(ROLE) & ~x.endswith(".") & (F.size(F.split(F.trim(x), r"\s+")) <= 10)
-    body = F.coalesce(F.get(F.filter(spare, short), 0), F.lit(""))
-
-    def named(got: Column) -> Column:
-        title = F.coalesce(F.nullif(got["title"], F.lit("")), body)
-        return F.when(title != "", _result(F.get(fields, 0), title, F.array_join(got["places"], " · ")))
-
-    barred = F.transform(F.array(read), named)[0]
-    at = r"^([^,.]{4,90}?)\s+(?:at|@|with)\s+([^,.|]{2,60}?)(?:\s+in\s+([^,.|]{2,50}))?\s*(?:[,.|]|$)"
-    spoken = F.when(F.regexp_extract(first, at, 1).rlike(ROLE), _result(*[F.regexp_extract(first, at, k) for k in (2, 1, 3)]))
-    return F.when((first == "") | first.rlike(NO_POSTING), None).when(F.size(fields) >= 2, barred).otherwise(spoken)
+    def fields_of(t: Column) -> Column:
+        first = F.trim(F.substring_index(t, "\n", 1))
+        line = F.btrim(F.regexp_replace(first, URL, " "), F.lit(" |•-"))
+        fields = F.filter(F.transform(F.split(line, r"\s*[|•]\s*"), lambda f: F.btrim(f, F.lit(DASHES))), lambda f: f != "")
+        return F.struct(t.alias("text"), first.alias("first"), fields.alias("fields"))
+
+    def step(acc: Column, m: Column) -> Column:
+        role = (acc["title"] == "") & m["role"]
+        return F.struct(F.when(role, m["f"]).otherwise(acc["title"]).alias("title"), F.when(~role & (m["place"] | m["mode"]), F.concat(acc["places"], F.array(m["f"]))).otherwise(acc["places"]).alias("places"))
+
+    def told(f: Column) -> Column:
+        return F.struct(f.alias("f"), f.rlike(MODE).alias("mode"), f.rlike(PLACE).alias("place"))
+
+    def marked(m: Column) -> Column:
+        role = ~m["mode"] & ~m["f"].rlike(MONEY) & ~(m["place"] & ~m["f"].rlike(ROLE))
+        return F.struct(m["f"].alias("f"), m["mode"].alias("mode"), m["place"].alias("place"), role.alias("role"))
+
+    def barred(x: Column) -> Column:
+        fields, text_ = x["fields"], x["text"]
+        begin = F.struct(F.lit("").alias("title"), F.array().cast("array<string>").alias("places"))
+        rest = F.slice(fields, 2, F.greatest(F.size(fields) - 1, F.lit(0)))
+        spare = F.transform(F.slice(F.split(text_, "\n"), 2, BODY_LINES), lambda l: F.btrim(l, F.lit(DASHES + "•*\t")))
+        short = lambda l: F.length(l).between(4, 90) & l.rlike(ROLE) & ~l.endswith(".") & (F.size(F.split(F.trim(l), r"\s+")) <= 10)
+        body = F.coalesce(F.get(F.filter(spare, short), 0), F.lit(""))
+        titled = lambda got: F.struct(F.coalesce(F.nullif(got["title"], F.lit("")), body).alias("title"), got["places"].alias("places"))
+        result = lambda got: F.when(got["title"] != "", _result(F.get(fields, 0), got["title"], F.array_join(got["places"], " · ")))
+        return F.transform(F.transform(F.array(F.aggregate(F.transform(F.transform(rest, told), marked), begin, step)), titled), result)[0]
+
+    def posting(x: Column) -> Column:
+        first = x["first"]
+        at = r"^([^,.]{4,90}?)\s+(?:at|@|with)\s+([^,.|]{2,60}?)(?:\s+in\s+([^,.|]{2,50}))?\s*(?:[,.|]|$)"
+        spoken = F.when(F.regexp_extract(first, at, 1).rlike(ROLE), _result(*[F.regexp_extract(first, at, k) for k in (2, 1, 3)]))
+        return F.when((first == "") | first.rlike(NO_POSTING), None).when(F.size(x["fields"]) >= 2, barred(x)).otherwise(spoken)
+
+    # Steps through an array of one entry: what they find is bound, not run again at every use.
+    return F.transform(F.transform(F.array(text), fields_of), posting)[0]
 
 
 def comments(threads: DataFrame) -> DataFrame:
@@ -72,8 +83,10 @@ def comments(threads: DataFrame) -> DataFrame:
 
 def comment_postings(rows: DataFrame, base: str = "https://news.ycombinator.com/item?id=", host: str = "whoishiring") -> DataFrame:
     """(id, author, text as markup, created_at_i) -> postings. The host's own comments, texts of under SHORTEST characters and what is no posting are left out."""
-    told = rows.where(F.coalesce("text", F.lit("")) != "").where(~F.col("author").eqNullSafe(host)).withColumn("text", html_to_text(F.col("text"))).where(F.length("text") >= SHORTEST)
-    read = told.withColumn("p", parse_posting(F.col("text"))).where("p is not null")
+    told = rows.where(F.coalesce("text", F.lit("")) != "").where(~F.col("author").eqNullSafe(host))
+    # Exploded arrays of one entry: filters on what the markup and the first line say stay behind them, so each is read once.
+    plain = told.select("id", "created_at_i", F.explode(F.array(html_to_text(F.col("text")))).alias("text")).where(F.length("text") >= SHORTEST)
+    read = plain.select("id", "created_at_i", "text", F.explode(F.array(parse_posting(F.col("text")))).alias("p")).where("p is not null")
     line = F.trim(F.substring_index("text", "\n", 1))
     read = read.withColumn("pay", parse_salary(line))
     return read.select("p.title", "p.company", "p.location", F.concat(F.lit(base), F.col("id").cast("string")).alias("url"), truncate(F.col("text"), 4000).alias("description"),
