@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import geo
 from millrace.operators import hydrate, rank
-from millrace.sources import boards, comments, embedded, sitemap
+from millrace.sources import boards, cards, comments, embedded, sitemap
 
 CITIES = geo.Gazetteer({"delhi": ("new delhi", "delhi ncr"), "gurgaon": ("gurugram",), "pune": (), "bangalore": ("bengaluru",)}, country=("india",))
 MOD = "2024-03-05T01:44:47.902+05:30"
@@ -220,3 +220,21 @@ def test_hydration(spark):
     landed = hydrate.answers(asked, spark.createDataFrame([("https://x.io/a1", 200, posting)], pages.schema))
     one = {r.id: r for r in hydrate.hydrated(df, hydrate.posting_details(landed)).collect()}["a1"]
     assert (one.remote, str(one.posted_at)[:10], one.description[:14]) == ("remote", "2024-05-06", "work from home")
+
+
+def test_cards_are_given_out_in_pieces(spark):
+    """No array of all elements of a page, or batch of pages, stands between the parser and its rows."""
+    made = spark.createDataFrame([("u", "<ul>" + "".join(f"<li><b>{k}</b></li>" for k in range(3)) + "</ul>"), ("v", "<li><b>a &amp b<br/></li>"), ("w", None)], "url string, html string")
+    found = cards.elements(made, "html", cards.Record("li", {"t": cards.Field("b"), "all_": cards.Field("b", every=True)}, own=("x-y",)), ["url"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "explode" not in plan
+    assert sorted((r.url, r.nth, r.t, r.all_, r["own_x-y"]) for r in found.collect()) == [("u", 0, "0", ["0"], ""), ("u", 1, "1", ["1"], ""), ("u", 2, "2", ["2"], ""), ("v", 0, "a & b", ["a & b"], "")]
+
+
+def test_plain_markup_reads_as_the_parser_does():
+    record = cards.Record("li", {"t": cards.Field("b"), "h": cards.Field("div", "html"), "a": cards.Field("a", "href")})
+    rules = {css: cards.compiled(css) for css in cards._css(record)}
+    plain = '<ul><LI class=x><b>a &lt; b</b> <div>x<p>y &amp; z</div><a href="u?v" checked>w</a></li></ul>'
+    reader = cards._Reader({"all": record}, rules, {})
+    assert reader._plainly(plain) and not reader._plainly(plain + "<!-- c -->") and not reader._plainly("<script>if(a<b)</script>")
+    assert cards._Reader({"all": record}, rules, {}).read(plain) == cards._Reader({"all": record}, rules, {}).read(plain + "<!-- c -->") == {"all": [{"t": "a < b", "h": "x\ny & z", "a": "u?v"}]}
