@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,23 +22,33 @@ class Rule:
     pattern: str
 
 
+def running_sums(counts: Column) -> Column:
+    """The sums of an array of counts up to each of its entries; a plain fold would copy its array at every step."""
+    @F.arrow_udf("array<bigint>")
+    def sums(found: pa.Array) -> pa.Array:
+        ends = found.offsets.to_numpy()
+        total = np.concatenate([[0], np.cumsum(found.values.slice(ends[0], ends[-1] - ends[0]).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        ends = ends - ends[0]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(total[1:] - np.repeat(total[ends[:-1]], np.diff(ends)), pa.int64()), mask=found.is_null())
+
+    return sums(counts)
+
+
 def rule_hits(docs: DataFrame, rules: list[Rule], id_col: str, text_col: str) -> DataFrame:
     """One row per match: id, rule, severity, excerpt, nth of that rule in the text, and its start and end in characters from 0."""
-    def matches(r: Rule) -> Column:
-        # What stands between the matches, and the matches, tell where each begins. Patterns match one character at least.
-        both = F.struct(F.regexp_extract_all(F.col(text_col), F.lit(r.pattern), 0).alias("hit"), F.split(text_col, r.pattern, -1).alias("gap"))
-        chars = lambda parts: F.aggregate(parts, F.lit(0), lambda a, x: a + F.length(x))
-
-        def place(b: Column) -> Column:
-            return F.transform(b["hit"], lambda m, i: F.struct(
-                F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), m.alias("excerpt"), (i + 1).alias("nth"),
-                (chars(F.slice(b["gap"], 1, i + 1)) + chars(F.slice(b["hit"], 1, i))).alias("start"),
-                (chars(F.slice(b["gap"], 1, i + 1)) + chars(F.slice(b["hit"], 1, i + 1))).alias("end")))
+    # What stands between the matches, and the matches, tell where each begins. Patterns match one character at least.
+    chars = lambda parts: F.transform(parts, F.length)
+    found = docs.select(F.col(id_col), *[c for k, r in enumerate(rules) for c in (
+        F.regexp_extract_all(F.col(text_col), F.lit(r.pattern), 0).alias(f"hit_{k}_"), chars(F.split(text_col, r.pattern, -1)).alias(f"gap_{k}_"))])
+    summed = found.select(F.col(id_col), *[c for k, _ in enumerate(rules) for c in (
+        F.col(f"hit_{k}_"), running_sums(F.col(f"gap_{k}_")).alias(f"before_{k}_"), running_sums(chars(F.col(f"hit_{k}_"))).alias(f"held_{k}_"))])
 
-        return F.transform(F.array(both), place)[0]
+    def placed(k: int, r: Rule) -> Column:
+        end = lambda i: (F.get(f"before_{k}_", i) + F.get(f"held_{k}_", i)).cast("int")
+        return F.transform(f"hit_{k}_", lambda m, i: F.struct(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), m.alias("excerpt"), (i + 1).alias("nth"),
+                                                              (end(i) - F.length(m)).alias("start"), end(i).alias("end")))
 
-    found = [matches(r) for r in rules]
-    return docs.select(id_col, F.explode(F.concat(*found)).alias("hit")).select(id_col, "hit.*")
+    return summed.select(id_col, F.explode(F.concat(*[placed(k, r) for k, r in enumerate(rules)])).alias("hit")).select(id_col, "hit.*")
 
 
 def rule_counts(text: Column, rules: list[Rule]) -> dict[str, Column]:
@@ -81,12 +93,11 @@ def bullet_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row a bullet: id_col, nth line (from 0), start of its line in characters, bullet. Starts are running sums over a text's lines; lines end with a newline alone.
 
     Texts are told apart as rows, so repeated and null ids mix nothing up."""
-    rows = docs.select(F.col(id_col), F.col(text_col), F.monotonically_increasing_id().alias("row_"))
-    lines = rows.select(F.col(id_col), "row_", F.posexplode(F.split(text_col, "\n")).alias("nth", "line"))
-    before = Window.partitionBy("row_").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0))
-    told = lines.select(id_col, "row_", "nth", start.alias("start"), _stripped(F.col("line")).alias("line")).where(F.col("line").rlike(MARK))
-    return told.select(id_col, "row_", "nth", "start", F.regexp_replace("line", MARK, "").alias("bullet"))
+    rows = docs.select(F.col(id_col), F.split(text_col, "\n").alias("lines_"), F.monotonically_increasing_id().alias("row_"))
+    told = rows.select(F.col(id_col), "row_", "lines_", running_sums(F.transform("lines_", lambda line: F.length(line) + 1)).alias("ends_"))
+    each = F.transform("lines_", lambda line, i: F.struct(i.alias("nth"), (F.get("ends_", i) - F.length(line) - 1).alias("start"), _stripped(line).alias("line")))
+    held = told.select(F.col(id_col), "row_", F.explode(F.filter(each, lambda x: x["line"].rlike(MARK))).alias("x_"))
+    return held.select(id_col, "row_", "x_.nth", "x_.start", F.regexp_replace("x_.line", MARK, "").alias("bullet"))
 
 
 def opener(bullet: Column) -> Column:
@@ -117,7 +128,7 @@ def findings(docs: DataFrame, rules: list[Rule], checks: list[Check], kind: str,
     """id_col, rule, severity, excerpt (at most 90 characters), start: every hit of a rule, and of each check for this kind of text.
 
     A check of the whole text starts at 0, one of a bullet where its line starts. Blank and null texts have no findings. Order them by id, start."""
-    own = docs.where(F.trim(F.regexp_replace(F.coalesce(text_col, F.lit("")), r"(?U)\s+", " ")) != "")
+    own = docs.where(F.coalesce(text_col, F.lit("")).rlike(r"(?U)\S"))
     text = F.col(text_col)
     parts = []
     if rules:

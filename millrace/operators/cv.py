@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.quality import band, report
+from millrace.functions.quality import COST, OTHER_COST, band, language_score
 
 # How much of what a model says is kept.
 REASON, SUMMARY, FIXES, KEYWORDS = 300, 600, 5, 12
@@ -39,11 +39,12 @@ def score(texts: DataFrame, answers: DataFrame, found: DataFrame, rubric: Rubric
     held between 0 and its criterion's weight, whatever the model says, so that a total is at most the weights'. Without an answer that holds an object of scores the report
     is partial: it has the own criterion alone, the gravest findings as fixes, and no total or band. Ids are unique; null ids have no answer."""
     weight = rubric.weights[rubric.own]
-    own = texts.where(F.trim(F.regexp_replace(F.coalesce(text_col, F.lit("")), r"(?U)\s+", " ")) != "")
-    language = report(own, found, id_col, weight).select(id_col, "findings", "points")
-    worst = found.groupBy(id_col).agg(F.slice(F.array_sort(F.collect_list(F.struct("start", "rule", "excerpt"))), 1, FIXES).alias("worst_"))
+    own = texts.where(F.coalesce(text_col, F.lit("")).rlike(r"(?U)\S")).where(F.col(id_col).isNotNull())
+    cost = F.coalesce(F.create_map(*[F.lit(x) for kv in COST.items() for x in kv])[F.col("severity")], F.lit(OTHER_COST))
+    told = found.groupBy(id_col).agg(F.count("*").alias("n_"), F.sum(cost).alias("cost_"), F.slice(F.array_sort(F.collect_list(F.struct("start", "rule", "excerpt"))), 1, FIXES).alias("worst_"))
     read = answers.select(F.col(id_col), answer_of(F.col("answer")).alias("a_"))
-    rows = own.select(id_col).join(language, id_col).join(worst, id_col, "left").join(read, id_col, "left")
+    rows = (own.select(id_col).join(told, id_col, "left").join(read, id_col, "left")
+            .withColumns({"findings": F.coalesce("n_", F.lit(0)), "points": language_score(F.least(F.coalesce("cost_", F.lit(0.0)), F.lit(float(weight))), weight)}))
     usable = F.coalesce(_said(F.col("a_"), "$.scores", "map<string, variant>").isNotNull(), F.lit(False))
 
     def judged(name: str) -> Column:
