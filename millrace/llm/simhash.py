@@ -11,8 +11,8 @@ their 64 one-bit neighbours, and at most 65 members share such a number, so this
 near_duplicates(): the same index over signatures of SIGNATURE_BITS bits, for texts that share 0.8 of their five-word
 shingles, which changes about one bit in seven. There a posting is the bytes at three positions or more (half bytes
 count): as many as keep chance meetings below CHANCE a signature, and so many different ones that a pair at the wanted
-similarity misses all with a chance of exp(-MEETINGS). Keys travel in packed arrays, by ranges of keys: six bytes or less each. The
-tally asks for MIN_SHARED of the positional bytes, pairs whose share of differing bits says less than the wanted
+similarity misses all with a chance of exp(-MEETINGS). Keys travel in packed arrays, by ranges of keys: six bytes or less each. Signatures travel to the
+postings alone in which members of different groups meet. The tally asks for MIN_SHARED of the positional bytes, pairs whose share of differing bits says less than the wanted
 similarity by over SLACK go, and the rest is decided by the Jaccard of the texts' sets of shingles.
 """
 
@@ -49,8 +49,10 @@ RANGE = 1 << 20
 STEP = 1.05
 #: Five standard errors of the similarity that the signatures tell.
 SLACK = 0.1
-#: Tables of the first rounds; bytes of a signature that the last round compares before it emits a pair.
-FIRST_TABLES, SKETCH = (8, 32), 256
+#: Tables of the first rounds.
+FIRST_TABLES = (8, 32)
+#: Postings with signatures that a task packs at a time, and pairs of signatures that it compares at a time.
+PACKED, COMPARED = 1 << 17, 1 << 14
 #: Of 256 positional bytes; pairs at similarity 0.8 share 69 on average, with a deviation of 7, unrelated ones 1.
 MIN_SHARED = 32
 STRIDE = 1 << 17
@@ -195,10 +197,17 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(cells > 0, axis=1)
 
 
-def sketch_limit(similarity: float) -> int:
-    """How many bits of two sketches differ at most for sets of at least that similarity, six deviations above the mean: their cosine is 2s / (1 + s) at least."""
-    share, n = math.acos(2 * similarity / (1 + similarity)) / math.pi, 8 * SKETCH
-    return math.ceil(n * share + 6 * math.sqrt(n * share * (1 - share)))
+def near(s: np.ndarray, t: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of signatures (rows of bytes, of sets of n and of m shingles) share MIN_SHARED bytes and do not tell less than the similarity by over SLACK."""
+    kept = np.zeros(len(s), bool)
+    for a in range(0, len(s), COMPARED):
+        own = slice(a, a + COMPARED)
+        differ = s[own] ^ t[own]
+        counted = (differ == 0).sum(1) >= MIN_SHARED
+        share = np.bitwise_count(differ).sum(1) / SIGNATURE_BITS
+        common = np.maximum(0, np.cos(np.pi * share)) * np.sqrt(n[own] * m[own])
+        kept[own] = counted & (common >= (similarity - SLACK) * np.maximum(n[own] + m[own] - common, 1))
+    return kept
 
 
 def _digest(members: np.ndarray) -> bytes:
@@ -212,43 +221,50 @@ def _runs(sids: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(edge[:-1], edge[1:]) if b > a]
 
 
-KEYS = "bucket long, base long, offsets binary, keys binary, steps binary, names binary, sketches binary"
+KEYS = "bucket long, base long, offsets binary, keys binary, steps binary, named binary, names binary, sizes binary, sigs binary"
 
 
-def _index(bits: int, keys: int, ranges_: int, tables: int, sketched: bool):
-    """Packed postings of (sid, sig, n, name) under the first tables of the keys: one row for each bucket (key number and range) of a batch. name is null in the first
-    round; sketched puts SKETCH bytes of the signature with each posting."""
-    shift = bits - (ranges_.bit_length() - 1)
+def _index(bits: int, keys: int, ranges_: int, tables: int):
+    """Packed postings of (sid, sig, n, name) under the first tables of the keys, or of (sid, sig, n, name, tables) under the tables that each row lists, then with n and
+    the signature: one row for each bucket (key number and range) of a batch. Names are sent where they differ from the sid."""
+    shift, columns = bits - (ranges_.bit_length() - 1), KEYS.replace(" long", "").replace(" binary", "").split(", ")
 
     def run(found):
         for batch in found:
-            sids, n = np.asarray(batch.column("sid")), np.asarray(batch.column("n"))
+            sids, n, names = (np.asarray(batch.column(c)) for c in ("sid", "n", "name"))
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, SIGNATURE_BITS // 8)
             steps = np.minimum(np.log(n) / math.log(STEP), 255).astype(np.uint8)
-            named = batch.column("name").null_count == 0
-            names = np.asarray(batch.column("name")) if named else None
+            listed = [np.frombuffer(x, np.uint32) for x in batch.column("tables").to_pylist()] if "tables" in batch.schema.names else None
+            most = 4096 if listed is None else min(4096, max(16, PACKED // keys))
             for a, b in _runs(sids):
-                for c in range(a, b, 4096):
-                    d = min(b, c + 4096)
+                for c in range(a, b, most):
+                    d = min(b, c + most)
                     found_keys, base = keys_of(sig[c:d], bits, keys), int(sids[c:d].min())
                     offsets = (sids[c:d] - base).astype(np.uint32)
-                    part, out = (found_keys >> np.uint64(shift)).astype(np.int64), {k: [] for k in ("bucket", "offsets", "keys", "steps", "names", "sketches")}
+                    part, out = (found_keys >> np.uint64(shift)).astype(np.int64), {k: [] for k in columns}
                     rest = found_keys & np.uint64((1 << shift) - 1)
-                    for t in range(tables):
-                        order = np.argsort(part[:, t], kind="stable") if ranges_ > 1 else np.arange(d - c)
+                    if listed is not None:
+                        row, table = np.repeat(np.arange(d - c), [len(x) for x in listed[c:d]]), np.concatenate(listed[c:d])
+                        order = np.argsort(table, kind="stable")
+                        row, table = row[order], table[order]
+                    for t in range(tables) if listed is None else np.unique(table).tolist():
+                        rows = np.arange(d - c) if listed is None else row[np.searchsorted(table, t): np.searchsorted(table, t, "right")]
+                        order = rows[np.argsort(part[rows, t], kind="stable")] if ranges_ > 1 else rows
                         edge = np.searchsorted(part[order, t], np.arange(ranges_ + 1))
                         for r in range(ranges_):
                             own = order[edge[r]: edge[r + 1]]
                             if len(own):
+                                named = np.flatnonzero(names[c:d][own] != sids[c:d][own])
                                 out["bucket"].append(t * ranges_ + r)
                                 out["offsets"].append(offsets[own].tobytes() if len(own) < d - c or (np.diff(offsets) != 1).any() else b"")
                                 out["keys"].append(_packed(rest[own, t], shift))
                                 out["steps"].append(steps[c:d][own].tobytes())
-                                out["names"].append(names[c:d][own].tobytes() if named else b"")
-                                out["sketches"].append(np.ascontiguousarray(sig[c:d][own, :SKETCH]).tobytes() if sketched else b"")
-                    m = len(out["bucket"])
-                    yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int64()), pa.array([base] * m, pa.int64()), *[pa.array(out[k], pa.binary()) for k in ("offsets", "keys", "steps", "names", "sketches")]],
-                                                     names=["bucket", "base", "offsets", "keys", "steps", "names", "sketches"])
+                                out["named"].append(named.astype(np.uint16).tobytes())
+                                out["names"].append(names[c:d][own[named]].tobytes())
+                                out["sizes"].append(n[c:d][own].tobytes() if listed is not None else b"")
+                                out["sigs"].append(sig[c:d][own].tobytes() if listed is not None else b"")
+                    out["base"] = [base] * len(out["bucket"])
+                    yield pa.RecordBatch.from_arrays([pa.array(out[k], pa.int64() if k in ("bucket", "base") else pa.binary()) for k in columns], names=columns)
 
     return run
 
@@ -275,69 +291,95 @@ def _by_part(values: np.ndarray, part: np.ndarray) -> list[tuple[int, bytes]]:
     return [(int(part[a]), values[a:b].tobytes()) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
 
 
-def _meet(shift: int, parts: int, width: int, far: int | None):
-    """What meets in the postings of a bucket, as packed pairs by part. First rounds: the first of a posting with all others that have another name, and who is
-    in a posting of three or more of different names. Last round (far is given): all pairs of different names whose sketches differ in far bits at most."""
+def _meet(shift: int, ranges_: int, parts: int, width: int, similarity: float, what: str):
+    """What meets in the postings of a bucket, packed by part: pairs of other names and like sizes, and (sid, table) of open postings, whose members are still to be compared.
+
+    what is "firsts": the pairs of the first of a posting with all others. "open": no pairs, the postings with different names. "near": the pairs of the first again, if
+    their signatures are near, and of what is without it the postings with different names still. "rest": the near pairs of all but the first."""
     def run(t: pa.Table) -> pa.Table:
-        keys = [_unpacked(k, shift) for k in t.column("keys").to_pylist()]
-        sids = np.concatenate([b + (np.frombuffer(o, np.uint32).astype(np.int64) if o else np.arange(len(k))) for b, o, k in zip(t.column("base").to_pylist(), t.column("offsets").to_pylist(), keys)])
-        steps = np.concatenate([np.frombuffer(x, np.uint8) for x in t.column("steps").to_pylist()]).astype(np.int16)
-        names = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("names").to_pylist()])
-        key = np.concatenate(keys)
+        col = {c: t.column(c).to_pylist() for c in ("base", "offsets", "keys", "steps", "named", "names", "sizes", "sigs")}
+        keys = [_unpacked(k, shift) for k in col["keys"]]
+        sids = [b + (np.frombuffer(o, np.uint32).astype(np.int64) if o else np.arange(len(k))) for b, o, k in zip(col["base"], col["offsets"], keys)]
+        names = [x.copy() for x in sids]
+        for x, at, to in zip(names, col["named"], col["names"]):
+            x[np.frombuffer(at, np.uint16)] = np.frombuffer(to, np.int64)
+        key, sids, names, steps = np.concatenate(keys), np.concatenate(sids), np.concatenate(names), np.frombuffer(b"".join(col["steps"]), np.uint8).astype(np.int16)
         order = np.lexsort((sids, key))
-        key, sids, steps, names = key[order], sids[order], steps[order], names[order] if len(names) else sids[order]
+        key, sids, steps, names = key[order], sids[order], steps[order], names[order]
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(first, len(key)))
-        u, v, open_ = [], [], np.zeros(0, np.int64)
-        if far is None:
-            lead = np.repeat(first, size)
-            other = names != names[lead]
-            at = np.flatnonzero(other & (np.abs(steps - steps[lead]) <= width))
-            u, v = [sids[lead[at]]], [sids[at]]
-            open_ = np.unique(sids[np.repeat((size > 2) & np.logical_or.reduceat(other, first), size)])
-        else:
-            sketch = np.frombuffer(b"".join(t.column("sketches").to_pylist()), np.uint64).reshape(-1, SKETCH // 8)[order]
-            end = np.repeat(first + size, size)
-            at, lag = np.flatnonzero(np.repeat(size > 1, size)), 1
+        here, lead, many = np.arange(len(key)), np.repeat(first, size), np.repeat(size, size)
+        if what in ("near", "rest"):
+            n, sig = np.frombuffer(b"".join(col["sizes"]), np.int64)[order], np.frombuffer(b"".join(col["sigs"]), np.uint8).reshape(-1, SIGNATURE_BITS // 8)
+
+        def met(a: np.ndarray, b: np.ndarray) -> None:
+            hit = (names[a] != names[b]) & (np.abs(steps[a] - steps[b]) <= width)
+            a, b = a[hit], b[hit]
+            for c in range(0, len(a) if what != "firsts" else 0, COMPARED):
+                x, y = a[c: c + COMPARED], b[c: c + COMPARED]
+                hit = near(sig[order[x]], sig[order[y]], n[x], n[y], similarity)
+                u.append(sids[x[hit]])
+                v.append(sids[y[hit]])
+            if what == "firsts":
+                u.append(sids[a])
+                v.append(sids[b])
+
+        u, v, opened = [], [], np.zeros(len(key), bool)
+        if what == "open":
+            other = (names != names[lead]) & ((many > 2) | (np.abs(steps - steps[lead]) <= width))
+            opened = np.repeat(np.logical_or.reduceat(other, first), size)
+        elif what == "rest":
+            at, lag = np.flatnonzero((many > 2) & (here > lead)), 1
             while len(at):
-                at = at[at + lag < end[at]]
-                hit = at[(names[at] != names[at + lag]) & (np.abs(steps[at] - steps[at + lag]) <= width)]
-                hit = hit[np.bitwise_count(sketch[hit] ^ sketch[hit + lag]).sum(1) <= far]
-                u.append(sids[hit])
-                v.append(sids[hit + lag])
+                at = at[at + lag < lead[at] + many[at]]
+                met(at, at + lag)
                 lag += 1
+        else:
+            met(lead, here)
+            if what == "near":
+                other = (here > lead) & (names != names[np.minimum(lead + 1, len(key) - 1)])
+                opened = np.repeat(np.logical_or.reduceat(other, first), size) & (here > lead)
         u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
         pairs = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v)), 1), axis=0)
         mixed = (pairs[:, 0] * 31 + pairs[:, 1]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        rows = [(p, b, b"") for p, b in _by_part(pairs, (mixed >> np.uint64(40)).astype(np.int64) % parts)] + [(p, b"", b) for p, b in _by_part(open_, open_ % parts)]
+        open_ = np.stack((sids[opened], np.full(opened.sum(), t.column("bucket")[0].as_py() // ranges_)), 1)
+        rows = [(p, b, b"") for p, b in _by_part(pairs, (mixed >> np.uint64(40)).astype(np.int64) % parts)] + [(p, b"", b) for p, b in _by_part(open_, open_[:, 0] % parts)]
         return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "pairs": pa.array([r[1] for r in rows], pa.binary()), "open": pa.array([r[2] for r in rows], pa.binary())})
 
     return run
 
 
+MET = "u long, v long, tables binary"
+
+
 def _distinct(t: pa.Table) -> pa.Table:
-    """(u, v) pairs of a part once each, and (null, v) for members of postings of three or more."""
+    """(u, v, null) pairs of a part once each, and (null, v, tables) of members of open postings, with the tables in which they are."""
     pairs = np.unique(np.frombuffer(b"".join(t.column("pairs").to_pylist()), np.int64).reshape(-1, 2), axis=0)
-    opened = np.unique(np.frombuffer(b"".join(t.column("open").to_pylist()), np.int64))
-    return pa.table({"u": pa.chunked_array([pa.array(pairs[:, 0]), pa.nulls(len(opened), pa.int64())]), "v": pa.chunked_array([pa.array(pairs[:, 1]), pa.array(opened)])})
+    opened = np.frombuffer(b"".join(t.column("open").to_pylist()), np.int64).reshape(-1, 2)
+    opened = opened[np.argsort(opened[:, 0], kind="stable")]
+    sids, first = np.unique(opened[:, 0], return_index=True)
+    tables = [x.astype(np.uint32).tobytes() for x in np.split(opened[:, 1], first[1:])] if len(sids) else []
+    return pa.table({"u": pa.chunked_array([pa.array(pairs[:, 0]), pa.nulls(len(sids), pa.int64())]), "v": pa.chunked_array([pa.array(pairs[:, 1]), pa.array(sids)]),
+                     "tables": pa.chunked_array([pa.nulls(len(pairs), pa.binary()), pa.array(tables, pa.binary())])})
 
 
-def _similar(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, similarity: float, seed: int) -> DataFrame:
-    """Of (u, v) numbers of signatures those with at least that similarity; texts are (id, text)."""
+def _near(pairs: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame:
+    """Of (u, v) numbers of signatures those that are near."""
     side = lambda c, s, n: sigs.select(F.col("sid").alias(c), F.col("sig").alias(s), F.col("n").alias(n))
     both = pairs.join(side("u", "s", "n"), "u").join(side("v", "t", "m"), "v").select("u", "v", "s", "t", "n", "m")
 
     def run(found):
         for batch in found:
             s, t = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SIGNATURE_BITS // 8) for c in ("s", "t"))
-            differ = s ^ t
-            counted = (differ == 0).sum(1) >= MIN_SHARED
-            share = np.bitwise_count(differ).sum(1) / SIGNATURE_BITS
-            n, m = np.asarray(batch.column("n")), np.asarray(batch.column("m"))
-            common = np.maximum(0, np.cos(np.pi * share)) * np.sqrt(n * m)
-            kept = counted & (common >= (similarity - SLACK) * np.maximum(n + m - common, 1))
+            kept = near(s, t, np.asarray(batch.column("n")), np.asarray(batch.column("m")), similarity)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(kept))
 
+    return written(both.mapInArrow(run, "u long, v long"), "near")
+
+
+def _similar(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, similarity: float, seed: int) -> DataFrame:
+    """Of (u, v) numbers of signatures, a written table, those with at least that similarity; texts are (id, text)."""
+
     def sets(found):
         for batch in found:
             for a, part in slices(batch.column(1)):
@@ -352,12 +394,11 @@ def _similar(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, si
                 kept.append(common >= similarity * max(1, (len(s) + len(t)) // 8 - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(kept, pa.bool_()))
 
-    near = written(both.mapInArrow(run, "u long, v long"), "near")
-    asked = sigs.join(near.select(F.explode(F.array("u", "v")).alias("sid")).distinct(), "sid").select("sid", "id", "member")
+    asked = sigs.join(pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct(), "sid").select("sid", "id", "member")
     made = texts.join(asked.select("id").distinct(), "id", "left_semi").mapInArrow(sets, "id long, member binary, set binary")
     held = written(made.join(asked, ["id", "member"]).dropDuplicates(["sid"]).select("sid", "set"), "shingles")
     mine = lambda c, s: held.select(F.col("sid").alias(c), F.col("set").alias(s))
-    return near.join(mine("u", "s"), "u").join(mine("v", "t"), "v").select("u", "v", "s", "t").mapInArrow(decide, "u long, v long")
+    return pairs.join(mine("u", "s"), "u").join(mine("v", "t"), "v").select("u", "v", "s", "t").mapInArrow(decide, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -366,7 +407,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The similarity is the Jaccard of the sets of shingles of the lower-cased texts, words being what stands between
     ASCII white space. Rows with one set of shingles (copies, and texts without words among themselves; null counts as
     empty) are one member. In a posting all members are compared with the first; then those that are in different
-    groups still, with one another, where sketches of their signatures do not tell them apart. A set too small to reach the similarity with any other set is not indexed.
+    groups still, with one another, where their signatures do not tell them apart. A set too small to reach the similarity with any other set is not indexed.
     Rows that share an id are told apart by their texts; rows that repeat both stay or go together. Rows with a null id take no
     part. Ids are longs; texts of any length are read whole; other columns are left out; an empty table gives none.
     """
@@ -392,22 +433,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shift, width = bits - (ranges_.bit_length() - 1), math.ceil(-math.log(similarity) / math.log(STEP)) + 1
     parts = max(8, n * keys // 4_000_000)
 
-    def met(members: DataFrame, tables: int, far: int | None = None) -> DataFrame:
-        index = members.select("sid", "sig", "n", "name").mapInArrow(_index(bits, keys, ranges_, tables, far is not None), KEYS)
-        return index.groupBy("bucket").applyInArrow(_meet(shift, parts, width, far), PAIRS).groupBy("part").applyInArrow(_distinct, "u long, v long")
+    def met(members: DataFrame, tables: int, what: str) -> DataFrame:
+        index = members.mapInArrow(_index(bits, keys, ranges_, tables), KEYS)
+        packed = index.groupBy("bucket").applyInArrow(_meet(shift, ranges_, parts, width, similarity, what), PAIRS)
+        return written(packed.groupBy("part").applyInArrow(_distinct, MET), "met")
+
+    def known(members: DataFrame, links: DataFrame | None) -> DataFrame:
+        named = members.join(components(links).withColumnRenamed("id", "sid"), "sid", "left") if links is not None else members.withColumn("component", F.lit(None).cast("long"))
+        return named.select("sid", "sig", "n", F.coalesce("component", "sid").alias("name"), *[c for c in members.columns if c == "tables"])
+
+    def pairs(found: DataFrame) -> DataFrame:
+        return found.where("u is not null").select("u", "v")
 
-    def known(members: DataFrame, links: DataFrame) -> DataFrame:
-        return members.join(components(links).withColumnRenamed("id", "sid"), "sid", "left").withColumn("name", F.coalesce("component", "sid"))
+    def still_open(found: DataFrame) -> DataFrame:
+        return able.join(found.where("u is null").select(F.col("v").alias("sid"), "tables"), "sid")
 
-    # A few tables link most copies; with these as names, all tables leave little to compare, and the last round less.
+    # A few tables link most copies. With these as names all tables tell which postings are open, and the members of those alone send their signatures to them.
     linked = None
-    for tables in (*(t for t in FIRST_TABLES if t < keys), keys):
-        members = known(able, linked) if linked is not None else able.withColumn("name", F.lit(None).cast("long"))
-        first = written(met(members, tables), "met")
-        fresh = _similar(first.where("u is not null"), sigs, rows, words, similarity, seed)
+    for tables in (t for t in FIRST_TABLES if t < keys):
+        fresh = _similar(_near(pairs(met(known(able, linked), tables, "firsts")), sigs, similarity), sigs, rows, words, similarity, seed)
         linked = written(fresh if linked is None else linked.unionByName(fresh), "links")
-    open_ = able.join(first.where("u is null").select(F.col("v").alias("sid")).distinct(), "sid", "left_semi")
-    more = written(_similar(met(known(open_, linked), keys, sketch_limit(similarity)).where("u is not null"), sigs, rows, words, similarity, seed), "links")
+    opened = still_open(met(known(able, linked), keys, "open"))
+    first = met(known(opened, linked), keys, "near")
+    fresh = _similar(pairs(first), sigs, rows, words, similarity, seed)
+    linked = written(fresh if linked is None else linked.unionByName(fresh), "links")
+    rest = met(known(still_open(first), linked), keys, "rest")
+    more = written(_similar(pairs(rest), sigs, rows, words, similarity, seed), "links")
     named = components(linked.unionByName(more)).withColumnRenamed("id", "sid")
     groups = sigs.select("sid", "id", "member").join(named, "sid", "left").withColumn("group", F.coalesce("component", "sid"))
     least = groups.groupBy("group").agg(F.min("id").alias("least"))

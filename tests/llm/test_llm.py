@@ -221,6 +221,28 @@ def test_near_duplicates_of_short_texts_and_chains(spark):
     assert {r.id: r.component for r in simhash.near_duplicates(documents(spark, rows)).collect()} == {i: r for i, r in root.items() if r != i}
 
 
+def test_near_duplicates_send_signatures_to_open_postings_alone(spark, monkeypatch):
+    """Texts 0.7 alike share a few of 320 keys; a text's signature goes to those postings, not to each of its keys."""
+    rng, index = random.Random(4), simhash._index
+    base = [f"t{rng.randrange(10**9)}" for _ in range(300)]
+    rows = [(i, " ".join(base[:265] + [f"t{rng.randrange(10**9)}" for _ in range(35)])) for i in range(20)] + [(i, " ".join(f"t{rng.randrange(10**9)}" for _ in range(60))) for i in range(20, 300)]
+    sent = spark.sparkContext.accumulator(0)
+
+    def counted(*args):
+        run = index(*args)
+
+        def counting(found):
+            for batch in run(found):
+                sent.add(sum(len(x) for c in ("sigs", "sketches") if c in batch.schema.names for x in batch.column(c).to_pylist()))
+                yield batch
+
+        return counting
+
+    monkeypatch.setattr(simhash, "_index", counted)
+    assert not jaccard_links(rows) and simhash.near_duplicates(documents(spark, rows)).collect() == []
+    assert 0 < sent.value < 20 * 160 * simhash.SIGNATURE_BITS // 8
+
+
 def test_keys_grow_with_the_number_of_signatures():
     bits, keys = zip(*(simhash.plan_keys(n, 0.8) for n in (10, 10**6, 10**8, 10**10)))
     agree = 1 - math.acos(1.6 / 1.8) / math.pi
