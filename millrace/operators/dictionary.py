@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PIECE = r"([a-z0-9]+|[^a-z0-9]+)"
-WORD = "^[a-z0-9]"
 
 
 def _pieces(text: Column) -> Column:
@@ -21,9 +20,8 @@ def phrase_table(phrases: DataFrame, phrase: str) -> DataFrame:
     """phrases with core (from the first to the last word), before and after it, and words. Phrases without a letter or digit are left out, as are nulls."""
     text = F.col(phrase)
     core = F.regexp_extract(text, "(?s)([a-z0-9](?:.*[a-z0-9])?)", 1)
-    told = phrases.withColumn("core_", core).where("core_ <> ''")
-    return told.withColumns({"before_": F.regexp_extract(text, "(?s)^([^a-z0-9]*)", 1), "after_": F.regexp_extract(text, "(?s)([^a-z0-9]*)$", 1),
-                             "words_": F.size(F.regexp_extract_all("core_", F.lit("([a-z0-9]+)"), 1))})
+    told = phrases.where(text.rlike("[a-z0-9]")).withColumns({"core_": core, "before_": F.regexp_extract(text, "(?s)^([^a-z0-9]*)", 1), "after_": F.regexp_extract(text, "(?s)([^a-z0-9]*)$", 1)})
+    return told.withColumn("words_", F.size(F.regexp_extract_all("core_", F.lit("([a-z0-9]+)"), 1)))
 
 
 def phrase_hits(rows: DataFrame, key: list[str], text: str, phrases: DataFrame, phrase: str) -> DataFrame:
@@ -35,20 +33,21 @@ def phrase_hits(rows: DataFrame, key: list[str], text: str, phrases: DataFrame,
     lengths = [r[0] for r in table.select("words_").distinct().orderBy("words_").collect()]  # a number for each length of a phrase
     if not lengths:
         return rows.select(*key).crossJoin(phrases.where(F.lit(False))).withColumn("at", F.lit(0)).where(F.lit(False))
-    ps = F.col("pieces_")
+    ps, i, n = F.col("pieces_"), F.col("at_"), F.col("n_")
     cut = rows.where(F.col(text).isNotNull()).select(*key, _pieces(F.col(text)).alias("pieces_"))
-    first = F.when(F.get(ps, 0).rlike(WORD), 0).otherwise(1)  # words are every other piece
-    starts = F.filter(F.sequence(first, F.greatest(first, F.size(ps) - 1), F.lit(2)), lambda i: i < F.size(ps))
-    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.array(*[F.lit(n) for n in lengths]), lambda n: F.struct(
-        i.cast("int").alias("at"), F.when(i + 2 * n - 1 <= F.size(ps), F.array_join(F.slice(ps, i + 1, 2 * n - 1), "")).alias("run"),
-        F.get(ps, i - 1).alias("left"), F.get(ps, i + 2 * n - 1).alias("right"), (i + 2 * n).alias("next"), F.size(ps).alias("size")))))
-    offers = cut.select(*key, F.explode(runs).alias("r_")).where("r_.run is not null")
-    found = offers.join(table, F.col("r_.run") == F.col("core_"))
-    left, right, empty = F.coalesce("r_.left", F.lit("")), F.coalesce("r_.right", F.lit("")), F.lit("")
+    piece = F.col("piece_")
+    words = cut.select(*key, "pieces_", F.posexplode_outer("pieces_").alias("at_", "piece_")).where(((piece >= "0") & (piece < ":")) | ((piece >= "a") & (piece < "{")))
+    runs = words.select(*key, "pieces_", "at_", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n_")).where(i + 2 * n - 1 <= F.size(ps))
+    # Plain expressions over exploded rows are compiled, functions of elements are not. An outer explode, a run that is never null and a table that promises nothing of its
+    # cores leave Spark no filter to infer, which would cut each text and put each run together once more.
+    offers = runs.select(*key, "at_", F.coalesce(F.array_join(F.slice(ps, i + 1, 2 * n - 1), ""), F.lit("")).alias("run_"), F.get(ps, i - 1).alias("left_"), F.get(ps, i + 2 * n - 1).alias("right_"),
+                         (i + 2 * n).alias("next_"), F.size(ps).alias("size_"))
+    found = offers.join(table, F.col("run_") == F.col("core_"))
+    left, right, empty = F.coalesce("left_", F.lit("")), F.coalesce("right_", F.lit("")), F.lit("")
     # What stands beside the run may be longer than what the phrase has there, or reach the text's end; else a letter or digit follows.
-    fits_left = (F.col("before_") == empty) | (left.endswith(F.col("before_")) & ((F.length(left) > F.length("before_")) | (F.col("r_.at") <= 1)))
-    fits_right = (F.col("after_") == empty) | (right.startswith(F.col("after_")) & ((F.length(right) > F.length("after_")) | (F.col("r_.next") >= F.col("r_.size"))))
-    return found.where(fits_left & fits_right).select(*key, *[F.col(c) for c in phrases.columns], F.col("r_.at").alias("at"))
+    fits_left = (F.col("before_") == empty) | (left.endswith(F.col("before_")) & ((F.length(left) > F.length("before_")) | (F.col("at_") <= 1)))
+    fits_right = (F.col("after_") == empty) | (right.startswith(F.col("after_")) & ((F.length(right) > F.length("after_")) | (F.col("next_") >= F.col("size_"))))
+    return found.where(fits_left & fits_right).select(*key, *[F.col(c) for c in phrases.columns], F.col("at_").alias("at"))
 
 
 def phrases_in(rows: DataFrame, key: list[str], text: str, phrases: DataFrame, phrase: str, limit: int = 10) -> DataFrame:

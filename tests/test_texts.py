@@ -90,6 +90,15 @@ def test_a_dictionary_is_one_join(spark):
     assert plan.count("Join ") == 1 and "w4999" not in plan and [r.phrase for r in found.collect()] == ["w7 w8"]
 
 
+def test_runs_are_compiled_and_put_together_once(spark):
+    """No function of elements and no inferred filter works on the runs: each is put together in one place of the plan, each text is cut in one."""
+    rows, phrases = spark.createDataFrame([(1, "w7 w8 x"), (2, ""), (3, None), (4, " w8")], "id int, text string"), spark.createDataFrame([("w7 w8",), ("w8",), ("--",)], "phrase string")
+    found = dictionary.phrase_hits(rows, ["id"], "text", phrases, "phrase")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and plan.count("array_join(") == 1 and plan.count("([a-z0-9]+|[^a-z0-9]+)") == 1
+    assert sorted((r.id, r.phrase, r.at) for r in found.collect()) == [(1, "w7 w8", 0), (1, "w8", 2), (4, "w8", 1)]
+
+
 RUBRIC = cv.Rubric({"impact": 50.0, "structure": 40.0, "language": 10.0}, "language", ((0, "Rebuild"), (30, "Weak"), (50, "Needs work"), (70, "Solid"), (90, "Strong")))
 RULES = [quality.Rule("stack", "high", "synergy")]
 
