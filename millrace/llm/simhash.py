@@ -438,9 +438,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         packed = index.groupBy("bucket").applyInArrow(_meet(shift, ranges_, parts, width, similarity, what), PAIRS)
         return written(packed.groupBy("part").applyInArrow(_distinct, MET), "met")
 
-    def known(members: DataFrame, links: DataFrame | None) -> DataFrame:
-        named = members.join(components(links).withColumnRenamed("id", "sid"), "sid", "left") if links is not None else members.withColumn("component", F.lit(None).cast("long"))
-        return named.select("sid", "sig", "n", F.coalesce("component", "sid").alias("name"), *[c for c in members.columns if c == "tables"])
+    def known(members: DataFrame) -> DataFrame:
+        """members with the names of their groups by the links so far."""
+        grouped = members.join(named.withColumnRenamed("id", "sid"), "sid", "left") if named is not None else members.withColumn("component", F.lit(None).cast("long"))
+        return grouped.select("sid", "sig", "n", F.coalesce("component", "sid").alias("name"), *[c for c in members.columns if c == "tables"])
 
     def pairs(found: DataFrame) -> DataFrame:
         return found.where("u is not null").select("u", "v")
@@ -449,17 +450,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return able.join(found.where("u is null").select(F.col("v").alias("sid"), "tables"), "sid")
 
     # A few tables link most copies. With these as names all tables tell which postings are open, and the members of those alone send their signatures to them.
-    linked = None
+    named = None
+
+    def joined(found: DataFrame) -> DataFrame:
+        """The groups by the links so far and by those of found pairs that are similar."""
+        return components(written(_similar(found, sigs, rows, words, similarity, seed), "links"), named)
+
     for tables in (t for t in FIRST_TABLES if t < keys):
-        fresh = _similar(_near(pairs(met(known(able, linked), tables, "firsts")), sigs, similarity), sigs, rows, words, similarity, seed)
-        linked = written(fresh if linked is None else linked.unionByName(fresh), "links")
-    opened = still_open(met(known(able, linked), keys, "open"))
-    first = met(known(opened, linked), keys, "near")
-    fresh = _similar(pairs(first), sigs, rows, words, similarity, seed)
-    linked = written(fresh if linked is None else linked.unionByName(fresh), "links")
-    rest = met(known(still_open(first), linked), keys, "rest")
-    more = written(_similar(pairs(rest), sigs, rows, words, similarity, seed), "links")
-    named = components(linked.unionByName(more)).withColumnRenamed("id", "sid")
+        named = joined(_near(pairs(met(known(able), tables, "firsts")), sigs, similarity))
+    opened = still_open(met(known(able), keys, "open"))
+    first = met(known(opened), keys, "near")
+    named = joined(pairs(first))
+    rest = met(known(still_open(first)), keys, "rest")
+    named = joined(pairs(rest)).withColumnRenamed("id", "sid")
     groups = sigs.select("sid", "id", "member").join(named, "sid", "left").withColumn("group", F.coalesce("component", "sid"))
     least = groups.groupBy("group").agg(F.min("id").alias("least"))
     by_member = groups.withColumn("salt", salt_of(SALTS, "sid")).join(salted(least, SALTS), ["group", "salt"]).select("member", F.col("least").alias("component"))

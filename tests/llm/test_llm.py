@@ -167,6 +167,44 @@ def test_components_of_a_chain(spark):
     assert {r.id: r.component for r in components(edges).collect()} == {**{i: 1 for i in range(2, 41)}, 91: 90}
 
 
+def test_components_go_on_from_known_stars(spark):
+    """Known stars count as links, are joined by later ones, and stay as they are without any."""
+    known = spark.createDataFrame([(i, i // 10 * 10) for i in range(60) if i % 10], "id long, component long")
+    edges = spark.createDataFrame([(15, 27), (33, 28), (50, 70), (4, 4)], "u long, v long")
+    root = {i: {20: 10, 30: 10}.get(i // 10 * 10, i // 10 * 10) for i in range(60)} | {70: 50}
+    assert {r.id: r.component for r in components(edges, known).collect()} == {i: r for i, r in root.items() if r != i}
+    assert sorted(map(tuple, components(edges.where("false"), known).collect())) == sorted(map(tuple, known.collect()))
+
+
+def test_rounds_of_few_edges_are_few_tasks(spark):
+    """A round's tasks follow its edges, not the number of shuffle partitions."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)], "u long, v long")
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before, status = {k: spark.conf.get(k, None) for k in held}, spark.sparkContext.statusTracker()
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    spark.sparkContext.setJobGroup("rounds", "rounds")
+    try:
+        components(edges)
+        stages = {s for j in status.getJobIdsForGroup("rounds") for s in status.getJobInfo(j).stageIds}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    ran = [i.numTasks for s in stages if (i := status.getStageInfo(s)) and i.numCompletedTasks]
+    assert len(ran) > 20 and sum(n >= 64 for n in ran) <= 1  # the first distinct alone
+
+
+def test_groups_are_found_once_a_round(spark, monkeypatch):
+    """One call for each round that brings links, none for those that read the names again."""
+    rng, calls = random.Random(6), []
+    base = [" ".join(f"t{rng.randrange(10**6)}" for _ in range(60)) for _ in range(6)]
+    rows = list(enumerate(base)) + [(i + 100, t.replace(t.split()[30], "changed")) for i, t in enumerate(base)]
+    monkeypatch.setattr(simhash, "components", lambda *a: calls.append(1) or components(*a))
+    assert {(r.component, r.id) for r in simhash.near_duplicates(documents(spark, rows)).collect()} == jaccard_links(rows)
+    assert len(calls) == len(simhash.FIRST_TABLES) + 2
+
+
 def test_near_duplicates(spark):
     rng = random.Random(2)
     base = [" ".join(f"t{rng.randrange(10**6)}" for _ in range(200)) for _ in range(12)]
