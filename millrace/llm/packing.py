@@ -134,7 +134,8 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         swept = _swept(left, gaps, longest, count + opened)
         parts = swept.groupBy("part").agg(F.count(piece).alias("pieces"), F.coalesce(F.sum(F.when(F.col("state") == 2, F.col("many"))), F.lit(0)).alias("places"), F.coalesce(F.sum(piece), F.lit(0)).alias("tokens"),
                                           F.max(piece).alias("longest"), F.min(piece).alias("shortest"), F.count(F.when(piece * 2 > capacity, 1)).alias("big"),
-                                          F.sum("length").alias("total")).orderBy("part").collect()
+                                          F.sum("length").alias("total")).collect()
+        parts.sort(key=lambda r: r["part"])  # one row for each range
         if last:
             discard(last)
         last = swept
